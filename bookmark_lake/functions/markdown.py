@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import html_snippet_text, links_of
-from .values import col
+from .values import col, let
 
 # Ordered rewriting steps. Block marks become elements on paragraphs of their own,
 # then inline marks become elements inside them.
@@ -61,8 +61,11 @@ _ESCAPES = [(rf"\\\{mark}", f"&#{ord(mark)};") for mark in "\\`*_{}[]()#+.!-"]
 
 
 def markdown_to_html(c) -> Column:
-    steps = _ESCAPES + _LINES + _HEADINGS + _BLOCKS + _PARAGRAPHS + _INLINE
-    return reduce(lambda text, step: F.regexp_replace(text, *step), steps, col(c))
+    rewritten = lambda text, steps: reduce(lambda t, step: F.regexp_replace(t, *step), steps, text)
+    plain = let(
+        c, lambda t: F.when(F.contains(t, F.lit("\\")), rewritten(t, _ESCAPES)).otherwise(t)
+    )
+    return rewritten(plain, _LINES + _HEADINGS + _BLOCKS + _PARAGRAPHS + _INLINE)
 
 
 def md_text(c) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import col, strip
+from .values import col, let, strip
 
 # Labels that may stand before a tag, as in "topic: music".
 TAG_LABELS = ["tag", "section", "topic", "category", "プラットフォーム", "subject"]
@@ -15,16 +15,20 @@ def _none() -> Column:
     return F.array().cast(_STRINGS)
 
 
+def _without_label(cleaned) -> Column:
+    parts = F.split(cleaned, ":", -1)
+    tag = let(
+        parts,
+        lambda p: F.when(
+            p[0].isin(TAG_LABELS), F.when(F.size(p) == 2, F.get(p, F.lit(1)))
+        ).otherwise(F.when(F.size(p) == 1, p[0])),
+    )
+    return let(strip(tag), lambda t: F.when(t != "", F.array(t)).otherwise(_none()))
+
+
 def normalise_tag(c) -> Column:
     """The cleaned tag as a one-element array; empty for attributes like "lite:true"."""
-    cleaned = F.translate(F.lower(strip(c)), " -[]", "__")
-    label, rest = F.split_part(cleaned, F.lit(":"), F.lit(1)), F.split_part(cleaned, F.lit(":"), F.lit(2))
-    colons = F.length(cleaned) - F.length(F.replace(cleaned, F.lit(":")))
-    labelled = label.isin(TAG_LABELS)
-    tag = strip(
-        F.when(labelled & (colons == 1), rest).when(~labelled & (colons == 0), cleaned)
-    )
-    return F.when(tag != "", F.array(tag)).otherwise(_none())
+    return _without_label(F.translate(F.lower(strip(c)), " -[]", "__"))
 
 
 def tag_list(c) -> Column:

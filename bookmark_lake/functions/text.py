@@ -1,12 +1,13 @@
 """Text, titles and links of HTML pages."""
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import base_url, is_web_link, url_join
-from .values import SPACE, col, is_github_html, mime_type, strip
+from .urls import base_parts, base_url, is_web_link, join_to
+from .values import SPACE, col, is_github_html, let, mime_type, strip
 
 # Fixed value: longest text kept per page, in characters.
 MAX_TEXT_CHARS = 10_485_760
@@ -41,10 +42,8 @@ _TEXT_TYPES = [
 
 def _entity_names() -> Column:
     """name → character, from the table that ships with Python."""
-    entries = [F.lit("apos"), F.lit("'")]
-    for name in sorted(name2codepoint):
-        entries += [F.lit(name), F.lit(chr(name2codepoint[name]))]
-    return F.create_map(*entries)
+    known = {name: chr(code) for name, code in name2codepoint.items()}
+    return F.from_json(F.lit(json.dumps({**known, "apos": "'"})), "map<string,string>")
 
 
 def _code_point(number) -> Column:
@@ -64,48 +63,49 @@ def _decode_one(name, names) -> Column:
     )
 
 
-def decode_entities(c) -> Column:
-    """Replace character references in one pass, so that decoded text is never decoded again."""
-    c = col(c)
-    names = _entity_names()
-    references = F.regexp_extract_all(c, F.lit(_ENTITY_RE), F.lit(1))
-    decoded = F.array_join(
+def _decode_all(text, names) -> Column:
+    return F.array_join(
         F.zip_with(
-            F.split(c, _ENTITY_RE, -1),
-            references,
-            lambda text, name: F.concat(
-                text, F.when(name.isNull(), F.lit("")).otherwise(_decode_one(name, names))
+            F.split(text, _ENTITY_RE, -1),
+            F.regexp_extract_all(text, F.lit(_ENTITY_RE), F.lit(1)),
+            lambda piece, name: F.concat(
+                piece, F.when(name.isNull(), F.lit("")).otherwise(_decode_one(name, names))
             ),
         ),
         "",
     )
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
-def _body(html) -> Column:
-    """Inside of <body>; without one, what follows the head; a missing end tag is fine."""
-    html = col(html)
+def decode_entities(c) -> Column:
+    """Replace character references in one pass, so that decoded text is never decoded again."""
+    names = _entity_names()
+    return let(
+        c, lambda text: F.when(F.contains(text, F.lit("&")), _decode_all(text, names)).otherwise(text)
+    )
+
+
+def _inside_body(html) -> Column:
     after_open = F.regexp_replace(html, r"(?is)\A.*?<body(?:\s[^>]*)?>", "")
     after_head = F.regexp_replace(html, r"(?is)\A.*?</head\s*>", "")
     no_head = F.regexp_replace(html, r"(?is)\A\s*<!doctype[^>]*>|<title[^>]*>.*?</title>", "")
-    inside = (
+    return (
         F.when(html.rlike(r"(?i)<body[\s>]"), after_open)
         .when(html.rlike(r"(?i)</head\s*>"), after_head)
         .otherwise(no_head)
     )
-    return F.regexp_replace(inside, r"(?is)</body\s*>.*\z", "")
 
 
-def _bordered_text(body) -> Column:
-    """Body text with one border sign wherever tags or comments stood."""
-    simple = decode_entities(F.regexp_replace(body, _RAW_OR_TAG_RE, f"{_BORDER}$1{_BORDER}"))
-    # References inside scripts stay as they are, so such bodies go piece by piece.
-    outside = F.split(body, _RAW_RE, -1)
-    inside = F.regexp_extract_all(body, F.lit(_RAW_RE), F.lit(1))
-    by_piece = F.array_join(
+def _body(html) -> Column:
+    """Inside of <body>; without one, what follows the head; a missing end tag is fine."""
+    return F.regexp_replace(let(html, _inside_body), r"(?is)</body\s*>.*\z", "")
+
+
+def _by_piece(body) -> Column:
+    """Script and style content stays as it is, references included."""
+    return F.array_join(
         F.zip_with(
-            outside,
-            inside,
+            F.split(body, _RAW_RE, -1),
+            F.regexp_extract_all(body, F.lit(_RAW_RE), F.lit(1)),
             lambda text, raw: F.concat(
                 decode_entities(F.regexp_replace(text, _TAG_RE, _BORDER)),
                 F.lit(_BORDER),
@@ -114,8 +114,13 @@ def _bordered_text(body) -> Column:
         ),
         _BORDER,
     )
-    scripted = body.rlike(r"(?i)<(?:script|style)\b") & F.contains(body, F.lit("&"))
-    return F.regexp_replace(F.when(scripted, by_piece).otherwise(simple), f"{_BORDER}+", _BORDER)
+
+
+def _bordered_text(body) -> Column:
+    """Body text with one border sign wherever tags or comments stood."""
+    simple = decode_entities(F.regexp_replace(body, _RAW_OR_TAG_RE, f"{_BORDER}$1{_BORDER}"))
+    scripted = F.contains(body, F.lit("&")) & body.rlike(r"(?i)<(?:script|style)\b")
+    return F.when(scripted, _by_piece(body)).otherwise(simple)
 
 
 def text_nodes(html, separator="\n") -> Column:
@@ -123,7 +128,7 @@ def text_nodes(html, separator="\n") -> Column:
 
     White-space-only nodes count, so they leave empty entries between separators.
     """
-    bordered = _bordered_text(_body(html))
+    bordered = F.regexp_replace(let(_body(html), _bordered_text), f"{_BORDER}+", _BORDER)
     bordered = F.regexp_replace(bordered, rf"\A{_BORDER}|{_BORDER}\z", "")
     return strip(F.regexp_replace(bordered, rf"{SPACE}*{_BORDER}{SPACE}*", separator))
 
@@ -183,11 +188,16 @@ _NOT_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 
 def links_of(html, base) -> Column:
     """Every <a href> resolved against ``base``, web links only, in order, repeats kept."""
-    html, base = col(html), col(base)
-    hrefs = F.regexp_extract_all(F.regexp_replace(html, _NOT_MARKUP, ""), F.lit(_ANCHOR), F.lit(1))
-    resolved = F.transform(
-        hrefs,
-        lambda h: url_join(base, decode_entities(strip(F.regexp_replace(h, "\\A[\"']|[\"']\\z", "")))),
+    hrefs = F.regexp_extract_all(
+        F.regexp_replace(col(html), _NOT_MARKUP, ""), F.lit(_ANCHOR), F.lit(1)
+    )
+    address = lambda h: decode_entities(strip(F.regexp_replace(h, "\\A[\"']|[\"']\\z", "")))
+    known_base = F.struct(col(base).alias("url"), base_parts(base).alias("parts"))
+    resolved = let(
+        known_base,
+        lambda b: F.transform(
+            hrefs, lambda h: let(address(h), lambda a: join_to(b["url"], b["parts"], a))
+        ),
     )
     return F.filter(resolved, is_web_link)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import col, first_non_empty, non_empty
+from .values import col, first_non_empty, let
 
 # Accepted URLs: http, https or ftp; optional user info; localhost, an IPv4
 # address or a dotted host name whose last label has two or more letters;
@@ -22,7 +22,6 @@ VALID_URL = (
 
 # Component pattern of RFC 3986, appendix B, with its narrower rule for schemes.
 _PARTS = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
-HAS_SCHEME = r"\A[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def is_valid_url(c) -> Column:
@@ -31,13 +30,17 @@ def is_valid_url(c) -> Column:
 
 def fix_url(c) -> Column:
     """The URL itself if valid, with http:// in front if that makes it valid, else NULL."""
-    c = col(c)
-    prefixed = F.concat(F.lit("http://"), c)
-    return F.when(is_valid_url(c), c).when(is_valid_url(prefixed) & (c != ""), prefixed)
+
+    def fixed(url):
+        prefixed = F.concat(F.lit("http://"), url)
+        return F.when(is_valid_url(url), url).when(is_valid_url(prefixed), prefixed)
+
+    return let(c, fixed)
 
 
-def _part(url, group) -> Column:
-    return F.regexp_extract(url, _PARTS, group)
+def _parts(url) -> Column:
+    names = ["scheme", "host", "path", "query", "fragment"]
+    return F.struct(*[F.regexp_extract(url, _PARTS, n + 1).alias(name) for n, name in enumerate(names)])
 
 
 def _with(prefix, part) -> Column:
@@ -46,23 +49,24 @@ def _with(prefix, part) -> Column:
 
 def url_key(c, ignore_protocol=True) -> Column:
     """Comparison form: fixed, scheme optionally blank, one trailing / of the path off."""
-    fixed = fix_url(c)
-    scheme = F.lit("") if ignore_protocol else F.concat(F.lower(_part(fixed, 1)), F.lit(":"))
-    return F.concat(
-        scheme,
-        F.lit("//"),
-        _part(fixed, 2),
-        F.regexp_replace(_part(fixed, 3), r"/\z", ""),
-        _with("?", _part(fixed, 4)),
-        _with("#", _part(fixed, 5)),
-    )
+
+    def key(p):
+        scheme = F.lit("") if ignore_protocol else F.concat(F.lower(p["scheme"]), F.lit(":"))
+        path = F.regexp_replace(p["path"], r"/\z", "")
+        return F.concat(
+            scheme, F.lit("//"), p["host"], path, _with("?", p["query"]), _with("#", p["fragment"])
+        )
+
+    return let(fix_url(c), lambda url: F.when(url.isNotNull(), let(_parts(url), key)))
 
 
 def url_equal(a, b, ignore_protocol=True) -> Column:
     """Equal comparison forms; raw equality when either URL cannot be fixed."""
-    a, b = col(a), col(b)
-    key_a, key_b = url_key(a, ignore_protocol), url_key(b, ignore_protocol)
-    return F.when(key_a.isNull() | key_b.isNull(), a == b).otherwise(key_a == key_b)
+    raw = col(a) == col(b)
+    keys = F.struct(
+        url_key(a, ignore_protocol).alias("a"), url_key(b, ignore_protocol).alias("b")
+    )
+    return let(keys, lambda k: F.coalesce(k["a"] == k["b"], raw))
 
 
 def _resolve_dots(path) -> Column:
@@ -88,42 +92,66 @@ def _resolve_dots(path) -> Column:
     ).otherwise(path)
 
 
-def url_join(base, href) -> Column:
-    """Resolve ``href`` against ``base`` the way browsers resolve http links."""
-    base, href = col(base), col(href)
-    base_root = F.concat(
-        _with("", _part(base, 1)),
-        F.when(_part(base, 1) != "", F.lit(":")).otherwise(F.lit("")),
-        _with("//", _part(base, 2)),
+# A rooted link without dot segments and empty tails: what pages hold most.
+_PLAIN_ROOTED = r"\A(?!//)(?!\S*(?:/\.|[?#](?:#|\z)))/\S*\z"
+
+
+def base_parts(base) -> Column:
+    """Components of a base URL, and its part in front of the path."""
+    p = _parts(col(base))
+    return let(
+        p,
+        lambda p: F.struct(
+            p["scheme"].alias("scheme"),
+            F.concat(
+                F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(F.lit("")),
+                _with("//", p["host"]),
+            ).alias("root"),
+            p["path"].alias("path"),
+            p["query"].alias("query"),
+        ),
     )
-    base_scheme = _part(base, 1)
-    base_path = _part(base, 3)
-    # Same scheme and no authority ("http:x") counts as relative.
-    same_scheme = F.lower(_part(href, 1)) == F.lower(base_scheme)
-    foreign = href.rlike(HAS_SCHEME) & ~same_scheme
-    path, query, fragment = _part(href, 3), _part(href, 4), _part(href, 5)
-    tail = F.concat(_with("?", query), _with("#", fragment))
-    folder = F.regexp_replace(base_path, r"[^/]*\z", "")
+
+
+def _join_parts(base, b, href, p) -> Column:
+    tail = F.concat(_with("?", p["query"]), _with("#", p["fragment"]))
+    folder = F.regexp_replace(b["path"], r"[^/]*\z", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     # Empty segments vanish inside a joined relative path, not in a rooted one.
-    relative = F.regexp_replace(F.concat(folder, path), "(?<=.)/{2,}", "/")
+    relative = F.regexp_replace(F.concat(folder, p["path"]), "(?<=.)/{2,}", "/")
+    # A scheme equal to the base's counts as none ("http:x").
+    foreign = (p["scheme"] != "") & (F.lower(p["scheme"]) != F.lower(b["scheme"]))
+    same_page = F.concat(b["root"], b["path"], _with("?", b["query"]), _with("#", p["fragment"]))
     return (
-        F.when(href.isNull() | (href == ""), base)
-        .when((base == "") | foreign, href)
-        .when(
-            _part(href, 2) != "",
-            F.concat(base_scheme, F.lit("://"), _part(href, 2), path, tail),
-        )
-        .when(
-            (path == "") & (query == ""),
-            F.concat(base_root, base_path, _with("?", _part(base, 4)), _with("#", fragment)),
+        F.when((base == "") | foreign, href)
+        .when(p["host"] != "", F.concat(b["scheme"], F.lit("://"), p["host"], p["path"], tail))
+        .when((p["path"] == "") & (p["query"] == ""), same_page)
+        .when(p["path"] == "", F.concat(b["root"], b["path"], tail))
+        .otherwise(
+            F.concat(
+                b["root"],
+                let(F.when(p["path"].startswith("/"), p["path"]).otherwise(relative), _resolve_dots),
+                tail,
+            )
         )
-        .when(path == "", F.concat(base_root, base_path, tail))
-        .when(path.startswith("/"), F.concat(base_root, _resolve_dots(path), tail))
-        .otherwise(F.concat(base_root, _resolve_dots(relative), tail))
     )
 
 
+def join_to(base, b, href) -> Column:
+    """Resolve ``href`` against ``base`` whose components ``b`` are known."""
+    return (
+        F.when(href.isNull() | (href == ""), base)
+        .when((b["root"] != "") & href.rlike(_PLAIN_ROOTED), F.concat(b["root"], href))
+        .otherwise(let(_parts(href), lambda p: _join_parts(base, b, href, p)))
+    )
+
+
+def url_join(base, href) -> Column:
+    """Resolve ``href`` against ``base`` the way browsers resolve http links."""
+    both = F.struct(col(base).alias("base"), base_parts(base).alias("parts"), col(href).alias("href"))
+    return let(both, lambda x: join_to(x["base"], x["parts"], x["href"]))
+
+
 def is_web_link(c) -> Column:
     c = col(c)
     return c.startswith("http:") | c.startswith("https:")
@@ -161,7 +189,6 @@ __all__ = [
     "gitlab_project_url",
     "is_valid_url",
     "is_web_link",
-    "non_empty",
     "tweet_url",
     "url_equal",
     "url_join",

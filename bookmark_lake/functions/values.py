@@ -12,6 +12,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(col(value)), lambda v: use(v)), F.lit(0))
+
+
 def strip(c) -> Column:
     """Remove white space of every kind from both ends."""
     # \z, not $: the latter also matches before a final line break.
