@@ -219,13 +219,13 @@ def github_readme(spark, sf_dir):
         spark, sf_dir, "github_stars", "github_readme", HTML, meta={"url": STAR_HTML},
         headers={"content-type": "'application/vnd.github.v3.html; charset=utf-8'"},
     )
-    return outputs(github.parse_content(responses, "github_readme"))
+    return outputs(pages.parse_content(responses, "github_readme"))
 
 
 @check("gist_html", _content_sql("github_stars", GIST_HTML))
 def gist_html(spark, sf_dir):
     responses = _page_responses(spark, sf_dir, "github_stars", "gist_html", {"url": GIST_HTML})
-    return outputs(github.parse_content(responses, "gist_html"))
+    return outputs(pages.parse_content(responses, "gist_html"))
 
 
 ARTICLE = f"concat('http://articles.example.com/', {KEY}, '?p=1#top')"
@@ -234,7 +234,7 @@ ARTICLE = f"concat('http://articles.example.com/', {KEY}, '?p=1#top')"
 @check("pocket_webpage", _content_sql("pocket", ARTICLE))
 def pocket_webpage(spark, sf_dir):
     responses = _page_responses(spark, sf_dir, "pocket", "pocket_page", {"url": ARTICLE}, url="'https://redirected.example.com/'")
-    return outputs(github.parse_content(responses, "pocket_page"))
+    return outputs(pages.parse_content(responses, "pocket_page"))
 
 
 FINAL = f"concat('https://final.example.com/', {KEY})"

@@ -180,6 +180,9 @@ ROUTED = {
              "'asked=yes; dont_obey_robotstxt=true; item_url=https://gist.github.com/u' || o_custkey || '/' || o_orderkey || '; url=' || {link}"),
     "repo": ("github_stars", "github_repo", "'https://api.github.com/repos/u' || o_custkey || '/r.' || o_orderkey",
              "'asked=yes; dont_obey_robotstxt=true; item_url=https://github.com/u' || o_custkey || '/r.' || o_orderkey || '; url=' || {link}"),
+    # A query string is part of the last group.
+    "query": ("github_stars", "github_repo", "'https://api.github.com/repos/u' || o_custkey || '/r?tab=' || o_orderkey",
+              "'asked=yes; dont_obey_robotstxt=true; item_url=https://github.com/u' || o_custkey || '/r?tab=' || o_orderkey || '; url=' || {link}"),
     "project": ("gitlab_stars", "gitlab_project", "'https://gitlab.com/api/v4/projects/g' || o_custkey || '%2Fp-' || o_orderkey",
                 "'asked=yes; dont_obey_robotstxt=true; url=' || {link}"),
 }

@@ -14,8 +14,9 @@ def enrich(fragments: DataFrame, metadata=None) -> DataFrame:
     results are independent, and a page that cannot be read gets NULLs.
     """
     applies = non_empty("url").isNotNull() & non_empty("html").isNotNull()
+    # A stage of its own: read by both results, it is computed once per page.
     found = fragments.withColumn(
-        "_metadata", extract_metadata("html") if metadata is None else F.col(metadata)
+        "_metadata", F.when(applies, extract_metadata("html")) if metadata is None else F.col(metadata)
     )
     return found.withColumns(
         {

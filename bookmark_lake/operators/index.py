@@ -5,7 +5,7 @@ from collections import namedtuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import col
+from ..functions.values import col, let
 from ..schema import ITEM_ARRAYS
 
 # Words: letters and digits, joined by single dots or apostrophes inside.
@@ -61,7 +61,7 @@ def _marked_postings(items: DataFrame, fields=None) -> DataFrame:
     words = field_tokens(items, fields).select(
         "url", "field", F.size("tokens").alias("field_len"), F.array_sort("tokens").alias("words")
     )
-    runs = words.select("url", "field", "field_len", F.posexplode(_counted(F.col("words"))).alias("n", "run"))
+    runs = words.select("url", "field", "field_len", F.posexplode(let(F.col("words"), _counted)).alias("n", "run"))
     return runs.select(
         F.col("run.term").alias("term"),
         "field",

@@ -8,67 +8,72 @@ from ..operators.filters import status_gate
 from ..operators.frontier import frontier
 from ..operators.merge import drop_empty, drop_html, upsert_items
 from ..operators.route import DEFAULT_RULES, route
-from ..sources.github import (
-    parse_content,
-    parse_gist,
-    parse_gist_stars,
-    parse_github_repo,
-    parse_github_stars,
-)
+from ..sources.github import parse_gist, parse_gist_stars, parse_github_repo, parse_github_stars
 from ..sources.gitlab import (
     parse_gitlab_project,
     parse_gitlab_readme,
     parse_gitlab_stars,
     parse_gitlab_users,
 )
-from ..sources.pages import parse_homepage, parse_tweet_page
+from ..sources.pages import CONTENT_KINDS, LINKED_KINDS, parse_pages
 from ..sources.pocket import parse_pocket
+from ..schema import FRAGMENT, REQUEST
 from ..sources.responses import Parsed, union
 from ..sources.tweets import parse_tweets
 
 PARSERS = {
     "github_stars": parse_github_stars,
     "github_repo": parse_github_repo,
-    "github_readme": lambda r: parse_content(r, "github_readme"),
     "gist_stars": parse_gist_stars,
     "gist": parse_gist,
-    "gist_html": lambda r: parse_content(r, "gist_html"),
     "gitlab_users": parse_gitlab_users,
     "gitlab_stars": parse_gitlab_stars,
     "gitlab_project": parse_gitlab_project,
     "gitlab_readme": parse_gitlab_readme,
     "pocket": parse_pocket,
-    "pocket_page": lambda r: parse_content(r, "pocket_page"),
     "tweets": parse_tweets,
-    "tweet_page": parse_tweet_page,
-    "homepage": parse_homepage,
 }
+PAGE_KINDS = CONTENT_KINDS + LINKED_KINDS
+KINDS = [*PARSERS, *PAGE_KINDS]
 SOURCES = ["github_stars", "gitlab_stars", "pocket", "twitter_favs"]
 
 
 def parse_responses(responses: DataFrame, sources=None, kinds=None) -> Parsed:
-    """Run every parser on its kind of response.
+    """Run every parser on its kind of response; fragments come enriched.
 
     Each branch filters on ``kind``: over a table stored by source and kind it scans
-    its own folder only, so all branches together read the table once.
+    its own folder only, so all branches together read the table once. Page kinds
+    share one branch, and only fragments that have a page are enriched.
     """
+    kinds = KINDS if kinds is None else [k for k in kinds if k in KINDS]
     responses = status_gate(responses)
     if sources is not None:
         responses = responses.filter(F.col("source").isin(list(sources)))
-    parsed = [PARSERS[kind](responses) for kind in (kinds or PARSERS)]
+    parsed = {kind: PARSERS[kind](responses) for kind in kinds if kind in PARSERS}
+    page_kinds = [k for k in kinds if k in PAGE_KINDS]
+    if page_kinds:
+        parsed["pages"] = parse_pages(responses, page_kinds)
+    items = [
+        enrich(p.fragments) if name in ("pages", "gitlab_readme") else p.fragments
+        for name, p in parsed.items()
+        if p.fragments is not None
+    ]
+    links = [p.requests for p in parsed.values() if p.requests is not None]
+    spark = responses.sparkSession
     return Parsed(
-        union(*[p.fragments for p in parsed]), union(*[p.requests for p in parsed])
+        union(*items) if items else spark.createDataFrame([], FRAGMENT),
+        union(*links) if links else spark.createDataFrame([], REQUEST),
     )
 
 
-def item_fragments(fragments: DataFrame) -> DataFrame:
-    """Item pipeline: enrich from the page, drop the page, drop empty values."""
-    return drop_empty(drop_html(enrich(fragments)))
+def storable(fragments: DataFrame) -> DataFrame:
+    """The end of the item pipeline: drop the page, drop empty values."""
+    return drop_empty(drop_html(fragments))
 
 
 def ingest(responses: DataFrame, index_path, sources=None, rules=None) -> DataFrame:
     """Merge all items of ``responses`` into the stored table; return the new frontier."""
     parsed = parse_responses(responses, sources)
-    upsert_items(item_fragments(parsed.fragments), index_path)
+    upsert_items(storable(parsed.fragments), index_path)
     routed = route(parsed.requests, DEFAULT_RULES if rules is None else rules)
     return frontier(routed, responses)

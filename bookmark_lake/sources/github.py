@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import page_html, page_text
 from ..functions.urls import fix_url
 from ..functions.values import first_non_empty, link_next, non_empty
 from ..operators.filters import is_processable, processable
@@ -129,17 +128,3 @@ def parse_gist(responses: DataFrame) -> Parsed:
         meta={"url": F.col("item_url")},
     )
     return Parsed(_detail_fragments(details), page)
-
-
-def parse_content(responses: DataFrame, kind) -> Parsed:
-    """Fetched page of a known item → its text and html; the title is known already."""
-    pages = processable(responses.filter(F.col("kind") == kind))
-    return Parsed(
-        fragments(
-            pages,
-            url=F.try_element_at(F.col("meta"), F.lit("url")),
-            content=page_text("headers", "body"),
-            html=page_html("headers", "body"),
-        ),
-        None,
-    )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_date
 from ..functions.tags import pocket_tags
-from ..functions.values import first_non_empty
+from ..functions.values import first_non_empty, let
 from ..operators.filters import processable
 from .responses import Parsed, after_all, fragments, nested_pos, requests, union
 
@@ -35,13 +35,15 @@ def ok_pages(responses: DataFrame) -> DataFrame:
 
 def parse_pocket(responses: DataFrame) -> Parsed:
     """Page of saved articles, by key → item and page request each; next page unless empty."""
-    listed = F.col("page.list")
     pages = ok_pages(responses).select(
         "source",
         "seq",
         "meta",
         # Maps cannot be ordered, their keys can.
-        F.transform(F.array_sort(F.map_keys(listed)), lambda k: F.element_at(listed, k)).alias("entries"),
+        let(
+            F.col("page.list"),
+            lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.element_at(m, k)),
+        ).alias("entries"),
     )
     entries = pages.select("source", "seq", F.posexplode("entries").alias("i", "e"))
     entries = entries.withColumn("url", first_non_empty(F.col("e.resolved_url"), F.col("e.given_url")))

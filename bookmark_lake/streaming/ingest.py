@@ -5,7 +5,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.frontier import KEYS
 from ..operators.merge import upsert_items
-from ..plans.ingest import item_fragments, parse_responses
+from ..plans.ingest import parse_responses, storable
 
 
 def stream_fragments(fragments: DataFrame, index_path, checkpoint) -> DataStreamWriter:
@@ -23,11 +23,12 @@ def stream_fragments(fragments: DataFrame, index_path, checkpoint) -> DataStream
 def stream_ingest(responses: DataFrame, index_path, checkpoint, sources=None) -> DataStreamWriter:
     """Writer that parses, enriches and merges arriving responses."""
     def apply(batch, _):
-        # The batch is read by one branch per kind: keep it for the time of the batch.
+        # Read once per kind present: kept for the time of the batch.
         batch.persist()
         try:
-            parsed = parse_responses(batch, sources)
-            upsert_items(item_fragments(parsed.fragments), index_path)
+            kinds = [r["kind"] for r in batch.select("kind").distinct().collect()]
+            parsed = parse_responses(batch, sources, kinds)
+            upsert_items(storable(parsed.fragments), index_path)
         finally:
             batch.unpersist()
 
