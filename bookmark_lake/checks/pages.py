@@ -6,7 +6,7 @@ from ..functions import markdown, metadata, text, urls
 from ..operators.enrich import enrich
 from ..schema import FRAGMENT
 from ..sources.responses import fragments
-from .registry import SPACE, check, joined, sql_strip, table
+from .registry import SPACE, check, joined, sql_strip, table, text_table
 
 # Text nodes of the given pages; they hold no scripts in the body, no quoted ">" and
 # four kinds of character references.
@@ -27,12 +27,12 @@ SQL_TITLE = sql_strip(_sql_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)
 
 @check("txt_nodes", f"SELECT page_id, {SQL_TEXT} AS content FROM pages")
 def txt_nodes(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.text_nodes("html").alias("content"))
+    return text_table(spark, sf_dir, "pages").select("page_id", text.text_nodes("html").alias("content"))
 
 
 @check("txt_title", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
 def txt_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.title("html").alias("title"))
+    return text_table(spark, sf_dir, "pages").select("page_id", text.title("html").alias("title"))
 
 
 @check(
@@ -50,7 +50,7 @@ def txt_body(spark, sf_dir):
         "named_struct('kind', 'image', 'headers', map('Content-Type', 'image/png')), "
         "named_struct('kind', 'untyped', 'headers', map('X-Other', 'y')))"
     )
-    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.inline(kinds))
+    pages = text_table(spark, sf_dir, "pages").select("page_id", "html", F.inline(kinds))
     return pages.select(
         "page_id",
         "kind",
@@ -62,7 +62,7 @@ def txt_body(spark, sf_dir):
 
 @check("txt_cap", "SELECT doc_id, substring(text, 1, 10485760) AS content FROM documents")
 def txt_cap(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.cap_text("text").alias("content"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", text.cap_text("text").alias("content"))
 
 
 @check(
@@ -71,7 +71,7 @@ def txt_cap(spark, sf_dir):
 )
 def html_snippet_text(spark, sf_dir):
     snippet = F.regexp_replace("html", "(?s)^.*?(<body)", "$1")
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages").select(
         "page_id", text.html_snippet_text(F.concat(F.lit("<html>"), snippet)).alias("content")
     )
 
@@ -88,7 +88,7 @@ _SQL_LINKS = (
 )
 def html_links(spark, sf_dir):
     links = text.html_links("html", "url")
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("n", "link"))
+    return text_table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("n", "link"))
 
 
 @check(
@@ -102,7 +102,7 @@ def url_base(spark, sf_dir):
 
     declared = F.expr("concat('<base target=\"_top\" href=\"https://base.example.com/', cast(page_id AS string), '/\">')")
     commented = F.lit('<!-- <base href="https://wrong.example.com/"> -->')
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages").select(
         "page_id",
         urls.base_url("html", "url").alias("base"),
         urls.base_url(with_head(declared), "url").alias("declared"),

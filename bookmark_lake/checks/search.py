@@ -22,7 +22,7 @@ from ..operators.search import (
     with_standout,
 )
 from ..session import work_folder
-from .registry import SPACE, check, sql_strip, table
+from .registry import SPACE, check, sql_strip, table, text_table
 
 _SQL_WORD = "[\\p{L}\\p{N}]+(?:[.''’][\\p{L}\\p{N}]+)*"
 
@@ -33,7 +33,7 @@ def _sql_tokens(c):
 
 def document_items(spark, sf_dir):
     """Documents as items: text, and language and source as tags."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.concat_ws(" ", "lang", "source").alias("name"),
         F.col("text").alias("content"),
@@ -116,7 +116,7 @@ WORDS_THREE_TERMS = [(0, 0, "the"), (0, 1, "of"), (1, 2, "en"), (2, 3, "src1")]
 
 @check("an_tokens", f"SELECT doc_id, CAST(len({_sql_tokens('text')}) AS INTEGER) AS n_tokens, array_to_string({_sql_tokens('text')}, ' ') AS tokens FROM documents")
 def an_tokens(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))
+    words = text_table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))
     return words.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -260,7 +260,7 @@ def out_title(spark, sf_dir):
 
 @check("out_shorten", f"SELECT doc_id, {_sql_shorten('text')} AS title FROM documents")
 def out_shorten(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", shorten("text").alias("title"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", shorten("text").alias("title"))
 
 
 _SQL_DOCUMENT_TITLES = _sql_title(

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.values import col, let
 from ..schema import ITEM_ARRAYS
+from ..session import work_folder
 
-# Words: letters and digits, joined by single dots or apostrophes inside.
-WORD = r"[\p{L}\p{N}]+(?:[.'’][\p{L}\p{N}]+)*"
+# Words: letters and digits, joined by single dots or apostrophes inside. Possessive
+# repetition: a word is never given back once read.
+WORD = r"[\p{L}\p{N}]++(?:[.'’][\p{L}\p{N}]++)*+"
 
 # Every text field of an item; dates are no text.
 TEXT_FIELDS = [
@@ -121,13 +123,17 @@ def write_index(items: DataFrame, path, fields=None, stems: DataFrame = None):
 
     Postings are sorted by (term, url) over the whole table: a search reads only the
     row groups whose term range fits, and a term found in a third of all documents
-    spreads over many files because the URL is part of the range. Statistics come
-    from the stored postings, so texts are tokenised once.
+    spreads over many files because the URL is part of the range. Finding the ranges
+    takes a sample, so unsorted postings go to the work folder first: texts are
+    tokenised once, and the sample reads two columns.
     """
     spark = items.sparkSession
+    staged = work_folder(spark, "postings")
     postings = _marked_postings(items, fields)
     if stems is not None:
         postings = stem_postings(postings, stems)
+    postings.write.parquet(staged)
+    postings = spark.read.parquet(staged)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         postings.repartitionByRange(parts, "term", "url")

@@ -1,0 +1,14 @@
+"""Reading plain tables."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_texts(spark: SparkSession, path) -> DataFrame:
+    """A parquet table whose rows take much work each, such as long texts.
+
+    A small table may sit in fewer row groups than there are cores, which then idle:
+    it is spread over them. A large one comes in more splits and is left alone.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
