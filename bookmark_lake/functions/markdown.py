@@ -49,12 +49,13 @@ _INLINE = [
     (r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", "<code>$2</code>"),
     (r"!\[([^\]]*)\]\(\s*<?([^)\s>]*)>?[^)]*\)", '<img alt="$1" src="$2">'),
     (r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*<?([^)\s>]*)>?(?:\s+[^)]*)?\)", '<a href="$2">$1</a>'),
-    (r"<((?:https?|ftp)://[^\s>]+)>", '<a href="$1">$1</a>'),
-    (r"<([^\s@<>:/]+@[^\s@<>]+\.[^\s@<>]+)>", '<a href="mailto:$1">$1</a>'),
     (rf"\*\*(?=\S)([^*]+?)(?<=\S)\*\*{_OUTSIDE_TAG}", "<strong>$1</strong>"),
     (rf"(?<![\w_])__(?=\S)([^_]+?)(?<=\S)__(?![\w_]){_OUTSIDE_TAG}", "<strong>$1</strong>"),
     (rf"\*(?=[^\s*])([^*\n]+?)(?<=\S)\*{_OUTSIDE_TAG}", "<em>$1</em>"),
     (rf"(?<![\w_])_(?=[^\s_])([^_\n]+?)(?<=\S)_(?![\w_]){_OUTSIDE_TAG}", "<em>$1</em>"),
+    # Last, so that marks inside a bare address stay part of it.
+    (r"<((?:https?|ftp)://[^\s>]+)>", '<a href="$1">$1</a>'),
+    (r"<([^\s@<>:/]+@[^\s@<>]+\.[^\s@<>]+)>", '<a href="mailto:$1">$1</a>'),
 ]
 # A backslash takes the meaning from a mark; as a character reference it stays text.
 _ESCAPES = [(rf"\\\{mark}", f"&#{ord(mark)};") for mark in "\\`*_{}[]()#+.!-"]

@@ -126,6 +126,9 @@ def score_hits(index: Index, terms, fields=None) -> DataFrame:
     if literal is not None:
         # All three small sides are bounded by the literal terms and the fields.
         postings = postings.filter(F.col("term").isin(literal))
+        if "term_len" in stats.columns:
+            # The stored statistics are sorted by length first.
+            stats = stats.filter(F.col("term_len").isin(sorted({len(t) for t in literal})))
         stats = stats.filter(F.col("term").isin(literal))
         matched, stats = F.broadcast(matched), F.broadcast(stats.select("term", "field", "df"))
     score = F.col("boost") * bm25(
