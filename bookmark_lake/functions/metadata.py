@@ -12,7 +12,7 @@ from .dates import parse_date
 from .tags import normalise_tag, tag_list, tag_set
 from .text import decode_entities
 from .urls import base_url, url_equal
-from .values import col, let, non_empty
+from .values import col, let, non_empty, reusable
 
 # Vocabularies behind the usual prefixes of <meta property="…">.
 PREFIXES = {
@@ -127,6 +127,7 @@ def rdfa(html) -> Column:
     return let(_without_comments(html), _rdfa_pairs)
 
 
+@reusable
 def extract_metadata(html) -> Column:
     """METADATA of a page."""
     no_map = F.lit(None).cast("map<string,variant>")
@@ -271,11 +272,13 @@ def published_date(metadata, url) -> Column:
     return F.get(F.array_compact(parsed), F.lit(0))
 
 
+@reusable
 def article_tags(metadata) -> Column:
     m = col(metadata)
     return F.when(~F.coalesce(m["broken"], F.lit(False)), tag_set(metadata_tags(m)))
 
 
+@reusable
 def article_published_date(metadata, html, url) -> Column:
     m = col(metadata)
     return F.when(

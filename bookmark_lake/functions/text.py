@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .urls import base_parts, base_url, is_web_link, join_to
-from .values import SPACE, col, is_github_html, let, mime_type, strip
+from .values import SPACE, col, is_github_html, let, mime_type, reusable, strip
 
 # Fixed value: longest text kept per page, in characters.
 MAX_TEXT_CHARS = 10_485_760
@@ -123,6 +123,7 @@ def _bordered_text(body) -> Column:
     return F.when(scripted, _by_piece(body)).otherwise(simple)
 
 
+@reusable
 def text_nodes(html, separator="\n") -> Column:
     """Text nodes under <body>, each stripped, joined by ``separator``, then stripped.
 
@@ -133,6 +134,7 @@ def text_nodes(html, separator="\n") -> Column:
     return strip(F.regexp_replace(bordered, rf"{SPACE}*{_BORDER}{SPACE}*", separator))
 
 
+@reusable
 def title(html) -> Column:
     """Text of the head's title elements, stripped pieces joined by a space."""
     head = F.regexp_replace(col(html), r"(?is)<body(?:\s[^>]*)?>.*\z", "")
@@ -165,11 +167,13 @@ def is_text(headers) -> Column:
     return mime.isNull() | (mime == "") | mime.startswith("text/") | mime.isin(_TEXT_TYPES)
 
 
+@reusable
 def page_title(headers, body) -> Column:
     headers, body = col(headers), col(body)
     return F.when(is_html(headers, body), title(body))
 
 
+@reusable
 def page_text(headers, body) -> Column:
     """Readable text of a response: HTML text nodes, other text as it stands, else NULL."""
     headers, body = col(headers), col(body)
@@ -177,6 +181,7 @@ def page_text(headers, body) -> Column:
     return cap_text(text)
 
 
+@reusable
 def page_html(headers, body) -> Column:
     headers, body = col(headers), col(body)
     return F.when(is_html(headers, body), body)
@@ -202,6 +207,7 @@ def links_of(html, base) -> Column:
     return F.filter(resolved, is_web_link)
 
 
+@reusable
 def html_links(html, url) -> Column:
     """Links of a page, relative ones resolved against its base URL."""
     return links_of(html, base_url(html, url))

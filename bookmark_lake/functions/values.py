@@ -1,5 +1,8 @@
 """Small building blocks: white space, empties, maps, headers."""
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,30 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_built = {}
+
+
+def reusable(build):
+    """Build an expression over named columns once per application.
+
+    A column by name is not bound to any table, so it can be used again. Large
+    expressions take thousands of calls from Python to the driver; without this,
+    every micro-batch of a stream would repeat them.
+    """
+
+    @wraps(build)
+    def reuse(*args, **kwargs):
+        if any(isinstance(a, Column) or callable(a) for a in (*args, *kwargs.values())):
+            return build(*args, **kwargs)
+        application = SparkContext.getOrCreate().applicationId
+        key = (application, build.__module__, build.__name__, args, tuple(kwargs.items()))
+        if key not in _built:
+            _built[key] = build(*args, **kwargs)
+        return _built[key]
+
+    return reuse
+
+
 def let(value, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(col(value)), lambda v: use(v)), F.lit(0))
