@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, metadata, text, urls
 from ..operators.enrich import enrich
-from ..schema import FRAGMENT
 from ..sources.responses import fragments
-from .registry import SPACE, check, joined, sql_strip, table, text_table
+from .registry import check, joined, sql_strip, table, text_table
 
 # Text nodes of the given pages; they hold no scripts in the body, no quoted ">" and
 # four kinds of character references.

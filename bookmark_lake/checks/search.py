@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators.index import (
-    Index,
     build_postings,
     field_stats,
     read_index,
@@ -13,16 +12,9 @@ from ..operators.index import (
     write_index,
 )
 from ..operators.present import display_title, display_value, present, shorten
-from ..operators.search import (
-    expand_fuzzy,
-    score_hits,
-    search,
-    top_hits,
-    total_hits,
-    with_standout,
-)
+from ..operators.search import score_hits, search, top_hits, total_hits
 from ..session import work_folder
-from .registry import SPACE, check, sql_strip, table, text_table
+from .registry import check, sql_strip, table, text_table
 
 _SQL_WORD = "[\\p{L}\\p{N}]+(?:[.''’][\\p{L}\\p{N}]+)*"
 

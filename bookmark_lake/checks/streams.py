@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators.merge import read_items
-from ..schema import FRAGMENT, REQUEST
+from ..schema import FRAGMENT
 from ..session import work_folder
 from ..streaming.ingest import stream_fragments, stream_frontier, stream_ingest
 from .registry import check, joined, table
-from .sources import tweet_responses, POST_URL_A, POST_URL_B
-from .tables import SQL_MERGED_EVENTS, EVENT_SOURCE, EVENT_URL, event_fragments, event_requests, flat_items
+from .sources import POST_URL_A, POST_URL_B, tweet_responses
+from .tables import EVENT_SOURCE, EVENT_URL, SQL_MERGED_EVENTS, event_fragments, event_requests, flat_items
 
 FILES = 6
 
