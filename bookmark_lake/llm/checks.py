@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import wu_manber
+from . import bloom_cascade, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -22,6 +22,28 @@ def table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+
+
+@check(
+    "op3_bloom_cascade",
+    f"""
+    WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages),
+    r AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+    SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+    """,
+)
+def op3(spark, sf_dir):
+    rules = spark.createDataFrame(_RULES, "host string, path string, action string")
+    return bloom_cascade.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
+
+
 _WORD10 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
