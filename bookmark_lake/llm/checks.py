@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, wu_manber
+from . import bloom_cascade, lempel_ziv, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -44,6 +44,29 @@ def op3(spark, sf_dir):
     return bloom_cascade.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
 
 
+@check(
+    "op8_lempel_ziv",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+    h AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM g),
+    dup AS (SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM h) WHERE r > 1),
+    hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM dup),
+    w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept
+          FROM w ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    left = lempel_ziv.remove_factors(docs, keep=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORD10 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
