@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, lempel_ziv, wu_manber
+from . import bloom_cascade, lempel_ziv, merkle, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -67,6 +67,44 @@ def op8(spark, sf_dir):
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@check(
+    "op9_merkle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+    o AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt FROM d
+          WINDOW w AS (ORDER BY doc_id NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    e AS (SELECT doc_id, n, text, nxt, left(text, n - n // 2) || left(nxt, n // 2) AS edited FROM o),
+    t AS (SELECT doc_id, 'own' AS k, text AS t FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e
+          UNION ALL SELECT doc_id, 'next', nxt FROM e),
+    l AS (SELECT doc_id, k, list_transform(string_split(t, chr(10) || chr(10)), lambda s:
+            list_transform(string_split(s, chr(10)), lambda p:
+              list_transform(string_split(p, '. '), lambda x, i:
+                sha256('l' || x || CASE WHEN i < len(string_split(p, '. ')) THEN '. ' ELSE '' END)))) AS tree FROM t),
+    p AS (SELECT doc_id, k, tree, list_transform(tree, lambda s: list_transform(s, lambda q:
+            {'d': sha256('p' || array_to_string(q, '')), 'l': q})) AS ps FROM l),
+    r AS (SELECT doc_id, k, tree, list_transform(ps, lambda s:
+            {'d': sha256('s' || array_to_string(list_transform(s, lambda q: q.d), '')), 'p': s}) AS ss FROM p),
+    f AS (SELECT doc_id, k, list_distinct(list_transform(flatten(flatten(tree)), lambda x: x[1:12])) AS leaves,
+            sha256('r' || array_to_string(list_transform(ss, lambda s: s.d), '')) || '/' ||
+            array_to_string(list_transform(ss, lambda s: s.d[1:12] || ':' ||
+              array_to_string(list_transform(s.p, lambda q: q.d[1:12] || '=' ||
+                array_to_string(list_transform(q.l, lambda x: x[1:12]), '.')), ',')), ';') AS print FROM r),
+    m AS (SELECT a.doc_id, a.print AS fingerprint, b.print AS edited_fingerprint,
+            CASE WHEN a.print[1:64] = b.print[1:64] THEN 1.0 ELSE
+              len(list_intersect(a.leaves, b.leaves)) / greatest(len(a.leaves), len(b.leaves)) END AS near_edited,
+            CASE WHEN a.print[1:64] = c.print[1:64] THEN 1.0 ELSE
+              len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves), len(c.leaves)) END AS near_next
+          FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.k = 'own' AND b.k = 'edited'
+          JOIN f c ON a.doc_id = c.doc_id AND c.k = 'next')
+    SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+           CAST(near_edited AS DOUBLE) AS near_edited, CAST(near_next AS DOUBLE) AS near_next
+    FROM e JOIN m USING (doc_id)
+    """,
+)
+def op9(spark, sf_dir):
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 _WORD10 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
