@@ -157,31 +157,49 @@ def shard_of(hashes, shards):
 BLOCKS = "shard int, block binary"
 
 
-def blocks(key, shards, *columns):
-    """One record batch with a packed block for each shard of ``key``; columns are arrays by row."""
+def block_rows(pairs):
+    """The record batch of (shard, bytes) pairs, if there are any."""
+    pairs = list(pairs)
+    if pairs:
+        ids, packed = zip(*pairs, strict=True)
+        arrays = [pa.array(np.array(ids, np.int32)), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block"])
+
+
+def pack(kind, key, columns, shards):
+    """(shard, bytes) of rows dealt by ``key``: kind and count, then column by column.
+
+    A column is an array, or a function that gives the bytes of the chosen rows.
+    """
     shard = shard_of(key, shards)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    columns = [np.ascontiguousarray(c[order]) for c in (key, *columns)]
-    full = np.flatnonzero(cut[1:] > cut[:-1])
-    packed = [b"".join(c[cut[s] : cut[s + 1]].tobytes() for c in columns) for s in full]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "block"]
-    )
-
-
-def unpack(table, *kinds):
-    """The columns of all blocks of a shard, the key first."""
-    kinds = [np.dtype(k) for k in (U64, *kinds)]
-    size = sum(k.itemsize for k in kinds)
-    parts = [[] for _ in kinds]
+    bound = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(bound[1:] > bound[:-1]):
+        own = order[bound[s] : bound[s + 1]]
+        head = np.array([kind, len(own)], np.int64)
+        yield s, b"".join([head.tobytes(), *(c(own) if callable(c) else c[own].tobytes() for c in columns)])
+
+
+def unpack(table, **kinds):
+    """For each kind of block of a shard: its columns, and what follows them, as arrays.
+
+    ``kinds`` gives the column types by name, in the order of the blocks' kind numbers.
+    """
+    types = list(kinds.values())
+    columns = [[[np.zeros(0, t)] for t in own] for own in types]
+    rest = [[np.zeros(0, np.uint8)] for _ in types]
     for block in table.column("block"):
         raw = block.as_buffer()
-        n, at = len(raw) // size, 0
-        for part, kind in zip(parts, kinds, strict=True):
-            part.append(np.frombuffer(raw, kind, n, at))
-            at += n * kind.itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+        kind, n = np.frombuffer(raw, np.int64, 2)
+        at = 16
+        for column in columns[kind]:
+            column.append(np.frombuffer(raw, column[0].dtype, n, at))
+            at += column[-1].nbytes
+        rest[kind].append(np.frombuffer(raw, np.uint8, offset=at))
+    return {
+        name: ([np.concatenate(c) for c in own], np.concatenate(tail))
+        for name, own, tail in zip(kinds, columns, rest, strict=True)
+    }
 
 
 def runs(ordered):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, lempel_ziv, merkle, wu_manber
+from . import bloom_cascade, lempel_ziv, merkle, suffix_array, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -40,10 +40,35 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     """,
 )
 def op3(spark, sf_dir):
-    rules = spark.createDataFrame(_RULES, "host string, path string, action string")
+    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, ("host", "path", "action"), strict=True))) for r in _RULES))
+    rules = spark.range(1).select(F.inline(rows))
     return bloom_cascade.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
 
 
+@check(
+    "op7_suffix_array",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    b AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d),
+    w AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 2] AS byte,
+            CASE WHEN 2 * i + 800 <= len(h) THEN md5(substring(h, 2 * i + 1, 800)) END AS win FROM b),
+    c AS (SELECT doc_id, i, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM w),
+    g AS (SELECT doc_id, i, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i
+            ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM c),
+    e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+    k AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(begins) AS n_spans,
+            string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    left = suffix_array.remove_repeats(docs, keep=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @check(
     "op8_lempel_ziv",
     r"""

@@ -30,16 +30,18 @@ from .arrays import (
     SPACED,
     U64,
     Hashes,
+    block_rows,
     counts_of,
     expand,
     fields,
     map_texts,
     mix,
+    pack,
     runs,
     shard_count,
-    shard_of,
     slices,
     text_bytes,
+    unpack,
     words,
 )
 
@@ -109,17 +111,6 @@ def _firsts(key):
     return first
 
 
-def _packed(kind, key, columns, shards):
-    """(shard, block) of rows dealt by ``key``; a column may be a function of the chosen rows."""
-    shard = shard_of(key, shards)
-    order = np.argsort(shard, kind="stable")
-    bound = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(bound[1:] > bound[:-1]):
-        own = order[bound[s] : bound[s + 1]]
-        head = np.array([kind, len(own)], np.int64)
-        yield s, b"".join(c(own).tobytes() if callable(c) else c[own].tobytes() for c in (lambda _: head, *columns))
-
-
 def _portion(parts, shards, size):
     """Blocks of a portion of texts: its own factors, and the index of its first windows."""
     parts = [p for p in parts if p is not None]
@@ -148,27 +139,17 @@ def _portion(parts, shards, size):
     head = new[begin]
     tails = np.ascontiguousarray(whole[new]).view(np.uint8).reshape(-1, 8)[:, :TAIL]
     columns = (key[head], doc[head], start[head], length.astype(np.uint16))
-    yield from _packed(_FACTORED, mix(own[0].astype(U64)), own, shards)
-    yield from _packed(_INDEXED, key[head], (*columns, lambda i: tails[expand(begin[i], length[i])]), shards)
+    yield from pack(_FACTORED, mix(own[0].astype(U64)), own, shards)
+    yield from pack(_INDEXED, key[head], (*columns, lambda i: tails[expand(begin[i], length[i])].tobytes()), shards)
 
 
 def _factor_block(table, size):
     """Factors of one shard: those found before, and windows that an earlier entry of the index has too."""
-    done = [[np.zeros(0, k)] for k in _KINDS]
-    index = [[np.zeros(0, k)] for k in (U64, np.int64, np.int32, np.uint16)]
-    tails = [np.zeros((0, TAIL), np.uint8)]
-    for block in table.column("block"):
-        raw = block.as_buffer()
-        kind, n = np.frombuffer(raw, np.int64, 2)
-        at = 16
-        for column in done if kind == _FACTORED else index:
-            column.append(np.frombuffer(raw, column[0].dtype, n, at))
-            at += column[-1].nbytes
-        if kind == _INDEXED:
-            tails.append(np.frombuffer(raw, np.uint8, offset=at).reshape(-1, TAIL))
-    key, doc, start, length = map(np.concatenate, index)
+    got = unpack(table, factored=_KINDS, indexed=(U64, np.int64, np.int32, np.uint16))
+    done, _ = got["factored"]
+    (key, doc, start, length), tails = got["indexed"]
     length = length.astype(np.int64)
-    tail, tail_at = np.concatenate(tails), np.cumsum(length) - length
+    tail, tail_at = tails.reshape(-1, TAIL), np.cumsum(length) - length
     # an entry whose anchor no other entry has is new text
     order = np.argsort(key, kind="stable")
     begin, count = runs(key[order])
@@ -185,7 +166,7 @@ def _factor_block(table, size):
     again = np.flatnonzero((doc[first] != doc) | (start[first] != start))
     source = first[again]
     found = _factors(doc[again], start[again], doc[source], start[source], size)
-    columns = [pa.array(np.concatenate((*d, f))) for d, f in zip(done, found, strict=True)]
+    columns = [pa.array(np.concatenate((d, f))) for d, f in zip(done, found, strict=True)]
     return pa.Table.from_arrays(columns, names=["doc_id", "start", "size", "source_doc", "source_start"])
 
 
@@ -200,10 +181,7 @@ def factors(docs: DataFrame, size=20) -> DataFrame:
 
     def parse(batches):
         def packed(parts):
-            made = list(zip(*_portion(parts, shards, size), strict=True))
-            if made:
-                arrays = [pa.array(np.array(made[0], np.int32)), pa.array(made[1], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block"])
+            yield from block_rows(_portion(parts, shards, size))
 
         parts, held = [], 0
         for part in slices(batches):

@@ -127,7 +127,10 @@ def with_next(docs: DataFrame, buckets: int, value="text") -> DataFrame:
     firsts = rows.groupBy("bucket").agg(F.min("place").alias("place")).collect()  # a row for each bucket at most
     firsts = sorted((r["bucket"], r["place"]) for r in firsts)
     follows = [(b, *firsts[(i + 1) % len(firsts)]) for i, (b, _) in enumerate(firsts)]
-    follows = docs.sparkSession.createDataFrame(follows, "before int, bucket int, place long")
+    listed = F.lit("|".join(",".join(map(str, f)) for f in follows))
+    kinds = (("before", "int"), ("bucket", "int"), ("place", "long"))
+    follows = docs.sparkSession.range(1 if follows else 0).select(F.explode(F.split(listed, r"\|")).alias("follow"))
+    follows = follows.select(*(F.split("follow", ",")[i].cast(t).alias(n) for i, (n, t) in enumerate(kinds)))
     # the first row after a bucket is its guest: it closes the bucket's window and then goes
     guests = rows.join(F.broadcast(follows), ["bucket", "place"])
     guests = guests.groupBy(F.col("before").alias("bucket")).agg(F.min(value).alias(value))
