@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, lempel_ziv, merkle, suffix_array, wu_manber
+from . import bloom_cascade, jaccard_join, lempel_ziv, merkle, suffix_array, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -22,6 +22,9 @@ def table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+_WORD10 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -45,6 +48,27 @@ def op3(spark, sf_dir):
     return bloom_cascade.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
 
 
+@check(
+    "op5_jaccard_join",
+    rf"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({{_FOLD}}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM g),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (sh)
+          WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id FROM d LEFT JOIN n USING (doc_id)
+    JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)
+    """.replace("{_FOLD}", _FOLD),
+)
+def op5(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @check(
     "op7_suffix_array",
     """
@@ -130,10 +154,6 @@ def op9(spark, sf_dir):
     return merkle.fingerprint_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-_WORD10 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 @check(
     "op10_wu_manber",
     f"""
