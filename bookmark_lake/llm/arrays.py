@@ -202,6 +202,25 @@ def unpack(table, **kinds):
     }
 
 
+class Lookup:
+    """Places of 64-bit keys in a sorted array, by a bitmap before the search."""
+
+    def __init__(self, keys):
+        self.keys = keys
+        self.mask = U64((1 << 22) - 1)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(keys & self.mask).astype(np.int64)] = True
+
+    def find(self, keys):
+        """The place of each key, or -1."""
+        found = np.full(len(keys), -1, np.int64)
+        maybe = np.flatnonzero(self.bits[(keys & self.mask).astype(np.int64)])
+        if len(maybe):
+            slot = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+            found[maybe] = np.where(self.keys[slot] == keys[maybe], slot, -1)
+        return found
+
+
 def runs(ordered):
     """(start, size) of the runs of equal values in a sorted array."""
     if not len(ordered):

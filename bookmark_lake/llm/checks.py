@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, jaccard_join, lempel_ziv, merkle, suffix_array, wu_manber
+from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, suffix_array, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -29,6 +29,14 @@ _RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+@check("op2_language")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    model = language.train(docs.filter(~out).select("text", "lang"))
+    return language.identify(docs, model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @check(
     "op3_bloom_cascade",
     f"""

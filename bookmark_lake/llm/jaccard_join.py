@@ -32,6 +32,7 @@ from .arrays import (
     SPACED,
     U64,
     Hashes,
+    Lookup,
     block_rows,
     counts_of,
     map_texts,
@@ -149,23 +150,6 @@ def _sizes(docs, size):
     return docs.mapInArrow(run, "kind int, doc_id long, n long, id long")
 
 
-class Frequent:
-    """Membership in the frequent shingles, by a bitmap before the search."""
-
-    def __init__(self, codes):
-        self.codes = np.sort(codes)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.codes & U64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def has(self, code):
-        found = self.bits[(code & U64((1 << 22) - 1)).astype(np.int64)]
-        maybe = np.flatnonzero(found)
-        if len(maybe):
-            slot = np.minimum(np.searchsorted(self.codes, code[maybe]), len(self.codes) - 1)
-            found[maybe] = self.codes[slot] == code[maybe]
-        return found
-
-
 def subset_sizes(n, boundary, rule):
     """(smaller, larger, shared) for each size of partner within the boundary."""
     return [(min(n, m), max(n, m), rule.least(n, m)) for m in rule.partners(n) if m <= boundary and rule.least(n, m) <= n]
@@ -191,8 +175,7 @@ def _entries(docs, shards, frequent, boundary, rule, size):
 
     def run(batches):
         def packed(held):
-            ids, code, rare = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
-            n = np.concatenate([h[2] for h in held])
+            ids, code, n = (np.concatenate(c) for c in zip(*held, strict=True))
             place = np.cumsum(n) - n
             _, first = np.unique(ids, return_index=True)
             first = first[n[first] > 0]
@@ -221,9 +204,9 @@ def _entries(docs, shards, frequent, boundary, rule, size):
         for part in slices(batches):
             row, code = shingle_sets(part.column("text"), size)
             ids = set_ids(row, code, part.num_rows)
-            late = frequent.value.has(code)
+            late = frequent.value.find(code) >= 0
             order = np.lexsort((code, late, row)) if late.any() else slice(None)
-            held.append((ids, code[order], counts_of(row, part.num_rows), late[order]))
+            held.append((ids, code[order], counts_of(row, part.num_rows)))
             n_held += len(code)
             if n_held >= PORTION:
                 yield from packed(held)
@@ -400,7 +383,7 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     often = sizes.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") >= max(8, n_rows * FREQUENT_SHARE)).orderBy(F.desc("n"), "id").limit(FREQUENT_MOST)
     often = np.array([r["id"] for r in often.select("id").collect()], np.int64).view(U64)
-    frequent = spark.sparkContext.broadcast(Frequent(often))
+    frequent = spark.sparkContext.broadcast(Lookup(np.sort(often)))
 
     blocks = _entries(docs, shards, frequent, boundary, rule, size)
     found = blocks.groupBy("shard").applyInArrow(lambda table: _scan(table, boundary, rule), FOUND)
@@ -426,7 +409,8 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
 
     apart = labelled(labelled(pairs.join(best, ["x", "y"], "left_anti"), "x"), "y")
     apart = apart.filter("x_label != y_label").select("x", "y")
-    lists = labelled(long, "id").select(F.pmod("token", F.lit(shards)).alias("shard"), "token", "id", "n", "pos", F.col("id_label").alias("label"))  # noqa: E501
+    lists = labelled(long, "id").withColumnRenamed("id_label", "label")
+    lists = lists.withColumn("shard", F.pmod("token", F.lit(shards)))
     across = lists.groupBy("shard").applyInArrow(lambda table: _across(table, boundary, rule), "x long, y long")
     rest = stored(apart.unionByName(across).distinct(), "jaccard_rest")
     more = stored(_verified(rest, texts, rule, size), "jaccard_links")
