@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, suffix_array, wu_manber
+from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, quality, suffix_array, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -29,6 +29,15 @@ _RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+@check("op1_quality")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = language.held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(~out)
+    scored = quality.classify(docs, quality.train(docs, labels), keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @check("op2_language")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
