@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, quality, suffix_array, wu_manber
+from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, pieces, quality, suffix_array, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -86,6 +86,19 @@ def op5(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@check("op6_pieces")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    decoded = pieces.decode(pieces.encode(docs))
+    return decoded.select(
+        "doc_id",
+        "n_pieces",
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 @check(
     "op7_suffix_array",
     """
