@@ -97,7 +97,12 @@ def words(data, offsets, table):
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate((inside[1:], [False])) if len(data) else inside
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    return start, end, rows_of(start, offsets)
+
+
+def rows_of(places, offsets):
+    """The row of each of the ascending places."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(places, offsets)))
 
 
 def counts_of(row, n):
@@ -203,21 +208,27 @@ def unpack(table, **kinds):
 
 
 class Lookup:
-    """Places of 64-bit keys in a sorted array, by a bitmap before the search."""
+    """Places of 64-bit keys in a sorted array: a table by their first bits, then the few keys there."""
+
+    BITS = 20
 
     def __init__(self, keys):
         self.keys = keys
-        self.mask = U64((1 << 22) - 1)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(keys & self.mask).astype(np.int64)] = True
+        self.first = np.searchsorted(keys >> U64(64 - self.BITS), np.arange((1 << self.BITS) + 1)).astype(np.int32)
 
     def find(self, keys):
         """The place of each key, or -1."""
         found = np.full(len(keys), -1, np.int64)
-        maybe = np.flatnonzero(self.bits[(keys & self.mask).astype(np.int64)])
-        if len(maybe):
-            slot = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-            found[maybe] = np.where(self.keys[slot] == keys[maybe], slot, -1)
+        bucket = (keys >> U64(64 - self.BITS)).astype(np.int64)
+        at, stop = self.first[bucket], self.first[bucket + 1]
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            here = at[live]
+            same = self.keys[here] == keys[live]
+            found[live[same]] = here[same]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < stop[live]]
         return found
 
 

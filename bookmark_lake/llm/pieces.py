@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, U64, Hashes, Lookup, expand, fields, map_texts, mix, runs, text_bytes
+from .arrays import BYTE_CODE, U64, Hashes, Lookup, expand, fields, map_texts, mix, rows_of, runs, text_bytes
 
 #: The vocabulary file; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -55,13 +55,22 @@ class Vocabulary:
         self.lengths = np.unique(sizes)
         data = np.frombuffer(b"".join(self.bytes[i] for i in normal), np.uint8)
         end = np.cumsum(sizes)
-        key = Hashes(BYTE_CODE[data]).of(end - sizes, end)
+        key = _plain_hash(Hashes(BYTE_CODE[data]), end - sizes, sizes)
         order = np.argsort(key)
         self.table, self.ids = Lookup(key[order]), np.array(normal)[order]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(key >> U64(44)).astype(np.int64)] = True
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.size = np.array([len(b) for b in self.bytes])
         self.start = np.cumsum(self.size) - self.size
 
+    def find(self, key):
+        """The place of each hash among the pieces, or -1; a small bitmap tells most misses."""
+        found = np.full(len(key), -1, np.int64)
+        maybe = np.flatnonzero(self.bits[(key >> U64(44)).astype(np.int64)])
+        found[maybe] = self.table.find(key[maybe])
+        return found
+
 
 def _units(data, offsets):
     """(start, end, row) of the units of texts, each of which begins with a space."""
@@ -72,34 +81,39 @@ def _units(data, offsets):
     cut[1:-1] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
     start = np.flatnonzero(cut[:-1])
     end = np.concatenate((start[1:], [len(data)])) if len(start) else start
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    return start, end, rows_of(start, offsets)
+
+
+def _plain_hash(chain, at, length):
+    return (chain.sum[at + length] - chain.sum[at]) * chain.inverse[at]
 
 
-def _edges(data, chain, start, end, vocabulary):
-    """(from, to, id) of all pieces that fit somewhere in the units."""
+def _edges(data, size, vocabulary):
+    """(from, to, id) of all pieces that fit somewhere in units of these sizes, one after another."""
+    chain = Hashes(BYTE_CODE[data])
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes to the unit's end
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    width = np.diff(np.concatenate((at, [len(data)])))
+    alone = np.zeros(len(data), bool)
     froms, tos, ids = [], [], []
-    size = end - start
     for length in vocabulary.lengths:
-        own = size >= length
-        if not own.any():
+        fit = left[at] >= length
+        at, width = at[fit], width[fit]
+        if not len(at):
             break
-        many = size[own] - length + 1
-        at = expand(start[own], many)
-        slot = vocabulary.table.find(chain.of(at, at + length))
-        at, slot = at[slot >= 0], slot[slot >= 0]
-        froms.append(at)
-        tos.append(at + length)
-        ids.append(vocabulary.ids[slot])
+        slot = vocabulary.find(_plain_hash(chain, at, length))
+        hit = slot >= 0
+        froms.append(at[hit])
+        tos.append(at[hit] + length)
+        ids.append(vocabulary.ids[slot[hit]])
+        alone[at[hit & (width == length)]] = True
     # bytes of characters that are no piece
-    place = expand(start, size)
-    byte = data[place]
-    lead = (byte & 0xC0) != 0x80
-    head = place[lead]
-    width = np.diff(np.concatenate((np.flatnonzero(lead), [len(place)])))
-    missing = np.repeat(vocabulary.table.find(chain.of(head, head + width)) < 0, width)
-    froms.append(place[missing])
-    tos.append(place[missing] + 1)
-    ids.append(vocabulary.byte_ids[byte[missing]])
+    head = np.flatnonzero(lead)
+    missing = np.flatnonzero(~np.repeat(alone[head], np.diff(np.concatenate((head, [len(data)])))))
+    froms.append(missing)
+    tos.append(missing + 1)
+    ids.append(vocabulary.byte_ids[data[missing]])
     return np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
 
 
@@ -133,42 +147,42 @@ def sample_ids(column, row_seed, vocabulary, sharpness):
     start, end, row = _units(data, offsets)
     spelling, first, back = np.unique(chain.of(start, end), return_index=True, return_inverse=True)
     # the distinct units one after another, with a node for each start and each end
-    u_start, u_end = start[first], end[first]
-    node = np.cumsum(u_end - u_start + 1) - (u_end - u_start + 1)
-    froms, tos, ids = _edges(data, chain, u_start, u_end, vocabulary)
-    by_start = np.argsort(u_start)
-    unit = by_start[np.searchsorted(u_start[by_start], froms, "right") - 1]
-    shift = node[unit] - u_start[unit]
-    froms, tos, base = froms + shift, tos + shift, node[unit]
-    order = np.lexsort((tos, tos - base))
+    size = (end - start)[first]
+    units = data[expand(start[first], size)]
+    node = np.cumsum(size + 1) - (size + 1)
+    froms, tos, ids = _edges(units, size, vocabulary)
+    unit = np.repeat(np.arange(len(size)), size)[froms]
+    froms, tos, base = froms + unit, tos + unit, node[unit]
+    order = np.argsort(((tos - base) << 32) | tos)
     froms, tos, ids, base = froms[order], tos[order], ids[order], base[order]
-    n_nodes = int(node[-1] + u_end[-1] - u_start[-1] + 1) if len(node) else 0
+    n_nodes = int((size + 1).sum())
     weight = -sharpness * np.log(ids + 10.0)
     total = _forward(froms, tos, weight, base, n_nodes)
-    # for each node the shares of its last pieces, as one rising line over all nodes
-    order = np.argsort(tos, kind="stable")
-    froms, tos, ids, base = froms[order], tos[order], ids[order], base[order]
-    share = np.exp(total[froms] + weight[order] - total[tos])
+    # for each node the shares of its last pieces, largest first, as a rising line
+    share = np.exp(total[froms] + weight - total[tos])
+    order = np.argsort(tos - 0.5 * np.minimum(share, 1.0))
+    froms, tos, ids = froms[order], tos[order], ids[order]
     at, many = runs(tos)
-    line = np.cumsum(share)
-    line = line - np.repeat(line[at] - share[at], many) if len(at) else line
-    line = line / np.repeat(line[at + many - 1], many) if len(at) else line
-    slot_of = np.zeros(n_nodes + 1, np.int64)
-    slot_of[tos[at]] = np.arange(len(at))
-    rising = np.repeat(np.arange(len(at)), many) + np.minimum(line, 1.0)
-    last = at + many - 1
+    rising = np.cumsum(share[order])
+    rising -= np.repeat(rising[at] - share[order][at], many)
+    rising[at + many - 1] = 1.0
+    first_edge = np.zeros(n_nodes + 1, np.int64)
+    first_edge[tos[at]] = at
     # walk back from the end of every unit of every text
     total_units = np.bincount(row, minlength=n_rows)
     place = np.arange(len(row)) - (np.cumsum(total_units) - total_units)[row]
     seed = mix(row_seed[row] + place.astype(U64) * U64(0x9E3779B97F4A7C15))
-    who, here = np.arange(len(row)), (node + u_end - u_start)[back]
+    who, here = np.arange(len(row)), (node + size)[back]
     begin = node[back]
     picked_who, picked_at, picked_id = [], [], []
     while len(who):
         offset = (here - begin).astype(U64)
         u = (mix(seed + offset * U64(0xD1B54A32D192ED03)) >> U64(11)).astype(np.float64) * 2.0**-53
-        slot = slot_of[here]
-        edge = np.minimum(np.searchsorted(rising, slot + u, "right"), last[slot])
+        edge = first_edge[here]
+        beyond = np.flatnonzero(u >= rising[edge])
+        while len(beyond):
+            edge[beyond] += 1
+            beyond = beyond[u[beyond] >= rising[edge[beyond]]]
         here = froms[edge]
         picked_who.append(who)
         picked_at.append(here - begin)
@@ -178,7 +192,7 @@ def sample_ids(column, row_seed, vocabulary, sharpness):
     if not picked_who:
         return np.zeros(0, np.int32), np.zeros(n_rows, np.int64)
     who, at, ids = (np.concatenate(x) for x in (picked_who, picked_at, picked_id))
-    order = np.argsort(who * (1 << 32) + at, kind="stable")
+    order = np.argsort((who << 32) | at)
     return ids[order].astype(np.int32), np.bincount(row[who], minlength=n_rows)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, LOWER, U64, Hashes, counts_of, map_texts, mix, slices, text_bytes
+from .arrays import BYTE_CODE, LOWER, U64, Hashes, counts_of, map_texts, mix, rows_of, slices, text_bytes
 
 #: Buckets of words; the upper half is for words of capitals.
 BUCKETS = 1 << 15
@@ -57,7 +57,7 @@ def tokens(column):
     all_caps = (capitals[end] - capitals[start] == end - start) & (end - start > 1)
     bucket = Hashes(BYTE_CODE[LOWER[data]]).of(start, end) % U64(BUCKETS // 2)
     bucket = bucket.astype(np.int64) + all_caps * (BUCKETS // 2)
-    return bucket, np.searchsorted(offsets, start, "right") - 1
+    return bucket, rows_of(start, offsets)
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
