@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, pieces, quality, suffix_array, wu_manber
+from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, pieces, quality, secrets, suffix_array, wu_manber
 
 QUERIES = {}
 SQL = {}
@@ -65,6 +65,19 @@ def op3(spark, sf_dir):
     return bloom_cascade.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
 
 
+@check("op4_secrets")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select(
+        "doc_id",
+        *(secrets.count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
 @check(
     "op5_jaccard_join",
     rf"""
