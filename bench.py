@@ -21,7 +21,6 @@ from bookmark_lake.operators.search import search  # noqa: E402
 from bookmark_lake.plans.ingest import parse_responses, storable  # noqa: E402
 from bookmark_lake.session import local_session, work_folder  # noqa: E402
 from bookmark_lake.sources.responses import pages_as_responses  # noqa: E402
-from bookmark_lake.sources.tables import read_texts  # noqa: E402
 
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
@@ -32,8 +31,9 @@ def sink(df):
 
 def jobs(spark, sf_dir):
     index_path = work_folder(spark, "bench_index")
-    items = S.document_items(spark, sf_dir)
-    pages = read_texts(spark, f"{sf_dir}/pages.parquet")
+    items = S.document_items(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    # the given files are single row groups: dealt out here, as a table of many splits would be
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(spark.sparkContext.defaultParallelism)
 
     def page_items():
         responses = pages_as_responses(pages, "pocket", "pocket_page")

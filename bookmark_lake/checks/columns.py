@@ -12,6 +12,10 @@ URL_VARIANTS = {
     "spaced": ("concat(url, ' x')", "NULL"),
     "no_host": ("concat('page', cast(page_id AS string))", "NULL"),
     "empty": ("''", "NULL"),
+    "many_labels": (
+        "CASE WHEN page_id = 1 THEN concat('http://', repeat('a-', 250000), repeat('a.', 250000), 'b.com') ELSE url END",
+        "CASE WHEN page_id = 1 THEN 'http://' || repeat('a-', 250000) || repeat('a.', 250000) || 'b.com' ELSE url END",
+    ),
 }
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown, metadata, text, urls
 from ..operators.enrich import enrich
 from ..sources.responses import fragments
-from .registry import check, joined, sql_strip, table, text_table
+from .registry import check, joined, sql_strip, table
 
 # Text nodes of the given pages; they hold no scripts in the body, no quoted ">" and
 # four kinds of character references.
@@ -26,12 +26,12 @@ SQL_TITLE = sql_strip(_sql_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)
 
 @check("txt_nodes", f"SELECT page_id, {SQL_TEXT} AS content FROM pages")
 def txt_nodes(spark, sf_dir):
-    return text_table(spark, sf_dir, "pages").select("page_id", text.text_nodes("html").alias("content"))
+    return table(spark, sf_dir, "pages").select("page_id", text.text_nodes("html").alias("content"))
 
 
 @check("txt_title", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
 def txt_title(spark, sf_dir):
-    return text_table(spark, sf_dir, "pages").select("page_id", text.title("html").alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", text.title("html").alias("title"))
 
 
 @check(
@@ -49,7 +49,7 @@ def txt_body(spark, sf_dir):
         "named_struct('kind', 'image', 'headers', map('Content-Type', 'image/png')), "
         "named_struct('kind', 'untyped', 'headers', map('X-Other', 'y')))"
     )
-    pages = text_table(spark, sf_dir, "pages").select("page_id", "html", F.inline(kinds))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.inline(kinds))
     return pages.select(
         "page_id",
         "kind",
@@ -59,9 +59,10 @@ def txt_body(spark, sf_dir):
     )
 
 
-@check("txt_cap", "SELECT doc_id, substring(text, 1, 10485760) AS content FROM documents")
+@check("txt_cap", "SELECT doc_id, substring(text, 1, 500) AS content FROM documents")
 def txt_cap(spark, sf_dir):
-    return text_table(spark, sf_dir, "documents").select("doc_id", text.cap_text("text").alias("content"))
+    """A limit that most texts exceed."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.cap_text("text", 500).alias("content"))
 
 
 @check(
@@ -70,7 +71,7 @@ def txt_cap(spark, sf_dir):
 )
 def html_snippet_text(spark, sf_dir):
     snippet = F.regexp_replace("html", "(?s)^.*?(<body)", "$1")
-    return text_table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         "page_id", text.html_snippet_text(F.concat(F.lit("<html>"), snippet)).alias("content")
     )
 
@@ -87,7 +88,7 @@ _SQL_LINKS = (
 )
 def html_links(spark, sf_dir):
     links = text.html_links("html", "url")
-    return text_table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("n", "link"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("n", "link"))
 
 
 @check(
@@ -101,7 +102,7 @@ def url_base(spark, sf_dir):
 
     declared = F.expr("concat('<base target=\"_top\" href=\"https://base.example.com/', cast(page_id AS string), '/\">')")
     commented = F.lit('<!-- <base href="https://wrong.example.com/"> -->')
-    return text_table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         urls.base_url("html", "url").alias("base"),
         urls.base_url(with_head(declared), "url").alias("declared"),
@@ -121,10 +122,13 @@ MARKDOWN = (
 @check(
     "md_text",
     "SELECT p_partkey, p_name || '  Some ' || p_type || ' and ' || p_brand || ' text' || chr(10) || 'with code ' || p_size "
-    "|| '   one  ' || p_brand || '    quoted ' || p_type || '     f' AS content FROM part",
+    "|| '   one  ' || p_brand || '    quoted ' || p_type || '     f' AS content FROM part "
+    "UNION ALL SELECT -p_partkey, '[' || repeat(CAST(p_partkey AS VARCHAR), 1000000) FROM part WHERE p_partkey = 1",
 )
 def md_text(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", markdown.md_text(F.expr(MARKDOWN)).alias("content"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.expr(MARKDOWN).alias("raw"))
+    long = parts.filter("p_partkey = 1").select((-F.col("p_partkey")).alias("p_partkey"), F.concat(F.lit("["), F.repeat("p_partkey", 1_000_000)).alias("raw"))
+    return parts.unionByName(long).select("p_partkey", markdown.md_text("raw").alias("content"))
 
 
 @check(
@@ -187,11 +191,16 @@ SQL_RDFA_TAGS = f"'_' || {SQL_STATUS} || '|r_&_d'"
     "o_orderpriority = '5-LOW' AS broken, "
     "'http://ogp.me/ns#type=article|http://ogp.me/ns/article#tag=Tag: ' || o_orderstatus || '|http://ogp.me/ns#tags=R & D|"
     "http://ogp.me/ns/article#published_time=' || "
-    f"CASE WHEN o_orderstatus = 'F' THEN {SQL_DAY} || 'T01:02:03+01:00' ELSE 'soon' END AS rdfa FROM orders",
+    f"CASE WHEN o_orderstatus = 'F' THEN {SQL_DAY} || 'T01:02:03+01:00' ELSE 'soon' END AS rdfa FROM orders "
+    "UNION ALL SELECT -o_orderkey, 0, false, 'http://ogp.me/ns#x=' || repeat('a', 1000000) FROM orders WHERE o_orderkey = 1",
 )
 def md_extract(spark, sf_dir):
     pairs = F.transform("m.rdfa", lambda p: F.concat(p["key"], F.lit("="), p["value"]))
-    return _metadata(spark, sf_dir).select(
+    pages = metadata_pages(spark, sf_dir).select("o_orderkey", "html")
+    long = F.concat(F.lit("<meta property=og:x content="), F.repeat(F.lit("a"), 1_000_000), F.lit(">"))
+    long = pages.filter("o_orderkey = 1").select((-F.col("o_orderkey")).alias("o_orderkey"), long.alias("html"))
+    pages = pages.unionByName(long).withColumn("m", metadata.extract_metadata("html"))
+    return pages.select(
         "o_orderkey", F.size("m.json_ld").alias("n_json_ld"), F.col("m.broken").alias("broken"), joined(pairs).alias("rdfa")
     )
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..schema import ITEM_ARRAYS, ITEM_VALUES
-from ..sources.tables import read_texts
 
 QUERIES = {}
 SQL = {}
@@ -25,10 +24,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark, sf_dir, name):
-    return read_texts(spark, f"{sf_dir}/{name}.parquet")
-
-
 def joined(c):
     """Arrays as text, so that every engine compares them alike."""
     return F.array_join(c, "|")

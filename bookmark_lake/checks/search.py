@@ -14,7 +14,7 @@ from ..operators.index import (
 from ..operators.present import display_title, display_value, present, shorten
 from ..operators.search import score_hits, search, top_hits, total_hits
 from ..session import work_folder
-from .registry import check, sql_strip, table, text_table
+from .registry import check, sql_strip, table
 
 _SQL_WORD = "[\\p{L}\\p{N}]+(?:[.''’][\\p{L}\\p{N}]+)*"
 
@@ -25,7 +25,7 @@ def _sql_tokens(c):
 
 def document_items(spark, sf_dir):
     """Documents as items: text, and language and source as tags."""
-    return text_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.concat_ws(" ", "lang", "source").alias("name"),
         F.col("text").alias("content"),
@@ -108,7 +108,7 @@ WORDS_THREE_TERMS = [(0, 0, "the"), (0, 1, "of"), (1, 2, "en"), (2, 3, "src1")]
 
 @check("an_tokens", f"SELECT doc_id, CAST(len({_sql_tokens('text')}) AS INTEGER) AS n_tokens, array_to_string({_sql_tokens('text')}, ' ') AS tokens FROM documents")
 def an_tokens(spark, sf_dir):
-    words = text_table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))
+    words = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))
     return words.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -252,7 +252,7 @@ def out_title(spark, sf_dir):
 
 @check("out_shorten", f"SELECT doc_id, {_sql_shorten('text')} AS title FROM documents")
 def out_shorten(spark, sf_dir):
-    return text_table(spark, sf_dir, "documents").select("doc_id", shorten("text").alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", shorten("text").alias("title"))
 
 
 _SQL_DOCUMENT_TITLES = _sql_title(

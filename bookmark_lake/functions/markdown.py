@@ -13,8 +13,8 @@ from .values import col, let
 _LINES = [
     (r"\r\n?", "\n"),
     # Rules before list items: "* * *" is no item.
-    (r"(?m)^ {0,3}(?:\*[ \t]*){3,}$|^ {0,3}(?:-[ \t]*){3,}$|^ {0,3}(?:_[ \t]*){3,}$", "\n\n<hr>\n\n"),
-    (r"(?m)^(?![ \t]*[-*+#>])(.*\S.*)\n=+[ \t]*$", "\n\n<h1>$1</h1>\n\n"),
+    (r"(?m)^ {0,3}(?:(?:\*[ \t]*+){3,}+|(?:-[ \t]*+){3,}+|(?:_[ \t]*+){3,}+)$", "\n\n<hr>\n\n"),
+    (r"(?m)^(?![ \t]*[-*+#>])(?=.*\S)(.*+)\n=++[ \t]*+$", "\n\n<h1>$1</h1>\n\n"),
 ]
 _HEADINGS = [
     (rf"(?m)^#{{{n}}}[ \t]*([^#\n].*?)[ \t]*#*[ \t]*$", f"\n\n<h{n}>$1</h{n}>\n\n")
@@ -35,7 +35,7 @@ _BLOCKS = [
 # Whatever is left between blank lines is a paragraph, unless it starts a block.
 _PARAGRAPHS = [
     (r"\A\s+|\s+\z", ""),
-    (r"\n[ \t]*(?:\n[ \t]*)+", "\n\n"),
+    (r"\n[ \t]*+(?:\n[ \t]*+)++", "\n\n"),
     (
         r"(?s)(?:(?<=\n\n)|\A)(?!</?(?:h[1-6]|hr|ul|ol|li|p|blockquote|div|pre|table)\b)"
         r"(?=[^\n])(.+?)(?=\n\n|\z)",
@@ -48,7 +48,7 @@ _OUTSIDE_TAG = "(?![^<>]*>)"
 _INLINE = [
     (r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", "<code>$2</code>"),
     (r"!\[([^\]]*)\]\(\s*<?([^)\s>]*)>?[^)]*\)", '<img alt="$1" src="$2">'),
-    (r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*<?([^)\s>]*)>?(?:\s+[^)]*)?\)", '<a href="$2">$1</a>'),
+    (r"\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]\(\s*<?([^)\s>]*)>?(?:\s+[^)]*)?\)", '<a href="$2">$1</a>'),
     (rf"\*\*(?=\S)([^*]+?)(?<=\S)\*\*{_OUTSIDE_TAG}", "<strong>$1</strong>"),
     (rf"(?<![\w_])__(?=\S)([^_]+?)(?<=\S)__(?![\w_]){_OUTSIDE_TAG}", "<strong>$1</strong>"),
     (rf"\*(?=[^\s*])([^*\n]+?)(?<=\S)\*{_OUTSIDE_TAG}", "<em>$1</em>"),

@@ -40,7 +40,8 @@ _COMMENT = r"(?s)<!--.*?-->"
 _LD_JSON = (
     r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?application/ld\+json\b[^>]*>(.*?)</script\s*>"""
 )
-_META = r"""(?is)<meta\s((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+# Loops over groups are possessive here and below: the matcher then counts turns instead of recursing.
+_META = r"""(?is)<meta\s((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _ATTRIBUTE = r"""(?is)(?:\A|\s){}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 _PREFIX_ATTRIBUTE = r"""(?is)<(?:html|head|body)\b[^>]*?\sprefix\s*=\s*("[^"]*"|'[^']*')"""
 

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from .urls import base_parts, base_url, is_web_link, join_to
 from .values import SPACE, col, is_github_html, let, mime_type, reusable, strip
 
-# Fixed value: longest text kept per page, in characters.
-MAX_TEXT_CHARS = 10_485_760
-
-# Marks the border between two text nodes; cannot occur in a document.
+# Marks the border between two text nodes; taken out of a document before.
 _BORDER = "\x01"
 
 _RAW = r"<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>(.*?)(?:</(?:script|style)\s*>|\z)"
@@ -25,7 +22,7 @@ _RAW_RE = rf"(?is){_RAW}"
 _TAG_RE = rf"(?is){_TAG}"
 _RAW_OR_TAG_RE = rf"(?is){_RAW}|{_TAG}"
 
-_ENTITY_RE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_ENTITY_RE = r"&(#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]++);"
 
 _HTML_TYPES = ["text/html", "application/xhtml+xml", "application/vnd.wap.xhtml+xml"]
 _TEXT_TYPES = [
@@ -129,7 +126,8 @@ def text_nodes(html, separator="\n") -> Column:
 
     White-space-only nodes count, so they leave empty entries between separators.
     """
-    bordered = F.regexp_replace(let(_body(html), _bordered_text), f"{_BORDER}+", _BORDER)
+    plain = F.translate(col(html), _BORDER, "")
+    bordered = F.regexp_replace(let(_body(plain), _bordered_text), f"{_BORDER}+", _BORDER)
     bordered = F.regexp_replace(bordered, rf"\A{_BORDER}|{_BORDER}\z", "")
     return strip(F.regexp_replace(bordered, rf"{SPACE}*{_BORDER}{SPACE}*", separator))
 
@@ -143,8 +141,8 @@ def title(html) -> Column:
     return strip(F.array_join(F.transform(found, lambda t: strip(decode_entities(t))), " "))
 
 
-def cap_text(c, limit=MAX_TEXT_CHARS) -> Column:
-    """First ``limit`` characters: the stored text of a page is bounded."""
+def cap_text(c, limit) -> Column:
+    """First ``limit`` characters, where a caller wants a text bounded; nothing here does."""
     return F.substring(col(c), 1, limit)
 
 
@@ -177,8 +175,7 @@ def page_title(headers, body) -> Column:
 def page_text(headers, body) -> Column:
     """Readable text of a response: HTML text nodes, other text as it stands, else NULL."""
     headers, body = col(headers), col(body)
-    text = F.when(is_html(headers, body), text_nodes(body)).when(is_text(headers), body)
-    return cap_text(text)
+    return F.when(is_html(headers, body), text_nodes(body)).when(is_text(headers), body)
 
 
 @reusable

@@ -9,13 +9,14 @@ from .values import col, first_non_empty, let
 # address or a dotted host name whose last label has two or more letters;
 # optional port; path, query and fragment without white space.
 _ALNUM = r"[a-z0-9\x{a1}-\x{10ffff}]"
-_LABEL = rf"{_ALNUM}+(?:-+{_ALNUM}+)*"
+# Possessive loops: whatever follows a label or a row of labels can be no part of it.
+_LABEL = rf"{_ALNUM}++(?:-++{_ALNUM}++)*+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 VALID_URL = (
     r"(?i)\A(?:https?|ftp)://"
     r"(?:[^\s/?#@\[\]]+@)?"
     rf"(?:localhost|{_OCTET}(?:\.{_OCTET}){{3}}"
-    rf"|(?:{_LABEL}\.)+(?:xn--{_ALNUM}{{2,}}|[a-z\x{{a1}}-\x{{10ffff}}]{{2,}}))"
+    rf"|(?:{_LABEL}\.)++(?:xn--{_ALNUM}{{2,}}|[a-z\x{{a1}}-\x{{10ffff}}]{{2,}}))"
     r"(?::[0-9]{2,5})?"
     r"(?:/[^\s?#\"<>\\^`{|}\[\]]*)?(?:\?[^\s#]*)?(?:#\S*)?\z"
 )
