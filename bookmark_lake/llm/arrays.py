@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,6 +233,39 @@ class Lookup:
         return found
 
 
+#: Bits of a sieve; larger sets only let more rows pass it.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(ids: DataFrame):
+    """A function that adds ``likely`` to a table: whether a row's doc_id may be among ``ids``.
+
+    It is a Bloom filter of fixed size over the one column of ``ids``, so it fits every task, and it
+    spares most other rows the shuffle to the exact join that must follow.
+    """
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(SIEVE_BITS)).alias("place")
+    word = ids.select(place).groupBy((F.col("place") / 64).cast("long").alias("word"))
+    word = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    for batch in word.toArrow().to_batches():  # SIEVE_BITS / 64 rows at most
+        bits[np.asarray(batch.column("word"))] = np.asarray(batch.column("bits"))
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def marked(df):
+        schema = T.StructType([*df.schema.fields, T.StructField("likely", T.BooleanType())])
+        at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SIEVE_BITS)).alias("likely")
+
+        def run(batches):
+            for batch in batches:
+                at = np.asarray(batch.column(batch.num_columns - 1))
+                likely = pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], likely], names=schema.names)
+
+        return df.select("*", at).mapInArrow(run, schema)
+
+    return marked
+
+
 def runs(ordered):
     """(start, size) of the runs of equal values in a sorted array."""
     if not len(ordered):

@@ -7,10 +7,12 @@ are scanned. In one order of all shingles (frequent ones last, else by hash) lin
 shingle among their first quarter, so lists hold only these. The boundary is where the cost of the
 subsets of all small sets and of the list entries of the others is least.
 
-Only the groups are wanted, so pairs inside a group need no comparing once it is known. A list's
-neighbours by size are compared first (each set with the partner most lists name); then all pairs
-of a list that no link connects yet, so no link between groups is lost. The work beyond the lists
-thus follows the groups' sizes, not their pairs.
+Only the groups are wanted, so pairs inside a group need no comparing once it is known. First each
+set is compared with the few partners most lists name as neighbours by size; then, in further
+rounds, with neighbours in another order that no link connects with it yet. At last the lists name
+all pairs that are still apart; a pair is dropped for certain if it shares too few of its first
+quarters' shingles, and the others are compared, so no link between groups is lost. The work beyond
+the lists thus follows the groups' sizes, not their pairs.
 
 Shingles and sets are told apart by 64-bit hashes; overlaps are counted over whole texts. A text
 without words, or null, has an empty set: it links with nothing, and its component is its own
@@ -22,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import (
@@ -35,11 +37,13 @@ from .arrays import (
     Lookup,
     block_rows,
     counts_of,
+    expand,
     map_texts,
     mix,
     pack,
     runs,
     shard_count,
+    sieve,
     slices,
     stored,
     text_bytes,
@@ -55,12 +59,16 @@ FREQUENT_MOST = 200_000
 ENTRY_COST = 8
 #: No boundary beyond this is tried: the numbers of subsets explode.
 LARGEST_BOUNDARY = 16
-#: Lists of up to one more than so many sets are enumerated at once.
+#: A list's entry is first named with so many after it; that is all of a short list.
 NEAR = 3
+#: About so many pairs are compared at a time.
+PAIRS_AT_ONCE = 20_000
 PORTION = 1_000_000
+#: Partners a set is compared with in a round, and rounds before all pairs still apart are named.
+PARTNERS, ROUNDS = 3, 2
 
 _POSTING, _SUBSET = 0, 1  # what a block holds
-_PAIR, _LONG, _LINK = 0, 1, 2  # what a shard finds
+_PAIR, _NEAR, _LONG, _LINK = 0, 1, 2, 3  # what a shard finds
 FOUND = "kind int, x long, y long, a int, b int"
 
 
@@ -81,6 +89,11 @@ class Rule:
         """First shingles of a set among which any linked set shares one."""
         return n - -(-self.up * n // self.down) + 1
 
+    def shared_prefix(self, n, m):
+        """Shingles that linked sets share within both prefixes, at least."""
+        beyond = np.maximum(n - self.prefix(n), m - self.prefix(m))
+        return np.maximum(self.least(n, m) - beyond, 1)
+
     def partners(self, n):
         return [m for m in range(1, n * self.down // self.up + 1) if self.fits(min(n, m), max(n, m))]
 
@@ -175,7 +188,7 @@ def _entries(docs, shards, frequent, boundary, rule, size):
 
     def run(batches):
         def packed(held):
-            ids, code, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids, code, n, late = (np.concatenate(c) for c in zip(*held, strict=True))
             place = np.cumsum(n) - n
             _, first = np.unique(ids, return_index=True)
             first = first[n[first] > 0]
@@ -186,7 +199,9 @@ def _entries(docs, shards, frequent, boundary, rule, size):
             owner = np.repeat(np.arange(len(first)), length)
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
             token = code[place[first][owner] + pos]
-            columns = (token, own[owner], n_own[owner].astype(np.int32), pos.astype(np.int32))
+            # the size is negative if the set's entries reach into the frequent shingles
+            signed = np.where(late[place[first] + np.maximum(length, 1) - 1], -n_own, n_own)
+            columns = (token, own[owner], signed[owner].astype(np.int32), pos.astype(np.int32))
             made = list(pack(_POSTING, token, columns, shards))
             for k in range(1, boundary + 1):
                 chosen = np.flatnonzero(n_own == k)
@@ -206,7 +221,7 @@ def _entries(docs, shards, frequent, boundary, rule, size):
             ids = set_ids(row, code, part.num_rows)
             late = frequent.value.find(code) >= 0
             order = np.lexsort((code, late, row)) if late.any() else slice(None)
-            held.append((ids, code[order], counts_of(row, part.num_rows)))
+            held.append((ids, code[order], counts_of(row, part.num_rows), late[order]))
             n_held += len(code)
             if n_held >= PORTION:
                 yield from packed(held)
@@ -217,20 +232,37 @@ def _entries(docs, shards, frequent, boundary, rule, size):
     return docs.mapInArrow(run, BLOCKS)
 
 
-def _unique_pairs(x, y):
-    """Distinct pairs and how often they come."""
+def _summed(x, y, votes, need):
+    """Distinct pairs with the sum of their votes."""
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
+    x, y, votes, need = x[order], y[order], votes[order], need[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     at = np.flatnonzero(new)
-    return x[at], y[at], np.diff(np.concatenate((at, [len(x)])))
+    total = np.concatenate(([0], np.cumsum(votes)))
+    return x[at], y[at], total[np.concatenate((at[1:], [len(x)]))[: len(at)]] - total[at], need[at]
+
+
+def _pairs(ids, signed, pos, i, j, boundary, rule):
+    """Candidate pairs (x, y, vote, need) of a list's entries i and j, ascending by size.
+
+    Where both sets have only infrequent shingles in their entries, all lists name the pair, and
+    the sum of their votes must reach ``need``. Else a list names it only if its shingle can be the
+    pair's first shared one, and one vote is enough.
+    """
+    n, m = np.abs(signed[i]), np.abs(signed[j])
+    least = rule.least(n, m)
+    clean = (signed[i] > 0) & (signed[j] > 0)
+    first = np.minimum(n - pos[i], m - pos[j]) >= least
+    fit = rule.fits(n, m) & (m > boundary) & (clean | first)
+    i, j, n, m, clean = i[fit], j[fit], n[fit], m[fit], clean[fit]
+    need = np.where(clean, rule.shared_prefix(n, m), 1)
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), need
 
 
-def _may_link(n, pos, i, j, boundary, rule):
-    """Whether the entries at i and j (sizes ascending) can be a linked pair's first shared shingle."""
-    left = np.minimum(n[i] - pos[i], n[j] - pos[j])
-    return rule.fits(n[i], n[j]) & (n[j] > boundary) & (left >= rule.least(n[i], n[j]))
+def _joined(parts):
+    none = np.zeros(0, np.int64)
+    return _summed(*(np.concatenate(c) for c in zip(*[(none,) * 4, *parts], strict=True)))
 
 
 def _found(parts):
@@ -244,29 +276,28 @@ def _found(parts):
 
 
 def _scan(table, boundary, rule):
-    """Candidate pairs, long lists, and links by subsets, of one shard."""
+    """Pairs of short lists, neighbours in long ones, these lists, and links by subsets, of one shard."""
     got = unpack(table, posting=(U64, np.int64, np.int32, np.int32), subset=(U64, np.int64, np.int8))
     token, ids, n, pos = got["posting"][0]
     order = np.argsort(token, kind="stable")
     start, count = runs(token[order])
     order = order[np.repeat(count > 1, count)]
     # lists of one set are gone; the others are sorted by size, and hold each set once
-    order = order[np.lexsort((ids[order], n[order], token[order]))]
+    order = order[np.lexsort((ids[order], np.abs(n[order]), token[order]))]
     token, ids, n, pos = token[order], ids[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
     token, ids, n, pos = token[new], ids[new], n[new], pos[new]
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(1, NEAR + 1):
-        i = np.flatnonzero(token[k:] == token[:-k])
-        i = i[_may_link(n, pos, i, i + k, boundary, rule)]
-        xs.append(np.minimum(ids[i], ids[i + k]))
-        ys.append(np.maximum(ids[i], ids[i + k]))
-    x, y, votes = _unique_pairs(np.concatenate(xs), np.concatenate(ys))
-    none = np.zeros(len(x), np.int32)
     start, count = runs(token)
     long = np.repeat(count > NEAR + 1, count)
-    parts = [(_PAIR, x, y, votes, none), (_LONG, token[long].view(np.int64), ids[long], n[long], pos[long])]
+    parts = []
+    for kind, of_kind in ((_PAIR, ~long), (_NEAR, long)):
+        named = []
+        for k in range(1, NEAR + 1):
+            i = np.flatnonzero((token[k:] == token[:-k]) & of_kind[k:])
+            named.append(_pairs(ids, n, pos, i, i + k, boundary, rule))
+        parts.append((kind, *_joined(named)))
+    parts.append((_LONG, token[long].view(np.int64), ids[long], n[long], pos[long]))
     # subsets: all sets that share one link with the first of the smaller size, if there is one
     key, ids, larger = got["subset"][0]
     order = np.lexsort((ids, larger, key))
@@ -274,60 +305,153 @@ def _scan(table, boundary, rule):
     start, count = runs(key)
     head = np.repeat(start, count)
     link = (larger[head] == 0) & (ids != ids[head])
-    x, y, votes = _unique_pairs(ids[head][link], ids[link])
-    parts.append((_LINK, x, y, votes, np.zeros(len(x), np.int32)))
+    one = np.ones(int(link.sum()), np.int64)
+    parts.append((_LINK, *_summed(ids[head][link], ids[link], one, one)))
     return _found(parts)
 
 
-def _across(table, boundary, rule):
-    """Pairs of long lists whose sets no link connects yet."""
-    columns = [np.asarray(table.column(c)) for c in ("token", "id", "n", "pos", "label")]
-    order = np.lexsort((columns[2], columns[0]))
-    token, ids, n, pos, label = (c[order].astype(np.int64) for c in columns)
-    xs, ys = [], []
-    held = 0
+def _neighbours(table, boundary, rule, turn):
+    """Candidate pairs of neighbours in lists that no link connects yet, in an order of this round."""
+    token, ids, n, pos, label = (np.asarray(table.column(c)).astype(np.int64) for c in ("token", "id", "n", "pos", "label"))
+    order = np.lexsort((mix(ids.view(U64) + U64(turn)), token))
+    token, ids, n, pos, label = (c[order] for c in (token, ids, n, pos, label))
+    parts = []
+    for k in range(1, NEAR + 1):
+        i = np.flatnonzero((token[k:] == token[:-k]) & (label[k:] != label[:-k]))
+        larger = np.abs(n[i]) > np.abs(n[i + k])
+        parts.append(_pairs(ids, n, pos, np.where(larger, i + k, i), np.where(larger, i, i + k), boundary, rule))
+    arrays = [pa.array(c) for c in _joined(parts)]
+    return pa.Table.from_arrays(arrays, names=["x", "y", "votes", "need"])
 
-    def folded():
-        x, y, _ = _unique_pairs(np.concatenate(xs), np.concatenate(ys))
-        return [x], [y], len(x)
 
+def _across(table, boundary, rule, shards):
+    """Blocks of candidate pairs of lists whose sets no link connects yet, dealt by pair."""
+    columns = [np.asarray(table.column(c)) for c in ("token", "id", "n", "pos", "label")]
+    order = np.lexsort((columns[1], np.abs(columns[2]), columns[0]))
+    token, ids, n, pos, label = (c[order].astype(np.int64) for c in columns)
+    size = np.abs(n)
+    parts, held = [], 0
     for start, count in zip(*runs(token), strict=True):
         own = slice(start, start + count)
         if (label[own] == label[start]).all():
             continue
         for i in range(start, start + count - 1):
-            j = np.arange(i + 1, start + np.searchsorted(n[own], n[i] * rule.down // rule.up, "right"))
+            j = np.arange(i + 1, start + np.searchsorted(size[own], size[i] * rule.down // rule.up, "right"))
             j = j[label[j] != label[i]]
-            j = j[_may_link(n, pos, np.full(len(j), i), j, boundary, rule)]
             if len(j):
-                xs.append(np.minimum(ids[i], ids[j]))
-                ys.append(np.maximum(ids[i], ids[j]))
+                parts.append(_pairs(ids, n, pos, np.full(len(j), i), j, boundary, rule))
                 held += len(j)
         if held > 4_000_000:
-            xs, ys, held = folded()
-    x, y = (np.zeros(0, np.int64),) * 2
-    if xs:
-        (x,), (y,), _ = folded()
-    return pa.Table.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+            parts = [_joined(parts)]
+            held = len(parts[0][0])
+    return pa.Table.from_batches(_dealt(*_joined(parts), shards), _BLOCK_SCHEMA)
 
 
-def _verified(pairs, texts, rule, size):
-    """The pairs whose whole sets link."""
-    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("left_text")), "x")
-    both = both.join(texts.select(F.col("id").alias("y"), F.col("text").alias("right_text")), "y")
+_BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.binary())])
 
-    def run(batches):
-        for part in slices(batches, "left_text"):
-            sides = [shingle_sets(part.column(c), size) for c in ("left_text", "right_text")]
-            total = sum(counts_of(row, part.num_rows) for row, _ in sides)
-            row, code = (np.concatenate(c) for c in zip(*sides, strict=True))
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            shared = counts_of(row[1:][(row[1:] == row[:-1]) & (code[1:] == code[:-1])], part.num_rows)
-            link = pa.array((rule.up + rule.down) * shared >= rule.up * total)
-            yield part.select(["x", "y"]).filter(link)
 
-    return both.select("x", "y", "left_text", "right_text").mapInArrow(run, "x long, y long")
+def _dealt(x, y, votes, need, shards):
+    """Blocks of pairs, each pair's in one shard."""
+    key = mix(mix(x.view(U64)) + y.view(U64))
+    return block_rows(pack(0, key, (x, y, votes.astype(np.int32), need.astype(np.int32)), shards))
+
+
+def _named(table):
+    """Pairs of a shard that all lists together give the votes they need."""
+    (x, y, votes, need), _ = unpack(table, pairs=(np.int64, np.int64, np.int32, np.int32))["pairs"]
+    x, y, votes, need = _summed(x, y, votes, need)
+    enough = votes >= need
+    return pa.Table.from_arrays([pa.array(x[enough]), pa.array(y[enough])], names=["x", "y"])
+
+
+def _verified(pairs, docs, classes, rule, size):
+    """The pairs (x, y) whose whole sets link; x_label and y_label tell their present groups.
+
+    Pairs are compared in blocks, to which each text goes once. Those of a group with many pairs
+    share blocks, cut by the other group.
+    """
+    texts = _texts_of(pairs, docs, classes, size)
+    # each end is counted and folded by itself, before the two meet
+    ends_of = [pairs.groupBy(F.col(f"{end}_label").alias("label")).count() for end in ("x", "y")]
+    count = ends_of[0].unionByName(ends_of[1]).groupBy("label").agg(F.sum("count").alias("count"))
+    for end in ("x", "y"):
+        own = count.select(F.col("label").alias(f"{end}_label"), F.col("count").alias(f"{end}_count"))
+        pairs = pairs.join(own, f"{end}_label")
+    large = F.col("x_count") >= F.col("y_count")
+    home, guest = F.when(large, F.col("x_label")).otherwise(F.col("y_label")), F.when(large, F.col("y_label")).otherwise(F.col("x_label"))
+    part = F.pmod(F.xxhash64(guest), F.ceil(F.greatest("x_count", "y_count") / PAIRS_AT_ONCE))
+    pairs = stored(pairs.select("x", "y", F.xxhash64(home, part).alias("block")), "jaccard_pairs")
+    n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_AT_ONCE)
+    pairs = pairs.withColumn("block", F.pmod("block", F.lit(n_blocks)))
+    ends_of = [pairs.select(F.col("block").alias("of_block"), F.col(end).alias("id")).distinct() for end in ("x", "y")]
+    ends = ends_of[0].unionByName(ends_of[1]).distinct().join(texts, "id")
+
+    def compare(pairs, texts):
+        ids, n, codes = [], [], []
+        for part in slices(texts.select(["id", "text"]).to_batches()):
+            row, code = shingle_sets(part.column("text"), size)
+            ids.append(np.asarray(part.column("id")))
+            n.append(counts_of(row, part.num_rows))
+            codes.append(code)
+        x, y = (np.asarray(pairs.column(c)) for c in ("x", "y"))
+        if not ids:
+            return pa.Table.from_arrays([pa.array(x[:0]), pa.array(y[:0])], names=["x", "y"])
+        ids, n, codes = map(np.concatenate, (ids, n, codes))
+        place, order = np.cumsum(n) - n, np.argsort(ids)
+        x_at, y_at = (order[np.searchsorted(ids[order], e)] for e in (x, y))
+        by_x = np.argsort(x_at, kind="stable")
+        shared = np.zeros(len(x), np.int64)
+        for start, count in zip(*runs(x_at[by_x]), strict=True):
+            own = by_x[start : start + count]
+            mine = codes[place[x_at[own[0]]] : place[x_at[own[0]]] + n[x_at[own[0]]]]
+            for few in np.array_split(own, -(-count // 256)):
+                other = codes[expand(place[y_at[few]], n[y_at[few]])]
+                slot = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                hit = np.concatenate(([0], np.cumsum(mine[slot] == other)))
+                ends = np.cumsum(n[y_at[few]])
+                shared[few] = hit[ends] - hit[ends - n[y_at[few]]]
+        link = (rule.up + rule.down) * shared >= rule.up * (n[x_at] + n[y_at])
+        return pa.Table.from_arrays([pa.array(x[link]), pa.array(y[link])], names=["x", "y"])
+
+    linked = pairs.groupBy("block").cogroup(ends.groupBy("of_block")).applyInArrow(compare, "x long, y long")
+    return stored(linked, "jaccard_links")
+
+
+def _in_round(turn, boundary, rule):
+    return lambda table: _neighbours(table, boundary, rule, turn)
+
+
+def _best(pairs):
+    """Each set with the partners most lists name."""
+    ends = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "votes"))
+    order = Window.partitionBy("x").orderBy(F.desc("votes"), "y")
+    best = ends.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PARTNERS)
+    return stored(best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard_best")
+
+
+def _labelled(df, labels, end):
+    own = labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    return df.join(own, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+
+
+def _apart(pairs, labels):
+    """The pairs that no link connects, with their labels."""
+    for end in ("x", "y"):
+        pairs = _labelled(pairs, labels, end)
+    return pairs.filter("x_label != y_label")
+
+
+def _merged(labels, links):
+    """Labels after further links: the labels themselves are grouped by the links between them."""
+    ends = links.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    labels = ends.unionByName(labels.select("id")).distinct().join(labels, "id", "left")
+    labels = stored(labels.select("id", F.coalesce("label", "id").alias("label")), "labels")
+    for end in ("x", "y"):
+        links = _labelled(links, labels, end)
+    groups = components(links.select(F.col("x_label").alias("x"), F.col("y_label").alias("y")))
+    groups = groups.select(F.col("id").alias("label"), F.col("label").alias("group"))
+    labels = labels.join(groups, "label", "left").select("id", F.coalesce("group", "label").alias("label"))
+    return stored(labels, "labels")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -355,17 +479,22 @@ def components(links: DataFrame) -> DataFrame:
     return label.unionByName(label.select(F.col("label").alias("id"), "label").distinct())
 
 
-def _texts_of(ids, docs, classes, size):
-    """(id, text) of one document for each set."""
-    wanted = ids.join(classes, "id").select("id", F.col("least_doc").alias("wanted_doc"))
-    rows = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
+def _texts_of(pairs, docs, classes, size):
+    """(id, text) of one document for each set of the pairs.
+
+    A sieve over the wanted doc_ids keeps most other texts out of the shuffle; the join is exact.
+    """
+    ids = pairs.select(F.col("x").alias("id")).distinct().unionByName(pairs.select(F.col("y").alias("id")).distinct()).distinct()
+    wanted = stored(ids.join(classes, "id").select("id", F.col("least_doc").alias("wanted_doc")), "jaccard_wanted")
+    rows = sieve(wanted.select("wanted_doc"))(docs.select("doc_id", "text")).filter("likely")
+    rows = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
 
     def own(part):  # of rows with the same doc_id, only those with the wanted set
         row, code = shingle_sets(part.column(part.num_columns - 1), size)
         return [pa.array(set_ids(row, code, part.num_rows) == np.asarray(part.column(0)))]
 
     kept = map_texts(rows.select("id", "text"), own, "same boolean", ["id", "text"])
-    return kept.filter("same").dropDuplicates(["id"]).select("id", "text")
+    return stored(kept.filter("same").dropDuplicates(["id"]).select("id", "text"), "jaccard_texts")
 
 
 def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
@@ -388,33 +517,42 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     blocks = _entries(docs, shards, frequent, boundary, rule, size)
     found = blocks.groupBy("shard").applyInArrow(lambda table: _scan(table, boundary, rule), FOUND)
     found = stored(found, "jaccard_found")
-    pairs = found.filter(F.col("kind") == _PAIR).groupBy("x", "y").agg(F.sum("a").alias("votes"))
-    pairs = stored(pairs, "jaccard_pairs")
-    long = found.filter(F.col("kind") == _LONG).selectExpr("x AS token", "y AS id", "a AS n", "b AS pos")
-    links = found.filter(F.col("kind") == _LINK).select("x", "y")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(long.select("id")).distinct()
-    texts = stored(_texts_of(ids, docs, classes, size), "jaccard_texts")
-
-    # first each set with the partner that most lists name
-    ends = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "votes"))
-    best = ends.groupBy("x").agg(F.max(F.struct("votes", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-    best = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = stored(_verified(best, texts, rule, size).unionByName(links), "jaccard_links")
-    labels = components(links)
-
-    # then every pair that no link connects yet
-    def labelled(df, end):
-        own = labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
-        return df.join(own, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
-
-    apart = labelled(labelled(pairs.join(best, ["x", "y"], "left_anti"), "x"), "y")
-    apart = apart.filter("x_label != y_label").select("x", "y")
-    lists = labelled(long, "id").withColumnRenamed("id_label", "label")
-    lists = lists.withColumn("shard", F.pmod("token", F.lit(shards)))
-    across = lists.groupBy("shard").applyInArrow(lambda table: _across(table, boundary, rule), "x long, y long")
-    rest = stored(apart.unionByName(across).distinct(), "jaccard_rest")
-    more = stored(_verified(rest, texts, rule, size), "jaccard_links")
-    labels = components(links.unionByName(more))
+    lists = found.filter(F.col("kind") == _LONG).selectExpr("x AS token", "y AS id", "a AS n", "b AS pos")
+
+    def of_short(batches):
+        for batch in batches:
+            yield from _dealt(*(np.asarray(c) for c in batch.columns), shards)
+
+    def labelled(labels):
+        own = _labelled(lists, labels, "id").withColumnRenamed("id_label", "label")
+        return own.withColumn("shard", F.pmod("token", F.lit(shards))).groupBy("shard")
+
+    def best(named, tested=None):
+        named = named.groupBy("x", "y").agg(F.sum("votes").alias("votes"), F.max("need").alias("need"))
+        named = named.filter("2 * votes >= need").select("x", "y", "votes")
+        return _best(named if tested is None else named.join(tested, ["x", "y"], "left_anti"))
+
+    def verified(pairs):
+        return _verified(pairs, docs, classes, rule, size)
+
+    # first each set with its best partners by neighbours in the lists, where they look promising
+    near = found.filter(F.col("kind").isin(_PAIR, _NEAR)).selectExpr("x", "y", "a AS votes", "b AS need")
+    tested = best(near.filter("need = 1 or votes > 1"))
+    links = verified(tested.selectExpr("x", "y", "x AS x_label", "y AS y_label"))
+    links = links.unionByName(found.filter(F.col("kind") == _LINK).select("x", "y"))
+    labels = stored(components(links), "labels")
+    for turn in range(1, ROUNDS + 1):
+        named = labelled(labels).applyInArrow(_in_round(turn, boundary, rule), "x long, y long, votes long, need long")
+        further = best(named, tested)
+        tested = tested.unionByName(further)
+        labels = _merged(labels, verified(_apart(further, labels)))
+
+    # then every pair of the lists that no link connects yet and that shares enough of the prefixes
+    across = labelled(labels).applyInArrow(lambda table: _across(table, boundary, rule, shards), BLOCKS)
+    short = found.filter(F.col("kind") == _PAIR).select("x", "y", "a", "b").mapInArrow(of_short, BLOCKS)
+    named = across.unionByName(short).groupBy("shard").applyInArrow(_named, "x long, y long")
+    rest = stored(_apart(named.join(tested, ["x", "y"], "left_anti"), labels), "jaccard_rest")
+    labels = _merged(labels, verified(rest))
 
     own = labels.join(classes.select("id", "least_doc"), "id")
     least = own.groupBy("label").agg(F.min("least_doc").alias("component"))
@@ -424,3 +562,25 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     alone = rows.filter("n = 0").withColumn("component", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")]
     return linked.select(*columns).unionByName(alone.select(*columns))
+
+
+def keep_one(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest doc_id of each group.
+
+    Of rows with one doc_id that stays, the one with the least text stays; rows without a doc_id
+    cannot be told apart and stay. Only rows that a sieve takes for possibly dropped are shuffled.
+    """
+    found = stored(jaccard_components(docs, size, up, down), "jaccard_components").filter("doc_id is not null")
+    by_doc = found.groupBy(F.col("doc_id").alias("known_doc")).agg(
+        F.count("*").alias("n_rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays")
+    )
+    doubt = stored(by_doc.filter("n_rows > 1 or not stays"), "jaccard_doubt")
+    marked = sieve(doubt.select("known_doc"))(docs)
+    rows = marked.filter("likely").drop("likely")
+    rows = rows.join(doubt.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("known_doc"), "left")
+    first = F.row_number().over(Window.partitionBy("known_doc").orderBy("text"))
+    repeated = rows.filter("n_rows > 1 and stays").withColumn("place", first).filter("place = 1")
+    sure = marked.filter("not likely").select(*(f"`{c}`" for c in docs.columns))
+    for part in (rows.filter("n_rows is null"), repeated):
+        sure = sure.unionByName(part.select(*(f"`{c}`" for c in docs.columns)))
+    return sure
