@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..session import work_folder
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 U64 = np.uint64
 
 _BASE = 0x9E3779B97F4A7C17  # odd, and 3 mod 4

@@ -58,19 +58,16 @@ class Vocabulary:
         key = _plain_hash(Hashes(BYTE_CODE[data]), end - sizes, sizes)
         order = np.argsort(key)
         self.table, self.ids = Lookup(key[order]), np.array(normal)[order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(key >> U64(44)).astype(np.int64)] = True
+        # hashes of all starts of pieces: where none fits, no longer piece does either
+        self.starts = np.zeros(1 << 20, bool)
+        chain = Hashes(BYTE_CODE[data])
+        for length in range(1, int(sizes.max()) + 1):
+            at = (end - sizes)[sizes >= length]
+            self.starts[(_plain_hash(chain, at, length) >> U64(44)).astype(np.int64)] = True
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.size = np.array([len(b) for b in self.bytes])
         self.start = np.cumsum(self.size) - self.size
 
-    def find(self, key):
-        """The place of each hash among the pieces, or -1; a small bitmap tells most misses."""
-        found = np.full(len(key), -1, np.int64)
-        maybe = np.flatnonzero(self.bits[(key >> U64(44)).astype(np.int64)])
-        found[maybe] = self.table.find(key[maybe])
-        return found
-
 
 def _units(data, offsets):
     """(start, end, row) of the units of texts, each of which begins with a space."""
@@ -91,18 +88,22 @@ def _plain_hash(chain, at, length):
 def _edges(data, size, vocabulary):
     """(from, to, id) of all pieces that fit somewhere in units of these sizes, one after another."""
     chain = Hashes(BYTE_CODE[data])
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes to the unit's end
+    room = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes to the unit's end
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
     width = np.diff(np.concatenate((at, [len(data)])))
+    room = room[at]
     alone = np.zeros(len(data), bool)
     froms, tos, ids = [], [], []
-    for length in vocabulary.lengths:
-        fit = left[at] >= length
-        at, width = at[fit], width[fit]
-        if not len(at):
+    for length in range(1, int(vocabulary.lengths[-1]) + 1):
+        fit = np.flatnonzero(room >= length)
+        key = _plain_hash(chain, at[fit], length)
+        going = vocabulary.starts[(key >> U64(44)).astype(np.int64)]
+        fit, key = fit[going], key[going]
+        if not len(fit):
             break
-        slot = vocabulary.find(_plain_hash(chain, at, length))
+        at, width, room = at[fit], width[fit], room[fit]
+        slot = vocabulary.table.find(key)
         hit = slot >= 0
         froms.append(at[hit])
         tos.append(at[hit] + length)
