@@ -47,7 +47,7 @@ from .arrays import (
 
 ANCHOR = 8
 #: A task factors its texts against each other in portions of so many words.
-PORTION = 2_000_000
+PORTION = 1_000_000
 TAIL = 5  # bytes of a window's hash that a block gets
 LAST = np.iinfo(np.int64).max
 FACTORS = "doc_id long, start int, size int, source_doc long, source_start int"
