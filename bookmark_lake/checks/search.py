@@ -16,18 +16,25 @@ from ..operators.search import score_hits, search, top_hits, total_hits
 from ..session import work_folder
 from .registry import check, sql_strip, table
 
-_SQL_WORD = "[\\p{L}\\p{N}]+(?:[.''’][\\p{L}\\p{N}]+)*"
+_SQL_PART = "_*[\\p{L}\\p{N}][\\p{L}\\p{M}\\p{N}_]*"
+_SQL_WORD = f"{_SQL_PART}(?:[.''’]{_SQL_PART})*"
 
 
 def _sql_tokens(c):
-    return f"regexp_extract_all(lower({c}), '{_SQL_WORD}')"
+    """Han and Hiragana signs set apart, then words."""
+    apart = f"regexp_replace(lower({c}), '([\\p{{Han}}\\p{{Hiragana}}]\\p{{M}}*)', ' \\1 ', 'g')"
+    return f"regexp_extract_all({apart}, '{_SQL_WORD}')"
+
+
+# A name with a normalised tag, a decomposed letter and signs that are words by themselves.
+_SQL_NAME = "lang || ' ' || source || ' ' || lang || '_' || source || ' cafe' || chr(769) || 's 日本語テキスト'"
 
 
 def document_items(spark, sf_dir):
     """Documents as items: text, and language and source as tags."""
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
-        F.concat_ws(" ", "lang", "source").alias("name"),
+        F.concat_ws(" ", "lang", "source", F.concat("lang", F.lit("_"), "source"), F.lit("cafe\u0301s 日本語テキスト")).alias("name"),
         F.col("text").alias("content"),
         F.array("lang", "source").alias("pocket_tags"),
     )
@@ -37,7 +44,7 @@ SEARCH_FIELDS = ["name", "content", "pocket_tags"]
 
 # The items' fields in SQL, their postings, and the statistics of both.
 _SQL_FIELDS = (
-    "fields AS (SELECT 'doc/' || doc_id AS url, 'name' AS field, " + _sql_tokens("lang || ' ' || source") + " AS t FROM documents "
+    "fields AS (SELECT 'doc/' || doc_id AS url, 'name' AS field, " + _sql_tokens(_SQL_NAME) + " AS t FROM documents "
     "UNION ALL SELECT 'doc/' || doc_id, 'content', " + _sql_tokens("text") + " FROM documents "
     "UNION ALL SELECT 'doc/' || doc_id, 'pocket_tags', " + _sql_tokens("lang || ' ' || source") + " FROM documents)"
 )
@@ -106,9 +113,13 @@ THREE_TERMS = ["the of", "en", "src1"]
 WORDS_THREE_TERMS = [(0, 0, "the"), (0, 1, "of"), (1, 2, "en"), (2, 3, "src1")]
 
 
-@check("an_tokens", f"SELECT doc_id, CAST(len({_sql_tokens('text')}) AS INTEGER) AS n_tokens, array_to_string({_sql_tokens('text')}, ' ') AS tokens FROM documents")
+_SQL_TOKENS = _sql_tokens(f"text || ' ' || {_SQL_NAME}")
+
+
+@check("an_tokens", f"SELECT doc_id, CAST(len({_SQL_TOKENS}) AS INTEGER) AS n_tokens, array_to_string({_SQL_TOKENS}, ' ') AS tokens FROM documents")
 def an_tokens(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))
+    named = document_items(spark, sf_dir).select(F.regexp_extract("url", "[0-9]+", 0).cast("bigint").alias("doc_id"), "content", "name")
+    words = named.select("doc_id", tokens(F.concat_ws(" ", "content", "name")).alias("t"))
     return words.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -149,9 +160,17 @@ def idx_stats(spark, sf_dir):
     )
 
 
-@check("q_terms", _sql_hits(WORDS_THREE_TERMS) + " SELECT url FROM hits")
+BOOLEAN = ["(the AND of) OR une", "en fr NOT src1", "+src2~1 -src3"]
+
+
+@check(
+    "q_terms",
+    f"WITH {_SQL_INDEX} SELECT url FROM postings GROUP BY url HAVING (bool_or(term = 'the') AND bool_or(term = 'of') OR bool_or(term = 'une')) "
+    "AND bool_or(term IN ('en', 'fr')) AND NOT bool_or(term = 'src1') "
+    "AND bool_or(damerau_levenshtein(term, 'src2') <= 1) AND NOT bool_or(term = 'src3')",
+)
 def q_terms(spark, sf_dir):
-    return score_hits(document_index(spark, sf_dir), THREE_TERMS).select("url")
+    return score_hits(document_index(spark, sf_dir), BOOLEAN).select("url")
 
 
 @check("q_rank", _sql_hits(WORDS_THREE_TERMS) + " SELECT url, score FROM hits")
@@ -192,7 +211,7 @@ def win_standout(spark, sf_dir):
     return search(document_index(spark, sf_dir), ONE_TERM)
 
 
-FUZZY = ["retitionign~ the", "srx1~"]
+FUZZY = ["retitionign~ OR the", "srx1~1"]
 
 
 @check(
@@ -256,7 +275,7 @@ def out_shorten(spark, sf_dir):
 
 
 _SQL_DOCUMENT_TITLES = _sql_title(
-    "(SELECT 'doc/' || doc_id AS url, lang || ' ' || source AS name, NULL AS description, text AS content FROM documents)"
+    f"(SELECT 'doc/' || doc_id AS url, {_SQL_NAME} AS name, NULL AS description, text AS content FROM documents)"
 )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import mark_unchanged
 from ..operators.frontier import frontier
+from ..operators.generations import current
 from ..operators.merge import (
     backlinks,
     compact_items,
@@ -68,15 +69,16 @@ def merge_events(spark, sf_dir):
 
 @check("sink_upsert", SQL_MERGED_EVENTS)
 def sink_upsert(spark, sf_dir):
-    """Stored in three writes, one of them repeated, then compacted."""
+    """Stored in writes, one of them repeated, and compacted; a write falls into the compaction."""
     path = work_folder(spark, "sink_upsert")
     events = event_fragments(spark, sf_dir)
-    even = events.filter(F.col("seq") % 2 == 0)
-    odd = events.filter(F.col("seq") % 2 == 1)
-    upsert_items(odd, path)
-    upsert_items(even, path)
-    upsert_items(odd, path)
-    compact_items(spark, path)
+    part = [events.filter(F.col("seq") % 3 == n) for n in range(3)]
+    upsert_items(part[1], path)
+    upsert_items(part[0], path)
+    upsert_items(part[1], path)
+    before = current(spark, path)
+    upsert_items(part[2], path)
+    compact_items(spark, path, before)
     return flat_items(read_items(spark, path))
 
 

@@ -31,24 +31,27 @@ def body_digest() -> Column:
     return F.sha2(F.coalesce(F.col("body"), F.lit("")), 256)
 
 
+def digests(responses: DataFrame) -> DataFrame:
+    """What is kept of answered requests: (source, request_key, digest), never a body."""
+    return responses.select("source", "request_key", body_digest().alias("digest")).distinct()
+
+
 def mark_unchanged(responses: DataFrame, previous: DataFrame) -> DataFrame:
     """Flag as ``cached`` every response whose body an earlier crawl already holds.
 
-    Only distinct (source, request_key, digest) triples of the earlier crawl are
-    shuffled, never its bodies. A request fetched very often is spread by the
-    digest in the join key; equal copies fold into one triple before the shuffle.
+    ``previous`` has the digests of earlier responses, or the responses themselves. The rows that
+    are joined are narrow: the keys of the responses that an earlier digest equals come out of a
+    semi join without any body, and bodies meet only these. A request fetched very often is spread
+    by the digest in the join key; equal copies fold before the shuffle.
     """
     keys = ["source", "request_key", "digest"]
-    seen = (
-        previous.select("source", "request_key", body_digest().alias("digest"))
-        .distinct()
-        .withColumn("seen", F.lit(True))
-    )
+    seen = previous.select(*keys) if "digest" in previous.columns else digests(previous)
+    known = digests(responses).join(seen, keys, "left_semi").withColumn("seen", F.lit(True))
     flags = F.coalesce(F.col("flags"), F.array().cast("array<string>"))
     marked = F.when(F.col("seen"), F.array_union(flags, F.array(F.lit("cached")))).otherwise(flags)
     return (
         responses.withColumn("digest", body_digest())
-        .join(seen, keys, "left")
+        .join(known, keys, "left")
         .withColumn("flags", marked)
         .select(*responses.columns)
     )

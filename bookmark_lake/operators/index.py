@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.values import col, let
 from ..schema import ITEM_ARRAYS
-from ..session import work_folder
+from .generations import current, new_folder, put_in_force
 
-# Words: letters and digits, joined by single dots or apostrophes inside. Possessive
+# Words: letters and digits with their combining marks and underscores, joined by single
+# dots or apostrophes inside; each Han or Hiragana sign is a word by itself. Possessive
 # repetition: a word is never given back once read.
-WORD = r"[\p{L}\p{N}]++(?:[.'’][\p{L}\p{N}]++)*+"
+_SIGN = r"[\p{IsHan}\p{IsHiragana}]"
+_PART = r"_*+(?![\p{IsHan}\p{IsHiragana}])[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]])*+"
+WORD = rf"{_SIGN}\p{{M}}*+|{_PART}(?:[.'’]{_PART})*+"
+
+# Stored postings are kept apart by buckets of their terms: a search reads only its own.
+BUCKETS = 64
 
 # Every text field of an item; dates are no text.
 TEXT_FIELDS = [
@@ -118,47 +124,54 @@ def stem_postings(postings: DataFrame, stems: DataFrame) -> DataFrame:
     )
 
 
+def _bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def write_index(items: DataFrame, path, fields=None, stems: DataFrame = None):
-    """Store the index of ``items`` under ``path``.
+    """Store the index of ``items`` under ``path`` as a new generation.
+
+    The three tables are written beside the old ones and put in force together, so a search during
+    a refresh, or after a failed one, reads the complete old index.
 
-    Postings are sorted by (term, url) over the whole table: a search reads only the
-    row groups whose term range fits, and a term found in a third of all documents
-    spreads over many files because the URL is part of the range. Finding the ranges
-    takes a sample, so unsorted postings go to the work folder first: texts are
-    tokenised once, and the sample reads two columns.
+    Postings are kept by bucket of their term and sorted by (term, url) over each bucket: a term
+    found in a third of all documents spreads over many files because the URL is part of the range.
+    Finding the ranges takes a sample, so unsorted postings are written first: texts are tokenised
+    once, and the sample reads three columns.
     """
     spark = items.sparkSession
-    staged = work_folder(spark, "postings")
+    folder = new_folder(path)
     postings = _marked_postings(items, fields)
     if stems is not None:
         postings = stem_postings(postings, stems)
-    postings.write.parquet(staged)
-    postings = spark.read.parquet(staged)
+    postings.withColumn("term_bucket", _bucket("term")).write.parquet(f"{folder}/unsorted")
+    postings = spark.read.parquet(f"{folder}/unsorted")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        postings.repartitionByRange(parts, "term", "url")
-        .sortWithinPartitions("term", "url")
-        .write.mode("overwrite")
-        .parquet(f"{path}/postings")
+        postings.repartitionByRange(parts, "term_bucket", "term", "url")
+        .sortWithinPartitions("term_bucket", "term", "url")
+        .write.partitionBy("term_bucket")
+        .parquet(f"{folder}/postings")
     )
-    stored = spark.read.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
     (
         term_stats(stored)
         .withColumn("term_len", F.length("term"))
         .repartitionByRange(parts, "term_len", "term")
         .sortWithinPartitions("term_len", "term")
-        .write.mode("overwrite")
-        .parquet(f"{path}/terms")
+        .write.parquet(f"{folder}/terms")
     )
     (
         stored.groupBy("field")
         .agg(F.sum("head").alias("n_docs"), F.sum("tf").alias("words"))
         .select("field", "n_docs", (F.col("words") / F.col("n_docs")).alias("avg_len"))
         .coalesce(1)
-        .write.mode("overwrite")
-        .parquet(f"{path}/fields")
+        .write.parquet(f"{folder}/fields")
     )
+    put_in_force(spark, path, add=[folder], remove=current(spark, path))
 
 
 def read_index(spark: SparkSession, path) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "fields")])
+    """The index in force; of two refreshes that ran side by side, the one named last."""
+    folder = max(current(spark, path))
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "terms", "fields")])

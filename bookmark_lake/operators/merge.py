@@ -7,12 +7,12 @@ exact even for one very hot URL, arrival order of files does not matter, and a
 replayed batch changes nothing.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import non_empty, non_empty_array
 from ..schema import ITEM_ARRAYS, ITEM_STRINGS, ITEM_VALUES, VERSIONED_ITEM, version_type
+from .generations import current, new_folder, put_in_force
 
 
 def drop_html(df: DataFrame) -> DataFrame:
@@ -70,49 +70,22 @@ def merge_index(fragments: DataFrame, items: DataFrame = None) -> DataFrame:
     return versions_as_items(merge_versions(versions))
 
 
-# The stored table: <path>/generation=N/ holds merged versions, in as many append
-# batches as there were writes; the newest generation listed in <path>/generations
-# is the one in force. A generation is listed only after it is fully written.
+# The stored table: immutable batches of merged versions, one for each write. A compaction or a
+# rebuild puts one batch in the place of exactly those it has read, so whatever is written meanwhile
+# stays, and of two first writers both stay.
 
 
-def _generations(path):
-    return f"{path}/generations"
-
-
-def _folder(path, generation):
-    return f"{path}/generation={generation}"
-
-
-def current_generation(spark: SparkSession, path):
-    """Newest complete generation, or None for a table not created yet."""
-    try:
-        listed = spark.read.schema("generation bigint").parquet(_generations(path))
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return listed.agg(F.max("generation")).first()[0]
-
-
-def _list_generation(spark, path, generation):
-    row = spark.range(generation, generation + 1).select(F.col("id").alias("generation"))
-    row.coalesce(1).write.mode("append").parquet(_generations(path))
-
-
-def _start_generation(spark, path, versions) -> int:
-    """Write ``versions`` as a complete generation and put it in force."""
-    now = current_generation(spark, path)
-    generation = 0 if now is None else now + 1
-    # A generation that was never listed is the left-over of a failed write.
-    versions.write.mode("overwrite").parquet(_folder(path, generation))
-    _list_generation(spark, path, generation)
-    return generation
+def _add_batch(spark, path, versions, instead_of=()):
+    folder = new_folder(path)
+    versions.write.parquet(folder)
+    put_in_force(spark, path, add=[folder], remove=instead_of)
 
 
 def rebuild_index(fragments: DataFrame, path):
-    """Full refresh: a new generation from ``fragments`` alone; none give an empty table."""
+    """Full refresh from ``fragments`` alone, in the place of all batches there are now."""
     spark = fragments.sparkSession
-    return _start_generation(spark, path, merge_versions(fragment_versions(fragments)))
+    replaced = current(spark, path)
+    _add_batch(spark, path, merge_versions(fragment_versions(fragments)), replaced)
 
 
 def upsert_items(fragments: DataFrame, path):
@@ -121,20 +94,17 @@ def upsert_items(fragments: DataFrame, path):
     Writes only what the batch holds, merged per URL: the cost follows the batch,
     not the table. Readers merge across batches; ``compact_items`` folds them.
     """
-    spark = fragments.sparkSession
-    batch = merge_versions(fragment_versions(fragments))
-    generation = current_generation(spark, path)
-    if generation is None:
-        _start_generation(spark, path, batch)
-    else:
-        batch.write.mode("append").parquet(_folder(path, generation))
+    _add_batch(fragments.sparkSession, path, merge_versions(fragment_versions(fragments)))
 
 
-def read_versions(spark: SparkSession, path) -> DataFrame:
-    generation = current_generation(spark, path)
-    if generation is None:
+def _read_batches(spark, batches) -> DataFrame:
+    if not batches:
         return spark.createDataFrame([], VERSIONED_ITEM)
-    return spark.read.schema(VERSIONED_ITEM).parquet(_folder(path, generation))
+    return spark.read.schema(VERSIONED_ITEM).parquet(*batches)
+
+
+def read_versions(spark: SparkSession, path) -> DataFrame:
+    return _read_batches(spark, current(spark, path))
 
 
 def read_items(spark: SparkSession, path) -> DataFrame:
@@ -142,9 +112,13 @@ def read_items(spark: SparkSession, path) -> DataFrame:
     return versions_as_items(merge_versions(read_versions(spark, path)))
 
 
-def compact_items(spark: SparkSession, path):
-    """Fold all append batches into a new generation of one row per URL."""
-    return _start_generation(spark, path, merge_versions(read_versions(spark, path)))
+def compact_items(spark: SparkSession, path, batches=None):
+    """Fold ``batches``, by default all there are now, into one of one row per URL, ranged by URL."""
+    batches = current(spark, path) if batches is None else batches
+    if batches:
+        merged = merge_versions(_read_batches(spark, batches))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _add_batch(spark, path, merged.repartitionByRange(parts, "url").sortWithinPartitions("url"), batches)
 
 
 def backlinks(items: DataFrame) -> DataFrame:

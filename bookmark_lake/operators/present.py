@@ -63,20 +63,17 @@ def display_line(year, score, is_standout, title, url) -> Column:
 def present(result: DataFrame, items: DataFrame) -> DataFrame:
     """RESULT rows with title, year and line, worst first so that the best ends the list.
 
-    A result has at most the rows asked for (30), so its URLs become literals that
-    prune the item scan; the items never meet the result in a shuffle.
+    The result has few rows, and Spark chooses how to join by its size; titles are made after the
+    join, for the rows shown.
     """
-    spark = items.sparkSession
-    rows = result.collect()
-    shown = F.broadcast(spark.createDataFrame(rows, result.schema))
-    wanted = [r["url"] for r in rows]
-    found = items.filter(F.col("url").isin(wanted)).select(
-        "url",
-        display_title("name", "description", "content").alias("title"),
-        display_year("last_update", "article_published_date").alias("year"),
-    )
+    shown = result.join(items, "url")
     return (
-        found.join(shown, "url")
+        shown.withColumns(
+            {
+                "title": display_title("name", "description", "content"),
+                "year": display_year("last_update", "article_published_date"),
+            }
+        )
         .withColumn("line", display_line("year", "score", "is_standout", "title", "url"))
         .select("rank", "url", "score", "is_standout", "title", "year", "line", "total_hits")
         .orderBy(F.col("rank").desc())

@@ -1,37 +1,144 @@
 """Ranked keyword search over an index."""
 
-import re
 from collections import namedtuple
+from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import Index
+from .index import Index, _bucket
 
 # Results per query; ranking constants; fuzzy distance by word length.
 RESULTS = 30
 K1, B = 1.2, 0.75
 FUZZY_ONE_FROM, FUZZY_TWO_FROM = 2, 6
 
-# Up to this many terms a query names them as literals, which parquet row groups are
-# pruned by; beyond, the terms are joined.
-LITERAL_TERMS = 1000
+# The words of the index (index.WORD), with the fuzzy sign and its distance.
+_SIGN = r"[\p{Han}\p{Hiragana}]"
+_PART = rf"_*(?!{_SIGN})[\p{{L}}\p{{N}}](?:(?!{_SIGN})[\p{{L}}\p{{M}}\p{{N}}_])*+"
+_WORD = rf"{_SIGN}\p{{M}}*|{_PART}(?:[.'’]{_PART})*"
+_QUERY = regex.compile(rf"(?P<word>{_WORD})(?P<fuzzy>~(?P<distance>[0-9]*))?|(?P<mark>[()]|(?<![^\s(])[+-](?=\S))")
+_REFUSED = regex.compile(r"[\"*?\[\]{}^\\]|&&|\|\||(?<![^\s(])!|(?<=\w):(?=\S)|(?<=\s|^)/\S")
 
-# The words of the index (index.WORD) in Python's notation, with the fuzzy sign.
-_QUERY_WORD = re.compile(r"([^\W_]+(?:[.'’][^\W_]+)*)(~?)")
+# ``distance`` is None for a word taken as it is.
+Word = namedtuple("Word", "grp word term distance")
 
-Word = namedtuple("Word", "grp word term fuzzy")
 
+def _parsed(text, grp, words):
+    """The expression of one argument; its words are appended to ``words``.
 
-def query_words(terms) -> list:
-    """Words of a query: every argument is a group, groups are ANDed, words in a group ORed."""
-    words = []
+    ("word", n), ("and", parts), or ("list", should, must, must not): a list matches if all its
+    musts and no must-not match, and without musts at least one should.
+    """
+    if refused := _REFUSED.search(text):
+        raise ValueError(f"query syntax {refused.group().strip()!r} is not supported: {text}")
+    tokens = list(_QUERY.finditer(text))
+    at = 0
+
+    def ahead(*keywords):
+        token = tokens[at] if at < len(tokens) else None
+        return token is not None and (token["mark"] in keywords or (token["word"] in keywords and not token["fuzzy"]))
+
+    def take():
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def unit():
+        if ahead("("):
+            take()
+            inner = whole()
+            if not ahead(")"):
+                raise ValueError(f"a parenthesis is not closed: {text}")
+            take()
+            return inner
+        if at == len(tokens) or tokens[at]["word"] is None or ahead("AND", "OR"):
+            raise ValueError(f"a word is missing: {text}")
+        token = take()
+        term = token["word"].lower()
+        distance = None
+        if token["fuzzy"]:
+            distance = int(token["distance"]) if token["distance"] else allowed_distance(term)
+            if distance > 2:
+                raise ValueError(f"a fuzzy distance is 2 at most: {token.group()}")
+        words.append(Word(grp, len(words), term, distance))
+        return ("word", words[-1].word)
+
+    def signed():
+        sign = "should"
+        if ahead("NOT", "-"):
+            sign = "not"
+            take()
+        elif ahead("+"):
+            sign = "must"
+            take()
+        return sign, unit()
+
+    def clause():
+        parts = [signed()]
+        while ahead("AND"):
+            take()
+            parts.append(signed())
+        if len(parts) == 1:
+            return parts[0]
+        musts = [p for s, p in parts if s != "not"]
+        nots = [p for s, p in parts if s == "not"]
+        if not musts:
+            raise ValueError(f"an exclusion needs a word to match: {text}")
+        return "should", ("list", [], musts, nots)
+
+    def whole():
+        parts = [clause()]
+        while at < len(tokens) and not ahead(")"):
+            if ahead("OR"):
+                take()
+            parts.append(clause())
+        found = {s: [p for sign, p in parts if sign == s] for s in ("should", "must", "not")}
+        if not found["should"] and not found["must"]:
+            raise ValueError(f"an exclusion needs a word to match: {text}")
+        return ("list", found["should"], found["must"], found["not"])
+
+    expression = whole() if tokens else None
+    if at < len(tokens):
+        raise ValueError(f"a parenthesis is not opened: {text}")
+    return expression
+
+
+def parse_query(terms):
+    """(words, expressions by group): every argument is a group, groups are ANDed.
+
+    In a group words are ORed; AND, OR, NOT, a leading + (must) or - (must not), parentheses and
+    word~, word~1, word~2 (fuzzy) are understood. Any other query syntax is refused.
+    """
+    words, groups = [], {}
     for grp, text in enumerate(terms):
-        found = _QUERY_WORD.findall(text.lower())
-        words += [Word(grp, len(words) + n, term, bool(sign)) for n, (term, sign) in enumerate(found)]
+        expression = _parsed(text, grp, words)
+        if expression is not None:
+            groups[grp] = expression
     if not words:
         raise ValueError("No query provided")
-    return words
+    return words, groups
+
+
+def _holds(expression, found: Column) -> Column:
+    """Whether the set of words found at a URL satisfies an expression."""
+    if expression[0] == "word":
+        return F.array_contains(found, F.lit(expression[1]))
+    _, should, must, must_not = expression
+    every = [_holds(e, found) for e in must] + [~_holds(e, found) for e in must_not]
+    if not must:
+        every.append(reduce(Column.__or__, [_holds(e, found) for e in should]))
+    return reduce(Column.__and__, every)
+
+
+def _excluded(expression, excluded=False) -> set:
+    """Words that only exclude: they add nothing to a score."""
+    if expression[0] == "word":
+        return {expression[1]} if excluded else set()
+    _, should, must, must_not = expression
+    own = [_excluded(e, excluded) for e in should + must] + [_excluded(e, True) for e in must_not]
+    return set().union(*own)
 
 
 def allowed_distance(term) -> int:
@@ -62,13 +169,13 @@ def edit_distance(c: Column, term, limit) -> Column:
     return distance
 
 
-def expand_fuzzy(terms: DataFrame, term) -> DataFrame:
+def expand_fuzzy(terms: DataFrame, term, limit=None) -> DataFrame:
     """Vocabulary terms within the allowed distance → (term, distance, boost), all of them.
 
     The length test comes first: on a stored index it prunes row groups, which are
     sorted by term length.
     """
-    limit = allowed_distance(term)
+    limit = allowed_distance(term) if limit is None else limit
     length = F.col("term_len") if "term_len" in terms.columns else F.length("term")
     near = terms.filter(length.between(len(term) - limit, len(term) + limit)).select("term").distinct()
     return (
@@ -84,26 +191,23 @@ def expand_fuzzy(terms: DataFrame, term) -> DataFrame:
 _WORDS = "grp int, word int, term string, boost double"
 
 
-def match_terms(index: Index, words):
-    """Index terms each word stands for → (DataFrame grp, word, term, boost; their list or None)."""
-    spark = index.terms.sparkSession
-    literal = [(w.grp, w.word, w.term, 1.0) for w in words if not w.fuzzy]
-    expanded = None
-    for w in (w for w in words if w.fuzzy):
-        more = expand_fuzzy(index.terms, w.term).select(
-            F.lit(w.grp).alias("grp"), F.lit(w.word).alias("word"), "term", "boost"
+def match_terms(index: Index, words) -> DataFrame:
+    """Index terms each word stands for: grp, word, term, boost."""
+    literal = [w for w in words if w.distance is None]
+    frames = []
+    if literal:
+        rows = F.array(
+            *(
+                F.struct(F.lit(w.grp).alias("grp"), F.lit(w.word).alias("word"), F.lit(w.term).alias("term"), F.lit(1.0).alias("boost"))
+                for w in literal
+            )
         )
-        expanded = more if expanded is None else expanded.unionByName(more)
-    if expanded is not None:
-        # Bounded look: either all expansions fit into literals, or none is taken.
-        few = expanded.limit(LITERAL_TERMS + 1).collect()
-        if len(few) <= LITERAL_TERMS:
-            literal += [tuple(r) for r in few]
-            expanded = None
-    matched = spark.createDataFrame(literal, _WORDS)
-    if expanded is not None:
-        return matched.unionByName(expanded), None
-    return matched, sorted({term for _, _, term, _ in literal})
+        frames.append(index.terms.sparkSession.range(1).select(F.inline(rows)))
+    for w in words:
+        if w.distance is not None:
+            near = expand_fuzzy(index.terms, w.term, w.distance)
+            frames.append(near.select(F.lit(w.grp).alias("grp"), F.lit(w.word).alias("word"), "term", "boost"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def bm25(tf, field_len, df, n_docs, avg_len) -> Column:
@@ -118,41 +222,51 @@ def score_hits(index: Index, terms, fields=None) -> DataFrame:
     groups add up. Everything about one URL meets in one shuffle by URL; the three
     aggregations after it reuse that partitioning.
     """
-    words = query_words(terms)
-    matched, literal = match_terms(index, words)
+    words, expressions = parse_query(terms)
+    matched = match_terms(index, words)
     postings, stats = index.postings, index.terms
     if fields is not None:
         postings = postings.filter(F.col("field").isin(list(fields)))
-    if literal is not None:
-        # All three small sides are bounded by the literal terms and the fields.
-        postings = postings.filter(F.col("term").isin(literal))
-        if "term_len" in stats.columns:
-            # The stored statistics are sorted by length first.
-            stats = stats.filter(F.col("term_len").isin(sorted({len(t) for t in literal})))
-        stats = stats.filter(F.col("term").isin(literal))
-        matched, stats = F.broadcast(matched), F.broadcast(stats.select("term", "field", "df"))
+    if "term_bucket" in postings.columns:
+        # At most BUCKETS numbers, whatever the number of terms: the scan reads these folders only.
+        buckets = matched.select(_bucket("term").alias("bucket")).distinct().collect()
+        postings = postings.filter(F.col("term_bucket").isin([r["bucket"] for r in buckets]))
     score = F.col("boost") * bm25(
         F.col("tf"), F.col("field_len"), F.col("df"), F.col("n_docs"), F.col("avg_len")
     )
+    if "term_len" in stats.columns:
+        # The stored statistics are sorted by length first.
+        spread = [(len(w.term), w.distance or 0) for w in words]
+        lengths = sorted({n for size, d in spread for n in range(size - d, size + d + 1)})
+        stats = stats.filter(F.col("term_len").isin(lengths))
+    # The terms' statistics first: they are as many as the terms, and Spark chooses how to join.
+    known = matched.join(stats.select("term", "field", "df"), "term").join(F.broadcast(index.fields), "field")
     scored = (
-        postings.join(matched, "term")
-        .join(stats.select("term", "field", "df"), ["term", "field"])
-        .join(F.broadcast(index.fields), "field")
+        postings.join(known, ["term", "field"])
         .select("url", "grp", "word", "field", score.alias("score"))
         .repartition("url")
     )
-    if any(w.fuzzy for w in words):
+    if any(w.distance is not None for w in words):
         # Of the terms one fuzzy word stands for, the best in the field counts.
         scored = scored.groupBy("url", "grp", "word", "field").agg(F.max("score").alias("score"))
-    groups = len({w.grp for w in words})
-    return (
+    excluded = sorted(set().union(*map(_excluded, expressions.values())))
+    counted = F.when(F.col("word").isin(excluded), 0.0).otherwise(F.col("score")) if excluded else F.col("score")
+    by_group = (
         scored.groupBy("url", "grp", "field")
-        .agg(F.sum("score").alias("score"))
+        .agg(F.sum(counted).alias("score"), F.collect_set("word").alias("words"))
         .groupBy("url", "grp")
-        .agg(F.max("score").alias("score"))
+        .agg(F.max("score").alias("score"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    )
+    holds = reduce(
+        lambda other, grp: F.when(F.col("grp") == grp, _holds(expressions[grp], F.col("words"))).otherwise(other),
+        expressions,
+        F.lit(False),
+    )
+    return (
+        by_group.filter(holds)
         .groupBy("url")
         .agg(F.sum("score").alias("score"), F.count("*").alias("n_groups"))
-        .filter(F.col("n_groups") == groups)
+        .filter(F.col("n_groups") == len(expressions))
         .select("url", F.round("score", 6).alias("score"))
     )
 

@@ -1,11 +1,12 @@
 """Captured responses → fragments, requests and the stored item table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.enrich import enrich
-from ..operators.filters import status_gate
+from ..operators.filters import digests, mark_unchanged, status_gate
 from ..operators.frontier import frontier
+from ..operators.generations import current, new_folder, put_in_force
 from ..operators.merge import drop_empty, drop_html, upsert_items
 from ..operators.route import DEFAULT_RULES, route
 from ..schema import FRAGMENT, REQUEST
@@ -35,12 +36,15 @@ PARSERS = {
 }
 PAGE_KINDS = CONTENT_KINDS + LINKED_KINDS
 KINDS = [*PARSERS, *PAGE_KINDS]
+ANSWERED = "source string, request_key string, digest string"
 SOURCES = ["github_stars", "gitlab_stars", "pocket", "twitter_favs"]
 
 
-def parse_responses(responses: DataFrame, sources=None, kinds=None) -> Parsed:
+def parse_responses(responses: DataFrame, sources=None, kinds=None, metadata=None) -> Parsed:
     """Run every parser on its kind of response; fragments come enriched.
 
+    ``metadata`` names a column of ``responses`` with ready page metadata.
+
     Each branch filters on ``kind``: over a table stored by source and kind it scans
     its own folder only, so all branches together read the table once. Page kinds
     share one branch, and only fragments that have a page are enriched.
@@ -52,9 +56,9 @@ def parse_responses(responses: DataFrame, sources=None, kinds=None) -> Parsed:
     parsed = {kind: PARSERS[kind](responses) for kind in kinds if kind in PARSERS}
     page_kinds = [k for k in kinds if k in PAGE_KINDS]
     if page_kinds:
-        parsed["pages"] = parse_pages(responses, page_kinds)
+        parsed["pages"] = parse_pages(responses, page_kinds, metadata)
     items = [
-        enrich(p.fragments) if name in ("pages", "gitlab_readme") else p.fragments
+        _enriched(p.fragments, metadata) if name in ("pages", "gitlab_readme") else p.fragments
         for name, p in parsed.items()
         if p.fragments is not None
     ]
@@ -66,14 +70,60 @@ def parse_responses(responses: DataFrame, sources=None, kinds=None) -> Parsed:
     )
 
 
+def _enriched(fragments, metadata):
+    return enrich(fragments, metadata if metadata in fragments.columns else None).select(*FRAGMENT.names)
+
+
 def storable(fragments: DataFrame) -> DataFrame:
     """The end of the item pipeline: drop the page, drop empty values."""
     return drop_empty(drop_html(fragments))
 
 
-def ingest(responses: DataFrame, index_path, sources=None, rules=None) -> DataFrame:
-    """Merge all items of ``responses`` into the stored table; return the new frontier."""
-    parsed = parse_responses(responses, sources)
+def read_answered(spark: SparkSession, path) -> DataFrame:
+    """(source, request_key, digest) of everything answered so far."""
+    folders = current(spark, f"{path}/answered")
+    if not folders:
+        return spark.createDataFrame([], ANSWERED)
+    return spark.read.schema(ANSWERED).parquet(*folders)
+
+
+def read_frontier(spark: SparkSession, path) -> DataFrame:
+    """Requests found so far that no response answers yet, each once."""
+    folders = current(spark, f"{path}/requests")
+    if not folders:
+        return spark.createDataFrame([], REQUEST)
+    return frontier(spark.read.schema(REQUEST).parquet(*folders), read_answered(spark, path))
+
+
+def _append(df: DataFrame, path):
+    folder = new_folder(path)
+    df.write.parquet(folder)
+    put_in_force(df.sparkSession, path, add=[folder])
+
+
+def store_requests(requests: DataFrame, crawl_path):
+    """Add routed requests to the stored ones; a repeat costs a row, and readers fold it."""
+    _append(frontier(requests), f"{crawl_path}/requests")
+
+
+def ingest(responses: DataFrame, index_path, sources=None, rules=None, crawl_path=None, kinds=None, metadata=None) -> DataFrame:
+    """Merge all items of ``responses`` into the stored table; return the new frontier.
+
+    With ``crawl_path`` the state of the crawl is kept there: responses whose body an earlier call
+    has seen are marked ``cached``, nothing is asked for that any call has answered, and the
+    frontier holds the open requests of all calls. ``metadata`` names a column of ``responses`` with
+    ready page metadata, to be used instead of the page's own.
+    """
+    spark = responses.sparkSession
+    answered = responses
+    if crawl_path is not None:
+        responses = mark_unchanged(responses, read_answered(spark, crawl_path))
+    parsed = parse_responses(responses, sources, kinds, metadata)
     upsert_items(storable(parsed.fragments), index_path)
     routed = route(parsed.requests, DEFAULT_RULES if rules is None else rules)
-    return frontier(routed, responses)
+    if crawl_path is None:
+        return frontier(routed, answered)
+    # Requests first, answers last: a call that fails between is repeated as a whole.
+    store_requests(routed, crawl_path)
+    _append(digests(answered), f"{crawl_path}/answered")
+    return read_frontier(spark, crawl_path)

@@ -1,5 +1,6 @@
 """Session settings and the shared work folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -26,14 +27,15 @@ def local_session(cores="*", **conf):
 
 
 def work_folder(spark, label):
-    """A fresh folder under the shared ``spark.checkpoint.dir``.
+    """A fresh folder under the shared ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the cluster names no such folder (tests on one machine) is a
-    temporary one made.
+    Only on one machine, where neither is named, is a temporary one made.
     """
     global _own_folder
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="bookmark-lake-")
         root = _own_folder

@@ -18,7 +18,7 @@ CONTENT_KINDS = ["github_readme", "gist_html", "pocket_page"]
 LINKED_KINDS = ["homepage", "tweet_page"]
 
 
-def parse_pages(responses: DataFrame, kinds=None) -> Parsed:
+def parse_pages(responses: DataFrame, kinds=None, metadata=None) -> Parsed:
     """Fetched pages of every kind → text and html, in one pass over the pages.
 
     Pages of known items complete them: their title is known. A home page becomes an
@@ -27,18 +27,15 @@ def parse_pages(responses: DataFrame, kinds=None) -> Parsed:
     """
     pages = processable(responses.filter(F.col("kind").isin(kinds or CONTENT_KINDS + LINKED_KINDS)))
     homepage, tweet_page = F.col("kind") == "homepage", F.col("kind") == "tweet_page"
-    return Parsed(
-        fragments(
-            pages,
-            url=F.when(homepage, F.col("final_url")).otherwise(_meta("url")),
-            name=F.when(homepage | tweet_page, non_empty(page_title("headers", "body"))),
-            repository_backlink=F.when(homepage, F.coalesce(_meta("github_url"), _meta("gitlab_url"))),
-            twitter_backlink=F.when(tweet_page, _meta("twitter_url")),
-            content=page_text("headers", "body"),
-            html=page_html("headers", "body"),
-        ),
-        None,
-    )
+    values = {
+        "url": F.when(homepage, F.col("final_url")).otherwise(_meta("url")),
+        "name": F.when(homepage | tweet_page, non_empty(page_title("headers", "body"))),
+        "repository_backlink": F.when(homepage, F.coalesce(_meta("github_url"), _meta("gitlab_url"))),
+        "twitter_backlink": F.when(tweet_page, _meta("twitter_url")),
+        "content": page_text("headers", "body"),
+        "html": page_html("headers", "body"),
+    }
+    return Parsed(fragments(pages, extra=[metadata] if metadata else [], **values), None)
 
 
 def parse_content(responses: DataFrame, kind) -> Parsed:

@@ -72,14 +72,15 @@ def as_responses(df: DataFrame, source, kind, **columns) -> DataFrame:
     )
 
 
-def fragments(df: DataFrame, pos=0, **values) -> DataFrame:
-    """FRAGMENT rows; columns not named are NULL. Needs ``source`` and ``seq`` in ``df``."""
+def fragments(df: DataFrame, pos=0, extra=(), **values) -> DataFrame:
+    """FRAGMENT rows and the ``extra`` columns; columns not named are NULL. Needs ``source`` and ``seq``."""
     values = {"source": F.col("source"), "seq": F.col("seq"), "pos": F.lit(pos) if isinstance(pos, int) else pos, **values}
     return df.select(
         *[
             values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in FRAGMENT.fields
-        ]
+        ],
+        *extra,
     )
 
 

@@ -1,44 +1,62 @@
 """Streaming ingest and frontier."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.frontier import KEYS
-from ..operators.merge import upsert_items
-from ..plans.ingest import parse_responses, storable
+from ..operators.merge import compact_items, upsert_items
+from ..plans.ingest import KINDS, ingest, store_requests
 
 
-def stream_fragments(fragments: DataFrame, index_path, checkpoint) -> DataStreamWriter:
+def stream_fragments(fragments: DataFrame, index_path, checkpoint, compact_every=None) -> DataStreamWriter:
     """Writer that merges arriving fragments into the stored item table.
 
-    Every micro-batch appends its own merged versions. A batch replayed after a
-    failure adds versions that are there already, and the merge is idempotent, so
-    nothing has to remember which batches were applied.
+    Every micro-batch adds its own merged versions. A batch replayed after a failure adds versions
+    that are there already, and the merge is idempotent, so nothing has to remember which batches
+    were applied. After every ``compact_every`` batches the stored ones are folded.
     """
-    return fragments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: upsert_items(batch, index_path)
-    )
+
+    def apply(batch, number):
+        upsert_items(batch, index_path)
+        _compact(batch, number, index_path, compact_every)
+
+    return fragments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+
+
+def _compact(batch, number, index_path, compact_every):
+    if compact_every and (number + 1) % compact_every == 0:
+        compact_items(batch.sparkSession, index_path)
 
 
-def stream_ingest(responses: DataFrame, index_path, checkpoint, sources=None) -> DataStreamWriter:
-    """Writer that parses, enriches and merges arriving responses."""
-    def apply(batch, _):
+def stream_ingest(
+    responses: DataFrame, index_path, checkpoint, sources=None, crawl_path=None, rules=None, compact_every=None
+) -> DataStreamWriter:
+    """Writer that parses, enriches and merges arriving responses.
+
+    With ``crawl_path`` the requests they lead to are routed and stored as well, as the batch job
+    does; ``plans.ingest.read_frontier`` gives those still open.
+    """
+
+    def apply(batch, number):
         # Read once per kind present: kept for the time of the batch.
         batch.persist()
         try:
-            kinds = [r["kind"] for r in batch.select("kind").distinct().collect()]
-            parsed = parse_responses(batch, sources, kinds)
-            upsert_items(storable(parsed.fragments), index_path)
+            known = batch.filter(F.col("kind").isin(KINDS)).select("kind").distinct()
+            kinds = [r["kind"] for r in known.collect()]  # KINDS at most
+            ingest(batch, index_path, sources, rules, crawl_path, kinds)
         finally:
             batch.unpersist()
+        _compact(batch, number, index_path, compact_every)
 
     return responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
 
 
-def stream_frontier(requests: DataFrame, delay, time_column="fetched_at") -> DataFrame:
-    """Arriving requests, each (source, request_key) once within ``delay`` of event time.
+def stream_frontier(requests: DataFrame, crawl_path, checkpoint) -> DataStreamWriter:
+    """Writer that adds arriving routed requests to the stored ones.
 
-    State is dropped as the watermark passes. A repeat that comes later than the
-    delay is caught by the batch frontier, which knows all responses.
+    Each batch is folded by key before it is written, and ``plans.ingest.read_frontier`` folds
+    across batches: however late a request comes, it is there once, and no state grows.
     """
-    return requests.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(KEYS)
+    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, _: store_requests(batch, crawl_path)
+    )

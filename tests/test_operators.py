@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from bookmark_lake.operators.filters import mark_unchanged, processable
 from bookmark_lake.operators.frontier import frontier
-from bookmark_lake.operators.index import index_of, read_index, write_index
+from bookmark_lake.operators.generations import current, remove_obsolete
+from bookmark_lake.operators.index import index_of, read_index, tokens, write_index
 from bookmark_lake.operators.merge import (
     compact_items,
     drop_empty,
@@ -20,14 +21,14 @@ from bookmark_lake.operators.merge import (
 )
 from bookmark_lake.operators.present import present
 from bookmark_lake.operators.route import DEFAULT_RULES, Output, Rule, route
-from bookmark_lake.operators.search import edit_distance, score_hits, search
+from bookmark_lake.operators.search import edit_distance, parse_query, score_hits, search
 from bookmark_lake.plans.ingest import ingest, parse_responses
 from bookmark_lake.schema import FRAGMENT, REQUEST, RESPONSE
 
 NO_MATCH = Rule("a", r"^http://never/", (Output("x", "http://x/"),))
-TWO = Rule("a", r"^http://example\.com", (Output("b2", "http://different.example.com/2"), Output("b3", "http://different.example.com/3")))
-FIRST = Rule("p1", r"^http://example\.com", (Output("f", "http://different.example.com/first"),))
-SECOND = Rule("p2", r"^http://example\.com", (Output("s", "http://different.example.com/second"), Output("s", "http://different.example.com/more_second")))
+TWO = Rule("a", r"^http://example\.com", (Output("b2", "https://mirror.example.org/b"), Output("b3", "https://mirror.example.org/c")))
+FIRST = Rule("p1", r"^http://example\.com", (Output("f", "https://one.example.org/start"),))
+SECOND = Rule("p2", r"^http://example\.com", (Output("s", "https://two.example.org/left"), Output("s", "https://two.example.org/right")))
 
 
 def requests_of(spark, *rows):
@@ -45,11 +46,11 @@ def test_route(spark):
     assert routed(spark, [NO_MATCH])[0] == ["http://example.com"]
     assert routed(spark, [])[0] == ["http://example.com"]
     urls, rows = routed(spark, [TWO])
-    assert urls == ["http://different.example.com/2", "http://different.example.com/3"]
+    assert urls == ["https://mirror.example.org/b", "https://mirror.example.org/c"]
     assert [r["kind"] for r in rows] == ["b2", "b3"]
-    assert routed(spark, [NO_MATCH, FIRST, SECOND])[0] == ["http://different.example.com/first"]
+    assert routed(spark, [NO_MATCH, FIRST, SECOND])[0] == ["https://one.example.org/start"]
     assert routed(spark, [FIRST, SECOND], source="p1")[0] == [
-        "http://different.example.com/second", "http://different.example.com/more_second",
+        "https://two.example.org/left", "https://two.example.org/right",
     ]
 
 
@@ -238,7 +239,7 @@ def brute_force(groups):
     docs = {}
     for url, name, content, tags in ITEMS:
         for field, value in (("url", url), ("name", name), ("content", content), ("pocket_tags", " ".join(tags or []))):
-            words = re.findall(r"[^\W_]+", value.lower())
+            words = re.findall(r"\w+", value.lower())
             if words:
                 docs[url, field] = Counter(words)
     scores = {}
@@ -284,12 +285,80 @@ def test_fuzzy(spark):
     assert urls("x~") == {"u5"}
 
 
-def test_many_expansions_are_joined(spark, monkeypatch):
-    import bookmark_lake.operators.search as module
+@pytest.mark.parametrize(
+    "query, expected",
+    [
+        ("spark AND fast", "spark & fast"),
+        ("spark NOT fast", "spark - fast"),
+        ("spark -fast", "spark - fast"),
+        ("+spark fast", "spark"),
+        ("(spark AND fast) OR data", "spark & fast | data"),
+        ("data AND NOT (spark OR fast)", "data - spark - fast"),
+    ],
+)
+def test_boolean_queries(spark, query, expected):
+    index = index_of(items_of(spark))
+    urls = lambda word: {r["url"] for r in score_hits(index, [word]).collect()}
+    want = eval(expected, {w: urls(w) for w in ("spark", "fast", "data")})
+    assert {r["url"] for r in score_hits(index, [query]).collect()} == want
 
-    few = {tuple(r) for r in score_hits(index_of(items_of(spark)), ["sprak~", "fast"]).collect()}
-    monkeypatch.setattr(module, "LITERAL_TERMS", 1)
-    assert {tuple(r) for r in score_hits(index_of(items_of(spark)), ["sprak~", "fast"]).collect()} == few
+
+@pytest.mark.parametrize(
+    "query", ['"fast spark"', "title:spark", "spa*", "s?ark", "spark^2", "[a TO b]", "a && b", "(spark", "spark)", "-spark", "AND", "x~3", "/s/"]
+)
+def test_other_syntax_is_refused(spark, query):
+    with pytest.raises(ValueError):
+        parse_query([query])
+
+
+def test_fuzzy_distances(spark):
+    words, _ = parse_query(["spark~1 spark~ spark"])
+    assert [(w.term, w.distance) for w in words] == [("spark", 1), ("spark", 1), ("spark", None)]
+
+
+def test_tokens(each):
+    raw = ["big_data _x __", "cafe\u0301s na\u0308ive", "日本語 ひらカタカナ漢a字", "don't a.b 3.5 a..b", "", None]
+    assert each(tokens("a"), raw) == [
+        ["big_data", "_x"], ["cafe\u0301s", "na\u0308ive"], ["日", "本", "語", "ひ", "ら", "カタカナ", "漢", "a", "字"],
+        ["don't", "a.b", "3.5", "a", "b"], [], None,
+    ]
+    for text, words in zip(raw[:4], each(tokens("a"), raw[:4]), strict=True):
+        assert [w.term for w in parse_query([text])[0]] == words
+
+
+def test_index_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path)
+    write_index(items_of(spark), path)
+    before = read_index(spark, path)
+    broken = items_of(spark).withColumn("content", F.raise_error(F.lit("stop")))
+    with pytest.raises(Exception, match="stop"):
+        write_index(broken, path)
+    assert {r["url"] for r in score_hits(read_index(spark, path), ["fast"]).collect()}
+    write_index(items_of(spark).filter("url = 'u1'"), path)
+    assert score_hits(before, ["spark"]).count() == 2  # readers of the old index go on
+    assert read_index(spark, path).postings.select("url").distinct().count() == 1
+    remove_obsolete(spark, path)
+    assert len(current(spark, path)) == 1
+
+
+def one_fragment(spark, seq, url="u", **values):
+    row = {f.name: None for f in FRAGMENT.fields} | {"url": url, "seq": seq, "pos": 0, "source": "s"} | values
+    return spark.createDataFrame([tuple(row[f.name] for f in FRAGMENT.fields)], FRAGMENT)
+
+
+def test_writes_beside_compaction_and_rebuild_stay(spark, tmp_path):
+    path = str(tmp_path)
+    for seq in (1, 2):  # two first writers: neither looks at what the other does
+        upsert_items(one_fragment(spark, seq, f"first{seq}", name="n"), path)
+    before = current(spark, path)
+    upsert_items(one_fragment(spark, 3, "late", name="n"), path)
+    compact_items(spark, path, before)
+    assert {r["url"] for r in read_items(spark, path).collect()} == {"first1", "first2", "late"}
+    assert len(current(spark, path)) == 2
+    remove_obsolete(spark, path)
+    assert {r["url"] for r in read_items(spark, path).collect()} == {"first1", "first2", "late"}
+    rebuild_index(one_fragment(spark, 4, "new", name="n"), path)
+    assert {r["url"] for r in read_items(spark, path).collect()} == {"new"}
 
 
 def osa(a, b):
