@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..session import work_folder
 
-SLICE = 1 << 20
+SLICE = 512 << 10
 U64 = np.uint64
 
 _BASE = 0x9E3779B97F4A7C17  # odd, and 3 mod 4
@@ -125,6 +125,21 @@ def fields(ddl):
     return T._parse_datatype_string(ddl).fields
 
 
+#: Rows of texts that Spark and Python exchange at a time, where the session keeps Spark's default.
+BATCH_ROWS = 1000
+
+
+def small_batches(df):
+    """``df``, in a session that exchanges texts with Python in small batches.
+
+    Spark's default of 10,000 rows makes a batch of tens of MB of texts, held several times.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_texts(df, function, new, keep=None, text="text"):
     """``df`` with the columns ``function(slice)`` makes of each slice of rows.
 
@@ -136,7 +151,7 @@ def map_texts(df, function, new, keep=None, text="text"):
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     schema = T.StructType([df.schema[c] for c in keep] + made)
     # what Python gets is renamed, so that a table's own names cannot clash with the text's
-    inner = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
+    inner = small_batches(df).select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
 
     def run(batches):
         for part in slices(batches):
@@ -152,7 +167,7 @@ def text_total(df, text="text"):
 
 def shard_count(df, each=32 << 20, text="text"):
     """Shards for a shuffle of a table of texts: more with the text, so that one fits into a task."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(small_batches(df).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(text_total(df, text) / each))
 
 
@@ -261,7 +276,7 @@ def sieve(ids: DataFrame):
                 likely = pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], likely], names=schema.names)
 
-        return df.select("*", at).mapInArrow(run, schema)
+        return small_batches(df).select("*", at).mapInArrow(run, schema)
 
     return marked
 

@@ -102,8 +102,7 @@ def op5(spark, sf_dir):
 @check("op6_pieces")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    decoded = pieces.decode(pieces.encode(docs))
-    return decoded.select(
+    return pieces.encode(docs, decoded=True).select(
         "doc_id",
         "n_pieces",
         F.xxhash64("ids").alias("ids_hash"),

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import BYTE_CODE, U64, Hashes, Lookup, expand, fields, map_texts, mix, rows_of, runs, text_bytes
 
@@ -210,11 +211,14 @@ def decode_ids(ids, counts, vocabulary):
     return pa.LargeStringArray.from_buffers(len(counts), *buffers[1:]).cast(pa.string())
 
 
-def encode(docs: DataFrame, keep=None, model=MODEL, sharpness=1.0, seed=0) -> DataFrame:
-    """Rows of ``docs`` with n_pieces and ids, sampled by the row's doc_id and ``seed``."""
+def encode(docs: DataFrame, keep=None, model=MODEL, sharpness=1.0, seed=0, decoded=False) -> DataFrame:
+    """Rows of ``docs`` with n_pieces and ids, sampled by the row's doc_id and ``seed``.
+
+    With ``decoded`` the ids are also decoded again in the same pass, into a column of that name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
     keep = list(docs.columns if keep is None else keep)
-    new = "n_pieces long, ids array<int>"
+    new = "n_pieces long, ids array<int>" + ", decoded string" * decoded
     names = [f.name for f in fields(new)]
     stay = [c for c in keep if c.lower() not in names]
     keyed = docs.withColumn("piece_seed", F.xxhash64(F.lit(seed), F.col("doc_id")))
@@ -226,26 +230,31 @@ def encode(docs: DataFrame, keep=None, model=MODEL, sharpness=1.0, seed=0) -> Da
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         nulls = column.is_null()
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=nulls if column.null_count else None)
-        return [pa.array(counts.astype(np.int64)), lists]
+        made = [pa.array(counts.astype(np.int64)), lists]
+        if decoded:
+            made.append(_decoded(lists, shared.value))
+        return made
 
     out = map_texts(keyed, run, new, [*stay, "piece_seed"])
     return out.select(*(F.col(f"`{c}`") for c in stay), *names)
 
 
+def _decoded(lists, vocabulary):
+    counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    text = decode_ids(np.asarray(lists.flatten(), np.int64), counts, vocabulary)
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), text) if lists.null_count else text
+
+
 def decode(encoded: DataFrame, model=MODEL) -> DataFrame:
     """``encoded`` (ids, ...) with decoded, the text of the ids; null for null ids."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
     keep = [c for c in encoded.columns if c.lower() != "decoded"]
     place = keep.index("ids")
-    schema = encoded.select(*(F.col(f"`{c}`") for c in keep), F.lit("").alias("decoded")).schema
+    schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("decoded", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(place)
-            counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            text = decode_ids(np.asarray(lists.flatten(), np.int64), counts, shared.value)
-            if lists.null_count:
-                text = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), text)
+            text = _decoded(batch.column(place), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=schema.names)
 
     return encoded.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)

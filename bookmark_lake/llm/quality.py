@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, LOWER, U64, Hashes, counts_of, map_texts, mix, rows_of, slices, text_bytes
+from .arrays import BYTE_CODE, LOWER, U64, Hashes, counts_of, map_texts, mix, rows_of, slices, small_batches, text_bytes
 
 #: Buckets of words; the upper half is for words of capitals.
 BUCKETS = 1 << 15
@@ -85,7 +85,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
         return pa.Table.from_arrays(arrays, names=["part", "sums"])
 
     schema = "part int, sums binary"
-    parts = texts.select("text").mapInArrow(sums, schema)
+    parts = small_batches(texts).select("text").mapInArrow(sums, schema)
     parts = parts.withColumn("salt", F.spark_partition_id() % SALTS)
     parts = parts.groupBy("part", "salt").applyInArrow(added, schema).groupBy("part").applyInArrow(added, schema)
     vectors = np.zeros((BUCKETS // ROWS, ROWS * DIMENSIONS), np.float32)

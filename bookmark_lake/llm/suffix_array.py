@@ -308,10 +308,10 @@ def remove_repeats(docs: DataFrame, size=400, keep=None) -> DataFrame:
     new = "n_bytes long, n_removed long, n_spans long, kept binary"
     names = [f.name for f in fields(new)]
     stay = [c for c in keep if c.lower() not in names]
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), *(F.col(f"`{c}`") for c in stay if c != "text"), "text")
-    spans = repeats(texts.select("row_key", "text"), size).groupBy(F.col("row_key").alias("span_row"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("repeat_row"), *(F.col(f"`{c}`") for c in stay if c != "text"), "text")
+    spans = repeats(texts.select(F.col("repeat_row").alias("row_key"), "text"), size).groupBy(F.col("row_key").alias("span_row"))
     spans = spans.agg(F.collect_list(F.struct("low", "high")).alias("repeat_spans"))
-    joined = texts.join(spans.hint("shuffle_hash"), F.col("row_key") == F.col("span_row"), "left")
+    joined = texts.join(spans.hint("shuffle_hash"), F.col("repeat_row") == F.col("span_row"), "left")
 
     def cut(part):
         span = part.column(part.num_columns - 2)

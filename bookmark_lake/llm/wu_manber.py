@@ -182,15 +182,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, length=10, keep=None,
     keep = list(docs.columns if keep is None else keep)
     kept = [c for c in keep if c.lower() not in {f.name for f in fields(FOUND)}]
     # each block's hits are the rows of one pass; rows are told apart by doc_id and text
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    hits = [scan(keyed, b, ["row_key"]).filter("n_hit > 0").select("row_key", "spans", "items") for b in range(n_blocks)]
-    merged = reduce(DataFrame.unionByName, hits).groupBy("row_key").agg(
+    keyed = docs.withColumn("benchmark_row", F.xxhash64("doc_id", "text"))
+    hits = [scan(keyed, b, ["benchmark_row"]).filter("n_hit > 0").select("benchmark_row", "spans", "items") for b in range(n_blocks)]
+    merged = reduce(DataFrame.unionByName, hits).groupBy("benchmark_row").agg(
         F.flatten(F.collect_set("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    counted = map_texts(keyed, lambda rows: [_word_counts(rows)], "n_words long", [*kept, "row_key"])
+    counted = map_texts(keyed, lambda rows: [_word_counts(rows)], "n_words long", [*kept, "benchmark_row"])
     hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
-    return counted.join(merged, "row_key", "left").select(
+    return counted.join(merged, "benchmark_row", "left").select(
         *(F.col(f"`{c}`") for c in kept),
         "n_words",
         F.coalesce(F.size(F.array_distinct(hit)), F.lit(0)).cast("long").alias("n_hit"),
