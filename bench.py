@@ -49,6 +49,7 @@ def jobs(spark, sf_dir):
         "search_fuzzy": found(["retitionign~"]),
         "page_text_enrich": page_items,
         "page_links": lambda: sink(pages.select("page_id", F.explode(html_links("html", "url")))),
+        "merge_texts": lambda: sink(merge_index(T.text_fragments(spark, sf_dir))),
         "merge_events": lambda: sink(merge_index(T.event_fragments(spark, sf_dir))),
         "route_pages": lambda: sink(route(T.page_requests(spark, sf_dir), T.PAGE_RULES)),
     }

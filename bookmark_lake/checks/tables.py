@@ -41,6 +41,24 @@ def event_fragments(spark, sf_dir):
     )
 
 
+def text_fragments(spark, sf_dir):
+    """Documents as fragments with long texts, ten for each URL."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("source"), F.col("doc_id").alias("seq"), "text", "lang"
+    )
+    url = F.concat(F.lit("doc/"), F.floor(F.col("seq") / 10).cast("string"))
+    return fragments(docs, url=url, name=F.col("lang"), content=F.col("text"))
+
+
+@check(
+    "merge_texts",
+    "SELECT 'doc/' || (doc_id // 10) AS url, max_by(lang, doc_id) FILTER (WHERE lang <> '') AS name, "
+    "max_by(text, doc_id) FILTER (WHERE text <> '') AS content FROM documents GROUP BY doc_id // 10",
+)
+def merge_texts(spark, sf_dir):
+    return merge_index(text_fragments(spark, sf_dir)).select("url", "name", "content")
+
+
 def flat_items(items):
     return items.select(
         "url", "name", "description", "content", joined("pocket_tags").alias("pocket_tags")

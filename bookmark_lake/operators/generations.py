@@ -47,5 +47,10 @@ def remove_obsolete(spark: SparkSession, path):
     """Delete the folders that were replaced; readers that started before must have ended."""
     for r in _logged(spark, path):
         if not r["in_force"]:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/data/{r['folder']}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            delete(spark, f"{path}/data/{r['folder']}")
+
+
+def delete(spark: SparkSession, folder):
+    """Delete a folder in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import col, let
 from ..schema import ITEM_ARRAYS
-from .generations import current, new_folder, put_in_force
+from .generations import current, delete, new_folder, put_in_force
 
 # Words: letters and digits with their combining marks and underscores, joined by single
 # dots or apostrophes inside; each Han or Hiragana sign is a word by itself. Possessive
@@ -169,6 +169,7 @@ def write_index(items: DataFrame, path, fields=None, stems: DataFrame = None):
         .write.parquet(f"{folder}/fields")
     )
     put_in_force(spark, path, add=[folder], remove=current(spark, path))
+    delete(spark, f"{folder}/unsorted")
 
 
 def read_index(spark: SparkSession, path) -> Index:

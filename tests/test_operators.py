@@ -22,8 +22,9 @@ from bookmark_lake.operators.merge import (
 from bookmark_lake.operators.present import present
 from bookmark_lake.operators.route import DEFAULT_RULES, Output, Rule, route
 from bookmark_lake.operators.search import edit_distance, parse_query, score_hits, search
-from bookmark_lake.plans.ingest import ingest, parse_responses
+from bookmark_lake.plans.ingest import ingest, parse_responses, read_answered, read_frontier
 from bookmark_lake.schema import FRAGMENT, REQUEST, RESPONSE
+from bookmark_lake.streaming.ingest import stream_ingest
 
 NO_MATCH = Rule("a", r"^http://never/", (Output("x", "http://x/"),))
 TWO = Rule("a", r"^http://example\.com", (Output("b2", "https://mirror.example.org/b"), Output("b3", "https://mirror.example.org/c")))
@@ -216,6 +217,47 @@ def test_ingest(spark, tmp_path):
     }
 
 
+def test_ingest_knows_earlier_calls(spark, tmp_path):
+    items, crawl = str(tmp_path / "items"), str(tmp_path / "crawl")
+    frame = lambda rows: spark.createDataFrame(rows, RESPONSE)
+    first = {(r["source"], r["url"]) for r in ingest(frame(RESPONSES), items, crawl_path=crawl).collect()}
+    asked = read_frontier(spark, crawl).filter("url = 'https://l.com/2'").first()
+    answer = response(20, "tweet_page", "twitter_favs", "<title>M</title><body>more</body>", headers={"Content-Type": "text/html"},
+                      meta={"url": "https://l.com/2", "twitter_url": "https://twitter.com/u/status/5"})
+    answer = tuple(asked["request_key"] if f.name == "request_key" else v for f, v in zip(RESPONSE.fields, answer, strict=True))
+    # the same posts again ask for the same pages, one of which is answered now
+    left = {(r["source"], r["url"]) for r in ingest(frame([answer, RESPONSES[5]]), items, crawl_path=crawl).collect()}
+    assert left == first - {("twitter_favs", "https://l.com/2")}
+    assert merged(read_items(spark, items))["https://l.com/2"]["content"] == "more"
+    again = ingest(frame([RESPONSES[5]]), items, crawl_path=crawl)
+    assert {(r["source"], r["url"]) for r in again.collect()} == left
+    seen = mark_unchanged(frame([answer]), read_answered(spark, crawl)).first()
+    assert seen["flags"] == ["cached"]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    responses = spark.createDataFrame(RESPONSES, RESPONSE)
+    batch = ingest(responses, at("items"), crawl_path=at("crawl"))
+    responses.repartition(5, "seq").write.parquet(at("in"))
+    arriving = spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", 2).parquet(at("in"))
+    writer = stream_ingest(arriving, at("items2"), at("checkpoint"), crawl_path=at("crawl2"), compact_every=2)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = lambda df: sorted(map(str, df.select("source", "kind", "url", "request_key").collect()))
+    assert rows(read_frontier(spark, at("crawl2"))) == rows(batch)
+    assert merged(read_items(spark, at("items2"))) == merged(read_items(spark, at("items")))
+
+
+def test_supplied_metadata_reaches_the_items(spark, tmp_path):
+    page = response(1, "pocket_page", "pocket", "<body>x</body>", headers={"Content-Type": "text/html"}, meta={"url": "http://a.com/"})
+    pages = spark.createDataFrame([page], RESPONSE).withColumn(
+        "ready", F.expr("named_struct('json_ld', array(parse_json('{\"keywords\": \"k\"}')), 'rdfa', cast(array() AS array<struct<key:string,value:string>>), "
+                        "'microdata', cast(null AS map<string,variant>), 'opengraph', cast(null AS map<string,variant>), 'broken', false)")
+    )
+    ingest(pages, str(tmp_path / "items"), metadata="ready")
+    assert merged(read_items(spark, str(tmp_path / "items")))["http://a.com/"]["article_tags"] == ["k"]
+
+
 def test_ingest_one_source(spark):
     parsed = parse_responses(spark.createDataFrame(RESPONSES, RESPONSE), sources=["pocket"])
     assert {r["source"] for r in parsed.fragments.collect()} == {"pocket"}
