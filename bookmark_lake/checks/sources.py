@@ -31,6 +31,7 @@ TEXT_TYPE = "CASE WHEN p_size < 5 THEN 'text/plain' WHEN p_size < 8 THEN 'image/
 PAGE_TEXT = f"CASE WHEN p_size < 5 THEN {HTML} WHEN p_size < 8 THEN NULL ELSE {HTML_TEXT} END"
 PAGE_NAME = f"CASE WHEN p_size >= 8 THEN {HTML_TITLE} END"
 
+# Headers and addresses of the services.
 GITHUB_HEADERS = {"Accept": "'application/vnd.github+json'", "X-GitHub-Api-Version": "'2022-11-28'"}
 
 
@@ -76,6 +77,7 @@ def src_responses(spark, sf_dir):
     )
 
 
+# Fixed value: the address.
 STAR_API = f"concat('https://api.github.com/repos/', {BRAND}, '/', {KEY})"
 STAR_HTML = f"concat('https://github.com/', {BRAND}, '/', {KEY})"
 STARS_BODY = (
@@ -111,6 +113,7 @@ def github_stars(spark, sf_dir):
     ))
 
 
+# Fixed value: the address.
 GIST_API = f"concat('https://api.github.com/gists/', {KEY})"
 GIST_HTML = f"concat('https://gist.github.com/', {BRAND}, '/', {KEY})"
 

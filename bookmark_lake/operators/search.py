@@ -14,6 +14,9 @@ RESULTS = 30
 K1, B = 1.2, 0.75
 FUZZY_ONE_FROM, FUZZY_TWO_FROM = 2, 6
 
+# Rows are ranked in one task, so a caller may ask for this many at most.
+MOST_RESULTS = 10_000
+
 # The words of the index (index.WORD), with the fuzzy sign and its distance.
 _SIGN = r"[\p{Han}\p{Hiragana}]"
 _PART = rf"_*(?!{_SIGN})[\p{{L}}\p{{N}}](?:(?!{_SIGN})[\p{{L}}\p{{M}}\p{{N}}_])*+"
@@ -301,6 +304,8 @@ def total_hits(hits: DataFrame) -> DataFrame:
 
 def search(index: Index, terms, fields=None, size=RESULTS) -> DataFrame:
     """rank, url, score, is_standout, total_hits of the best ``size`` hits."""
+    if not 0 < size <= MOST_RESULTS:
+        raise ValueError(f"a search returns 1 to {MOST_RESULTS} rows, ranked in one task")
     hits = score_hits(index, terms, fields)
     top = top_hits(hits, size).withColumn("total_hits", total_hits(hits).scalar())
     return with_standout(top)
