@@ -511,7 +511,7 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     n_rows = rows.count()
     often = sizes.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") >= max(8, n_rows * FREQUENT_SHARE)).orderBy(F.desc("n"), "id").limit(FREQUENT_MOST)
-    often = np.array([r["id"] for r in often.select("id").collect()], np.int64).view(U64)
+    often = np.asarray(often.select("id").toArrow().column("id"), np.int64).view(U64)
     frequent = spark.sparkContext.broadcast(Lookup(np.sort(often)))
 
     blocks = _entries(docs, shards, frequent, boundary, rule, size)

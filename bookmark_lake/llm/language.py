@@ -143,15 +143,17 @@ def _counted(docs, n_langs, shards):
 class Model:
     """Known words and n-grams with their log frequencies by language."""
 
-    def __init__(self, langs, word_rows, gram_rows):
+    def __init__(self, langs, words=None, grams=None):
+        """``words`` and ``grams`` are Arrow tables of (key, counts by language)."""
         self.langs = langs
-        self.words, self.word_score = self._table(word_rows)
-        self.grams, self.gram_score = self._table(gram_rows)
-
-    def _table(self, rows):
-        keys = np.array([r["key"] for r in rows], np.int64).view(U64)
-        counts = np.array([r["counts"] for r in rows], np.float64).reshape(len(rows), len(self.langs))
-        share = (counts + 0.1) / (counts.sum(axis=0) + 0.1 * max(len(rows), 1))
+        if langs:
+            self.words, self.word_score = self._table(words)
+            self.grams, self.gram_score = self._table(grams)
+
+    def _table(self, table):
+        keys = np.asarray(table.column("key"), np.int64).view(U64)
+        counts = np.asarray(table.column("counts").combine_chunks().flatten(), np.float64).reshape(len(keys), len(self.langs))
+        share = (counts + 0.1) / (counts.sum(axis=0) + 0.1 * max(len(keys), 1))
         order = np.argsort(keys)
         return Lookup(keys[order]), np.log(share[order])
 
@@ -207,7 +209,7 @@ def train(docs: DataFrame) -> Model:
     if len(langs) > 256:
         raise ValueError("more than 256 languages")
     if not langs:
-        return Model([], [], [])
+        return Model([])
     index = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1
     texts = docs.select(index.alias("lang_index"), "text")
     counted = _counted(texts, len(langs), shard_count(texts))
@@ -215,7 +217,7 @@ def train(docs: DataFrame) -> Model:
     counted = counted.withColumn("total", total)
     counted = stored(counted, "language_counts")
     best = [
-        counted.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).select("key", "counts").collect()
+        counted.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).select("key", "counts").toArrow()
         for kind, most in ((0, WORDS), (1, GRAMS))
     ]
     return Model(langs, *best)

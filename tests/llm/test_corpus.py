@@ -397,7 +397,7 @@ def test_pieces_are_sampled_by_weight(spark):
 
 
 def test_language_edges(spark):
-    model = language.Model([], [], [])
+    model = language.Model([])
     assert rows_of(language.identify(frame(spark, EDGE), model), "lang_pred", "score") == [("und", 0.0)] * len(EDGE)
     train = spark.createDataFrame([("a b c the cat", "en"), ("le chat noir", "fr"), (None, "en"), ("x", None)] * 5, "text string, lang string")
     model = language.train(train)
