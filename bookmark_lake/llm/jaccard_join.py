@@ -65,7 +65,7 @@ NEAR = 3
 PAIRS_AT_ONCE = 20_000
 PORTION = 1_000_000
 #: Partners a set is compared with in a round, and rounds before all pairs still apart are named.
-PARTNERS, ROUNDS = 3, 2
+PARTNERS, ROUNDS = 3, 3
 
 _POSTING, _SUBSET = 0, 1  # what a block holds
 _PAIR, _NEAR, _LONG, _LINK = 0, 1, 2, 3  # what a shard finds
@@ -417,6 +417,16 @@ def _verified(pairs, docs, classes, rule, size):
     return stored(linked, "jaccard_links")
 
 
+def _mixed(table):
+    """The entries of lists whose sets are not yet one group."""
+    token, label = np.asarray(table.column("token")), np.asarray(table.column("label"))
+    order = np.lexsort((label, token))
+    start, count = runs(token[order])
+    whole = label[order][start] == label[order][start + count - 1]
+    keep = order[np.repeat(~whole, count)]
+    return table.select(["token", "id", "n", "pos"]).take(pa.array(keep))
+
+
 def _in_round(turn, boundary, rule):
     return lambda table: _neighbours(table, boundary, rule, turn)
 
@@ -523,7 +533,7 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
         for batch in batches:
             yield from _dealt(*(np.asarray(c) for c in batch.columns), shards)
 
-    def labelled(labels):
+    def labelled(lists, labels):
         own = _labelled(lists, labels, "id").withColumnRenamed("id_label", "label")
         return own.withColumn("shard", F.pmod("token", F.lit(shards))).groupBy("shard")
 
@@ -541,15 +551,19 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     links = verified(tested.selectExpr("x", "y", "x AS x_label", "y AS y_label"))
     links = links.unionByName(found.filter(F.col("kind") == _LINK).select("x", "y"))
     labels = stored(components(links), "labels")
+    # most lists are of one group by now and have nothing more to tell
+    kinds = "token long, id long, n int, pos int"
+    lists = stored(labelled(lists, labels).applyInArrow(_mixed, kinds), "jaccard_lists")
     for turn in range(1, ROUNDS + 1):
-        named = labelled(labels).applyInArrow(_in_round(turn, boundary, rule), "x long, y long, votes long, need long")
+        named = labelled(lists, labels).applyInArrow(_in_round(turn, boundary, rule), "x long, y long, votes long, need long")
         further = best(named, tested)
         tested = tested.unionByName(further)
         labels = _merged(labels, verified(_apart(further, labels)))
 
     # then every pair of the lists that no link connects yet and that shares enough of the prefixes
-    across = labelled(labels).applyInArrow(lambda table: _across(table, boundary, rule, shards), BLOCKS)
-    short = found.filter(F.col("kind") == _PAIR).select("x", "y", "a", "b").mapInArrow(of_short, BLOCKS)
+    across = labelled(lists, labels).applyInArrow(lambda table: _across(table, boundary, rule, shards), BLOCKS)
+    short = _apart(found.filter(F.col("kind") == _PAIR).select("x", "y", "a", "b"), labels)
+    short = short.select("x", "y", "a", "b").mapInArrow(of_short, BLOCKS)
     named = across.unionByName(short).groupBy("shard").applyInArrow(_named, "x long, y long")
     rest = stored(_apart(named.join(tested, ["x", "y"], "left_anti"), labels), "jaccard_rest")
     labels = _merged(labels, verified(rest))
