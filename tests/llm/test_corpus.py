@@ -347,6 +347,35 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, []), None).count() == 0
 
 
+def test_short_secrets(spark):
+    rng = random.Random(10)
+    value = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefghijkmnopqrstuvwxyz") for _ in range(n))
+    plain = lambda: " ".join(rng.choice(["running", "through", "meadows", "quietly", "the"]) + rng.choice(WORD) for _ in range(9))
+    rows = [(i, f"{plain()} token={value(rng.randrange(6, 16))} {plain()}") for i in range(300)]
+    keys = [value(n) for n in (8, 10, 12, 15) for _ in range(10)]
+    network = secrets.train(frame(spark, rows))
+    docs = frame(spark, [(i, f"{plain()} pwd: {k} {plain()}") for i, k in enumerate(keys)])
+    measured = network.recall == network.recall
+    assert measured.any() and (network.recall[measured] >= secrets.RECALL).all()
+    got = {r["doc_id"]: {r["text"][a:b] for _, a, b in r["spans"]} for r in secrets.scan(docs, network).collect()}
+    assert sum(k in got[i] for i, k in enumerate(keys)) >= 0.8 * len(keys)
+
+
+def test_every_run_is_scored():
+    data, offsets = secrets.text_bytes(secrets.pa.array(["pwd is QWERTYUI or 83629174", "hunter or abcde", None]))
+    start, end, row = secrets._runs(data, offsets)
+    assert [data[a:b].tobytes() for a, b in zip(start, end, strict=True)] == [b"QWERTYUI", b"83629174", b"hunter"]
+
+
+def test_threshold_keeps_recall():
+    rng = secrets.np.random.default_rng(1)
+    windows = rng.integers(2, 97, (900, secrets.WIDTH)).astype(secrets.np.uint8)
+    windows[:, secrets.BEFORE : secrets.BEFORE + 12] |= 128
+    label = (rng.random(900) < 0.4).astype(int)  # labels that nothing tells: no value is sure
+    network = secrets.Network(windows, label, secrets.np.full(900, 2), secrets.np.arange(900))
+    assert network.recall[2] >= secrets.RECALL and network.threshold[2] < 0.9 and network.precision[2] < 0.6
+
+
 # op6
 
 
