@@ -7,8 +7,9 @@ language has the greatest mean score of its words; its probability is calibrated
 words of one text are not independent.
 
 A null text, or one without a letter, is ``und`` with score 0, as are all texts if nothing was
-learned. Ties go to the first language by name. Counts cover all training rows; the model keeps the
-most frequent ``WORDS`` words and ``GRAMS`` n-grams, which bounds what is sent to the tasks.
+learned. Ties go to the first language by name. Counts cover all training rows. The model keeps the same number of words and of n-grams for each
+language, its own most frequent ones with their counts in all languages, so that a language with
+few rows keeps as many as one with most; that bounds what is sent to the tasks.
 """
 
 import numpy as np
@@ -40,6 +41,7 @@ from .arrays import (
 )
 
 LONGEST = 4
+#: Words and n-grams kept for each of up to 4 languages; see ``_each``.
 WORDS, GRAMS = 100_000, 100_000
 #: A word or n-gram is known from so many occurrences on.
 LEAST = 3
@@ -202,6 +204,23 @@ class Model:
         return plain
 
 
+def _each(most, n_langs):
+    """How many are kept for each language: the model has a number for each and language, so fewer beyond 4."""
+    return max(most // n_langs, min(most, 16 * most // n_langs**2))
+
+
+def _most_frequent(counted, kind, most, n_langs):
+    """Arrow table of (key, counts): the keys that are among the ``most`` most frequent of any language."""
+    own = counted.filter(F.col("kind") == kind)
+    tables = []
+    for k in range(n_langs):
+        count = F.col("counts")[k]
+        tables.append(own.filter(count > 0).orderBy(F.desc(count), "key").limit(most).select("key", "counts").toArrow())
+    table = pa.concat_tables(tables).combine_chunks()
+    _, first = np.unique(np.asarray(table.column("key"), np.int64), return_index=True)
+    return table.take(pa.array(first))
+
+
 def train(docs: DataFrame) -> Model:
     """Learn from all rows of ``docs`` (text, lang) with a language."""
     docs = docs.filter("lang is not null")
@@ -213,14 +232,9 @@ def train(docs: DataFrame) -> Model:
     index = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1
     texts = docs.select(index.alias("lang_index"), "text")
     counted = _counted(texts, len(langs), shard_count(texts))
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    counted = counted.withColumn("total", total)
     counted = stored(counted, "language_counts")
-    best = [
-        counted.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).select("key", "counts").toArrow()
-        for kind, most in ((0, WORDS), (1, GRAMS))
-    ]
-    return Model(langs, *best)
+    n = len(langs)
+    return Model(langs, *(_most_frequent(counted, kind, _each(most, n), n) for kind, most in ((0, WORDS), (1, GRAMS))))
 
 
 def identify(docs: DataFrame, model: Model, keep=None) -> DataFrame:

@@ -439,6 +439,18 @@ def test_language_edges(spark):
     assert language.identify(frame(spark, []), model).count() == 0
 
 
+def test_language_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 60)
+    monkeypatch.setattr(language, "GRAMS", 60)
+    rng = random.Random(11)
+    large, small = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)], [f"{a}{b}{c}" for a in "pq" for b in "rs" for c in "tuvw"]
+    text = lambda own: " ".join(rng.choice(own) for _ in range(30))
+    rows = [(text(large), "aa") for _ in range(990)] + [(text(small), "zz") for _ in range(10)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    got = language.identify(frame(spark, [(i, text(small)) for i in range(20)]), model).collect()
+    assert {r["lang_pred"] for r in got} == {"zz"}
+
+
 @given
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/sf0.01/documents.parquet").select("doc_id", "lang")
