@@ -12,8 +12,11 @@ Before the shuffle a task factors its own texts against each other: a window tha
 the same task is a duplicate for certain and is not sent. A passage in a third of all documents
 thus reaches its block once per task.
 
-Windows are compared by 64-bit hash inside a task and, in a block, by the anchor's 64 bits plus 40
-bits of the window. A null text has no words. Rows of equal doc_id and position count as one
+An anchor that many windows have, such as a phrase in a third of all documents with different text
+around it, would bring them all to one block. Such anchors are counted first; their windows are
+dealt by their own hash, over all blocks.
+
+Windows are compared by their 64-bit hash, inside a task and in a block. A null text has no words. Rows of equal doc_id and position count as one
 occurrence, so an exactly repeated row does not delete itself; all rows of a doc_id lose the same
 word positions. Rows with a null doc_id come last in the order.
 """
@@ -48,7 +51,8 @@ from .arrays import (
 ANCHOR = 8
 #: A task factors its texts against each other in portions of so many words.
 PORTION = 1_000_000
-TAIL = 5  # bytes of a window's hash that a block gets
+#: Windows from which on those of one anchor are dealt one by one, and those of a portion from which on it is counted.
+HOT, REPORTED = 100_000, 32
 LAST = np.iinfo(np.int64).max
 FACTORS = "doc_id long, start int, size int, source_doc long, source_start int"
 _KINDS = (np.int64, np.int32, np.int32, np.int64, np.int32)
@@ -111,11 +115,8 @@ def _firsts(key):
     return first
 
 
-def _portion(parts, shards, size):
-    """Blocks of a portion of texts: its own factors, and the index of its first windows."""
-    parts = [p for p in parts if p is not None]
-    if not parts:
-        return
+def _ordered(parts):
+    """Columns of the windows of some slices, in the order of the text, and the first with the hash of each."""
     base, anchors = 0, []
     for p in parts:
         anchors.append(p[4] + base)
@@ -125,7 +126,18 @@ def _portion(parts, shards, size):
     if not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] > start[:-1]))).all():
         order = np.lexsort((start, doc))
         doc, start, whole, key, anchor = (x[order] for x in (doc, start, whole, key, anchor))
-    first = _firsts(whole)
+    return doc, start, whole, key, anchor, _firsts(whole)
+
+
+def _portion(parts, shards, size, hot=()):
+    """Blocks of a portion of texts: its own factors, and the index of its first windows.
+
+    Windows of the ``hot`` anchors are entries of their own, dealt by their hash.
+    """
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return
+    doc, start, whole, key, anchor, first = _ordered(parts)
     again = np.flatnonzero((doc[first] != doc) | (start[first] != start))
     source = first[again]
     own = _factors(doc[again], start[again], doc[source], start[source], size)
@@ -134,35 +146,38 @@ def _portion(parts, shards, size):
     cut = np.ones(len(new), bool)
     cut[1:] = (np.diff(new) != 1) | (anchor[new[1:]] != anchor[new[:-1]])
     cut[1:] |= (doc[new[1:]] != doc[new[:-1]]) | (start[new[1:]] != start[new[:-1]] + 1)
+    whole, dealt = whole[new], key[new]
+    if len(hot):
+        alone = np.isin(dealt, hot)
+        cut |= alone
+        cut[1:] |= alone[:-1]
+        dealt = np.where(alone, whole, dealt)
     begin = np.flatnonzero(cut)
     length = np.diff(np.concatenate((begin, [len(new)])))
     head = new[begin]
-    tails = np.ascontiguousarray(whole[new]).view(np.uint8).reshape(-1, 8)[:, :TAIL]
-    columns = (key[head], doc[head], start[head], length.astype(np.uint16))
+    columns = (dealt[begin], doc[head], start[head], length.astype(np.uint16))
     yield from pack(_FACTORED, mix(own[0].astype(U64)), own, shards)
-    yield from pack(_INDEXED, key[head], (*columns, lambda i: tails[expand(begin[i], length[i])].tobytes()), shards)
+    yield from pack(_INDEXED, dealt[begin], (*columns, lambda i: whole[expand(begin[i], length[i])].tobytes()), shards)
 
 
 def _factor_block(table, size):
     """Factors of one shard: those found before, and windows that an earlier entry of the index has too."""
     got = unpack(table, factored=_KINDS, indexed=(U64, np.int64, np.int32, np.uint16))
     done, _ = got["factored"]
-    (key, doc, start, length), tails = got["indexed"]
+    (key, doc, start, length), rest = got["indexed"]
     length = length.astype(np.int64)
-    tail, tail_at = tails.reshape(-1, TAIL), np.cumsum(length) - length
+    whole, whole_at = rest.view(U64), np.cumsum(length) - length
     # an entry whose anchor no other entry has is new text
     order = np.argsort(key, kind="stable")
     begin, count = runs(key[order])
     shared = order[expand(begin[count > 1], count[count > 1])]
     size_of = length[shared]
     entry, at = np.repeat(shared, size_of), expand(np.zeros(len(shared), np.int64), size_of)
-    wide = np.zeros((len(entry), 8), np.uint8)
-    wide[:, :TAIL] = tail[expand(tail_at[shared], size_of)]
-    pair = key[entry] * U64(0x9E3779B97F4A7C15) ^ wide.view(U64)[:, 0]
+    whole = whole[expand(whole_at[shared], size_of)]
     doc, start = doc[entry], start[entry] + at.astype(np.int32)
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    first = _firsts(pair[order])
+    first = _firsts(whole[order])
     again = np.flatnonzero((doc[first] != doc) | (start[first] != start))
     source = first[again]
     found = _factors(doc[again], start[again], doc[source], start[source], size)
@@ -170,27 +185,53 @@ def _factor_block(table, size):
     return pa.Table.from_arrays(columns, names=["doc_id", "start", "size", "source_doc", "source_start"])
 
 
-def factors(docs: DataFrame, size=20) -> DataFrame:
+def _hot_anchors(texts, size, least):
+    """Sorted hashes of the anchors of ``least`` windows or more, from each portion's own counts of its first windows."""
+    reported = min(REPORTED, least)
+
+    def run(batches):
+        for parts in _portions(batches, size):
+            _, _, _, key, _, first = _ordered(parts)
+            found, count = np.unique(key[first == np.arange(len(first))], return_counts=True)
+            often = count >= reported
+            columns = [pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "windows"])
+
+    counted = texts.mapInArrow(run, "anchor long, windows long").groupBy("anchor").agg(F.sum("windows").alias("windows"))
+    hot = counted.filter(F.col("windows") >= least).select("anchor").toArrow()
+    return np.sort(np.asarray(hot.column("anchor"), np.int64).view(U64))
+
+
+def _portions(batches, size):
+    """Lists of the windows of some slices, PORTION of them or a few more."""
+    parts, held = [], 0
+    for part in slices(batches):
+        own = _windows(part, size)
+        if own is not None:
+            parts.append(own)
+            held += len(own[0])
+        if held >= PORTION:
+            yield parts
+            parts, held = [], 0
+    if parts:
+        yield parts
+
+
+def factors(docs: DataFrame, size=20, hot=HOT) -> DataFrame:
     """Duplicate spans of words: doc_id, start, size, and the first place where their windows occur.
 
     A span is cut where the first sources of its windows part and between blocks; spans overlap
-    there. A null doc_id is given as the largest long.
+    there. A null doc_id is given as the largest long. ``hot`` is the number of windows from which on
+    those of one anchor are dealt one by one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shard_count(texts)
 
+    anchors = docs.sparkSession.sparkContext.broadcast(_hot_anchors(texts, size, hot))
+
     def parse(batches):
-        def packed(parts):
-            yield from block_rows(_portion(parts, shards, size))
-
-        parts, held = [], 0
-        for part in slices(batches):
-            parts.append(_windows(part, size))
-            held += 0 if parts[-1] is None else len(parts[-1][0])
-            if held >= PORTION:
-                yield from packed(parts)
-                parts, held = [], 0
-        yield from packed(parts)
+        for parts in _portions(batches, size):
+            yield from block_rows(_portion(parts, shards, size, anchors.value))
 
     blocks = texts.mapInArrow(parse, BLOCKS)
     return blocks.groupBy("shard").applyInArrow(lambda table: _factor_block(table, size), FACTORS)

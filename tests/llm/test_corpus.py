@@ -223,6 +223,30 @@ def test_repeated_words(spark, size):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted(brute_words(rows, size), key=repr)
 
 
+def test_hot_anchors(spark):
+    rng = random.Random(12)
+    phrase, long = random_text(rng, 9), random_text(rng, 25)
+    rows = [(i, f"{random_text(rng, 30)} {phrase} {random_text(rng, 30)} {long if i % 7 == 0 else ''}") for i in range(70)]
+    np, plain = lempel_ziv.np, lempel_ziv.factors(frame(spark, rows), size=20)
+    found = lempel_ziv.factors(frame(spark, rows), size=20, hot=12)
+    gone = lambda df: sorted({(r["doc_id"], r["start"] + i) for r in df.collect() for i in range(r["size"])})
+    assert gone(found) == gone(plain) and len(gone(found)) >= 9 * 25
+    n = 1000  # windows of one anchor and different texts go to many shards
+    part = np.arange(n), np.zeros(n, np.int32), lempel_ziv.mix(np.arange(n, dtype=np.uint64)), np.full(n, 7 << 40, np.uint64), np.arange(n)
+    dealt = [{s for s, _ in lempel_ziv._portion([part], 16, 20, hot)} for hot in ((), part[3][:1])]
+    assert len(dealt[0]) == 1 and len(dealt[1]) == 16
+
+
+def test_windows_of_one_anchor_are_told_apart():
+    np, pa = lempel_ziv.np, lempel_ziv.pa
+    blocks = []
+    for doc, whole in ((1, 5), (2, 5 | 1 << 50), (3, 5)):  # the first two agree in 40 bits
+        one = [np.array([x], t) for x, t in ((doc, np.int64), (0, np.int32), (whole, np.uint64), (9, np.uint64), (0, np.int64))]
+        blocks += [b for _, b in lempel_ziv._portion([one], 1, 20)]
+    found = lempel_ziv._factor_block(pa.table({"block": pa.array(blocks, pa.binary())}), 20)
+    assert found.column("doc_id").to_pylist() == [3]
+
+
 def test_factor_sources(spark):
     rows = [(1, "a b c d e f"), (2, "x a b c d e y")]
     assert rows_of(lempel_ziv.factors(frame(spark, rows), size=3), "doc_id", "start", "size", "source_doc", "source_start")[0][:2] == (2, 1)
