@@ -15,8 +15,11 @@ Two passes over the texts: the first finds keys that occur twice; the second sen
 those anchors only. In both, a task folds identical surroundings before the shuffle (their strings
 repeat for certain), so copies of one text or passage reach a group once per task.
 
+A key with more than ``GROUP_ROWS`` entries (a passage shorter than a string in very many texts) makes
+no group: each string of its entries is dealt by its own hash, and equal strings are repeats.
+
 Keys are 64-bit hashes; repeats themselves are compared byte by byte, except that folding trusts a
-64-bit hash. Texts are UTF-8 bytes; a null is empty. Rows are told apart by doc_id and text: an
+64-bit hash, and the strings of such a key are told apart by two. Texts are UTF-8 bytes; a null is empty. Rows are told apart by doc_id and text: an
 exactly repeated row repeats all its strings and loses them.
 """
 
@@ -45,11 +48,11 @@ from .arrays import (
 )
 
 GRAM = 32
-_SPAN, _ENTRY = 0, 1  # what a block holds
+_SPAN, _ENTRY, _STRING = 0, 1, 2  # what a block holds; of a place, _STRING marks an entry of a large key
 PLACES = "row_key long, kind int, at int, low int, high int"
 #: A task folds its entries in portions of so many.
 PORTION = 400_000
-#: Rows of groups that are compared at a time; a larger group is compared alone.
+#: Rows of groups that are compared at a time; a larger group is dealt by its strings.
 GROUP_ROWS = 40_000
 
 
@@ -127,30 +130,65 @@ def _send(key, row_key, at, low, high, body, shards, size, text=None):
 
 
 def _read(table):
-    """Spans and entries of a shard's blocks; the entries' texts one after another."""
+    """Spans and entries of a shard's blocks, the entries' texts one after another, and strings."""
     kinds = {"spans": (np.int64, np.int32, np.int32), "entries": (U64, np.int64, np.int32, np.int32, np.int32)}
-    got = unpack(table, **kinds)
-    return got["spans"][0], *got["entries"]
+    got = unpack(table, **kinds, strings=(U64, U64, np.int64, np.int32))
+    return got["spans"][0], *got["entries"], got["strings"][0]
 
 
-def _places(spans, entries=None):
-    """Table of PLACES rows."""
+def _places(spans, entries=None, kind=None):
+    """Table of PLACES rows; ``kind`` is that of each entry."""
     row_key, start, end = spans
     columns = [row_key, np.full(len(start), _SPAN, np.int32), np.zeros(len(start), np.int32), start, end]
     if entries is not None:
         _, key, at, low, high = entries
-        more = [key, np.full(len(at), _ENTRY, np.int32), at, low, high]
+        more = [key, kind.astype(np.int32), at, low, high]
         columns = [np.concatenate(c) for c in zip(columns, more, strict=True)]
     return pa.Table.from_arrays([pa.array(c) for c in columns], names=["row_key", "kind", "at", "low", "high"])
 
 
-def _repeated(table):
+def _repeated(table, group_rows):
     """Entries whose key occurs more than once."""
-    spans, entries, _ = _read(table)
+    spans, entries, _, _ = _read(table)
     order = np.argsort(entries[0], kind="stable")
     begin, count = runs(entries[0][order])
     own = order[expand(begin[count > 1], count[count > 1])]
-    return _places(spans, [c[own] for c in entries])
+    large = np.repeat(count[count > 1] > group_rows, count[count > 1])
+    return _places(spans, [c[own] for c in entries], np.where(large, _STRING, _ENTRY))
+
+
+def _joined(row_key, start, size):
+    """(row_key, start, end) of the runs of strings that start one byte after another."""
+    order = np.lexsort((start, row_key))
+    row_key, start = row_key[order], start[order]
+    cut = np.ones(len(start), bool)
+    cut[1:] = (row_key[1:] != row_key[:-1]) | (start[1:] - start[:-1] > 1)
+    begin = np.flatnonzero(cut)
+    last = np.concatenate((begin[1:], [len(start)]))[: len(begin)] - 1
+    return row_key[begin], start[begin].astype(np.int32), (start[last] + size).astype(np.int32)
+
+
+def _strings(chain, place, row_key, at, low, high, shards, size):
+    """Blocks of the strings of some entries, one of each spelling, and spans of those that occur again here."""
+    many = high - low + 1
+    who, back = np.repeat(np.arange(len(at)), many), expand(low, many)
+    start, here = place[who] - back, at[who] - back
+    key, half = chain.of(start, start + size), chain.of(start, start + size // 2)
+    order = np.argsort(key, kind="stable")
+    begin, count = runs(key[order])
+    send, again = order[begin], order[expand(begin[count > 1], count[count > 1])]
+    spans = _joined(row_key[who[again]], here[again], size)
+    yield from pack(_SPAN, mix(spans[0].astype(U64)), spans, shards)
+    columns = (key[send], half[send], row_key[who[send]], here[send].astype(np.int32))
+    yield from pack(_STRING, columns[0], columns, shards)
+
+
+def _equal_strings(key, half, row_key, start, size):
+    """(row_key, start, end) of the strings that occur more than once."""
+    order = np.lexsort((half, key))
+    same = (key[order[1:]] == key[order[:-1]]) & (half[order[1:]] == half[order[:-1]])
+    again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
+    return _joined(row_key[again], start[again], size)
 
 
 def _sorted_texts(group, length, rows):
@@ -186,13 +224,13 @@ def _intervals(prefix):
 
 def _repeats(table, size):
     """Spans of all maximal repeats of ``size`` bytes in the groups of a shard."""
-    spans, (key, row_key, at, low, high), texts = _read(table)
+    spans, (key, row_key, at, low, high), texts, strings = _read(table)
     length = (high - low + size).astype(np.int64)
     place = np.cumsum(length) - length
     order = np.argsort(key, kind="stable")
     begin, count = runs(key[order])
     begin, count = begin[count > 1], count[count > 1]
-    found = []
+    found = [_equal_strings(*strings, size)]
     # some groups at a time, so that their padded texts fit into memory
     step = np.cumsum(count) // GROUP_ROWS
     for first, n in zip(*runs(step), strict=True):
@@ -273,13 +311,16 @@ def _cut(joined, shards, size):
             row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(places), np.int64))
             kind, at, low, high = (np.asarray(c, np.int64) for c in places.flatten().flatten())
             row_key = np.asarray(part.column("row_key"), np.int64)[row]
-            s, e = kind == _SPAN, kind == _ENTRY
+            s, e, large = kind == _SPAN, kind == _ENTRY, kind == _STRING
             spans = row_key[s], low[s].astype(np.int32), high[s].astype(np.int32)
             made = list(pack(_SPAN, mix(spans[0].astype(U64)), spans, shards))
+            chain = Hashes(BYTE_CODE[data]) if e.any() or large.any() else None
+            if large.any():
+                entry = [c[large] for c in (row_key, at, low, high)]
+                made += _strings(chain, (at + offsets[row])[large], *entry, shards, size)
             if e.any():
                 at, low, high, row_key = at[e], low[e], high[e], row_key[e]
                 place = at + offsets[row[e]]
-                chain = Hashes(BYTE_CODE[data])
                 key, body = _keys(chain, place, low, size), chain.of(place - high, place - low + size)
                 made += _send(key, row_key, at, low, high, body, shards, size, (data, place))
             yield from block_rows(made)
@@ -287,29 +328,35 @@ def _cut(joined, shards, size):
     return joined.mapInArrow(run, BLOCKS)
 
 
-def repeats(texts: DataFrame, size=400) -> DataFrame:
-    """row_key, low, high: spans of bytes (end exclusive) that make repeats of ``size`` bytes or more.
-
-    ``texts`` has row_key (the row's own long) and text. Spans of one row overlap.
-    """
+def _groups(texts, size, group_rows):
+    """Blocks of the second pass."""
     shards = shard_count(texts)
-    first = _deal(texts, shards, size).groupBy("shard").applyInArrow(_repeated, PLACES)
+    first = _deal(texts, shards, size).groupBy("shard").applyInArrow(lambda table: _repeated(table, group_rows), PLACES)
     first = first.groupBy(F.col("row_key").alias("place_row"))
     first = first.agg(F.collect_list(F.struct("kind", "at", "low", "high")).alias("places"))
     joined = texts.join(first.hint("shuffle_hash"), F.col("row_key") == F.col("place_row"))
-    second = _cut(joined.select("row_key", "places", "text"), shards, size)
+    return _cut(joined.select("row_key", "places", "text"), shards, size)
+
+
+def repeats(texts: DataFrame, size=400, group_rows=GROUP_ROWS) -> DataFrame:
+    """row_key, low, high: spans of bytes (end exclusive) that make repeats of ``size`` bytes or more.
+
+    ``texts`` has row_key (the row's own long) and text. Spans of one row overlap. A key with more
+    than ``group_rows`` entries is dealt by its strings.
+    """
+    second = _groups(texts, size, group_rows)
     second = second.groupBy("shard").applyInArrow(lambda table: _repeats(table, size), PLACES)
     return second.select("row_key", "low", "high")
 
 
-def remove_repeats(docs: DataFrame, size=400, keep=None) -> DataFrame:
+def remove_repeats(docs: DataFrame, size=400, keep=None, group_rows=GROUP_ROWS) -> DataFrame:
     """Rows of ``docs`` with n_bytes, n_removed, n_spans and kept, the bytes that no repeat covers."""
     keep = list(docs.columns if keep is None else keep)
     new = "n_bytes long, n_removed long, n_spans long, kept binary"
     names = [f.name for f in fields(new)]
     stay = [c for c in keep if c.lower() not in names]
     texts = docs.select(F.xxhash64("doc_id", "text").alias("repeat_row"), *(F.col(f"`{c}`") for c in stay if c != "text"), "text")
-    spans = repeats(texts.select(F.col("repeat_row").alias("row_key"), "text"), size).groupBy(F.col("row_key").alias("span_row"))
+    spans = repeats(texts.select(F.col("repeat_row").alias("row_key"), "text"), size, group_rows).groupBy(F.col("row_key").alias("span_row"))
     spans = spans.agg(F.collect_list(F.struct("low", "high")).alias("repeat_spans"))
     joined = texts.join(spans.hint("shuffle_hash"), F.col("repeat_row") == F.col("span_row"), "left")
 

@@ -198,6 +198,25 @@ def test_repeated_bytes(spark):
     assert got == sorted(brute_bytes(rows, 80), key=repr)
 
 
+def test_key_of_many_texts(spark):
+    rng = random.Random(13)
+    own = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    short, long = own(60), own(90)  # shorter and longer than a string
+    rows = [(i, f"{own(90)}{short}{own(90)}{long if i % 3 else ''}{own(40)}") for i in range(60)]
+    rows += [(100, rows[0][1]), (101, None), (102, "a" * 200)]
+    docs = frame(spark, rows).repartition(20)
+    got = suffix_array.remove_repeats(docs, size=80, group_rows=10)
+    got = [(*t[:4], bytes(t[4])) for t in rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")]
+    assert got == sorted(brute_bytes(rows, 80), key=repr)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    largest = []
+    for most in (10, 10**6):
+        blocks = [bytes(r["block"]) for r in suffix_array._groups(texts, 80, most).collect()]
+        key = suffix_array._read(suffix_array.pa.table({"block": suffix_array.pa.array(blocks, "binary")}))[1][0]
+        largest.append(suffix_array.np.unique(key, return_counts=True)[1].max(initial=0))
+    assert largest[0] <= 10 < largest[1]
+
+
 def brute_words(rows, size):
     own = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
     seen, out = set(), []
