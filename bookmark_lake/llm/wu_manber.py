@@ -117,7 +117,7 @@ def patterns_of(items, length):
         own = [data[s:e].tobytes() for s, e in zip(start, end, strict=True)]
         size = min(length, len(own))
         for i in range(len(own) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(b" ".join(own[i : i + size]), set()).add(str(item))
+            by_length.setdefault(size, {}).setdefault(b" ".join(own[i : i + size]), set()).add(None if item is None else str(item))
     return [Patterns(size, windows) for size, windows in sorted(by_length.items())]
 
 
@@ -157,7 +157,7 @@ def _search(part, patterns):
         pa.array(total),
         pa.array(counts_of(row[hit], n)),
         pa.array(spans, kind),
-        pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+        pa.array([sorted(i, key=lambda x: (x is None, x)) for i in items], pa.list_(pa.string())),
     ]
 
 
@@ -166,9 +166,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, length=10, keep=None,
 
     The benchmark is the stated query set: it is read in blocks of at most about
     ``block_bytes`` of text, each searched for in one pass over the documents. Beyond one
-    block the items of the passes are merged by row, and their spans may overlap.
+    block the items of the passes are merged by row, and their spans may overlap. Items without an
+    id are searched for as well and are one item, null, the last in order.
     """
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").filter("text is not null")
     n_blocks = max(1, math.ceil(text_total(items) / block_bytes))
     sc = docs.sparkSession.sparkContext
 
@@ -199,5 +200,5 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, length=10, keep=None,
 
 
 def items_digest(items):
-    """SHA-256 of the sorted item ids, comma-joined."""
+    """SHA-256 of the sorted item ids, comma-joined, without null."""
     return F.sha2(F.array_join(items, ","), 256)

@@ -349,6 +349,21 @@ def test_benchmark(spark, block_bytes):
     assert wu_manber.find_benchmark(frame(spark, []), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_benchmark_without_id(spark, block_bytes):
+    rng = random.Random(14)
+    texts = [random_text(rng, 20, 200) for _ in range(6)]
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[1]), (6, texts[2])], "item_id long, text string")
+    rows = [(i, f"before {t} after") for i, t in enumerate([*texts, f"{texts[0]} {texts[1]}"])]
+    got = wu_manber.find_benchmark(frame(spark, rows), items, block_bytes=block_bytes)
+    got = got.select("doc_id", "n_hit", "items", wu_manber.items_digest("items").alias("digest"))
+    found = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in got.collect()}
+    none = (0, [])
+    assert found == {0: (20, [None]), 1: (20, ["5", None]), 2: (20, ["6"]), 3: none, 4: none, 5: none, 6: (40, ["5", None])}
+    want = {d: hashlib.sha256(",".join(i for i in x[1] if i).encode()).hexdigest() for d, x in found.items()}
+    assert {r["doc_id"]: r["digest"] for r in got.collect()} == want
+
+
 # op4
 
 
