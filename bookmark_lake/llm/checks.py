@@ -2,7 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from . import bloom_cascade, jaccard_join, language, lempel_ziv, merkle, pieces, quality, secrets, suffix_array, wu_manber
+from . import (
+    bloom_cascade,
+    fill_middle,
+    jaccard_join,
+    language,
+    lempel_ziv,
+    merkle,
+    packing,
+    periodic,
+    pieces,
+    quality,
+    secrets,
+    suffix_array,
+    wu_manber,
+)
+from .arrays import stored
 
 QUERIES = {}
 SQL = {}
@@ -229,3 +244,93 @@ def op10(spark, sf_dir):
         wu_manber.items_digest("items").alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@check(
+    "op11_fill_middle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS s FROM documents),
+    h AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+            list_transform(range(4), lambda i: CAST('0x' || s[8 * i + 1:8 * i + 8] AS BIGINT)) AS h FROM d),
+    c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, h[1] % (len(u) + 1) AS a, h[2] % (len(u) + 1) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                 WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid,
+            array_to_string(u[greatest(a, b) + 1:], '') AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(t) AS restored_sha256 FROM p
+    """,
+)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    turned = fill_middle.fill_in_middle(docs, keep=["doc_id"], restored=True)
+    return turned.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@check("op12_packing")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    # the contract asks for no ids, so only their checksums are stored
+    cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.place(stored(cut, "packed_pieces"))
+
+
+@check(
+    "op13_periodic",
+    r"""
+    WITH w0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x:
+                CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295),
+              4294967295) AS h FROM documents),
+    w1 AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AND len(w) > 0 AS looped, h // 10 AS g FROM w0),
+    w2 AS (SELECT *, g % greatest(n, 1) AS a FROM w1),
+    w3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w2),
+    d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN looped THEN list_transform(range(n), lambda i:
+            w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM w3),
+    g AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS gram
+          FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM d)),
+    same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+    isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+    st AS MATERIALIZED (SELECT doc_id, q, min(i) AS s, min(i) + count(*) + 5 + q AS e FROM isl GROUP BY doc_id, q, k
+          HAVING count(*) + 5 >= greatest(q, 12 - q)),
+    r AS MATERIALIZED (SELECT doc_id, s AS start, e - s AS length, q AS period FROM st WHERE NOT EXISTS (
+          SELECT 1 FROM st o WHERE o.doc_id = st.doc_id AND o.q < st.q AND o.s <= st.s AND o.e >= st.e)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM (
+          SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+    tot AS (SELECT doc_id, count(*) AS n_runs, first(r ORDER BY length DESC, start, period) AS best,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+           1000 * best.length // best.period AS exponent_milli, sha256(coalesce(tot.t, '')) AS runs_sha256,
+           sha256(coalesce(kept.t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic.find_periodic(docs, keep=["doc_id"], loop_seed=seed)
+    best = F.col("best")
+    return found.withColumn("best", periodic.longest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.written(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
