@@ -6,6 +6,7 @@ text and not on the table.
 """
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.generations import delete
 from ..session import work_folder
 
 SLICE = 512 << 10
@@ -252,8 +254,13 @@ class Lookup:
 SIEVE_BITS = 1 << 25
 
 
-def sieve(ids: DataFrame):
-    """A function that adds ``likely`` to a table: whether a row's doc_id may be among ``ids``.
+def row_key():
+    """Tells rows apart by doc_id and text, a null one too; equal rows share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"))
+
+
+def sieve(ids: DataFrame, key=None):
+    """A function that adds ``likely`` to a table: whether a row's key, or doc_id, may be among ``ids``.
 
     It is a Bloom filter of fixed size over the one column of ``ids``, so it fits every task, and it
     spares most other rows the shuffle to the exact join that must follow.
@@ -268,7 +275,8 @@ def sieve(ids: DataFrame):
 
     def marked(df):
         schema = T.StructType([*df.schema.fields, T.StructField("likely", T.BooleanType())])
-        at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SIEVE_BITS)).alias("likely")
+        own = F.col("doc_id").cast("long") if key is None else key
+        at = F.pmod(F.xxhash64(own), F.lit(SIEVE_BITS)).alias("likely")
 
         def run(batches):
             for batch in batches:
@@ -296,8 +304,42 @@ def expand(start, size):
     return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(np.asarray(start, np.int64) - first, size)
 
 
+_scopes = []
+
+
 def stored(df, label):
     """``df`` written to the shared folder and read again: later jobs start from the files."""
     path = work_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*tables):
+    """Delete the files of stored tables that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.stored_at)
+
+
+@contextmanager
+def only(spark):
+    """At the end of the block its stored tables are deleted, but for those given to what it yields."""
+    kept = []
+
+    def keep(table):
+        kept.append(table.stored_at)
+        return table
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        made = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for path in made:
+            if path not in kept:
+                delete(spark, path)

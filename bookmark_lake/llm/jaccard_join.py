@@ -37,10 +37,13 @@ from .arrays import (
     Lookup,
     block_rows,
     counts_of,
+    drop_stored,
     expand,
     map_texts,
     mix,
+    only,
     pack,
+    row_key,
     runs,
     shard_count,
     sieve,
@@ -63,6 +66,8 @@ LARGEST_BOUNDARY = 16
 NEAR = 3
 #: About so many pairs are compared at a time.
 PAIRS_AT_ONCE = 20_000
+#: Parts into which the pairs of one label are dealt when they meet a count.
+SALTS = 32
 PORTION = 1_000_000
 #: Partners a set is compared with in a round, and rounds before all pairs still apart are named.
 PARTNERS, ROUNDS = 3, 2
@@ -368,19 +373,35 @@ def _verified(pairs, docs, classes, rule, size):
     """The pairs (x, y) whose whole sets link; x_label and y_label tell their present groups.
 
     Pairs are compared in blocks, to which each text goes once. Those of a group with many pairs
-    share blocks, cut by the other group.
+    share blocks, cut by the other group, and those of two groups with many pairs by both ends.
     """
+    with only(docs.sparkSession) as keep:
+        return keep(_compared(pairs, docs, classes, rule, size))
+
+
+def _counted_by(pairs, counts, names):
+    """``pairs`` with a count by the columns ``names``; every count is there once for each salt."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
+    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, [*names, "salt"]).drop("salt")
+
+
+def _compared(pairs, docs, classes, rule, size):
     texts = _texts_of(pairs, docs, classes, size)
     # each end is counted and folded by itself, before the two meet
     ends_of = [pairs.groupBy(F.col(f"{end}_label").alias("label")).count() for end in ("x", "y")]
     count = ends_of[0].unionByName(ends_of[1]).groupBy("label").agg(F.sum("count").alias("count"))
+    between = pairs.groupBy("x_label", "y_label").agg(F.count("*").alias("between"))
     for end in ("x", "y"):
         own = count.select(F.col("label").alias(f"{end}_label"), F.col("count").alias(f"{end}_count"))
-        pairs = pairs.join(own, f"{end}_label")
+        pairs = _counted_by(pairs, own, [f"{end}_label"])
+    pairs = _counted_by(pairs, between, ["x_label", "y_label"])
     large = F.col("x_count") >= F.col("y_count")
     home, guest = F.when(large, F.col("x_label")).otherwise(F.col("y_label")), F.when(large, F.col("y_label")).otherwise(F.col("x_label"))
     part = F.pmod(F.xxhash64(guest), F.ceil(F.greatest("x_count", "y_count") / PAIRS_AT_ONCE))
-    pairs = stored(pairs.select("x", "y", F.xxhash64(home, part).alias("block")), "jaccard_pairs")
+    cuts = F.ceil(F.sqrt(F.col("between") / PAIRS_AT_ONCE))
+    cut = F.when(cuts > 1, F.xxhash64("x_label", "y_label", F.pmod(F.xxhash64("x"), cuts), F.pmod(F.xxhash64("y"), cuts))).otherwise(0)
+    pairs = stored(pairs.select("x", "y", F.xxhash64(home, part, cut).alias("block")), "jaccard_pairs")
     n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_AT_ONCE)
     pairs = pairs.withColumn("block", F.pmod("block", F.lit(n_blocks)))
     ends_of = [pairs.select(F.col("block").alias("of_block"), F.col(end).alias("id")).distinct() for end in ("x", "y")]
@@ -452,16 +473,23 @@ def _apart(pairs, labels):
 
 
 def _merged(labels, links):
-    """Labels after further links: the labels themselves are grouped by the links between them."""
-    ends = links.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    labels = ends.unionByName(labels.select("id")).distinct().join(labels, "id", "left")
-    labels = stored(labels.select("id", F.coalesce("label", "id").alias("label")), "labels")
-    for end in ("x", "y"):
-        links = _labelled(links, labels, end)
-    groups = components(links.select(F.col("x_label").alias("x"), F.col("y_label").alias("y")))
-    groups = groups.select(F.col("id").alias("label"), F.col("label").alias("group"))
-    labels = labels.join(groups, "label", "left").select("id", F.coalesce("group", "label").alias("label"))
-    return stored(labels, "labels")
+    """Labels after further links: the labels themselves are grouped by the links between them.
+
+    What it is given is deleted.
+    """
+    with only(labels.sparkSession) as keep:
+        ends = links.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        known = ends.unionByName(labels.select("id")).distinct().join(labels, "id", "left")
+        known = stored(known.select("id", F.coalesce("label", "id").alias("label")), "labels")
+        between = links
+        for end in ("x", "y"):
+            between = _labelled(between, known, end)
+        groups = components(between.select(F.col("x_label").alias("x"), F.col("y_label").alias("y")))
+        groups = groups.select(F.col("id").alias("label"), F.col("label").alias("group"))
+        merged = known.join(groups, "label", "left").select("id", F.coalesce("group", "label").alias("label"))
+        merged = keep(stored(merged, "labels"))
+    drop_stored(labels, links)
+    return merged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -480,7 +508,8 @@ def components(links: DataFrame) -> DataFrame:
         hung = larger.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         hung = hung.unionByName(least.select("u", F.col("m").alias("v")))
         hung = hung.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-        edges = stored(hung, "edges")
+        last, edges = edges, stored(hung, "edges")
+        drop_stored(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -509,7 +538,11 @@ def _texts_of(pairs, docs, classes, size):
 
 def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    rule = Rule(up, down)
+    with only(docs.sparkSession) as keep:
+        return keep(stored(_components_of(docs, size, Rule(up, down)), "jaccard_components"))
+
+
+def _components_of(docs, size, rule):
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shard_count(docs)
     spark = docs.sparkSession
@@ -550,7 +583,8 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     tested = best(near.filter("need = 1 or votes > 1"))
     links = verified(tested.selectExpr("x", "y", "x AS x_label", "y AS y_label"))
     links = links.unionByName(found.filter(F.col("kind") == _LINK).select("x", "y"))
-    labels = stored(components(links), "labels")
+    with only(spark) as keep:
+        labels = keep(stored(components(links), "labels"))
     # most lists are of one group by now and have nothing more to tell
     kinds = "token long, id long, n int, pos int"
     lists = stored(labelled(lists, labels).applyInArrow(_mixed, kinds), "jaccard_lists")
@@ -578,23 +612,34 @@ def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
     return linked.select(*columns).unionByName(alone.select(*columns))
 
 
+def _doubtful(docs, size, up, down):
+    """(row_key, stays): the rows that go, and rows that stay once of several equal ones."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    groups = jaccard_components(keyed, size, up, down).filter("n_shingles > 0")
+    groups = groups.select(F.col("doc_id").alias("row_key"), "component_id")
+    ids = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("own_doc")).distinct()
+    rows = groups.groupBy("row_key", "component_id").agg(F.count("*").alias("n_rows")).join(ids, "row_key")
+    # partial minima: a group of a third of all rows leaves each task as one row
+    order = F.struct(F.col("own_doc").isNull(), "own_doc", "row_key")
+    first = rows.groupBy("component_id").agg(F.min(order)["row_key"].alias("row_key")).select("row_key", F.lit(True).alias("stays"))
+    rows = rows.select("row_key", "n_rows").join(first, "row_key", "left")
+    return rows.filter("stays is null or n_rows > 1").select("row_key", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
 def keep_one(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest doc_id of each group.
+    """The rows of ``docs`` without all but one row of each group of near copies.
 
-    Of rows with one doc_id that stays, the one with the least text stays; rows without a doc_id
-    cannot be told apart and stay. Only rows that a sieve takes for possibly dropped are shuffled.
+    The row with the smallest doc_id stays; of equal ones that with the smallest hash of its text,
+    of equal rows any. Rows without a doc_id come last. Rows are told apart by doc_id and text, so a
+    row that copies nothing stays whatever its doc_id; texts without words copy nothing. Only rows
+    that a sieve takes for possibly dropped are shuffled.
     """
-    found = stored(jaccard_components(docs, size, up, down), "jaccard_components").filter("doc_id is not null")
-    by_doc = found.groupBy(F.col("doc_id").alias("known_doc")).agg(
-        F.count("*").alias("n_rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays")
-    )
-    doubt = stored(by_doc.filter("n_rows > 1 or not stays"), "jaccard_doubt")
-    marked = sieve(doubt.select("known_doc"))(docs)
-    rows = marked.filter("likely").drop("likely")
-    rows = rows.join(doubt.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("known_doc"), "left")
-    first = F.row_number().over(Window.partitionBy("known_doc").orderBy("text"))
-    repeated = rows.filter("n_rows > 1 and stays").withColumn("place", first).filter("place = 1")
-    sure = marked.filter("not likely").select(*(f"`{c}`" for c in docs.columns))
-    for part in (rows.filter("n_rows is null"), repeated):
-        sure = sure.unionByName(part.select(*(f"`{c}`" for c in docs.columns)))
-    return sure
+    with only(docs.sparkSession) as keep:
+        doubt = keep(stored(_doubtful(docs, size, up, down), "jaccard_doubt"))
+    marked = sieve(doubt.select("row_key"), row_key())(docs)
+    rows = marked.filter("likely").withColumn("row_key", row_key())
+    rows = rows.join(doubt.hint("shuffle_hash"), "row_key", "left")
+    kept = marked.filter("not likely").select(*(f"`{c}`" for c in docs.columns))
+    for part in (rows.filter("stays is null"), rows.filter("stays").dropDuplicates(["row_key"])):
+        kept = kept.unionByName(part.select(*(f"`{c}`" for c in docs.columns)))
+    return kept

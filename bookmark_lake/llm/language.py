@@ -30,6 +30,7 @@ from .arrays import (
     expand,
     map_texts,
     mix,
+    only,
     pack,
     runs,
     shard_count,
@@ -232,9 +233,10 @@ def train(docs: DataFrame) -> Model:
     index = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1
     texts = docs.select(index.alias("lang_index"), "text")
     counted = _counted(texts, len(langs), shard_count(texts))
-    counted = stored(counted, "language_counts")
     n = len(langs)
-    return Model(langs, *(_most_frequent(counted, kind, _each(most, n), n) for kind, most in ((0, WORDS), (1, GRAMS))))
+    with only(docs.sparkSession):
+        counted = stored(counted, "language_counts")
+        return Model(langs, *(_most_frequent(counted, kind, _each(most, n), n) for kind, most in ((0, WORDS), (1, GRAMS))))
 
 
 def identify(docs: DataFrame, model: Model, keep=None) -> DataFrame:

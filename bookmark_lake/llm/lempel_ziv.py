@@ -16,9 +16,9 @@ An anchor that many windows have, such as a phrase in a third of all documents w
 around it, would bring them all to one block. Such anchors are counted first; their windows are
 dealt by their own hash, over all blocks.
 
-Windows are compared by their 64-bit hash, inside a task and in a block. A null text has no words. Rows of equal doc_id and position count as one
-occurrence, so an exactly repeated row does not delete itself; all rows of a doc_id lose the same
-word positions. Rows with a null doc_id come last in the order.
+Windows are compared by their 64-bit hash, inside a task and in a block. A null text has no words.
+Rows are told apart by doc_id and text: those of one doc_id are ordered by a hash of both, rows
+without a doc_id come last. Equal rows count as one, so a repeated row does not delete itself.
 """
 
 import numpy as np
@@ -40,6 +40,7 @@ from .arrays import (
     map_texts,
     mix,
     pack,
+    row_key,
     runs,
     shard_count,
     slices,
@@ -54,8 +55,8 @@ PORTION = 1_000_000
 #: Windows from which on those of one anchor are dealt one by one, and those of a portion from which on it is counted.
 HOT, REPORTED = 100_000, 32
 LAST = np.iinfo(np.int64).max
-FACTORS = "doc_id long, start int, size int, source_doc long, source_start int"
-_KINDS = (np.int64, np.int32, np.int32, np.int64, np.int32)
+FACTORS = "doc_id long, row_key long, start int, size int, source_doc long, source_start int"
+_KINDS = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32)
 _FACTORED, _INDEXED = 0, 1  # what a block holds
 
 
@@ -72,11 +73,12 @@ def _window_min(values, width):
 
 
 def _windows(part, size):
-    """(doc, first word, hash, anchor hash, anchor) of all windows of a slice, in word order."""
+    """(doc, row key, first word, hash, anchor hash, anchor) of all windows of a slice, in word order."""
     data, offsets = text_bytes(part.column("text"))
     start, end, row = words(data, offsets, SPACED)
     ids = part.column("doc_id")
     doc = np.asarray(ids.fill_null(LAST), np.int64) if len(ids) else np.zeros(0, np.int64)
+    own = np.asarray(part.column("row_key"), np.int64)
     n = len(start) - size + 1
     if n < 1:
         return None
@@ -91,19 +93,20 @@ def _windows(part, size):
     key = chain.of(grams, grams + gram)
     anchor = _window_min(key, size - gram + 1)[whole]
     at = at[whole]
-    return doc[row[at]], (at - first[at]).astype(np.int32), chain.of(at, at + size), key[anchor], anchor
+    return doc[row[at]], own[row[at]], (at - first[at]).astype(np.int32), chain.of(at, at + size), key[anchor], anchor
 
 
-def _factors(doc, start, source_doc, source_start, size):
-    """Columns of factors: runs of duplicate windows with sources that run along."""
-    order = np.lexsort((start, doc))
-    doc, start, source_doc, source_start = (x[order] for x in (doc, start, source_doc, source_start))
+def _factors(doc, own, start, source, size):
+    """Columns of factors: runs of duplicate windows with sources that run along; ``source`` is (doc, key, start)."""
+    order = np.lexsort((start, own, doc))
+    doc, own, start = (x[order] for x in (doc, own, start))
+    source = [x[order] for x in source]
     cut = np.ones(len(doc), bool)
-    cut[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
-    cut[1:] |= (source_doc[1:] != source_doc[:-1]) | (source_start[1:] != source_start[:-1] + 1)
+    cut[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)
+    cut[1:] |= (source[0][1:] != source[0][:-1]) | (source[1][1:] != source[1][:-1]) | (source[2][1:] != source[2][:-1] + 1)
     begin = np.flatnonzero(cut)
     length = np.diff(np.concatenate((begin, [len(doc)])))
-    return doc[begin], start[begin], (length + size - 1).astype(np.int32), source_doc[begin], source_start[begin]
+    return doc[begin], own[begin], start[begin], (length + size - 1).astype(np.int32), source[0][begin], source[2][begin]
 
 
 def _firsts(key):
@@ -115,18 +118,24 @@ def _firsts(key):
     return first
 
 
+def _again(doc, own, start, first):
+    """The windows that occur earlier; the same place of an equal row is no other."""
+    return np.flatnonzero((doc[first] != doc) | (own[first] != own) | (start[first] != start))
+
+
 def _ordered(parts):
     """Columns of the windows of some slices, in the order of the text, and the first with the hash of each."""
     base, anchors = 0, []
     for p in parts:
-        anchors.append(p[4] + base)
-        base += int(p[4].max(initial=0)) + 1
-    doc, start, whole, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        anchors.append(p[5] + base)
+        base += int(p[5].max(initial=0)) + 1
+    doc, own, start, whole, key = (np.concatenate([p[i] for p in parts]) for i in range(5))
     anchor = np.concatenate(anchors)
-    if not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] > start[:-1]))).all():
-        order = np.lexsort((start, doc))
-        doc, start, whole, key, anchor = (x[order] for x in (doc, start, whole, key, anchor))
-    return doc, start, whole, key, anchor, _firsts(whole)
+    same = (doc[1:] == doc[:-1]) & (own[1:] == own[:-1])
+    if not ((doc[1:] > doc[:-1]) | (same & (start[1:] > start[:-1]))).all():
+        order = np.lexsort((start, own, doc))
+        doc, own, start, whole, key, anchor = (x[order] for x in (doc, own, start, whole, key, anchor))
+    return doc, own, start, whole, key, anchor, _firsts(whole)
 
 
 def _portion(parts, shards, size, hot=()):
@@ -137,15 +146,15 @@ def _portion(parts, shards, size, hot=()):
     parts = [p for p in parts if p is not None]
     if not parts:
         return
-    doc, start, whole, key, anchor, first = _ordered(parts)
-    again = np.flatnonzero((doc[first] != doc) | (start[first] != start))
+    doc, row, start, whole, key, anchor, first = _ordered(parts)
+    again = _again(doc, row, start, first)
     source = first[again]
-    own = _factors(doc[again], start[again], doc[source], start[source], size)
+    own = _factors(doc[again], row[again], start[again], (doc[source], row[source], start[source]), size)
     new = np.flatnonzero(first == np.arange(len(first)))
     # consecutive new windows with one anchor make one entry of the index
     cut = np.ones(len(new), bool)
     cut[1:] = (np.diff(new) != 1) | (anchor[new[1:]] != anchor[new[:-1]])
-    cut[1:] |= (doc[new[1:]] != doc[new[:-1]]) | (start[new[1:]] != start[new[:-1]] + 1)
+    cut[1:] |= (doc[new[1:]] != doc[new[:-1]]) | (row[new[1:]] != row[new[:-1]]) | (start[new[1:]] != start[new[:-1]] + 1)
     whole, dealt = whole[new], key[new]
     if len(hot):
         alone = np.isin(dealt, hot)
@@ -155,16 +164,16 @@ def _portion(parts, shards, size, hot=()):
     begin = np.flatnonzero(cut)
     length = np.diff(np.concatenate((begin, [len(new)])))
     head = new[begin]
-    columns = (dealt[begin], doc[head], start[head], length.astype(np.uint16))
+    columns = (dealt[begin], doc[head], row[head], start[head], length.astype(np.uint16))
     yield from pack(_FACTORED, mix(own[0].astype(U64)), own, shards)
     yield from pack(_INDEXED, dealt[begin], (*columns, lambda i: whole[expand(begin[i], length[i])].tobytes()), shards)
 
 
 def _factor_block(table, size):
     """Factors of one shard: those found before, and windows that an earlier entry of the index has too."""
-    got = unpack(table, factored=_KINDS, indexed=(U64, np.int64, np.int32, np.uint16))
+    got = unpack(table, factored=_KINDS, indexed=(U64, np.int64, np.int64, np.int32, np.uint16))
     done, _ = got["factored"]
-    (key, doc, start, length), rest = got["indexed"]
+    (key, doc, row, start, length), rest = got["indexed"]
     length = length.astype(np.int64)
     whole, whole_at = rest.view(U64), np.cumsum(length) - length
     # an entry whose anchor no other entry has is new text
@@ -174,15 +183,15 @@ def _factor_block(table, size):
     size_of = length[shared]
     entry, at = np.repeat(shared, size_of), expand(np.zeros(len(shared), np.int64), size_of)
     whole = whole[expand(whole_at[shared], size_of)]
-    doc, start = doc[entry], start[entry] + at.astype(np.int32)
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    doc, row, start = doc[entry], row[entry], start[entry] + at.astype(np.int32)
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
     first = _firsts(whole[order])
-    again = np.flatnonzero((doc[first] != doc) | (start[first] != start))
+    again = _again(doc, row, start, first)
     source = first[again]
-    found = _factors(doc[again], start[again], doc[source], start[source], size)
+    found = _factors(doc[again], row[again], start[again], (doc[source], row[source], start[source]), size)
     columns = [pa.array(np.concatenate((d, f))) for d, f in zip(done, found, strict=True)]
-    return pa.Table.from_arrays(columns, names=["doc_id", "start", "size", "source_doc", "source_start"])
+    return pa.Table.from_arrays(columns, names=["doc_id", "row_key", "start", "size", "source_doc", "source_start"])
 
 
 def _hot_anchors(texts, size, least):
@@ -191,7 +200,7 @@ def _hot_anchors(texts, size, least):
 
     def run(batches):
         for parts in _portions(batches, size):
-            _, _, _, key, _, first = _ordered(parts)
+            _, _, _, _, key, _, first = _ordered(parts)
             found, count = np.unique(key[first == np.arange(len(first))], return_counts=True)
             often = count >= reported
             columns = [pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64))]
@@ -218,13 +227,13 @@ def _portions(batches, size):
 
 
 def factors(docs: DataFrame, size=20, hot=HOT) -> DataFrame:
-    """Duplicate spans of words: doc_id, start, size, and the first place where their windows occur.
+    """Duplicate spans of words: doc_id, row_key, start, size, and the first place where their windows occur.
 
     A span is cut where the first sources of its windows part and between blocks; spans overlap
     there. A null doc_id is given as the largest long. ``hot`` is the number of windows from which on
     those of one anchor are dealt one by one.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     shards = shard_count(texts)
 
     anchors = docs.sparkSession.sparkContext.broadcast(_hot_anchors(texts, size, hot))
@@ -240,12 +249,12 @@ def factors(docs: DataFrame, size=20, hot=HOT) -> DataFrame:
 def remove_factors(docs: DataFrame, size=20, keep=None) -> DataFrame:
     """Rows of ``docs`` with n_words, n_removed and kept, the words no factor covers, joined by a space."""
     keep = list(docs.columns if keep is None else keep)
-    spans = factors(docs, size).groupBy(F.col("doc_id").alias("factor_doc"))
+    # the factors of one text: as many as it has words at most
+    spans = factors(docs, size).groupBy(F.col("row_key").alias("factor_row"))
     spans = spans.agg(F.collect_list(F.struct("start", "size")).alias("factor_spans"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     extra = [c for c in ("text", "doc_id") if c not in keep]
-    joined = docs.select(*keep, *extra).withColumn("factor_key", key)
-    joined = joined.join(spans.hint("shuffle_hash"), F.col("factor_key") == F.col("factor_doc"), "left")
+    joined = docs.select(*keep, *extra).withColumn("factor_key", row_key())
+    joined = joined.join(spans.hint("shuffle_hash"), F.col("factor_key") == F.col("factor_row"), "left")
 
     def cut(part):
         span = part.column(part.num_columns - 2)

@@ -12,6 +12,8 @@ A null text is an empty one. Every text has at least one section, paragraph and
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import let
+
 #: Hex digits of a digest below the root that the fingerprint keeps.
 SHORT = 12
 
@@ -73,30 +75,82 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1), F.lit(1.0)).otherwise(shared)
 
 
+def _paragraphs(section: Column) -> Column:
+    """Short digests of a written section's paragraphs, the first one marked: a break that goes is an edit."""
+    digests = F.transform(F.split(F.substring_index(section, ":", -1), ","), lambda p: F.substring_index(p, "=", 1))
+    return F.transform(digests, lambda d, i: F.when(i == 0, F.concat(d, F.lit("*"))).otherwise(d))
+
+
+def _differing(own: Column, other: Column, key) -> Column:
+    """(first, number) of the children between the equal ones in front and the equal ones behind."""
+    least = F.least(F.size(own), F.size(other))
+
+    def equal(a, b):
+        pairs = F.slice(F.arrays_zip(a.alias("a"), b.alias("b")), 1, least)
+        differs = F.array_position(F.transform(pairs, lambda p: key(p["a"]) != key(p["b"])), True).cast("int")
+        return F.when(differs > 0, differs - 1).otherwise(least)
+
+    front = equal(own, other)
+    back = F.least(equal(F.reverse(own), F.reverse(other)), least - front)
+    return F.struct(front.alias("first"), (F.size(own) - front - back).alias("number"), (F.size(other) - front - back).alias("others"))
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Where two fingerprints differ: array of (section, paragraph), from 0, of the first one's tree.
+    """Where two fingerprints differ: array of (side, section, paragraph, kind); empty for equal roots only.
 
-    Sections and paragraphs are compared by their digests: those of ``a`` that ``b`` lacks.
+    Both trees are walked from the root. Equal sections in front and behind are passed by their
+    digests alone; of those between, the paragraphs are aligned in the same way. A paragraph that
+    remains has moved if the other side has it among its own, else it has changed if the paragraph
+    at its place remains too, else it is ``deleted`` (side a) or ``inserted`` (side b). ``section``
+    and ``paragraph`` count from 0 on their side.
     """
 
-    def parts(print_):
+    def sections(print_):
         return F.split(F.substring_index(print_, "/", -1), ";")
 
-    def digests(section):
-        return F.transform(F.split(F.substring_index(section, ":", -1), ","), lambda p: F.substring_index(p, "=", 1))
-
-    sections = F.transform(parts(b), lambda s: F.substring_index(s, ":", 1))
-    known = F.flatten(F.transform(parts(b), digests))
+    def digest(section):
+        return F.substring_index(section, ":", 1)
 
-    def differing(section, i):
-        own = F.transform(
-            digests(section),
-            lambda d, j: F.when(~F.array_contains(known, d), F.struct(i.alias("section"), j.alias("paragraph"))),
+    def placed(parts, first, number):
+        between = F.slice(parts, first + 1, number)
+        rows = F.transform(
+            between,
+            lambda s, i: F.transform(
+                _paragraphs(s), lambda d, j: F.struct((first + i).alias("section"), j.alias("paragraph"), d.alias("digest"))
+            ),
+        )
+        return F.flatten(rows)
+
+    def named(side, own, other, gone):
+        known = F.transform(other, lambda r: F.rtrim(r["digest"], F.lit("*")))
+        moved = lambda r: F.array_contains(known, F.rtrim(r["digest"], F.lit("*")))
+        kind = lambda r, i: F.when(moved(r), "moved").when(i < F.size(other), "changed").otherwise(gone)
+        return F.transform(own, lambda r, i: F.struct(F.lit(side).alias("side"), r["section"], r["paragraph"], kind(r, i).alias("kind")))
+
+    def walk(pair):
+        one, two, at = pair["one"], pair["two"], pair["at"]
+        own, other = placed(one, at["first"], at["number"]), placed(two, at["first"], at["others"])
+        return let(F.struct(own.alias("own"), other.alias("other")), remain)
+
+    def remain(rows):
+        at = _differing(rows["own"], rows["other"], lambda r: r["digest"])
+        return let(F.struct(rows["own"].alias("own"), rows["other"].alias("other"), at.alias("at")), both)
+
+    def both(x):
+        own = F.slice(x["own"], x["at"]["first"] + 1, x["at"]["number"])
+        other = F.slice(x["other"], x["at"]["first"] + 1, x["at"]["others"])
+        return let(
+            F.struct(own.alias("own"), other.alias("other")),
+            lambda y: F.concat(named("a", y["own"], y["other"], "deleted"), named("b", y["other"], y["own"], "inserted")),
         )
-        same = F.array_contains(sections, F.substring_index(section, ":", 1))
-        return F.array_compact(F.slice(own, 1, F.when(same, 0).otherwise(F.size(own))))
 
-    return F.flatten(F.transform(parts(a), differing))
+    trees = F.struct(sections(a).alias("one"), sections(b).alias("two"))
+    found = let(
+        trees,
+        lambda t: let(F.struct(t["one"].alias("one"), t["two"].alias("two"), _differing(t["one"], t["two"], digest).alias("at")), walk),
+    )
+    same = F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1)
+    return F.when(same, F.slice(found, 1, 0)).otherwise(found)
 
 
 def with_next(docs: DataFrame, buckets: int, value="text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import uuid
 
 import duckdb
 import pytest
@@ -251,8 +252,8 @@ def test_hot_anchors(spark):
     gone = lambda df: sorted({(r["doc_id"], r["start"] + i) for r in df.collect() for i in range(r["size"])})
     assert gone(found) == gone(plain) and len(gone(found)) >= 9 * 25
     n = 1000  # windows of one anchor and different texts go to many shards
-    part = np.arange(n), np.zeros(n, np.int32), lempel_ziv.mix(np.arange(n, dtype=np.uint64)), np.full(n, 7 << 40, np.uint64), np.arange(n)
-    dealt = [{s for s, _ in lempel_ziv._portion([part], 16, 20, hot)} for hot in ((), part[3][:1])]
+    part = np.arange(n), np.arange(n), np.zeros(n, np.int32), lempel_ziv.mix(np.arange(n, dtype=np.uint64)), np.full(n, 7 << 40, np.uint64), np.arange(n)
+    dealt = [{s for s, _ in lempel_ziv._portion([part], 16, 20, hot)} for hot in ((), part[4][:1])]
     assert len(dealt[0]) == 1 and len(dealt[1]) == 16
 
 
@@ -260,7 +261,7 @@ def test_windows_of_one_anchor_are_told_apart():
     np, pa = lempel_ziv.np, lempel_ziv.pa
     blocks = []
     for doc, whole in ((1, 5), (2, 5 | 1 << 50), (3, 5)):  # the first two agree in 40 bits
-        one = [np.array([x], t) for x, t in ((doc, np.int64), (0, np.int32), (whole, np.uint64), (9, np.uint64), (0, np.int64))]
+        one = [np.array([x], t) for x, t in ((doc, np.int64), (0, np.int64), (0, np.int32), (whole, np.uint64), (9, np.uint64), (0, np.int64))]
         blocks += [b for _, b in lempel_ziv._portion([one], 1, 20)]
     found = lempel_ziv._factor_block(pa.table({"block": pa.array(blocks, pa.binary())}), 20)
     assert found.column("doc_id").to_pylist() == [3]
@@ -281,6 +282,48 @@ def test_dedup_edges(spark):
         assert operator(frame(spark, [])).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(16)
+    a, b, c = (random_text(rng, 30) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (None, None), (2, b + " x"), (2, c), (2, c), (3, f"{c} {c}"), (None, b)]
+    left = rows_of(lempel_ziv.remove_factors(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept")
+    assert left.count((2, 30, 0, c)) == 2  # other texts of one doc_id copy nothing
+    assert (1, 30, 0, a) in left and (None, 30, 30, "") in left and (3, 60, 60, "") in left
+    by_id = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    seen = set()
+    for i, t in dict.fromkeys(by_id):  # equal rows count once; no two here of one doc_id share words
+        own = set(zip(*((t or "").split()[k:] for k in range(20)), strict=False))
+        removed = {r[2] for r in left if r[0] == i and r[1] == len((t or "").split())}
+        assert (0 in removed) == (not own & seen) or i is None
+        seen |= own
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(18)
+    a, b, c, d = (random_text(rng, 40) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " end"), (None, b), (None, c), (None, c), (None, d + " x"), (5, d), (5, d), (6, None), (6, None), (7, "")]
+    kept = sorted((tuple(r) for r in jaccard_join.keep_one(frame(spark, rows)).select("doc_id", "text").collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (None, c), (5, d), (6, None), (6, None), (7, "")], key=repr)
+
+
+def test_stored_tables_go(spark, tmp_path, monkeypatch):
+    from bookmark_lake.llm import arrays
+
+    monkeypatch.setattr(arrays, "work_folder", lambda _, label: str(tmp_path / f"{label}-{uuid.uuid4().hex}"))
+    left = lambda: sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    with arrays.only(spark) as keep:
+        arrays.stored(spark.range(3), "inner")
+        with arrays.only(spark) as inner:
+            arrays.stored(spark.range(3), "deep")
+            two = inner(arrays.stored(spark.range(4), "result"))
+        keep(two)
+    assert left() == ["result"] and two.count() == 4
+    rng = random.Random(19)
+    rows = [(i, random_text(rng, 40) if i % 3 else "the same words in every third text of all") for i in range(60)]
+    assert jaccard_join.keep_one(frame(spark, rows)).count() == 41
+    assert left() == ["jaccard_doubt", "result"]
+
+
 # op9
 
 
@@ -297,13 +340,62 @@ def test_fingerprints(spark):
 
 
 def test_edits_are_located(spark):
-    texts = [(1, "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nFOUR"), (2, "a", "a")]
+    texts = [(1, "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nFOUR"), (2, "a", "a"), (3, "a\nb", "b\na"), (4, "a\nb", "a\nnew\nb")]
+    texts += [(5, "a\nb\nc", "a\nc"), (6, "a\n\nb", "a\nb")]
     df = spark.createDataFrame(texts, "i int, a string, b string")
     for c in ("a", "b"):
         df = df.withColumn(c, merkle.tree(F.col(c)))
     df = df.select("i", *(merkle.fingerprint(F.col(c)).alias(c) for c in ("a", "b")))
     got = {r["i"]: [tuple(e) for e in r["e"]] for r in df.select("i", merkle.edits(F.col("a"), F.col("b")).alias("e")).collect()}
-    assert got == {1: [(1, 1)], 2: []}
+    assert got == {
+        1: [("a", 1, 1, "changed"), ("b", 1, 1, "changed")],
+        2: [],
+        3: [("a", 0, 0, "moved"), ("a", 0, 1, "moved"), ("b", 0, 0, "moved"), ("b", 0, 1, "moved")],
+        4: [("b", 0, 1, "inserted")],
+        5: [("a", 0, 1, "deleted")],
+        6: [("a", 1, 0, "moved"), ("b", 0, 1, "moved")],
+    }
+
+
+def brute_edits(a, b):
+    """The documented alignment over the paragraphs of two texts, without digests."""
+
+    def sections(text):
+        return [s.split("\n") for s in text.split("\n\n")]
+
+    def trimmed(x, y):
+        front = 0
+        while front < min(len(x), len(y)) and x[front] == y[front]:
+            front += 1
+        back = 0
+        while back < min(len(x), len(y)) - front and x[-1 - back] == y[-1 - back]:
+            back += 1
+        return front, len(x) - back, len(y) - back
+
+    one, two = sections(a), sections(b)
+    front, *ends = trimmed(one, two)
+    rows = [
+        [(i, j, p, j == 0) for i in range(front, end) for j, p in enumerate(own[i])] for own, end in zip((one, two), ends, strict=True)
+    ]
+    front, *ends = trimmed(*([r[2:] for r in own] for own in rows))
+    rest = [own[front:end] for own, end in zip(rows, ends, strict=True)]
+    out = []
+    for side, own, other, gone in (("a", rest[0], rest[1], "deleted"), ("b", rest[1], rest[0], "inserted")):
+        known = {r[2] for r in other}
+        out += [(side, r[0], r[1], "moved" if r[2] in known else "changed" if i < len(other) else gone) for i, r in enumerate(own)]
+    return out
+
+
+def test_different_texts_have_edits(spark):
+    rng = random.Random(17)
+    text = lambda: "".join(rng.choice(["a", "b", "c. d", "\n", "\n\n"]) for _ in range(rng.randrange(12)))
+    pairs = [(i, text(), text()) for i in range(600)] + [(600, "", ""), (601, "x" * 9, "x" * 9)]
+    df = spark.createDataFrame(pairs, "i int, a string, b string")
+    trees = df.select("i", *(merkle.tree(F.col(c)).alias(c) for c in ("a", "b")))
+    prints = trees.select("i", *(merkle.fingerprint(F.col(c)).alias(c) for c in ("a", "b")))
+    got = {r["i"]: [tuple(e) for e in r["e"]] for r in prints.select("i", merkle.edits(F.col("a"), F.col("b")).alias("e")).collect()}
+    for i, a, b in pairs:
+        assert got[i] == brute_edits(a, b) and bool(got[i]) == (a != b), (a, b)
 
 
 def test_next_document(spark):
