@@ -9,7 +9,7 @@ at the first stage. SQL can express neither the networks nor the sampling, so th
 from pyspark.sql import functions as F
 
 from bookmark_lake.llm import jaccard_join, language, pieces, secrets, wu_manber
-from bookmark_lake.llm.arrays import stored
+from bookmark_lake.llm.arrays import drop_stored, only, stored
 
 #: Probability below which a document's language counts as unknown.
 LEAST_SURE = 0.5
@@ -63,7 +63,7 @@ def encode_pieces(spark, docs, sf_dir):
 
 STAGES = [
     ("language", _aside(identify_language, "lang_pred", "score")),
-    ("jaccard_join", _aside(drop_near_copies, "likely", "known_doc", "n_rows", "stays", "place")),
+    ("jaccard_join", _aside(drop_near_copies, "likely", "row_key", "stays")),
     ("wu_manber", _aside(drop_benchmark, "n_words", "n_hit", "spans", "items", "row_key")),
     ("secrets", _aside(redact_secrets, "spans")),
     ("pieces", encode_pieces),
@@ -73,6 +73,11 @@ STAGES = [
 def run(spark, sf_dir):
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        with only(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"pipeline_{name}"))
+        if last is not None:
+            drop_stored(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
