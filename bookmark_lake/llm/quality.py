@@ -174,7 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, label="quality"):
         x = pooled(part.column(part.num_columns - 1), shared.value)
         return [pa.array([v.tobytes() for v in x], pa.binary())]
 
-    rows = map_texts(rows, features, "features binary", ["doc_id", label]).orderBy("doc_id", label, "features").collect()
+    rows = map_texts(rows, features, "features binary", ["doc_id", label]).select("doc_id", label, "features").distinct()
+    # one doc_id may stand at any number of rows: the same order bounds them once more
+    rows = rows.orderBy(F.xxhash64("doc_id", "features"), label, "features").limit(SAMPLE).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r[label], bytes(r["features"])))
     x = np.array([np.frombuffer(r["features"], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIMENSIONS)
     return vectors, Network(x, np.array([r[label] for r in rows], np.int64))
 

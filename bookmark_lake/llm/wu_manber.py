@@ -24,10 +24,12 @@ from .arrays import (
     Hashes,
     byte_table,
     counts_of,
+    expand,
     fields,
     map_texts,
     mix,
     runs,
+    slices,
     text_bytes,
     text_total,
     words,
@@ -35,8 +37,8 @@ from .arrays import (
 
 #: Bytes of a word: 0-9, a letter, and everything beyond ASCII.
 ALNUM = ~byte_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-#: A benchmark is held in memory in blocks of at most so many bytes of text.
-BLOCK_BYTES = 32 << 20
+#: A benchmark is held in memory in blocks of at most so many bytes of text; the tables take about eight times that.
+BLOCK_BYTES = 16 << 20
 LANE = 256
 FOUND = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -56,35 +58,34 @@ def _block(word, at, size):
 
 
 class Patterns:
-    """Tables for the windows of one length."""
+    """Tables for the windows of one length; a window is its first word among those of all items.
 
-    def __init__(self, length, windows):
+    Equal windows of an item are one. What a window takes is two numbers, beside the text itself.
+    """
+
+    def __init__(self, length, benchmark, first, item):
         self.length, self.block = length, min(2, length)
-        self.windows = windows  # words joined by a space -> items
-        text = [w.split(b" ") for w in windows]
-        flat = pa.array([b.decode("utf-8", "surrogateescape") for w in text for b in w], pa.string())
-        data, offsets = text_bytes(flat)
-        word = Hashes(BYTE_CODE[data]).of(offsets[:-1], offsets[1:])
-        n = len(text)
-        bits = max(10, math.ceil(math.log2(8 * n * length + 1)))
+        self.benchmark = benchmark
+        word = benchmark.word
+        whole = benchmark.chain.of(first, first + length)
+        order = np.lexsort((item, whole))
+        order = order[np.concatenate(([True], (np.diff(whole[order]) != 0) | (np.diff(item[order]) != 0)))]
+        self.whole, self.first, self.item = whole[order], first[order].astype(np.int32), item[order].astype(np.int32)
+        # windows overlap, so there are about as many blocks as words
+        bits = max(10, math.ceil(math.log2(8 * len(word) + 1)))
         self.mask = U64((1 << bits) - 1)
-        far = length - self.block + 1
-        self.shift = np.full(1 << bits, min(far, 255), np.uint8)
-        first = np.arange(n) * length
-        for at in range(self.block - 1, length):
+        self.shift = np.full(1 << bits, min(length - self.block + 1, 255), np.uint8)
+        for at in range(self.block - 1, length):  # the shift falls from step to step: the last one written is the least
             h = _block(word, first + at, self.block) & self.mask
-            np.minimum.at(self.shift, h.astype(np.int64), min(length - 1 - at, 255))
-        whole = Hashes(word).of(first, first + length)
-        suffix = _block(word, first + length - 1, self.block)
-        order = np.lexsort((whole, suffix))
-        self.suffix, self.whole = suffix[order], np.sort(whole)
-        self.bucket = np.unique(self.suffix)
+            self.shift[h.astype(np.int64)] = min(length - 1 - at, 255)
+        self.bucket = np.unique(_block(word, first + length - 1, self.block))
 
     def ends(self, word, row):
-        """Positions of the last words of windows whose hash is a pattern's."""
+        """(last word, first entry, entry behind) of the windows whose hash is a pattern's."""
         n = len(word)
+        none = np.zeros(0, np.int64)
         if n < self.length:
-            return np.zeros(0, np.int64)
+            return none, none, none
         first = np.arange(0, n, LANE)
         at, stop = np.maximum(first, self.length - 1), np.minimum(first + LANE, n)
         found = []
@@ -102,23 +103,50 @@ class Patterns:
                 slot = np.minimum(np.searchsorted(self.bucket, tail), len(self.bucket) - 1)
                 found.append(maybe[self.bucket[slot] == tail])
             at = at + np.maximum(jump, 1)
-        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        at = np.concatenate(found) if found else none
         at = at[row[at] == row[at - self.length + 1]]
-        whole = Hashes(word).of(at - self.length + 1, at + 1) if len(at) else np.zeros(0, U64)
-        slot = np.minimum(np.searchsorted(self.whole, whole), len(self.whole) - 1)
-        return at[self.whole[slot] == whole]
-
-
-def patterns_of(items, length):
-    """Search tables for (item, text) rows: windows of ``length`` words, or all words of a shorter text."""
-    by_length = {}
-    for item, text in items:
-        data, start, end, _ = _folded(pa.array([text], pa.string()))
-        own = [data[s:e].tobytes() for s, e in zip(start, end, strict=True)]
-        size = min(length, len(own))
-        for i in range(len(own) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(b" ".join(own[i : i + size]), set()).add(None if item is None else str(item))
-    return [Patterns(size, windows) for size, windows in sorted(by_length.items())]
+        if not len(at):
+            return none, none, none
+        whole = Hashes(word).of(at - self.length + 1, at + 1)
+        low, high = np.searchsorted(self.whole, whole), np.searchsorted(self.whole, whole, "right")
+        hit = high > low
+        return at[hit], low[hit], high[hit]
+
+    def items_of(self, window, low, high):
+        """Numbers of the items among these entries that have the window, compared byte by byte."""
+        text, at = self.benchmark.text, self.benchmark.start
+        for entry in range(low, high):
+            begin = at[self.first[entry]]
+            if text[begin : begin + len(window)].tobytes() == window:
+                yield int(self.item[entry])
+
+
+class Benchmark:
+    """The words of all items, joined by single spaces, and the tables of their windows."""
+
+    def __init__(self, items, length):
+        """``items`` is an Arrow table (item_id, text); its texts are read in slices."""
+        self.ids, held, size = [], [], 0
+        for part in slices(items.to_batches()):
+            data, start, end, row = _folded(part.column("text"))
+            count = end - start
+            place = np.cumsum(count + 1) - (count + 1)
+            text = np.full(int((count + 1).sum()), 0x20, np.uint8)
+            text[expand(place, count)] = data[expand(start, count)]
+            word = Hashes(BYTE_CODE[text]).of(place, place + count)
+            held.append((text, place + size, word, counts_of(row, part.num_rows)))
+            self.ids += part.column("item_id").to_pylist()
+            size += len(text)
+        held = held or [(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))]
+        self.text, self.start, self.word, total = (np.concatenate(c) for c in zip(*held, strict=True))
+        self.chain = Hashes(self.word)
+        first, short = np.cumsum(total) - total, np.minimum(total, length)
+        self.patterns = []
+        for k in np.unique(short[short > 0]):
+            own = np.flatnonzero(short == k)
+            many = total[own] - k + 1
+            self.patterns.append(Patterns(int(k), self, expand(first[own], many), np.repeat(own, many)))
+        del self.word, self.chain  # what only building needs
 
 
 def _word_counts(part):
@@ -126,19 +154,19 @@ def _word_counts(part):
     return pa.array(counts_of(row, part.num_rows))
 
 
-def _search(part, patterns):
+def _search(part, benchmark):
     data, start, end, row = _folded(part.column(part.num_columns - 1))
     n = part.num_rows
     word = Hashes(BYTE_CODE[data]).of(start, end)
     cover = np.zeros(len(word) + 1, np.int64)
     items = [set() for _ in range(n)]
-    for p in patterns:
-        for at in p.ends(word, row):
+    for p in benchmark.patterns:
+        for at, low, high in zip(*p.ends(word, row), strict=True):
             first = at - p.length + 1
             own = zip(start[first : at + 1], end[first : at + 1], strict=True)
-            window = b" ".join(data[s:e].tobytes() for s, e in own)
-            if window in p.windows:
-                items[row[at]] |= p.windows[window]
+            found = {benchmark.ids[i] for i in p.items_of(b" ".join(data[s:e].tobytes() for s, e in own), low, high)}
+            if found:
+                items[row[at]] |= found
                 cover[first] += 1
                 cover[at + 1] -= 1
     hit = np.cumsum(cover[:-1]) > 0
@@ -175,7 +203,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, length=10, keep=None,
 
     def scan(df, block, keep):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        tables = sc.broadcast(patterns_of(part.collect(), length))
+        tables = sc.broadcast(Benchmark(part.select(F.col("item_id").cast("string").alias("item_id"), "text").toArrow(), length))
         return map_texts(df, lambda rows: _search(rows, tables.value), FOUND, keep)
 
     if n_blocks == 1:

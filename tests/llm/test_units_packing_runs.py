@@ -338,3 +338,37 @@ def test_written_runs(spark):
     assert [r[0] for r in df.select(periodic.written(F.col("runs"))).collect()] == ["0,12,1\n3,20,4\n", ""]
     best = df.select(periodic.longest(F.col("runs")).alias("b")).first()["b"]
     assert json.dumps(best.asDict()) == '{"start": 3, "length": 20, "period": 4}'
+
+
+# the tables of a benchmark
+
+
+def test_benchmark_tables_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from bookmark_lake.llm.wu_manber import Benchmark
+
+    rng = random.Random(2)
+    words = [f"w{i:05d}" for i in range(50_000)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(2000)] + ["a b", None, ""]
+    items = pa.table({"item_id": [str(i) for i in range(len(texts))], "text": texts})
+    size = sum(len(t or "") for t in texts)
+    tracemalloc.start()
+    tables = Benchmark(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 12 * size and peak < 40 * size, (held / size, peak / size)
+    assert [p.length for p in tables.patterns] == [2, 10]
+
+
+def test_windows_shared_by_items(spark):
+    from bookmark_lake.llm.wu_manber import find_benchmark
+
+    item = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([("a", item), ("b", f"x {item}"), ("a", item), (None, "w3 w4"), ("c", "W3! w4?")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {item}, after"), (2, "w3 w5 w4"), (3, "W3-W4")], "doc_id long, text string")
+    for block_bytes in (1 << 20, 16):
+        found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in find_benchmark(docs, bench, block_bytes=block_bytes).collect()}
+        assert found == {1: (16, 14, ["a", "b", "c", None]), 2: (3, 0, []), 3: (2, 2, ["c", None])}
