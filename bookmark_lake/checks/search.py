@@ -12,7 +12,7 @@ from ..operators.index import (
     write_index,
 )
 from ..operators.present import display_title, display_value, present, shorten
-from ..operators.search import score_hits, search, top_hits, total_hits
+from ..operators.search import best_hits, count_hits, matching, score_hits, search
 from ..session import work_folder
 from .registry import check, sql_strip, table
 
@@ -170,7 +170,7 @@ BOOLEAN = ["(the AND of) OR une", "en fr NOT src1", "+src2~1 -src3"]
     "AND bool_or(damerau_levenshtein(term, 'src2') <= 1) AND NOT bool_or(term = 'src3')",
 )
 def q_terms(spark, sf_dir):
-    return score_hits(document_index(spark, sf_dir), BOOLEAN).select("url")
+    return matching(document_index(spark, sf_dir), BOOLEAN)
 
 
 @check("q_rank", _sql_hits(WORDS_THREE_TERMS) + " SELECT url, score FROM hits")
@@ -185,12 +185,12 @@ def q_default_fields(spark, sf_dir):
 
 @check("q_topk", _sql_hits(WORDS_ONE_TERM) + " SELECT url, score FROM top")
 def q_topk(spark, sf_dir):
-    return top_hits(score_hits(document_index(spark, sf_dir), ONE_TERM))
+    return best_hits(document_index(spark, sf_dir), ONE_TERM)
 
 
 @check("agg_total", _sql_hits(WORDS_ONE_TERM) + " SELECT count(*) AS total_hits FROM hits")
 def agg_total(spark, sf_dir):
-    return total_hits(score_hits(document_index(spark, sf_dir), ONE_TERM))
+    return count_hits(document_index(spark, sf_dir), ONE_TERM)
 
 
 @check(
@@ -199,7 +199,7 @@ def agg_total(spark, sf_dir):
     + " SELECT round(coalesce(avg(score), 0), 5) AS mean, round(coalesce(stddev_samp(score), 0), 5) AS deviation FROM top",
 )
 def agg_mean_std(spark, sf_dir):
-    top = top_hits(score_hits(document_index(spark, sf_dir), ONE_TERM))
+    top = best_hits(document_index(spark, sf_dir), ONE_TERM)
     return top.agg(
         F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 5).alias("mean"),
         F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 5).alias("deviation"),

@@ -174,18 +174,24 @@ def tweet_url(user, tweet_id) -> Column:
     return F.format_string("https://twitter.com/%s/status/%s", col(user), col(tweet_id).cast("string"))
 
 
-def gitlab_project_url(owner, repo) -> Column:
-    """Project API address; the id is owner/repo with every reserved character escaped."""
-    raw = F.concat(col(owner), F.lit("/"), col(repo))
-    encoded = F.url_encode(raw)
+def escaped(c) -> Column:
+    """Every reserved character as its percent code."""
+    encoded = F.url_encode(col(c))
     # url_encode writes form encoding: undo its three differences.
     for form, percent in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
         encoded = F.replace(encoded, F.lit(form), F.lit(percent))
-    return F.concat(F.lit("https://gitlab.com/api/v4/projects/"), encoded)
+    return encoded
+
+
+def gitlab_project_url(owner, repo) -> Column:
+    """Project API address; the id is owner/repo with every reserved character escaped."""
+    raw = F.concat(col(owner), F.lit("/"), col(repo))
+    return F.concat(F.lit("https://gitlab.com/api/v4/projects/"), escaped(raw))
 
 
 __all__ = [
     "base_url",
+    "escaped",
     "fix_url",
     "gitlab_project_url",
     "is_valid_url",

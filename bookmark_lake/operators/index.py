@@ -1,13 +1,28 @@
-"""Search index: postings, term statistics and field statistics of an item table."""
+"""Search index of an item table: forward lists, blocks of postings, term statistics, spelling variants.
 
-from collections import namedtuple
+An index is a set of segments, each a folder of tables that is written once:
+
+* forward: for each item its document number, URL and, by field, length and counted words;
+* blocks: for each term and field, the postings of 64 documents with numbers in a row: their
+  bits in one long, what each word adds, and the largest part any of them can add to a score;
+* terms: documents by term and field; variants: the terms behind every spelling that is left when
+  up to two of a term's first letters go; fields: documents and words by field;
+* dead: the bits of documents in earlier segments that this segment replaces.
+
+A document's number holds its segment, the task that wrote it and its place there, so numbers need
+no pass of their own, and blocks of one task are full. A segment that replaces documents counts
+them negatively in its terms and fields: the sum over all segments is exact.
+"""
+
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import col, let
 from ..schema import ITEM_ARRAYS
-from .generations import current, delete, new_folder, put_in_force
+from ..session import work_folder
+from .generations import current, delete, exists, new_folder, put_in_force
 
 # Words: letters and digits with their combining marks and underscores, joined by single
 # dots or apostrophes inside; each Han or Hiragana sign is a word by itself. Possessive
@@ -15,9 +30,22 @@ from .generations import current, delete, new_folder, put_in_force
 _SIGN = r"[\p{IsHan}\p{IsHiragana}]"
 _PART = r"_*+(?![\p{IsHan}\p{IsHiragana}])[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]])*+"
 WORD = rf"{_SIGN}\p{{M}}*+|{_PART}(?:[.'’]{_PART})*+"
+# The same where a text has none of those signs: half the work.
+_PLAIN_PART = r"_*+[\p{L}\p{N}][\p{L}\p{M}\p{N}_]*+"
+_PLAIN_WORD = rf"{_PLAIN_PART}(?:[.'’]{_PLAIN_PART})*+"
 
-# Stored postings are kept apart by buckets of their terms: a search reads only its own.
+# Terms are kept apart by buckets: a search reads only its own.
 BUCKETS = 64
+# Postings of one term and field that share a block row: the documents of one long.
+BLOCK_BITS = 6
+# Postings of a bucket in one file, about.
+BUCKET_ROWS = 4_000_000
+# First letters of a term whose deletions are stored; two edits leave at least PREFIX - 2 of them.
+PREFIX, DELETIONS = 6, 2
+# Segments of one index: their number stands in the first bits of a document's number.
+MOST_SEGMENTS = 1 << 9
+# Constants of the ranking.
+K1, B = 1.2, 0.75
 
 # Every text field of an item; dates are no text.
 TEXT_FIELDS = [
@@ -31,12 +59,23 @@ TEXT_FIELDS = [
 ]
 FIELDS = TEXT_FIELDS + ITEM_ARRAYS
 
-Index = namedtuple("Index", "postings terms fields")
+_RUNS = "array<struct<field: string, len: int, runs: array<struct<term: string, tf: int>>>>"
+_SCHEMAS = {
+    "forward": f"doc long, block long, url string, fields {_RUNS}",
+    "blocks": "term string, field string, block long, bits long, part double, "
+    "entries array<struct<place: int, tf: int, len: int>>, bucket int",
+    "terms": "term string, field string, df long, bucket int",
+    "variants": "variant string, term string, bucket int",
+    "fields": "field string, n_docs long, words long, base double",
+    "dead": "block long, bits long",
+}
 
 
 def tokens(c) -> Column:
     """Lower-cased words in order."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(WORD), F.lit(0))
+    words = lambda pattern: lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    signs = F.regexp_like(col(c), F.lit(_SIGN))
+    return F.when(signs, words(WORD)(F.lower(col(c)))).otherwise(words(_PLAIN_WORD)(F.lower(col(c))))
 
 
 def field_tokens(items: DataFrame, fields=None) -> DataFrame:
@@ -64,29 +103,17 @@ def _counted(words) -> Column:
     )
 
 
-def _marked_postings(items: DataFrame, fields=None) -> DataFrame:
-    """POSTING rows plus ``head``: 1 on one posting of each (url, field), else 0."""
-    words = field_tokens(items, fields).select(
-        "url", "field", F.size("tokens").alias("field_len"), F.array_sort("tokens").alias("words")
-    )
-    runs = words.select("url", "field", "field_len", F.posexplode(let(F.col("words"), _counted)).alias("n", "run"))
-    return runs.select(
-        F.col("run.term").alias("term"),
-        "field",
-        "url",
-        F.col("run.tf").cast("int").alias("tf"),
-        "field_len",
-        (F.col("n") == 0).cast("int").alias("head"),
-    )
-
-
 def build_postings(items: DataFrame, fields=None) -> DataFrame:
     """POSTING rows of an item table with one row per URL.
 
     All words of a field stand in one row, so they are sorted and counted there:
     the postings need no shuffle at all.
     """
-    return _marked_postings(items, fields).drop("head")
+    words = field_tokens(items, fields).select(
+        "url", "field", F.size("tokens").alias("field_len"), F.array_sort("tokens").alias("words")
+    )
+    runs = words.select("url", "field", "field_len", F.inline(let(F.col("words"), _counted)))
+    return runs.select("term", "field", "url", F.col("tf").cast("int").alias("tf"), "field_len")
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -102,12 +129,6 @@ def field_stats(items: DataFrame, fields=None) -> DataFrame:
     )
 
 
-def index_of(items: DataFrame, fields=None) -> Index:
-    """Index of a small or one-off item table, computed where it is used."""
-    postings = build_postings(items, fields)
-    return Index(postings, term_stats(postings), field_stats(items, fields))
-
-
 def stem_postings(postings: DataFrame, stems: DataFrame) -> DataFrame:
     """Postings with every term replaced by its stem from a (token, stem) dictionary.
 
@@ -125,54 +146,252 @@ def stem_postings(postings: DataFrame, stems: DataFrame) -> DataFrame:
 
 
 def _bucket(term) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(col(term).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_of(term) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+def posting_part(tf, field_len, avg_len) -> Column:
+    """What a posting adds to a score, but for its term's weight."""
+    return (K1 + 1) * tf / (tf + K1 * (1 - B + B * field_len / avg_len))
+
+
+class Index:
+    """The segments in force, oldest first; tables are read by bucket."""
+
+    def __init__(self, spark: SparkSession, folders):
+        self.spark, self.folders = spark, list(folders)
+
+    def read(self, name, buckets=None, folders=None) -> DataFrame:
+        """A table over all segments (or ``folders``), of these buckets only."""
+        frames = []
+        for folder in self.folders if folders is None else folders:
+            root = f"{folder}/{name}"
+            paths = [root] if buckets is None else [f"{root}/bucket={b}" for b in sorted(set(buckets))]
+            if paths := [p for p in paths if exists(self.spark, p)]:
+                frames.append(self.spark.read.schema(_SCHEMAS[name]).option("basePath", root).parquet(*paths))
+        if not frames:
+            return self.spark.createDataFrame([], _SCHEMAS[name])
+        head, *rest = frames
+        for frame in rest:
+            head = head.unionByName(frame)
+        return head
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, field, df) of all segments together."""
+        return self.known_terms(None)
+
+    def known_terms(self, buckets) -> DataFrame:
+        known = self.read("terms", buckets).select("term", "field", "df")
+        if len(self.folders) > 1:
+            known = known.groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df > 0")
+        return known
+
+    @property
+    def fields(self) -> DataFrame:
+        """(field, n_docs, avg_len): a row for each text field of the schema at most."""
+        known = self.read("fields").groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words"))
+        return known.filter("n_docs > 0").select("field", "n_docs", (F.col("words") / F.col("n_docs")).alias("avg_len"))
+
+    @property
+    def dead(self) -> DataFrame:
+        """(block, bits) of the documents that a later segment replaces."""
+        return self.read("dead", folders=self.folders[1:])
+
+    @property
+    def docs(self) -> DataFrame:
+        """(doc, block, url) of the documents that live."""
+        docs = self.read("forward").select("doc", "block", "url")
+        if len(self.folders) > 1:
+            gone = self.dead.select(F.col("block").alias("gone_block"), F.col("bits").alias("gone_bits"))
+            bit = F.expr("shiftleft(1L, cast(doc & 63 as int))")
+            same = (F.col("block") == F.col("gone_block")) & (F.col("gone_bits").bitwiseAND(bit) != 0)
+            docs = docs.join(gone, same, "left_anti")
+        return docs
+
+    @property
+    def postings(self) -> DataFrame:
+        """POSTING rows of the documents that live."""
+        rows = self.read("blocks").select("term", "field", "block", F.inline("entries"))
+        rows = rows.withColumn("doc", F.expr("shiftleft(block, 6) | place"))
+        return rows.join(self.docs.select("doc", "url"), "doc").select("term", "field", "url", "tf", F.col("len").alias("field_len"))
+
+
+def _stemmed(fields, stems) -> DataFrame:
+    """Forward rows with words replaced by their stems and counted again."""
+    runs = fields.select("doc", "block", "url", F.posexplode("fields").alias("n", "f"))
+    runs = runs.select("doc", "block", "url", "n", "f.field", "f.len", F.inline("f.runs"))
+    named = stems.select(F.col("token").alias("term"), "stem")
+    counted = runs.join(named, "term", "left").withColumn("term", F.coalesce("stem", "term"))
+    counted = counted.groupBy("doc", "block", "url", "n", "field", "len", "term").agg(F.sum("tf").cast("int").alias("tf"))
+    # the words of one field of one item: as many as its text has
+    by_field = counted.groupBy("doc", "block", "url", "n", "field", "len").agg(F.collect_list(F.struct("term", "tf")).alias("runs"))
+    return by_field.groupBy("doc", "block", "url").agg(F.collect_list(F.struct("field", "len", "runs")).cast(_RUNS).alias("fields"))
+
+
+def _write_forward(items, folder, number, fields, stems):
+    """One pass over the texts: every word of a field is sorted and counted inside its row."""
+    present = [f for f in (fields or FIELDS) if f in items.columns]
+    text = lambda f: F.array_join(f, " ") if f in ITEM_ARRAYS else F.col(f)
+    doc = (F.lit(number << 53) + F.monotonically_increasing_id()).alias("doc")
+    words = items.select(doc, "url", *[F.array_sort(tokens(text(f))).alias(f"w{i}") for i, f in enumerate(present)])
+    counted = [
+        F.struct(F.lit(f).alias("field"), F.size(f"w{i}").alias("len"), let(F.col(f"w{i}"), _counted).alias("runs"))
+        for i, f in enumerate(present)
+    ]
+    # a missing field has size -1 or NULL
+    rows = words.select("doc", F.expr("shiftright(doc, 6)").alias("block"), "url", F.filter(F.array(*counted), lambda r: r["len"] > 0).cast(_RUNS).alias("fields"))
+    forward = f"{folder}/forward"
+    if stems is None:
+        rows.write.parquet(forward)
+        return
+    rows.write.parquet(f"{folder}/words")
+    _stemmed(items.sparkSession.read.parquet(f"{folder}/words"), stems).write.parquet(forward)
+    delete(items.sparkSession, f"{folder}/words")
+
+
+def _deletions(term) -> Column:
+    """All spellings of a term's first letters without up to DELETIONS of them."""
+    places = range(1, PREFIX + 1)
+    letters = [F.substring(term, i, 1) for i in places]
+    kept = [[c for i, c in zip(places, letters, strict=True) if i not in gone] for gone in _gone(PREFIX)]
+    return F.array_distinct(F.array(*(F.concat(*k) for k in kept)))
+
+
+def _gone(size):
+    """Sets of up to DELETIONS places of ``size``."""
+    sets = {frozenset()}
+    for _ in range(DELETIONS):
+        sets |= {s | {i} for s in sets for i in range(1, size + 1)}
+    return sorted(map(sorted, sets))
+
+
+def spelling_variants(term, most) -> list:
+    """The variants under which terms up to ``most`` edits away are stored, among others."""
+    found = {term[:PREFIX]}
+    for _ in range(most):
+        found |= {v[:i] + v[i + 1 :] for v in found for i in range(len(v))}
+    return sorted(found)
+
+
+def _write_by_bucket(df, path, slices, *order):
+    """A table in folders by bucket, each sorted, in up to ``slices`` files."""
+    spread = F.pmod(F.xxhash64("block"), F.lit(slices)) if slices > 1 else F.lit(0)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(max(parts, slices), "bucket", spread).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+
+
+def _write_segment(spark, folder, forward, before=None):
+    """Blocks, terms, variants and fields of the forward lists in ``folder``.
+
+    ``before`` holds the forward lists of the documents that this segment replaces.
+    """
+    by_field = forward.select("doc", "block", "url", F.inline("fields"))
+    totals = lambda df, sign: df.groupBy("field").agg(
+        (sign * F.count("*")).alias("n_docs"), (sign * F.sum("len")).alias("words"), F.sum(sign * F.size("runs")).alias("postings")
+    )
+    sums = totals(by_field, 1).collect()  # the text fields of the schema at most
+    averages = {r["field"]: r["words"] / r["n_docs"] for r in sums}
+    fields = _literal_rows(spark, "field string, n_docs long, words long, base double", [(r["field"], r["n_docs"], r["words"], averages[r["field"]]) for r in sums])
+    if before is not None:
+        gone = totals(before.select(F.inline("fields")), -1).select("field", "n_docs", "words", F.lit(0.0).alias("base"))
+        fields = fields.unionByName(gone).groupBy("field").agg(*[F.sum(c).alias(c) for c in ("n_docs", "words", "base")])
+    fields.coalesce(1).write.parquet(f"{folder}/fields")
+    average = F.lit(1.0)
+    for field, value in averages.items():
+        average = F.when(F.col("field") == field, F.lit(float(value))).otherwise(average)
+    rows = by_field.select("doc", "block", "field", "len", F.inline("runs")).withColumn("bucket", _bucket("term"))
+    slices = 1 + sum(r["postings"] for r in sums) // (BUCKETS * BUCKET_ROWS)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a term of a third of all documents is spread by its blocks; one exchange serves grouping and writing
+    dealt = rows.withColumn("spread", F.pmod(F.xxhash64("block"), F.lit(slices))).repartition(max(parts, slices), "bucket", "spread")
+    place = F.expr("cast(doc & 63 as int)")
+    blocks = dealt.groupBy("bucket", "spread", "term", "field", "block").agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(doc & 63 as int))")).alias("bits"),
+        F.max(posting_part(F.col("tf"), F.col("len"), average)).alias("part"),
+        F.sort_array(F.collect_list(F.struct(place.alias("place"), "tf", "len"))).alias("entries"),  # 64 at most
+    )
+    blocks.drop("spread").sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    blocks = Index(spark, [folder]).read("blocks")
+    terms = blocks.select("bucket", "term", "field", F.bit_count("bits").alias("df"))
+    if before is not None:
+        gone = before.select(F.inline("fields")).select("field", F.inline("runs"))
+        terms = terms.unionByName(gone.select(_bucket("term").alias("bucket"), "term", "field", F.lit(-1).alias("df")))
+    terms = terms.groupBy("bucket", "term", "field").agg(F.sum("df").alias("df"))
+    _write_by_bucket(terms, f"{folder}/terms", 1, "term", "field")
+    spelled = Index(spark, [folder]).read("terms").filter("df > 0").groupBy("bucket", "term").agg(F.first("field").alias("field"))
+    spelled = spelled.select("term", F.explode(_deletions("term")).alias("variant"))
+    _write_by_bucket(spelled.select("variant", "term", _bucket("variant").alias("bucket")), f"{folder}/variants", 1, "variant", "term")
 
 
-def write_index(items: DataFrame, path, fields=None, stems: DataFrame = None):
-    """Store the index of ``items`` under ``path`` as a new generation.
+def _literal_rows(spark, ddl, rows) -> DataFrame:
+    """A few rows that stand in the plan itself."""
+    if not rows:
+        return spark.createDataFrame([], ddl)
+    names = [f.split()[0] for f in ddl.split(", ")]
+    types = [f.split()[1] for f in ddl.split(", ")]
+    structs = [F.struct(*(F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types, strict=True))) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+# Folders are named by what they hold: a whole index, or changes of the one whose name they carry.
+_WHOLE = "-whole"
 
-    The three tables are written beside the old ones and put in force together, so a search during
-    a refresh, or after a failed one, reads the complete old index.
 
-    Postings are kept by bucket of their term and sorted by (term, url) over each bucket: a term
-    found in a third of all documents spreads over many files because the URL is part of the range.
-    Finding the ranges takes a sample, so unsorted postings are written first: texts are tokenised
-    once, and the sample reads three columns.
+def write_index(items: DataFrame, path, fields=None, stems: DataFrame = None):
+    """Store the index of ``items``, one row per URL, as one new segment in the place of all others.
+
+    The tables are written beside the old ones and put in force together, so a search during a
+    refresh, or after a failed one, reads the complete old index.
     """
     spark = items.sparkSession
-    folder = new_folder(path)
-    postings = _marked_postings(items, fields)
-    if stems is not None:
-        postings = stem_postings(postings, stems)
-    postings.withColumn("term_bucket", _bucket("term")).write.parquet(f"{folder}/unsorted")
-    postings = spark.read.parquet(f"{folder}/unsorted")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        postings.repartitionByRange(parts, "term_bucket", "term", "url")
-        .sortWithinPartitions("term_bucket", "term", "url")
-        .write.partitionBy("term_bucket")
-        .parquet(f"{folder}/postings")
-    )
-    stored = spark.read.parquet(f"{folder}/postings")
-    (
-        term_stats(stored)
-        .withColumn("term_len", F.length("term"))
-        .repartitionByRange(parts, "term_len", "term")
-        .sortWithinPartitions("term_len", "term")
-        .write.parquet(f"{folder}/terms")
-    )
-    (
-        stored.groupBy("field")
-        .agg(F.sum("head").alias("n_docs"), F.sum("tf").alias("words"))
-        .select("field", "n_docs", (F.col("words") / F.col("n_docs")).alias("avg_len"))
-        .coalesce(1)
-        .write.parquet(f"{folder}/fields")
-    )
-    put_in_force(spark, path, add=[folder], remove=current(spark, path))
-    delete(spark, f"{folder}/unsorted")
+    replaced = current(spark, path)
+    folder = new_folder(path) + _WHOLE
+    _write_forward(items, folder, 0, fields, stems)
+    _write_segment(spark, folder, Index(spark, [folder]).read("forward"))
+    put_in_force(spark, path, add=[folder], remove=replaced)
+
+
+def update_index(changed: DataFrame, path, fields=None, stems: DataFrame = None, removed: DataFrame = None):
+    """Add a segment with the items that are new or have changed; ``removed`` holds URLs that go.
+
+    Only the changed items are tokenised. Their earlier versions are marked dead, and their words,
+    read from the forward lists, are subtracted from the statistics: searches find what they would
+    after ``write_index`` of all items, which also folds the segments. One update at a time.
+    """
+    spark = changed.sparkSession
+    index = read_index(spark, path)
+    if len(index.folders) >= MOST_SEGMENTS:
+        raise ValueError(f"{MOST_SEGMENTS} segments: write the index anew")
+    folder = f"{new_folder(path)}-on-{index.folders[0].rsplit('/', 1)[1]}"
+    _write_forward(changed, folder, len(index.folders), fields, stems)
+    forward = Index(spark, [folder]).read("forward")
+    urls = forward.select("url") if removed is None else forward.select("url").union(removed.select("url"))
+    gone = index.docs.join(urls.distinct(), "url", "left_semi").select("doc")
+    index.read("forward").join(gone, "doc", "left_semi").write.parquet(f"{folder}/before")
+    before = spark.read.schema(_SCHEMAS["forward"]).parquet(f"{folder}/before")
+    bit = F.expr("shiftleft(1L, cast(doc & 63 as int))")
+    before.groupBy("block").agg(F.bit_or(bit).alias("bits")).write.parquet(f"{folder}/dead")
+    _write_segment(spark, folder, forward, before)
+    put_in_force(spark, path, add=[folder])
+    delete(spark, f"{folder}/before")
 
 
 def read_index(spark: SparkSession, path) -> Index:
     """The index in force; of two refreshes that ran side by side, the one named last."""
-    folder = max(current(spark, path))
-    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "terms", "fields")])
+    folders = current(spark, path)
+    whole = [f for f in folders if f.endswith(_WHOLE)]
+    if not whole:
+        raise ValueError(f"no index is stored at {path}")
+    name = whole[-1].rsplit("/", 1)[1]
+    return Index(spark, [whole[-1], *(f for f in folders if f.endswith(f"-on-{name}"))])
+
+
+def index_of(items: DataFrame, fields=None) -> Index:
+    """Index of a one-off item table, stored in the work folder."""
+    path = work_folder(items.sparkSession, "index")
+    write_index(items, path, fields)
+    return read_index(items.sparkSession, path)

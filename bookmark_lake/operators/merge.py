@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import non_empty, non_empty_array
 from ..schema import ITEM_ARRAYS, ITEM_STRINGS, ITEM_VALUES, VERSIONED_ITEM, version_type
-from .generations import current, new_folder, put_in_force
+from .generations import batch_folder, current, is_logged, new_folder, put_in_force
 
 
 def drop_html(df: DataFrame) -> DataFrame:
@@ -75,9 +75,13 @@ def merge_index(fragments: DataFrame, items: DataFrame = None) -> DataFrame:
 # stays, and of two first writers both stay.
 
 
-def _add_batch(spark, path, versions, instead_of=()):
-    folder = new_folder(path)
-    versions.write.parquet(folder)
+def add_batch(df: DataFrame, path, instead_of=(), name=None):
+    """Put ``df`` in force as one batch; a batch with a ``name`` that is there already adds nothing."""
+    spark = df.sparkSession
+    folder = new_folder(path) if name is None else batch_folder(path, name)
+    if name is not None and is_logged(spark, path, folder):
+        return
+    df.write.mode("overwrite").parquet(folder)  # what a failed attempt has left
     put_in_force(spark, path, add=[folder], remove=instead_of)
 
 
@@ -85,16 +89,17 @@ def rebuild_index(fragments: DataFrame, path):
     """Full refresh from ``fragments`` alone, in the place of all batches there are now."""
     spark = fragments.sparkSession
     replaced = current(spark, path)
-    _add_batch(spark, path, merge_versions(fragment_versions(fragments)), replaced)
+    add_batch(merge_versions(fragment_versions(fragments)), path, replaced)
 
 
-def upsert_items(fragments: DataFrame, path):
+def upsert_items(fragments: DataFrame, path, name=None):
     """Add fragments to the stored table.
 
     Writes only what the batch holds, merged per URL: the cost follows the batch,
-    not the table. Readers merge across batches; ``compact_items`` folds them.
+    not the table. Readers merge across batches; ``compact_items`` folds them. A batch
+    written again under its ``name`` is known and adds nothing.
     """
-    _add_batch(fragments.sparkSession, path, merge_versions(fragment_versions(fragments)))
+    add_batch(merge_versions(fragment_versions(fragments)), path, name=name)
 
 
 def _read_batches(spark, batches) -> DataFrame:
@@ -118,7 +123,7 @@ def compact_items(spark: SparkSession, path, batches=None):
     if batches:
         merged = merge_versions(_read_batches(spark, batches))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        _add_batch(spark, path, merged.repartitionByRange(parts, "url").sortWithinPartitions("url"), batches)
+        add_batch(merged.repartitionByRange(parts, "url").sortWithinPartitions("url"), path, batches)
 
 
 def backlinks(items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_year
 from ..functions.values import col, strip
+from .search import MOST_RESULTS
 
 # Characters kept of one value, characters of a title.
 VALUE_CHARS = 64
@@ -63,12 +64,18 @@ def display_line(year, score, is_standout, title, url) -> Column:
 def present(result: DataFrame, items: DataFrame) -> DataFrame:
     """RESULT rows with title, year and line, worst first so that the best ends the list.
 
-    The result has few rows, and Spark chooses how to join by its size; titles are made after the
-    join, for the rows shown.
+    The rows of a search are few (search.MOST_RESULTS at most) and come to the driver. Their URLs go
+    as a filter below the merge of the items and into its scan: over files ranged by URL it reads the
+    row groups that can hold them, not all content. Titles are made for the rows shown.
     """
-    shown = result.join(items, "url")
+    rows = result.collect()
+    if len(rows) > MOST_RESULTS:
+        raise ValueError(f"a search returns {MOST_RESULTS} rows at most")
+    shown = result.sparkSession.createDataFrame(rows, result.schema)
+    found = items.filter(F.col("url").isin([r["url"] for r in rows]))
     return (
-        shown.withColumns(
+        found.join(F.broadcast(shown), "url")
+        .withColumns(
             {
                 "title": display_title("name", "description", "content"),
                 "year": display_year("last_update", "article_published_date"),

@@ -1,4 +1,13 @@
-"""Ranked keyword search over an index."""
+"""Ranked keyword search over an index.
+
+A query's words become index terms with their statistics: exact words are looked up in their
+buckets, fuzzy ones by their spelling variants. The blocks of these terms, 64 documents each, meet
+by block. There the boolean expressions run on the bits, one long for each word, and the exact
+number of hits is a sum of bit counts: neither reads what a posting adds to a score. From the
+largest parts of a block follows the most any of its documents can score. A search first scores the
+best blocks; what the last of their top rows scores is a threshold, and only blocks that can reach
+it are read in full.
+"""
 
 from collections import namedtuple
 from functools import reduce
@@ -7,16 +16,23 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import Index, _bucket
+from ..session import work_folder
+from .index import BUCKETS, DELETIONS, Index, _literal_rows, bucket_of, posting_part, spelling_variants
 
-# Results per query; ranking constants; fuzzy distance by word length.
+# Results per query; fuzzy distance by word length.
 RESULTS = 30
-K1, B = 1.2, 0.75
 FUZZY_ONE_FROM, FUZZY_TWO_FROM = 2, 6
 
 # Rows are ranked in one task, so a caller may ask for this many at most.
 MOST_RESULTS = 10_000
 
+# Blocks that a search lists by the most they can score; it scores the first until they hold
+# HITS_AHEAD times the rows asked for. Further blocks are joined instead of listed.
+LISTED = 4096
+HITS_AHEAD = 4
+# Scores are rounded to this many digits.
+DIGITS = 6
+
 # The words of the index (index.WORD), with the fuzzy sign and its distance.
 _SIGN = r"[\p{Han}\p{Hiragana}]"
 _PART = rf"_*(?!{_SIGN})[\p{{L}}\p{{N}}](?:(?!{_SIGN})[\p{{L}}\p{{M}}\p{{N}}_])*+"
@@ -124,17 +140,6 @@ def parse_query(terms):
     return words, groups
 
 
-def _holds(expression, found: Column) -> Column:
-    """Whether the set of words found at a URL satisfies an expression."""
-    if expression[0] == "word":
-        return F.array_contains(found, F.lit(expression[1]))
-    _, should, must, must_not = expression
-    every = [_holds(e, found) for e in must] + [~_holds(e, found) for e in must_not]
-    if not must:
-        every.append(reduce(Column.__or__, [_holds(e, found) for e in should]))
-    return reduce(Column.__and__, every)
-
-
 def _excluded(expression, excluded=False) -> set:
     """Words that only exclude: they add nothing to a score."""
     if expression[0] == "word":
@@ -172,15 +177,16 @@ def edit_distance(c: Column, term, limit) -> Column:
     return distance
 
 
-def expand_fuzzy(terms: DataFrame, term, limit=None) -> DataFrame:
-    """Vocabulary terms within the allowed distance → (term, distance, boost), all of them.
+def expand_fuzzy(index: Index, term, limit=None) -> DataFrame:
+    """Terms of the index within the allowed distance → (term, distance, boost), all of them.
 
-    The length test comes first: on a stored index it prunes row groups, which are
-    sorted by term length.
+    Words that are at most two edits apart share a spelling of their first letters without two of
+    them, so the buckets of the word's own spellings hold them all.
     """
     limit = allowed_distance(term) if limit is None else limit
-    length = F.col("term_len") if "term_len" in terms.columns else F.length("term")
-    near = terms.filter(length.between(len(term) - limit, len(term) + limit)).select("term").distinct()
+    spellings = spelling_variants(term, DELETIONS)
+    near = index.read("variants", map(bucket_of, spellings)).filter(F.col("variant").isin(spellings))
+    near = near.filter(F.length("term").between(len(term) - limit, len(term) + limit)).select("term").distinct()
     return (
         near.withColumn("distance", edit_distance(F.col("term"), term, limit))
         .filter(F.col("distance").isNotNull())
@@ -191,92 +197,217 @@ def expand_fuzzy(terms: DataFrame, term, limit=None) -> DataFrame:
     )
 
 
-_WORDS = "grp int, word int, term string, boost double"
+class Matched:
+    """Index terms that a query's words stand for, with their weights.
 
+    ``known`` has (term, field, word, grp, weight, avg_len): one row for each exact word and field
+    in the plan, and a small stored table for fuzzy words, which are looked up once.
+    """
 
-def match_terms(index: Index, words) -> DataFrame:
-    """Index terms each word stands for: grp, word, term, boost."""
-    literal = [w for w in words if w.distance is None]
-    frames = []
-    if literal:
-        rows = F.array(
-            *(
-                F.struct(F.lit(w.grp).alias("grp"), F.lit(w.word).alias("word"), F.lit(w.term).alias("term"), F.lit(1.0).alias("boost"))
-                for w in literal
+    def __init__(self, index: Index, words, fields=None):
+        literal = [w for w in words if w.distance is None]
+        terms = sorted({w.term for w in literal})
+        self.buckets = {bucket_of(t) for t in terms}
+        self.terms = terms
+        spark, frames = index.spark, []
+        if literal:
+            found = self._weighed(index, index.known_terms(self.buckets).filter(F.col("term").isin(terms)), fields).collect()
+            by_term = {}
+            for r in found:  # the fields of each word
+                by_term.setdefault(r["term"], []).append(r)
+            rows = [(w.term, r["field"], w.word, w.grp, r["weight"], r["avg_len"]) for w in literal for r in by_term.get(w.term, [])]
+            frames.append(F.broadcast(_literal_rows(spark, _KNOWN, rows)) if rows else _literal_rows(spark, _KNOWN, rows))
+        fuzzy = [w for w in words if w.distance is not None]
+        if fuzzy:
+            near = reduce(
+                DataFrame.unionByName,
+                [expand_fuzzy(index, w.term, w.distance).select("term", F.lit(w.word).alias("word"), F.lit(w.grp).alias("grp"), "boost") for w in fuzzy],
             )
-        )
-        frames.append(index.terms.sparkSession.range(1).select(F.inline(rows)))
-    for w in words:
-        if w.distance is not None:
-            near = expand_fuzzy(index.terms, w.term, w.distance)
-            frames.append(near.select(F.lit(w.grp).alias("grp"), F.lit(w.word).alias("word"), "term", "boost"))
-    return reduce(DataFrame.unionByName, frames)
+            path = work_folder(spark, "fuzzy_terms")
+            near.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")).write.parquet(path)
+            near = spark.read.schema("term string, word int, grp int, boost double, bucket int").parquet(path)
+            buckets = {r["bucket"] for r in near.select("bucket").distinct().collect()}  # BUCKETS at most
+            weighed = self._weighed(index, index.known_terms(buckets), fields)
+            weighed = weighed.join(near.drop("bucket"), "term").withColumn("weight", F.col("weight") * F.col("boost"))
+            frames.append(weighed.select("term", "field", "word", "grp", "weight", "avg_len"))
+            self.buckets |= buckets
+            self.terms = None
+        self.known = reduce(DataFrame.unionByName, frames)
+
+    def _weighed(self, index, known, fields):
+        if fields is not None:
+            known = known.filter(F.col("field").isin(list(fields)))
+        # a row for each text field of the schema at most
+        joined = known.join(F.broadcast(index.fields), "field")
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return joined.select("term", "field", idf.alias("weight"), "avg_len")
+
+
+_KNOWN = "term string, field string, word int, grp int, weight double, avg_len double"
+
+
+class Query:
+    """A parsed query over an index."""
+
+    def __init__(self, index: Index, terms, fields=None):
+        self.index = index
+        self.words, self.expressions = parse_query(terms)
+        self.matched = Matched(index, self.words, fields)
+        self.excluded = sorted(set().union(*map(_excluded, self.expressions.values())))
+        self.scaled = self._scales()
+
+    def _scales(self):
+        """How much a stored largest part may have grown, by segment and field, as mean lengths have."""
+        folders = self.index.folders
+        if len(folders) == 1:
+            return [None]
+        now = {r["field"]: r["avg_len"] for r in self.index.fields.collect()}
+        scales = []
+        for folder in folders:
+            base = {r["field"]: r["base"] for r in self.index.read("fields", folders=[folder]).collect()}
+            grown = {f: max(1.0, now[f] / b) for f, b in base.items() if b and f in now}
+            scales.append(grown)
+        return scales
+
+    def blocks(self, listed=None) -> DataFrame:
+        """Blocks of the matched terms, of all documents or of the ``listed`` blocks."""
+        frames = []
+        for folder, scale in zip(self.index.folders, self.scaled, strict=True):
+            part = F.col("part")
+            for field, grown in (scale or {}).items():
+                part = F.when(F.col("field") == field, F.col("part") * grown).otherwise(part)
+            frames.append(self.index.read("blocks", self.matched.buckets, [folder]).withColumn("part", part))
+        blocks = reduce(DataFrame.unionByName, frames)
+        if self.matched.terms is not None:
+            blocks = blocks.filter(F.col("term").isin(self.matched.terms))
+        if listed is not None:
+            blocks = blocks.filter(F.col("block").isin(listed))
+        return blocks.join(self.matched.known, ["term", "field"])
+
+    def _counting(self):
+        """The weight with which a word adds to a score: none if it only excludes."""
+        return F.when(F.col("word").isin(self.excluded), 0.0).otherwise(F.col("weight")) if self.excluded else F.col("weight")
+
+    def _folded(self, rows, keys, *carried) -> DataFrame:
+        """Values by keys: words add up in a field, the best field of a group counts, groups add up.
+
+        ``rows`` are dealt by block, the first key, so no step moves them again.
+        """
+        carry = [F.bit_or(c).alias(c) for c in carried]
+        if any(w.distance is not None for w in self.words):
+            # of the terms one fuzzy word stands for, the best in the field counts
+            rows = rows.groupBy(*keys, "grp", "field", "word").agg(F.max("value").alias("value"), *carry)
+        for by, fold in ((["grp", "field"], F.sum), (["grp"], F.max), ([], F.sum)):
+            rows = rows.groupBy(*keys, *by).agg(fold("value").alias("value"), *carry)
+        return rows
+
+    def _hits(self, by_block, *more) -> DataFrame:
+        """(block, hits): the bits of living documents that satisfy all expressions."""
+        hits = reduce(Column.bitwiseAND, [_bits_of(e) for e in self.expressions.values()])
+        found = by_block.select("block", hits.alias("hits"), *more).filter("hits <> 0")
+        if self.index.folders[1:]:
+            dead = self.index.dead.groupBy("block").agg(F.bit_or("bits").alias("gone"))
+            living = F.col("hits").bitwiseAND(F.bitwise_not(F.coalesce("gone", F.lit(0).cast("long"))))
+            found = found.join(dead, "block", "left").select("block", living.alias("hits"), *more).filter("hits <> 0")
+        return found
+
+    def _by_word(self):
+        """For each word the bits of its documents in a block."""
+        return [F.when(F.col("word") == w.word, F.col("bits")).alias(f"b{w.word}") for w in self.words]
+
+    def hits(self, listed=None) -> DataFrame:
+        """(block, hits) of all blocks with hits; no score is computed."""
+        rows = self.blocks(listed).select("block", *self._by_word())
+        return self._hits(rows.groupBy("block").agg(*[F.bit_or(f"b{w.word}").alias(f"b{w.word}") for w in self.words]))
+
+    def heads(self) -> DataFrame:
+        """(block, hits, most): ``most`` is what no document of the block can exceed."""
+        value = (self._counting() * F.col("part")).alias("value")
+        rows = self.blocks().select("block", "grp", "field", "word", value, *self._by_word()).repartition("block")
+        folded = self._folded(rows, ["block"], *[f"b{w.word}" for w in self.words])
+        return self._hits(folded.withColumnRenamed("value", "most"), "most")
+
+    def scores(self, hits, listed=None) -> DataFrame:
+        """(block, doc, score) of the documents whose bits are in ``hits``."""
+        rows = self.blocks(listed).select("block", "grp", "field", "word", self._counting().alias("weight"), "avg_len", "entries")
+        rows = rows.repartition("block").join(hits, "block")
+        rows = rows.select("block", "grp", "field", "word", "weight", "avg_len", "hits", F.inline("entries"))
+        rows = rows.filter(F.expr("(shiftright(hits, place) & 1) = 1"))
+        value = F.col("weight") * posting_part(F.col("tf"), F.col("len"), F.col("avg_len"))
+        folded = self._folded(rows.select("block", "place", "grp", "field", "word", value.alias("value")), ["block", "place"])
+        return folded.select("block", F.expr("shiftleft(block, 6) | place").alias("doc"), F.round("value", DIGITS).alias("score"))
+
+    def with_urls(self, scored, listed=None) -> DataFrame:
+        docs = self.index.docs
+        if listed is not None:
+            docs = docs.filter(F.col("block").isin(listed))
+        return scored.join(docs.select("doc", "url"), "doc").select("url", "score")
+
+
+def _bits_of(expression) -> Column:
+    """The bits of a block's documents that satisfy an expression."""
+    if expression[0] == "word":
+        return F.coalesce(F.col(f"b{expression[1]}"), F.lit(0).cast("long"))
+    _, should, must, must_not = expression
+    every = [_bits_of(e) for e in must] + [F.bitwise_not(_bits_of(e)) for e in must_not]
+    if not must:
+        every.append(reduce(Column.bitwiseOR, [_bits_of(e) for e in should]))
+    return reduce(Column.bitwiseAND, every)
 
 
-def bm25(tf, field_len, df, n_docs, avg_len) -> Column:
-    idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    return idf * (K1 + 1) * tf / (tf + K1 * (1 - B + B * field_len / avg_len))
+def score_hits(index: Index, terms, fields=None) -> DataFrame:
+    """(url, score) of every item that matches all groups."""
+    query = Query(index, terms, fields)
+    return query.with_urls(query.scores(query.hits()))
 
 
-def score_hits(index: Index, terms, fields=None) -> DataFrame:
-    """(url, score) of every item that matches all groups.
+def matching(index: Index, terms, fields=None) -> DataFrame:
+    """(url) of every item that matches all groups, without scores."""
+    places = F.expr("filter(sequence(0, 63), i -> (shiftright(hits, i) & 1) = 1)")
+    found = Query(index, terms, fields).hits().select("block", F.explode(places).alias("place"))
+    docs = found.select(F.expr("shiftleft(block, 6) | place").alias("doc"))
+    return docs.join(index.docs.select("doc", "url"), "doc").select("url")
 
-    Per group the words are scored together in each field and the best field counts;
-    groups add up. Everything about one URL meets in one shuffle by URL; the three
-    aggregations after it reuse that partitioning.
-    """
-    words, expressions = parse_query(terms)
-    matched = match_terms(index, words)
-    postings, stats = index.postings, index.terms
-    if fields is not None:
-        postings = postings.filter(F.col("field").isin(list(fields)))
-    if "term_bucket" in postings.columns:
-        # At most BUCKETS numbers, whatever the number of terms: the scan reads these folders only.
-        buckets = matched.select(_bucket("term").alias("bucket")).distinct().collect()
-        postings = postings.filter(F.col("term_bucket").isin([r["bucket"] for r in buckets]))
-    score = F.col("boost") * bm25(
-        F.col("tf"), F.col("field_len"), F.col("df"), F.col("n_docs"), F.col("avg_len")
-    )
-    if "term_len" in stats.columns:
-        # The stored statistics are sorted by length first.
-        spread = [(len(w.term), w.distance or 0) for w in words]
-        lengths = sorted({n for size, d in spread for n in range(size - d, size + d + 1)})
-        stats = stats.filter(F.col("term_len").isin(lengths))
-    # The terms' statistics first: they are as many as the terms, and Spark chooses how to join.
-    known = matched.join(stats.select("term", "field", "df"), "term").join(F.broadcast(index.fields), "field")
-    scored = (
-        postings.join(known, ["term", "field"])
-        .select("url", "grp", "word", "field", score.alias("score"))
-        .repartition("url")
-    )
-    if any(w.distance is not None for w in words):
-        # Of the terms one fuzzy word stands for, the best in the field counts.
-        scored = scored.groupBy("url", "grp", "word", "field").agg(F.max("score").alias("score"))
-    excluded = sorted(set().union(*map(_excluded, expressions.values())))
-    counted = F.when(F.col("word").isin(excluded), 0.0).otherwise(F.col("score")) if excluded else F.col("score")
-    by_group = (
-        scored.groupBy("url", "grp", "field")
-        .agg(F.sum(counted).alias("score"), F.collect_set("word").alias("words"))
-        .groupBy("url", "grp")
-        .agg(F.max("score").alias("score"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-    )
-    holds = reduce(
-        lambda other, grp: F.when(F.col("grp") == grp, _holds(expressions[grp], F.col("words"))).otherwise(other),
-        expressions,
-        F.lit(False),
-    )
-    return (
-        by_group.filter(holds)
-        .groupBy("url")
-        .agg(F.sum("score").alias("score"), F.count("*").alias("n_groups"))
-        .filter(F.col("n_groups") == len(expressions))
-        .select("url", F.round("score", 6).alias("score"))
-    )
 
+def count_hits(index: Index, terms, fields=None) -> DataFrame:
+    """total_hits: the exact number of hits, by their bits alone."""
+    return Query(index, terms, fields).hits().agg(F.coalesce(F.sum(F.bit_count("hits")), F.lit(0)).cast("long").alias("total_hits"))
 
-def top_hits(hits: DataFrame, size=RESULTS) -> DataFrame:
-    """The best hits; equal scores in URL order."""
-    return hits.orderBy(F.col("score").desc(), "url").limit(size)
+
+def _ranked(index, terms, fields, size):
+    """(best hits, their total number)."""
+    if not 0 < size <= MOST_RESULTS:
+        raise ValueError(f"a search returns 1 to {MOST_RESULTS} rows, ranked in one task")
+    query = Query(index, terms, fields)
+    heads = query.heads()
+    first = heads.orderBy(F.col("most").desc(), "block").limit(LISTED + 1).collect()
+    whole = len(first) <= LISTED
+    counts = [(r["hits"] % (1 << 64)).bit_count() for r in first]
+    total = sum(counts) if whole else query.hits().agg(F.sum(F.bit_count("hits"))).first()[0]
+    ahead, held = 0, 0
+    while ahead < len(first) and held < HITS_AHEAD * size:
+        held += counts[ahead]
+        ahead += 1
+    threshold = float("-inf")
+    if ahead < len(first):
+        listed = [r["block"] for r in first[:ahead]]
+        best = query.scores(query.hits(listed), listed).orderBy(F.col("score").desc()).limit(size).collect()
+        threshold = best[-1]["score"]  # these blocks hold more than ``size`` hits
+    # scores are rounded, and parts are added in another order here
+    least = threshold - 10.0**-DIGITS
+    if whole or first[-1]["most"] < least:
+        listed = [r["block"] for r in first if r["most"] >= least]
+        scored = query.scores(query.hits(listed), listed)
+    else:
+        listed = None
+        scored = query.scores(heads.filter(F.col("most") >= least).select("block", "hits"))
+    found = query.with_urls(scored.filter(F.col("score") >= threshold), listed)
+    return found.orderBy(F.col("score").desc(), "url").limit(size), total
+
+
+def best_hits(index: Index, terms, fields=None, size=RESULTS) -> DataFrame:
+    """(url, score) of the best hits; equal scores in URL order."""
+    return _ranked(index, terms, fields, size)[0]
 
 
 def with_standout(top: DataFrame) -> DataFrame:
@@ -297,15 +428,7 @@ def with_standout(top: DataFrame) -> DataFrame:
     )
 
 
-def total_hits(hits: DataFrame) -> DataFrame:
-    """Exact number of hits, also beyond those returned."""
-    return hits.agg(F.count("score").alias("total_hits"))
-
-
 def search(index: Index, terms, fields=None, size=RESULTS) -> DataFrame:
     """rank, url, score, is_standout, total_hits of the best ``size`` hits."""
-    if not 0 < size <= MOST_RESULTS:
-        raise ValueError(f"a search returns 1 to {MOST_RESULTS} rows, ranked in one task")
-    hits = score_hits(index, terms, fields)
-    top = top_hits(hits, size).withColumn("total_hits", total_hits(hits).scalar())
-    return with_standout(top)
+    best, total = _ranked(index, terms, fields, size)
+    return with_standout(best.withColumn("total_hits", F.lit(total).cast("long")))

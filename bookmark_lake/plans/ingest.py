@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from ..operators.enrich import enrich
 from ..operators.filters import digests, mark_unchanged, status_gate
-from ..operators.frontier import frontier
-from ..operators.generations import current, new_folder, put_in_force
-from ..operators.merge import drop_empty, drop_html, upsert_items
-from ..operators.route import DEFAULT_RULES, route
+from ..operators.frontier import KEYS, frontier
+from ..operators.generations import current
+from ..operators.merge import add_batch, drop_empty, drop_html, upsert_items
+from ..operators.route import DEFAULT_RULES, route, route_by_table
 from ..schema import FRAGMENT, REQUEST
 from ..sources.github import parse_gist, parse_gist_stars, parse_github_repo, parse_github_stars
 from ..sources.gitlab import (
@@ -79,51 +79,66 @@ def storable(fragments: DataFrame) -> DataFrame:
     return drop_empty(drop_html(fragments))
 
 
+def _stored(spark, path, schema) -> DataFrame:
+    folders = current(spark, path)
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def read_answered(spark: SparkSession, path) -> DataFrame:
     """(source, request_key, digest) of everything answered so far."""
-    folders = current(spark, f"{path}/answered")
-    if not folders:
-        return spark.createDataFrame([], ANSWERED)
-    return spark.read.schema(ANSWERED).parquet(*folders)
+    return _stored(spark, f"{path}/answered", ANSWERED)
 
 
 def read_frontier(spark: SparkSession, path) -> DataFrame:
     """Requests found so far that no response answers yet, each once."""
-    folders = current(spark, f"{path}/requests")
-    if not folders:
-        return spark.createDataFrame([], REQUEST)
-    return frontier(spark.read.schema(REQUEST).parquet(*folders), read_answered(spark, path))
+    return frontier(_stored(spark, f"{path}/requests", REQUEST), read_answered(spark, path))
 
 
-def _append(df: DataFrame, path):
-    folder = new_folder(path)
-    df.write.parquet(folder)
-    put_in_force(df.sparkSession, path, add=[folder])
+def store_requests(requests: DataFrame, crawl_path, name=None):
+    """Add routed requests to the stored ones; a repeat costs a row, and readers fold it."""
+    add_batch(frontier(requests), f"{crawl_path}/requests", name=name)
 
 
-def store_requests(requests: DataFrame, crawl_path):
-    """Add routed requests to the stored ones; a repeat costs a row, and readers fold it."""
-    _append(frontier(requests), f"{crawl_path}/requests")
+def compact_crawl(spark: SparkSession, path):
+    """Fold the state of a crawl: the open requests and the answers, each one table ranged by key.
+
+    What is written meanwhile stays beside them.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranged(df):
+        return df.repartitionByRange(parts, *KEYS).sortWithinPartitions(*KEYS)
+
+    requests, answered = current(spark, f"{path}/requests"), current(spark, f"{path}/answered")
+    if requests:
+        open_ones = frontier(spark.read.schema(REQUEST).parquet(*requests), read_answered(spark, path))
+        add_batch(ranged(open_ones), f"{path}/requests", requests)
+    if answered:
+        add_batch(ranged(spark.read.schema(ANSWERED).parquet(*answered).distinct()), f"{path}/answered", answered)
 
 
-def ingest(responses: DataFrame, index_path, sources=None, rules=None, crawl_path=None, kinds=None, metadata=None) -> DataFrame:
+def ingest(
+    responses: DataFrame, index_path, sources=None, rules=None, crawl_path=None, kinds=None, metadata=None, batch=None
+) -> DataFrame:
     """Merge all items of ``responses`` into the stored table; return the new frontier.
 
     With ``crawl_path`` the state of the crawl is kept there: responses whose body an earlier call
     has seen are marked ``cached``, nothing is asked for that any call has answered, and the
     frontier holds the open requests of all calls. ``metadata`` names a column of ``responses`` with
-    ready page metadata, to be used instead of the page's own.
+    ready page metadata, to be used instead of the page's own. ``rules`` are a list, or a RULE table.
+    A call repeated under the name of its ``batch`` adds nothing that is there.
     """
     spark = responses.sparkSession
     answered = responses
     if crawl_path is not None:
         responses = mark_unchanged(responses, read_answered(spark, crawl_path))
     parsed = parse_responses(responses, sources, kinds, metadata)
-    upsert_items(storable(parsed.fragments), index_path)
-    routed = route(parsed.requests, DEFAULT_RULES if rules is None else rules)
+    upsert_items(storable(parsed.fragments), index_path, batch)
+    rules = DEFAULT_RULES if rules is None else rules
+    routed = route_by_table(parsed.requests, rules) if isinstance(rules, DataFrame) else route(parsed.requests, rules)
     if crawl_path is None:
         return frontier(routed, answered)
     # Requests first, answers last: a call that fails between is repeated as a whole.
-    store_requests(routed, crawl_path)
-    _append(digests(answered), f"{crawl_path}/answered")
+    store_requests(routed, crawl_path, batch)
+    add_batch(digests(answered), f"{crawl_path}/answered", name=batch)
     return read_frontier(spark, crawl_path)

@@ -56,9 +56,9 @@ def test_route(spark):
 
 
 def test_route_merges_meta(spark):
-    rule = Rule("a", "^http://example", (Output("x", "http://new/", meta={"new_data": "10", "old_data2": "7"}),))
-    _, rows = routed(spark, [rule], meta={"old_data1": "5", "old_data2": "6"})
-    assert rows[0]["meta"] == {"old_data1": "5", "old_data2": "7", "new_data": "10"}
+    rule = Rule("a", "^http://example", (Output("x", "http://new/", meta={"depth": "shallow", "page": "{url}"}),))
+    _, rows = routed(spark, [rule], meta={"page": "before", "item_url": "kept"})
+    assert rows[0]["meta"] == {"item_url": "kept", "depth": "shallow", "page": "http://example.com"}
 
 
 @pytest.mark.parametrize(
