@@ -66,6 +66,8 @@ LARGEST_BOUNDARY = 16
 NEAR = 3
 #: About so many pairs are compared at a time.
 PAIRS_AT_ONCE = 20_000
+#: Pairs from which on a label's number of pairs decides where they meet.
+SHARED = 64
 #: Parts into which the pairs of one label are dealt when they meet a count.
 SALTS = 32
 PORTION = 1_000_000
@@ -380,27 +382,33 @@ def _verified(pairs, docs, classes, rule, size):
 
 
 def _counted_by(pairs, counts, names):
-    """``pairs`` with a count by the columns ``names``; every count is there once for each salt."""
+    """``pairs`` with the counts by the columns ``names``, 0 if there is none.
+
+    Counts are few, as only large ones are asked for; each is there for every salt, so that the pairs
+    of one label meet it in many tasks.
+    """
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    spread = counts.withColumn("salt", F.explode(salts))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, [*names, "salt"]).drop("salt")
+    value = counts.columns[-1]
+    return salted.join(spread, [*names, "salt"], "left").withColumn(value, F.coalesce(value, F.lit(0))).drop("salt")
 
 
 def _compared(pairs, docs, classes, rule, size):
     texts = _texts_of(pairs, docs, classes, size)
     # each end is counted and folded by itself, before the two meet
     ends_of = [pairs.groupBy(F.col(f"{end}_label").alias("label")).count() for end in ("x", "y")]
-    count = ends_of[0].unionByName(ends_of[1]).groupBy("label").agg(F.sum("count").alias("count"))
-    between = pairs.groupBy("x_label", "y_label").agg(F.count("*").alias("between"))
+    count = ends_of[0].unionByName(ends_of[1]).groupBy("label").agg(F.sum("count").alias("count")).filter(F.col("count") >= SHARED)
+    between = pairs.groupBy("x_label", "y_label").agg(F.count("*").alias("between")).filter(F.col("between") > PAIRS_AT_ONCE)
     for end in ("x", "y"):
         own = count.select(F.col("label").alias(f"{end}_label"), F.col("count").alias(f"{end}_count"))
         pairs = _counted_by(pairs, own, [f"{end}_label"])
     pairs = _counted_by(pairs, between, ["x_label", "y_label"])
     large = F.col("x_count") >= F.col("y_count")
     home, guest = F.when(large, F.col("x_label")).otherwise(F.col("y_label")), F.when(large, F.col("y_label")).otherwise(F.col("x_label"))
-    part = F.pmod(F.xxhash64(guest), F.ceil(F.greatest("x_count", "y_count") / PAIRS_AT_ONCE))
+    part = F.pmod(F.xxhash64(guest), F.greatest(F.lit(1), F.ceil(F.greatest("x_count", "y_count") / PAIRS_AT_ONCE)))
     cuts = F.ceil(F.sqrt(F.col("between") / PAIRS_AT_ONCE))
-    cut = F.when(cuts > 1, F.xxhash64("x_label", "y_label", F.pmod(F.xxhash64("x"), cuts), F.pmod(F.xxhash64("y"), cuts))).otherwise(0)
+    cut = F.when(cuts > 1, F.xxhash64("x_label", "y_label", F.pmod(F.xxhash64("x"), F.greatest(F.lit(1), cuts)), F.pmod(F.xxhash64("y"), F.greatest(F.lit(1), cuts)))).otherwise(0)
     pairs = stored(pairs.select("x", "y", F.xxhash64(home, part, cut).alias("block")), "jaccard_pairs")
     n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_AT_ONCE)
     pairs = pairs.withColumn("block", F.pmod("block", F.lit(n_blocks)))
