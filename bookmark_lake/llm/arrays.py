@@ -159,6 +159,8 @@ def map_texts(df, function, new, keep=None, text="text"):
         for part in slices(batches):
             arrays = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*arrays, *function(part)], names=schema.names)
+        # the worker stays for tasks of other stages: it keeps no memory for this one
+        pa.default_memory_pool().release_unused()
 
     return inner.mapInArrow(run, schema)
 

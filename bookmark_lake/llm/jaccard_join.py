@@ -70,7 +70,7 @@ PAIRS_AT_ONCE = 20_000
 SHARED = 64
 #: Parts into which the pairs of one label are dealt when they meet a count.
 SALTS = 32
-PORTION = 1_000_000
+PORTION = 500_000
 #: Partners a set is compared with in a round, and rounds before all pairs still apart are named.
 PARTNERS, ROUNDS = 3, 2
 
