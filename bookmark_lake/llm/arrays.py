@@ -5,6 +5,7 @@ bytes of text, or one row where a text is longer, so the memory of a task depend
 text and not on the table.
 """
 
+import gc
 import math
 from contextlib import contextmanager
 
@@ -328,7 +329,11 @@ def drop_stored(*tables):
 
 @contextmanager
 def only(spark):
-    """At the end of the block its stored tables are deleted, but for those given to what it yields."""
+    """At the end of the block its stored tables are deleted, but for those given to what it yields.
+
+    The driver then collects its garbage: Spark deletes shuffle files and broadcasts when nothing on
+    the driver refers to them any more.
+    """
     kept = []
 
     def keep(table):
@@ -345,3 +350,5 @@ def only(spark):
         for path in made:
             if path not in kept:
                 delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
