@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .dates import parse_date
 from .tags import normalise_tag, tag_list, tag_set
 from .text import decode_entities
-from .urls import base_url, url_equal
+from .urls import base_url, url_equal, without_comments
 from .values import col, let, non_empty, reusable
 
 # Vocabularies behind the usual prefixes of <meta property="…">.
@@ -36,7 +36,6 @@ DATE_PROPERTY = "ogp.me/ns/article#published_time"
 _STRINGS = "array<string>"
 _VARIANTS = "array<variant>"
 
-_COMMENT = r"(?s)<!--.*?-->"
 _LD_JSON = (
     r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?application/ld\+json\b[^>]*>(.*?)</script\s*>"""
 )
@@ -79,13 +78,9 @@ def _block_elements(parsed) -> Column:
     return _present(F.flatten(F.transform(parsed, lambda v: elements(v))))
 
 
-def _without_comments(html) -> Column:
-    return F.regexp_replace(col(html), _COMMENT, "")
-
-
 def json_ld(html) -> Column:
     """Elements of all JSON-LD blocks that parse."""
-    return _block_elements(_parsed_blocks(_without_comments(html)))
+    return _block_elements(_parsed_blocks(without_comments(html)))
 
 
 def _written_out(prop, declared, defaults) -> Column:
@@ -125,7 +120,7 @@ def _rdfa_pairs(plain) -> Column:
 
 def rdfa(html) -> Column:
     """(key, value) of every <meta property content>, prefixes written out."""
-    return let(_without_comments(html), _rdfa_pairs)
+    return let(without_comments(html), _rdfa_pairs)
 
 
 @reusable
@@ -149,7 +144,7 @@ def extract_metadata(html) -> Column:
         )
 
     return let(
-        let(_without_comments(html), found),
+        let(without_comments(html), found),
         lambda m: F.struct(
             m["json"]["json_ld"].alias("json_ld"),
             m["rdfa"].alias("rdfa"),

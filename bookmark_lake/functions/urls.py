@@ -159,13 +159,21 @@ def is_web_link(c) -> Column:
 
 
 _COMMENT = r"(?s)<!--.*?-->"
+
+
+def without_comments(html) -> Column:
+    """A page without its comments; most have none, and a plain search tells."""
+    html = col(html)
+    return F.when(F.contains(html, F.lit("<!--")), F.regexp_replace(html, _COMMENT, "")).otherwise(html)
+
+
 _BASE_TAG = r"""(?i)<base(?:\s[^>]*)?\shref\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def base_url(html, url) -> Column:
     """URL that relative links of the page start from: <base href> or the page itself."""
     html, url = col(html), col(url)
-    declared = F.regexp_extract(F.regexp_replace(html, _COMMENT, ""), _BASE_TAG, 1)
+    declared = F.regexp_extract(without_comments(html), _BASE_TAG, 1)
     has_base = html.rlike("(?i)<base\\s")
     return F.when(has_base, url_join(url, first_non_empty(declared, url))).otherwise(url)
 
@@ -200,4 +208,5 @@ __all__ = [
     "url_equal",
     "url_join",
     "url_key",
+    "without_comments",
 ]

@@ -15,6 +15,7 @@ them negatively in its terms and fields: the sum over all segments is exact.
 """
 
 import zlib
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,10 @@ BLOCK_BITS = 6
 # Postings of a bucket in one file, about.
 BUCKET_ROWS = 4_000_000
 # First letters of a term whose deletions are stored; two edits leave at least PREFIX - 2 of them.
-PREFIX, DELETIONS = 6, 2
+PREFIX, DELETIONS = 5, 2
+# A posting in a block is one number: its place among the 64 documents, its count, its field's length. Arrays
+# of words end far below 2 ** COUNT_BITS.
+COUNT_BITS = 28
 # Segments of one index: their number stands in the first bits of a document's number.
 MOST_SEGMENTS = 1 << 9
 # Constants of the ranking.
@@ -63,9 +67,9 @@ _RUNS = "array<struct<field: string, len: int, runs: array<struct<term: string,
 _SCHEMAS = {
     "forward": f"doc long, block long, url string, fields {_RUNS}",
     "blocks": "term string, field string, block long, bits long, part double, "
-    "entries array<struct<place: int, tf: int, len: int>>, bucket int",
+    "entries array<long>, bucket int",
     "terms": "term string, field string, df long, bucket int",
-    "variants": "variant string, term string, bucket int",
+    "variants": "spelling long, term string, bucket int",
     "fields": "field string, n_docs long, words long, base double",
     "dead": "block long, bits long",
 }
@@ -153,9 +157,15 @@ def bucket_of(term) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
-def posting_part(tf, field_len, avg_len) -> Column:
-    """What a posting adds to a score, but for its term's weight."""
-    return (K1 + 1) * tf / (tf + K1 * (1 - B + B * field_len / avg_len))
+def posting_part(tf, field_len, avg_len) -> str:
+    """SQL: what a posting adds to a score, but for its term's weight."""
+    return f"({K1 + 1}D * {tf} / ({tf} + {K1}D * ({1 - B}D + {B}D * {field_len} / {avg_len})))"
+
+
+def entry(part, e="e") -> str:
+    """SQL: the place, tf or len in the number ``e`` of a posting."""
+    mask = (1 << COUNT_BITS) - 1
+    return {"place": f"shiftright({e}, {2 * COUNT_BITS})", "tf": f"(shiftright({e}, {COUNT_BITS}) & {mask})", "len": f"({e} & {mask})"}[part]
 
 
 class Index:
@@ -190,11 +200,21 @@ class Index:
             known = known.groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df > 0")
         return known
 
+    @cached_property
+    def field_rows(self) -> dict:
+        """(n_docs, words, base) by folder and field: the text fields of the schema at most, for each segment."""
+        own = [self.read("fields", folders=[f]).withColumn("folder", F.lit(f.rsplit("/", 1)[1])) for f in self.folders]
+        rows = reduce(DataFrame.unionByName, own).collect()
+        return {(r["folder"], r["field"]): (r["n_docs"], r["words"], r["base"]) for r in rows}
+
     @property
-    def fields(self) -> DataFrame:
-        """(field, n_docs, avg_len): a row for each text field of the schema at most."""
-        known = self.read("fields").groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words"))
-        return known.filter("n_docs > 0").select("field", "n_docs", (F.col("words") / F.col("n_docs")).alias("avg_len"))
+    def fields(self) -> dict:
+        """(n_docs, avg_len) by field, over all segments."""
+        sums = {}
+        for (_, field), (n_docs, words, _) in self.field_rows.items():
+            docs, total = sums.get(field, (0, 0))
+            sums[field] = (docs + n_docs, total + words)
+        return {f: (n, total / n) for f, (n, total) in sums.items() if n > 0}
 
     @property
     def dead(self) -> DataFrame:
@@ -215,9 +235,9 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         """POSTING rows of the documents that live."""
-        rows = self.read("blocks").select("term", "field", "block", F.inline("entries"))
-        rows = rows.withColumn("doc", F.expr("shiftleft(block, 6) | place"))
-        return rows.join(self.docs.select("doc", "url"), "doc").select("term", "field", "url", "tf", F.col("len").alias("field_len"))
+        rows = self.read("blocks").select("term", "field", "block", F.explode("entries").alias("e"))
+        rows = rows.selectExpr("term", "field", f"shiftleft(block, 6) | {entry('place')} AS doc", f"int({entry('tf')}) AS tf", f"int({entry('len')}) AS field_len")
+        return rows.join(self.docs.select("doc", "url"), "doc").select("term", "field", "url", "tf", "field_len")
 
 
 def _stemmed(fields, stems) -> DataFrame:
@@ -254,11 +274,11 @@ def _write_forward(items, folder, number, fields, stems):
 
 
 def _deletions(term) -> Column:
-    """All spellings of a term's first letters without up to DELETIONS of them."""
+    """Checksums of all spellings of a term's first letters without up to DELETIONS of them."""
     places = range(1, PREFIX + 1)
     letters = [F.substring(term, i, 1) for i in places]
     kept = [[c for i, c in zip(places, letters, strict=True) if i not in gone] for gone in _gone(PREFIX)]
-    return F.array_distinct(F.array(*(F.concat(*k) for k in kept)))
+    return F.array_distinct(F.array(*(F.crc32(F.concat(*k).cast("binary")) for k in kept)))
 
 
 def _gone(size):
@@ -269,12 +289,12 @@ def _gone(size):
     return sorted(map(sorted, sets))
 
 
-def spelling_variants(term, most) -> list:
-    """The variants under which terms up to ``most`` edits away are stored, among others."""
+def spellings(term, most) -> list:
+    """Checksums of a term's own spellings: under these the terms up to ``most`` edits away are stored, among others."""
     found = {term[:PREFIX]}
     for _ in range(most):
         found |= {v[:i] + v[i + 1 :] for v in found for i in range(len(v))}
-    return sorted(found)
+    return sorted({zlib.crc32(v.encode()) for v in found})
 
 
 def _write_by_bucket(df, path, slices, *order):
@@ -300,19 +320,18 @@ def _write_segment(spark, folder, forward, before=None):
         gone = totals(before.select(F.inline("fields")), -1).select("field", "n_docs", "words", F.lit(0.0).alias("base"))
         fields = fields.unionByName(gone).groupBy("field").agg(*[F.sum(c).alias(c) for c in ("n_docs", "words", "base")])
     fields.coalesce(1).write.parquet(f"{folder}/fields")
-    average = F.lit(1.0)
-    for field, value in averages.items():
-        average = F.when(F.col("field") == field, F.lit(float(value))).otherwise(average)
+    cases = " ".join(f"WHEN '{field}' THEN {float(value)!r}D" for field, value in averages.items())
+    average = f"CASE field {cases} END" if cases else "1.0D"
     rows = by_field.select("doc", "block", "field", "len", F.inline("runs")).withColumn("bucket", _bucket("term"))
     slices = 1 + sum(r["postings"] for r in sums) // (BUCKETS * BUCKET_ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a term of a third of all documents is spread by its blocks; one exchange serves grouping and writing
     dealt = rows.withColumn("spread", F.pmod(F.xxhash64("block"), F.lit(slices))).repartition(max(parts, slices), "bucket", "spread")
-    place = F.expr("cast(doc & 63 as int)")
+    packed = f"shiftleft(doc & 63, {2 * COUNT_BITS}) | shiftleft(bigint(tf), {COUNT_BITS}) | bigint(len)"
     blocks = dealt.groupBy("bucket", "spread", "term", "field", "block").agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(doc & 63 as int))")).alias("bits"),
-        F.max(posting_part(F.col("tf"), F.col("len"), average)).alias("part"),
-        F.sort_array(F.collect_list(F.struct(place.alias("place"), "tf", "len"))).alias("entries"),  # 64 at most
+        F.expr("bit_or(shiftleft(1L, cast(doc & 63 as int))) AS bits"),
+        F.expr(f"max({posting_part('tf', 'len', average)}) AS part"),
+        F.expr(f"sort_array(collect_list({packed})) AS entries"),  # 64 at most, by place
     )
     blocks.drop("spread").sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
     blocks = Index(spark, [folder]).read("blocks")
@@ -323,8 +342,9 @@ def _write_segment(spark, folder, forward, before=None):
     terms = terms.groupBy("bucket", "term", "field").agg(F.sum("df").alias("df"))
     _write_by_bucket(terms, f"{folder}/terms", 1, "term", "field")
     spelled = Index(spark, [folder]).read("terms").filter("df > 0").groupBy("bucket", "term").agg(F.first("field").alias("field"))
-    spelled = spelled.select("term", F.explode(_deletions("term")).alias("variant"))
-    _write_by_bucket(spelled.select("variant", "term", _bucket("variant").alias("bucket")), f"{folder}/variants", 1, "variant", "term")
+    spelled = spelled.select(F.explode(_deletions("term")).alias("spelling"), "term")
+    spelled = spelled.withColumn("bucket", F.pmod("spelling", F.lit(BUCKETS)).cast("int"))
+    _write_by_bucket(spelled, f"{folder}/variants", 1, "spelling")
 
 
 def _literal_rows(spark, ddl, rows) -> DataFrame:
@@ -338,7 +358,7 @@ def _literal_rows(spark, ddl, rows) -> DataFrame:
 
 
 # Folders are named by what they hold: a whole index, or changes of the one whose name they carry.
-_WHOLE = "-whole"
+_WHOLE, _CHANGES = "-whole", "-on-"
 
 
 def write_index(items: DataFrame, path, fields=None, stems: DataFrame = None):
@@ -366,7 +386,7 @@ def update_index(changed: DataFrame, path, fields=None, stems: DataFrame = None,
     index = read_index(spark, path)
     if len(index.folders) >= MOST_SEGMENTS:
         raise ValueError(f"{MOST_SEGMENTS} segments: write the index anew")
-    folder = f"{new_folder(path)}-on-{index.folders[0].rsplit('/', 1)[1]}"
+    folder = f"{new_folder(path)}{_CHANGES}{index.folders[0].rsplit('/', 1)[1]}"
     _write_forward(changed, folder, len(index.folders), fields, stems)
     forward = Index(spark, [folder]).read("forward")
     urls = forward.select("url") if removed is None else forward.select("url").union(removed.select("url"))
@@ -383,11 +403,11 @@ def update_index(changed: DataFrame, path, fields=None, stems: DataFrame = None,
 def read_index(spark: SparkSession, path) -> Index:
     """The index in force; of two refreshes that ran side by side, the one named last."""
     folders = current(spark, path)
-    whole = [f for f in folders if f.endswith(_WHOLE)]
+    whole = [f for f in folders if f.endswith(_WHOLE) and _CHANGES not in f.rsplit("/", 1)[1]]
     if not whole:
         raise ValueError(f"no index is stored at {path}")
     name = whole[-1].rsplit("/", 1)[1]
-    return Index(spark, [whole[-1], *(f for f in folders if f.endswith(f"-on-{name}"))])
+    return Index(spark, [whole[-1], *(f for f in folders if f.endswith(_CHANGES + name))])
 
 
 def index_of(items: DataFrame, fields=None) -> Index:

@@ -9,6 +9,8 @@ best blocks; what the last of their top rows scores is a threshold, and only blo
 it are read in full.
 """
 
+import json
+import math
 from collections import namedtuple
 from functools import reduce
 
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_folder
-from .index import BUCKETS, DELETIONS, Index, _literal_rows, bucket_of, posting_part, spelling_variants
+from .index import BUCKETS, DELETIONS, Index, bucket_of, entry, posting_part, spellings
 
 # Results per query; fuzzy distance by word length.
 RESULTS = 30
@@ -30,6 +32,8 @@ MOST_RESULTS = 10_000
 # HITS_AHEAD times the rows asked for. Further blocks are joined instead of listed.
 LISTED = 4096
 HITS_AHEAD = 4
+# Terms of fuzzy words that stand in the plan itself.
+TERMS = 1000
 # Scores are rounded to this many digits.
 DIGITS = 6
 
@@ -159,6 +163,11 @@ def _swaps(term) -> list:
     return sorted(swapped - {term})
 
 
+def _listed(words) -> Column:
+    """Some words as one literal; words hold no line break."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def edit_distance(c: Column, term, limit) -> Column:
     """Edits, with a swap of neighbours as one, between ``c`` and ``term``; NULL beyond ``limit``."""
     if limit == 0:
@@ -167,13 +176,12 @@ def edit_distance(c: Column, term, limit) -> Column:
     distance = F.when(c == term, F.lit(0))
     swaps = _swaps(term)
     if swaps:
-        distance = distance.when(c.isin(swaps), F.lit(1))
+        distance = distance.when(F.array_contains(_listed(swaps), c), F.lit(1))
     distance = distance.when(plain.between(0, limit), plain)
     if limit == 2 and swaps:
         twice = sorted({t for s in swaps for t in _swaps(s)})
-        distance = distance.when(c.isin(twice), F.lit(2))
-        for s in swaps:
-            distance = distance.when(F.levenshtein(c, F.lit(s), 1) >= 0, F.lit(2))
+        distance = distance.when(F.array_contains(_listed(twice), c), F.lit(2))
+        distance = distance.when(F.exists(_listed(swaps), lambda s: F.levenshtein(c, s, 1) >= 0), F.lit(2))
     return distance
 
 
@@ -184,8 +192,8 @@ def expand_fuzzy(index: Index, term, limit=None) -> DataFrame:
     them, so the buckets of the word's own spellings hold them all.
     """
     limit = allowed_distance(term) if limit is None else limit
-    spellings = spelling_variants(term, DELETIONS)
-    near = index.read("variants", map(bucket_of, spellings)).filter(F.col("variant").isin(spellings))
+    own = spellings(term, DELETIONS)
+    near = index.read("variants", {s % BUCKETS for s in own}).filter(_among("spelling", own))
     near = near.filter(F.length("term").between(len(term) - limit, len(term) + limit)).select("term").distinct()
     return (
         near.withColumn("distance", edit_distance(F.col("term"), term, limit))
@@ -200,52 +208,75 @@ def expand_fuzzy(index: Index, term, limit=None) -> DataFrame:
 class Matched:
     """Index terms that a query's words stand for, with their weights.
 
-    ``known`` has (term, field, word, grp, weight, avg_len): one row for each exact word and field
-    in the plan, and a small stored table for fuzzy words, which are looked up once.
+    ``known`` has (term, field, word, grp, weight, avg_len). Exact words and up to TERMS terms of
+    fuzzy ones are rows of the plan itself, which the scan of the blocks can look for; if fuzzy
+    words stand for more, those are looked up once and stored.
     """
 
     def __init__(self, index: Index, words, fields=None):
-        literal = [w for w in words if w.distance is None]
-        terms = sorted({w.term for w in literal})
-        self.buckets = {bucket_of(t) for t in terms}
-        self.terms = terms
-        spark, frames = index.spark, []
-        if literal:
-            found = self._weighed(index, index.known_terms(self.buckets).filter(F.col("term").isin(terms)), fields).collect()
-            by_term = {}
-            for r in found:  # the fields of each word
-                by_term.setdefault(r["term"], []).append(r)
-            rows = [(w.term, r["field"], w.word, w.grp, r["weight"], r["avg_len"]) for w in literal for r in by_term.get(w.term, [])]
-            frames.append(F.broadcast(_literal_rows(spark, _KNOWN, rows)) if rows else _literal_rows(spark, _KNOWN, rows))
+        self.index, self.fields = index, fields
+        self.stats = {f: s for f, s in index.fields.items() if fields is None or f in fields}
+        spark = index.spark
+        named = [(w.term, w.word, w.grp, 1.0) for w in words if w.distance is None]
         fuzzy = [w for w in words if w.distance is not None]
+        many = None
         if fuzzy:
             near = reduce(
                 DataFrame.unionByName,
                 [expand_fuzzy(index, w.term, w.distance).select("term", F.lit(w.word).alias("word"), F.lit(w.grp).alias("grp"), "boost") for w in fuzzy],
             )
-            path = work_folder(spark, "fuzzy_terms")
-            near.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")).write.parquet(path)
-            near = spark.read.schema("term string, word int, grp int, boost double, bucket int").parquet(path)
-            buckets = {r["bucket"] for r in near.select("bucket").distinct().collect()}  # BUCKETS at most
-            weighed = self._weighed(index, index.known_terms(buckets), fields)
-            weighed = weighed.join(near.drop("bucket"), "term").withColumn("weight", F.col("weight") * F.col("boost"))
-            frames.append(weighed.select("term", "field", "word", "grp", "weight", "avg_len"))
+            few = near.limit(TERMS + 1).collect()
+            if len(few) <= TERMS:
+                named += [(r["term"], r["word"], r["grp"], r["boost"]) for r in few]
+            else:
+                many = self._stored(near)
+        terms = sorted({t[0] for t in named})
+        self.buckets = {bucket_of(t) for t in terms}
+        by_term = {}
+        if terms:
+            found = index.known_terms(self.buckets).filter(_among("term", terms))
+            for r in found.collect():  # the fields of each term
+                if r["field"] in self.stats:
+                    n_docs, avg_len = self.stats[r["field"]]
+                    weight = math.log(1 + (n_docs - r["df"] + 0.5) / (r["df"] + 0.5))
+                    by_term.setdefault(r["term"], []).append((r["field"], weight, avg_len))
+        rows = [(t, f, word, grp, weight * boost, avg) for t, word, grp, boost in named for f, weight, avg in by_term.get(t, [])]
+        self.terms = sorted({r[0] for r in rows}) if many is None else None
+        self.known = F.broadcast(_json_rows(spark, _KNOWN, rows))
+        if many is not None:
+            buckets = {r["bucket"] for r in many.select("bucket").distinct().collect()}  # BUCKETS at most
+            self.known = self.known.unionByName(self._weighed(index.known_terms(buckets), many))
             self.buckets |= buckets
-            self.terms = None
-        self.known = reduce(DataFrame.unionByName, frames)
 
-    def _weighed(self, index, known, fields):
-        if fields is not None:
-            known = known.filter(F.col("field").isin(list(fields)))
+    def _stored(self, near) -> DataFrame:
+        path = work_folder(self.index.spark, "fuzzy_terms")
+        near.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")).write.parquet(path)
+        return self.index.spark.read.schema("term string, word int, grp int, boost double, bucket int").parquet(path)
+
+    def _weighed(self, known, near):
+        stats = _json_rows(self.index.spark, "field string, n_docs long, avg_len double", [(f, *s) for f, s in self.stats.items()])
         # a row for each text field of the schema at most
-        joined = known.join(F.broadcast(index.fields), "field")
+        joined = known.join(near.drop("bucket"), "term").join(F.broadcast(stats), "field")
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return joined.select("term", "field", idf.alias("weight"), "avg_len")
+        return joined.select("term", "field", "word", "grp", (idf * F.col("boost")).alias("weight"), "avg_len")
 
 
 _KNOWN = "term string, field string, word int, grp int, weight double, avg_len double"
 
 
+def _json_rows(spark, ddl, rows) -> DataFrame:
+    """Rows that stand in the plan itself, as one literal."""
+    names = [f.split()[0] for f in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f.replace(' ', ': ') for f in ddl.split(', '))}>>")))
+
+
+def _among(name, values) -> str:
+    """SQL: ``name`` is one of some numbers or words."""
+    quoted = (str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return f"{name} IN ({', '.join(quoted)})" if values else "false"
+
+
 class Query:
     """A parsed query over an index."""
 
@@ -258,53 +289,51 @@ class Query:
 
     def _scales(self):
         """How much a stored largest part may have grown, by segment and field, as mean lengths have."""
-        folders = self.index.folders
-        if len(folders) == 1:
-            return [None]
-        now = {r["field"]: r["avg_len"] for r in self.index.fields.collect()}
-        scales = []
-        for folder in folders:
-            base = {r["field"]: r["base"] for r in self.index.read("fields", folders=[folder]).collect()}
-            grown = {f: max(1.0, now[f] / b) for f, b in base.items() if b and f in now}
-            scales.append(grown)
-        return scales
+        if len(self.index.folders) == 1:
+            return [{}]
+        now = self.index.fields
+        names = [folder.rsplit("/", 1)[1] for folder in self.index.folders]
+        bases = [{f: r[2] for (own, f), r in self.index.field_rows.items() if own == name} for name in names]
+        return [{f: max(1.0, now[f][1] / b) for f, b in base.items() if b and f in now} for base in bases]
 
     def blocks(self, listed=None) -> DataFrame:
         """Blocks of the matched terms, of all documents or of the ``listed`` blocks."""
         frames = []
         for folder, scale in zip(self.index.folders, self.scaled, strict=True):
-            part = F.col("part")
-            for field, grown in (scale or {}).items():
-                part = F.when(F.col("field") == field, F.col("part") * grown).otherwise(part)
-            frames.append(self.index.read("blocks", self.matched.buckets, [folder]).withColumn("part", part))
+            blocks = self.index.read("blocks", self.matched.buckets, [folder])
+            if scale:
+                grown = F.create_map(*[F.lit(x) for pair in scale.items() for x in pair])
+                blocks = blocks.withColumn("part", F.col("part") * F.coalesce(F.try_element_at(grown, F.col("field")), F.lit(1.0)))
+            frames.append(blocks)
         blocks = reduce(DataFrame.unionByName, frames)
-        if self.matched.terms is not None:
-            blocks = blocks.filter(F.col("term").isin(self.matched.terms))
-        if listed is not None:
-            blocks = blocks.filter(F.col("block").isin(listed))
-        return blocks.join(self.matched.known, ["term", "field"])
+        wanted = [_among("term", self.matched.terms)] if self.matched.terms is not None else []
+        wanted += [_among("block", listed)] if listed is not None else []
+        return blocks.filter(" AND ".join(wanted) or "true").join(self.matched.known, ["term", "field"])
 
-    def _counting(self):
+    def _weight(self):
         """The weight with which a word adds to a score: none if it only excludes."""
-        return F.when(F.col("word").isin(self.excluded), 0.0).otherwise(F.col("weight")) if self.excluded else F.col("weight")
+        return f"CASE WHEN word IN ({', '.join(map(str, self.excluded))}) THEN 0.0D ELSE weight END" if self.excluded else "weight"
 
-    def _folded(self, rows, keys, *carried) -> DataFrame:
+    def _folded(self, rows, keys, value, *carried) -> DataFrame:
         """Values by keys: words add up in a field, the best field of a group counts, groups add up.
 
         ``rows`` are dealt by block, the first key, so no step moves them again.
         """
-        carry = [F.bit_or(c).alias(c) for c in carried]
+        carry = [F.expr(f"bit_or({c}) AS {c}") for c in carried]
+        steps = [(["grp", "field"], "sum"), (["grp"], "max"), ([], "sum")]
         if any(w.distance is not None for w in self.words):
             # of the terms one fuzzy word stands for, the best in the field counts
-            rows = rows.groupBy(*keys, "grp", "field", "word").agg(F.max("value").alias("value"), *carry)
-        for by, fold in ((["grp", "field"], F.sum), (["grp"], F.max), ([], F.sum)):
-            rows = rows.groupBy(*keys, *by).agg(fold("value").alias("value"), *carry)
+            steps = [(["grp", "field", "word"], "max"), *steps]
+        for by, fold in steps:
+            rows = rows.groupBy(*keys, *by).agg(F.expr(f"{fold}({value}) AS value"), *carry)
+            value = "value"
         return rows
 
     def _hits(self, by_block, *more) -> DataFrame:
         """(block, hits): the bits of living documents that satisfy all expressions."""
         hits = reduce(Column.bitwiseAND, [_bits_of(e) for e in self.expressions.values()])
         found = by_block.select("block", hits.alias("hits"), *more).filter("hits <> 0")
+        more = [F.col(c) for c in found.columns[2:]]
         if self.index.folders[1:]:
             dead = self.index.dead.groupBy("block").agg(F.bit_or("bits").alias("gone"))
             living = F.col("hits").bitwiseAND(F.bitwise_not(F.coalesce("gone", F.lit(0).cast("long"))))
@@ -313,35 +342,40 @@ class Query:
 
     def _by_word(self):
         """For each word the bits of its documents in a block."""
-        return [F.when(F.col("word") == w.word, F.col("bits")).alias(f"b{w.word}") for w in self.words]
+        return [f"CASE WHEN word = {w.word} THEN bits END AS b{w.word}" for w in self.words]
 
     def hits(self, listed=None) -> DataFrame:
         """(block, hits) of all blocks with hits; no score is computed."""
-        rows = self.blocks(listed).select("block", *self._by_word())
-        return self._hits(rows.groupBy("block").agg(*[F.bit_or(f"b{w.word}").alias(f"b{w.word}") for w in self.words]))
+        rows = self.blocks(listed).selectExpr("block", *self._by_word())
+        return self._hits(rows.groupBy("block").agg(*[F.expr(f"bit_or(b{w.word}) AS b{w.word}") for w in self.words]))
 
     def heads(self) -> DataFrame:
         """(block, hits, most): ``most`` is what no document of the block can exceed."""
-        value = (self._counting() * F.col("part")).alias("value")
-        rows = self.blocks().select("block", "grp", "field", "word", value, *self._by_word()).repartition("block")
-        folded = self._folded(rows, ["block"], *[f"b{w.word}" for w in self.words])
-        return self._hits(folded.withColumnRenamed("value", "most"), "most")
+        rows = self.blocks().selectExpr("block", "grp", "field", "word", f"{self._weight()} * part AS most", *self._by_word())
+        folded = self._folded(rows.repartition("block"), ["block"], "most", *[f"b{w.word}" for w in self.words])
+        return self._hits(folded, F.col("value").alias("most"))
+
+    def listed(self, heads):
+        """(blocks, their hits) of some of the heads, which the driver holds; LISTED at most."""
+        rows = [(r["block"], r["hits"]) for r in heads]
+        return [b for b, _ in rows], F.broadcast(_json_rows(self.index.spark, "block long, hits long", rows))
 
     def scores(self, hits, listed=None) -> DataFrame:
-        """(block, doc, score) of the documents whose bits are in ``hits``."""
-        rows = self.blocks(listed).select("block", "grp", "field", "word", self._counting().alias("weight"), "avg_len", "entries")
-        rows = rows.repartition("block").join(hits, "block")
-        rows = rows.select("block", "grp", "field", "word", "weight", "avg_len", "hits", F.inline("entries"))
-        rows = rows.filter(F.expr("(shiftright(hits, place) & 1) = 1"))
-        value = F.col("weight") * posting_part(F.col("tf"), F.col("len"), F.col("avg_len"))
-        folded = self._folded(rows.select("block", "place", "grp", "field", "word", value.alias("value")), ["block", "place"])
-        return folded.select("block", F.expr("shiftleft(block, 6) | place").alias("doc"), F.round("value", DIGITS).alias("score"))
+        """(doc, score) of the documents whose bits are in ``hits``."""
+        rows = self.blocks(listed).selectExpr("block", "grp", "field", "word", f"{self._weight()} AS weight", "avg_len", "entries")
+        rows = rows.join(hits, "block").repartition("block") if listed is not None else rows.repartition("block").join(hits, "block")
+        found = f"explode(filter(entries, e -> (shiftright(hits, int({entry('place')})) & 1) = 1)) AS e"
+        rows = rows.selectExpr("block", "grp", "field", "word", "weight", "avg_len", found)
+        value = posting_part(entry("tf"), entry("len"), "avg_len")
+        rows = rows.selectExpr("block", f"{entry('place')} AS place", "grp", "field", "word", f"weight * {value} AS part")
+        folded = self._folded(rows, ["block", "place"], "part")
+        return folded.selectExpr("shiftleft(block, 6) | place AS doc", f"round(value, {DIGITS}) AS score")
 
     def with_urls(self, scored, listed=None) -> DataFrame:
         docs = self.index.docs
         if listed is not None:
-            docs = docs.filter(F.col("block").isin(listed))
-        return scored.join(docs.select("doc", "url"), "doc").select("url", "score")
+            docs = docs.filter(_among("block", listed))
+        return scored.join(docs, "doc").select("url", "score")
 
 
 def _bits_of(expression) -> Column:
@@ -390,18 +424,20 @@ def _ranked(index, terms, fields, size):
         ahead += 1
     threshold = float("-inf")
     if ahead < len(first):
-        listed = [r["block"] for r in first[:ahead]]
-        best = query.scores(query.hits(listed), listed).orderBy(F.col("score").desc()).limit(size).collect()
+        listed, hits = query.listed(first[:ahead])
+        best = query.scores(hits, listed).orderBy(F.col("score").desc()).limit(size).collect()
         threshold = best[-1]["score"]  # these blocks hold more than ``size`` hits
     # scores are rounded, and parts are added in another order here
     least = threshold - 10.0**-DIGITS
     if whole or first[-1]["most"] < least:
-        listed = [r["block"] for r in first if r["most"] >= least]
-        scored = query.scores(query.hits(listed), listed)
+        listed, hits = query.listed([r for r in first if r["most"] >= least])
+        scored = query.scores(hits, listed)
     else:
         listed = None
         scored = query.scores(heads.filter(F.col("most") >= least).select("block", "hits"))
-    found = query.with_urls(scored.filter(F.col("score") >= threshold), listed)
+    if ahead < len(first):
+        scored = scored.filter(F.col("score") >= threshold)
+    found = query.with_urls(scored, listed)
     return found.orderBy(F.col("score").desc(), "url").limit(size), total
 
 
