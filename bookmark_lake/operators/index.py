@@ -4,23 +4,31 @@ An index is a set of segments, each a folder of tables that is written once:
 
 * forward: for each item its document number, URL and, by field, length and counted words;
 * blocks: for each term and field, the postings of 64 documents with numbers in a row: their
-  bits in one long, what each word adds, and the largest part any of them can add to a score;
+  bits in one long, what each word adds, and the largest part any of them can add to a score.
+  A stored row holds those of 2 ** CHUNK_BITS blocks in a row, and their number of documents;
 * terms: documents by term and field; variants: the terms behind every spelling that is left when
   up to two of a term's first letters go; fields: documents and words by field;
 * dead: the bits of documents in earlier segments that this segment replaces.
 
 A document's number holds its segment, the task that wrote it and its place there, so numbers need
-no pass of their own, and blocks of one task are full. A segment that replaces documents counts
-them negatively in its terms and fields: the sum over all segments is exact.
+no pass of their own, and blocks of one task are full. Where a file of forward lists is read by
+several tasks, a block may stand twice, with disjoint bits; a search takes both. A segment that
+replaces documents counts them negatively in its terms and fields: the sum over all segments is exact.
+
+Words are found by built-in expressions; counting them and packing postings into blocks is numpy
+over Arrow batches, the documents of one row of blocks at a time, before the only exchange.
 """
 
 import zlib
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import col, let
+from ..functions.values import col
 from ..schema import ITEM_ARRAYS
 from ..session import work_folder
 from .generations import current, delete, exists, new_folder, put_in_force
@@ -48,6 +56,10 @@ PREFIX, DELETIONS = 5, 2
 COUNT_BITS = 28
 # Segments of one index: their number stands in the first bits of a document's number.
 MOST_SEGMENTS = 1 << 9
+# Blocks of one term and field in a stored row, as a power of two, and their documents: a task holds
+# the words or postings of so many rows as arrays at a time.
+CHUNK_BITS = 4
+ROWS = 1 << (BLOCK_BITS + CHUNK_BITS)
 # Constants of the ranking.
 K1, B = 1.2, 0.75
 
@@ -66,8 +78,8 @@ FIELDS = TEXT_FIELDS + ITEM_ARRAYS
 _RUNS = "array<struct<field: string, len: int, runs: array<struct<term: string, tf: int>>>>"
 _SCHEMAS = {
     "forward": f"doc long, block long, url string, fields {_RUNS}",
-    "blocks": "term string, field string, block long, bits long, part double, "
-    "entries array<long>, bucket int",
+    "blocks": "term string, field string, chunk long, df long, block array<long>, bits array<long>, "
+    "part array<double>, entries array<array<long>>, bucket int",
     "terms": "term string, field string, df long, bucket int",
     "variants": "spelling long, term string, bucket int",
     "fields": "field string, n_docs long, words long, base double",
@@ -95,29 +107,68 @@ def field_tokens(items: DataFrame, fields=None) -> DataFrame:
     ).filter(F.size("tokens") > 0)
 
 
-def _counted(words) -> Column:
-    """Sorted words → (term, tf) runs."""
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(words) - 1),
-        lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
-    )
-    return F.transform(
-        F.arrays_zip(starts.alias("at"), F.slice(F.array_append(starts, F.size(words)), F.lit(2), F.size(starts)).alias("end")),
-        lambda r: F.struct(F.get(words, r["at"]).alias("term"), (r["end"] - r["at"]).alias("tf")),
-    )
+def _distinct(words):
+    """(distinct values in order, the place of each word among them)."""
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+
+
+def _counted(columns):
+    """Lists of words by field → (row, field, words, their runs) of every list that holds any.
+
+    Rows and fields ascend; runs are lists of (term, tf) in the order of the terms.
+    """
+    columns = [c.cast(pa.list_(pa.string())) for c in columns]
+    sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy() for c in columns]
+    n = len(columns)
+    group = np.concatenate([np.repeat(np.arange(len(size)) * n + i, size) for i, size in enumerate(sizes)])
+    terms, rank = _distinct(pa.concat_arrays([c.flatten() for c in columns]))
+    most = max(len(terms), 1)
+    key, tf = np.unique(group * most + rank, return_counts=True)
+    held, size = np.unique(group, return_counts=True)
+    starts = np.searchsorted(key, np.append(held, held[-1] + 1 if len(held) else 0) * most)
+    runs = pa.StructArray.from_arrays([terms.take(pa.array(key % most)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+    return held // n, held % n, size.astype(np.int32), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), runs)
+
+
+def _count_fields(names):
+    """Batches of columns to keep and one list of words for each field → the columns, and the fields' counted words."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                kept = part.num_columns - len(names)
+                row, field, size, runs = _counted([part.column(kept + i) for i in range(len(names))])
+                found = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(field)), pa.array(size), runs], names=["field", "len", "runs"])
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                columns = [part.column(i) for i in range(kept)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), found)], names=[*part.schema.names[:kept], "fields"])
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _field_words(items, fields, *kept) -> DataFrame:
+    """The ``kept`` columns and ``fields``, the counted words of every field that has any."""
+    present = [f for f in (fields or FIELDS) if f in items.columns]
+    text = lambda f: F.array_join(f, " ") if f in ITEM_ARRAYS else F.col(f)
+    words = items.select(*kept, *[tokens(text(f)).alias(f"words {i}") for i, f in enumerate(present)])
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields[: len(kept)])
+    return words.mapInArrow(_count_fields(present), f"{ddl}, fields {_RUNS}")
 
 
 def build_postings(items: DataFrame, fields=None) -> DataFrame:
     """POSTING rows of an item table with one row per URL.
 
-    All words of a field stand in one row, so they are sorted and counted there:
-    the postings need no shuffle at all.
+    All words of a field stand in one row, so they are counted there: the postings need no
+    shuffle at all.
     """
-    words = field_tokens(items, fields).select(
-        "url", "field", F.size("tokens").alias("field_len"), F.array_sort("tokens").alias("words")
-    )
-    runs = words.select("url", "field", "field_len", F.inline(let(F.col("words"), _counted)))
-    return runs.select("term", "field", "url", F.col("tf").cast("int").alias("tf"), "field_len")
+    counted = _field_words(items, fields, "url").select("url", F.inline("fields"))
+    return counted.select("url", "field", F.col("len").alias("field_len"), F.inline("runs")).select("term", "field", "url", "tf", "field_len")
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -189,6 +240,11 @@ class Index:
             head = head.unionByName(frame)
         return head
 
+    def blocks(self, columns, buckets=None, folders=None, wanted="true") -> DataFrame:
+        """(term, field, block) and ``columns`` of the blocks, a row for each; ``wanted`` filters the stored rows."""
+        rows = self.read("blocks", buckets, folders).filter(wanted)
+        return rows.selectExpr("term", "field", f"inline(arrays_zip({', '.join(['block', *columns])}))")
+
     @property
     def terms(self) -> DataFrame:
         """(term, field, df) of all segments together."""
@@ -235,7 +291,7 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         """POSTING rows of the documents that live."""
-        rows = self.read("blocks").select("term", "field", "block", F.explode("entries").alias("e"))
+        rows = self.blocks(["entries"]).select("term", "field", "block", F.explode("entries").alias("e"))
         rows = rows.selectExpr("term", "field", f"shiftleft(block, 6) | {entry('place')} AS doc", f"int({entry('tf')}) AS tf", f"int({entry('len')}) AS field_len")
         return rows.join(self.docs.select("doc", "url"), "doc").select("term", "field", "url", "tf", "field_len")
 
@@ -249,21 +305,15 @@ def _stemmed(fields, stems) -> DataFrame:
     counted = counted.groupBy("doc", "block", "url", "n", "field", "len", "term").agg(F.sum("tf").cast("int").alias("tf"))
     # the words of one field of one item: as many as its text has
     by_field = counted.groupBy("doc", "block", "url", "n", "field", "len").agg(F.collect_list(F.struct("term", "tf")).alias("runs"))
-    return by_field.groupBy("doc", "block", "url").agg(F.collect_list(F.struct("field", "len", "runs")).cast(_RUNS).alias("fields"))
+    found = by_field.groupBy("doc", "block", "url").agg(F.collect_list(F.struct("field", "len", "runs")).cast(_RUNS).alias("fields"))
+    # documents of a chunk side by side again
+    return found.repartition(F.expr(f"shiftright(block, {CHUNK_BITS})")).sortWithinPartitions("doc")
 
 
 def _write_forward(items, folder, number, fields, stems):
-    """One pass over the texts: every word of a field is sorted and counted inside its row."""
-    present = [f for f in (fields or FIELDS) if f in items.columns]
-    text = lambda f: F.array_join(f, " ") if f in ITEM_ARRAYS else F.col(f)
-    doc = (F.lit(number << 53) + F.monotonically_increasing_id()).alias("doc")
-    words = items.select(doc, "url", *[F.array_sort(tokens(text(f))).alias(f"w{i}") for i, f in enumerate(present)])
-    counted = [
-        F.struct(F.lit(f).alias("field"), F.size(f"w{i}").alias("len"), let(F.col(f"w{i}"), _counted).alias("runs"))
-        for i, f in enumerate(present)
-    ]
-    # a missing field has size -1 or NULL
-    rows = words.select("doc", F.expr("shiftright(doc, 6)").alias("block"), "url", F.filter(F.array(*counted), lambda r: r["len"] > 0).cast(_RUNS).alias("fields"))
+    """One pass over the texts: the words of a field are counted inside its row."""
+    numbered = items.withColumn("doc", F.lit(number << 53) + F.monotonically_increasing_id())
+    rows = _field_words(numbered, fields, "doc", F.expr("shiftright(doc, 6)").alias("block"), "url")
     forward = f"{folder}/forward"
     if stems is None:
         rows.write.parquet(forward)
@@ -299,11 +349,79 @@ def spellings(term, most) -> list:
 
 def _write_by_bucket(df, path, slices, *order):
     """A table in folders by bucket, each sorted, in up to ``slices`` files."""
-    spread = F.pmod(F.xxhash64("block"), F.lit(slices)) if slices > 1 else F.lit(0)
+    spread = F.pmod(F.xxhash64("chunk"), F.lit(slices)) if slices > 1 else F.lit(0)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(max(parts, slices), "bucket", spread).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
 
 
+def _packed(rows, averages):
+    """Rows of (doc, block, fields) of one chunk → a row of blocks for each term and field of theirs."""
+    doc, block = (rows.column(c).to_numpy() for c in ("doc", "block"))
+    lists = rows.column("fields").combine_chunks()
+    held = lists.flatten()
+    runs = held.field("runs")
+    listed = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    of = np.repeat(np.arange(len(held)), pc.list_value_length(runs).to_numpy())  # the field's list of each posting
+    row = listed[of]
+    names, field = _distinct(held.field("field"))
+    length, average = held.field("len").to_numpy().astype(np.int64), np.array([averages[f] for f in names.to_pylist()], float)
+    terms, rank = _distinct(runs.flatten().field("term"))
+    tf = runs.flatten().field("tf").to_numpy()
+    key = ((rank * len(names) + field[of]) << (CHUNK_BITS + BLOCK_BITS)) | (doc[row] & (ROWS - 1))
+    order = np.argsort(key)
+    key, of, tf = key[order], of[order], tf[order].astype(np.int64)
+    place = key & ((1 << BLOCK_BITS) - 1)
+    value = (K1 + 1) * tf / (tf + K1 * ((1 - B) + B * length[of] / average[field[of]]))
+    entries = (place << (2 * COUNT_BITS)) | (tf << COUNT_BITS) | length[of]
+    # where a block begins, and which of them begin a row
+    first = np.flatnonzero(np.diff(key >> BLOCK_BITS, prepend=-1))
+    pair = key[first] >> (CHUNK_BITS + BLOCK_BITS)
+    begin = np.flatnonzero(np.diff(pair, prepend=-1))
+    chunk = int(block[0]) >> CHUNK_BITS
+    blocks = (chunk << CHUNK_BITS) | ((key[first] >> BLOCK_BITS) & ((1 << CHUNK_BITS) - 1))
+    bits = np.bitwise_or.reduceat(np.uint64(1) << place.astype(np.uint64), first).view(np.int64)
+    ends = lambda starts, end: pa.array(np.append(starts, end).astype(np.int32))
+    by_row = lambda values: pa.ListArray.from_arrays(ends(begin, len(first)), values)
+    term, name = np.divmod(pair[begin], len(names))
+    df = np.diff(np.append(first[begin], len(key)))
+    columns = {
+        "term": terms.take(pa.array(term)),
+        "field": names.take(pa.array(name)),
+        "chunk": pa.array(np.full(len(begin), chunk)),
+        "df": pa.array(df.astype(np.int64)),
+        "block": by_row(pa.array(blocks)),
+        "bits": by_row(pa.array(bits)),
+        "part": by_row(pa.array(np.maximum.reduceat(value, first))),
+        "entries": by_row(pa.ListArray.from_arrays(ends(first, len(key)), pa.array(entries))),  # 64 at most in a block, by place
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _pack_blocks(averages):
+    """Batches of forward lists, documents of a chunk side by side, → rows of blocks."""
+
+    def packed(rows):
+        if pc.any(pc.greater(pc.list_value_length(rows.column("fields")), 0)).as_py():
+            yield _packed(rows, averages)
+
+    def run(batches):
+        held = None  # the rows of the last chunk: more of them may come
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            edges = np.flatnonzero(np.diff(rows.column("block").to_numpy() >> CHUNK_BITS)) + 1
+            start = 0
+            for edge in edges.tolist():
+                yield from packed(rows.slice(start, edge - start))
+                start = edge
+            held = rows.slice(start)
+        if held is not None:
+            yield from packed(held)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def _write_segment(spark, folder, forward, before=None):
     """Blocks, terms, variants and fields of the forward lists in ``folder``.
 
@@ -320,25 +438,16 @@ def _write_segment(spark, folder, forward, before=None):
         gone = totals(before.select(F.inline("fields")), -1).select("field", "n_docs", "words", F.lit(0.0).alias("base"))
         fields = fields.unionByName(gone).groupBy("field").agg(*[F.sum(c).alias(c) for c in ("n_docs", "words", "base")])
     fields.coalesce(1).write.parquet(f"{folder}/fields")
-    cases = " ".join(f"WHEN '{field}' THEN {float(value)!r}D" for field, value in averages.items())
-    average = f"CASE field {cases} END" if cases else "1.0D"
-    rows = by_field.select("doc", "block", "field", "len", F.inline("runs")).withColumn("bucket", _bucket("term"))
     slices = 1 + sum(r["postings"] for r in sums) // (BUCKETS * BUCKET_ROWS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a term of a third of all documents is spread by its blocks; one exchange serves grouping and writing
-    dealt = rows.withColumn("spread", F.pmod(F.xxhash64("block"), F.lit(slices))).repartition(max(parts, slices), "bucket", "spread")
-    packed = f"shiftleft(doc & 63, {2 * COUNT_BITS}) | shiftleft(bigint(tf), {COUNT_BITS}) | bigint(len)"
-    blocks = dealt.groupBy("bucket", "spread", "term", "field", "block").agg(
-        F.expr("bit_or(shiftleft(1L, cast(doc & 63 as int))) AS bits"),
-        F.expr(f"max({posting_part('tf', 'len', average)}) AS part"),
-        F.expr(f"sort_array(collect_list({packed})) AS entries"),  # 64 at most, by place
-    )
-    blocks.drop("spread").sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    schema = _SCHEMAS["blocks"].removesuffix(", bucket int")
+    blocks = forward.select("doc", "block", "fields").mapInArrow(_pack_blocks(averages), schema)
+    # a term of a third of all documents is spread by its chunks
+    _write_by_bucket(blocks.withColumn("bucket", _bucket("term")), f"{folder}/blocks", slices, "term", "field", "chunk")
     blocks = Index(spark, [folder]).read("blocks")
-    terms = blocks.select("bucket", "term", "field", F.bit_count("bits").alias("df"))
+    terms = blocks.select("bucket", "term", "field", "df")
     if before is not None:
         gone = before.select(F.inline("fields")).select("field", F.inline("runs"))
-        terms = terms.unionByName(gone.select(_bucket("term").alias("bucket"), "term", "field", F.lit(-1).alias("df")))
+        terms = terms.unionByName(gone.select(_bucket("term").alias("bucket"), "term", "field", F.lit(-1).cast("long").alias("df")))
     terms = terms.groupBy("bucket", "term", "field").agg(F.sum("df").alias("df"))
     _write_by_bucket(terms, f"{folder}/terms", 1, "term", "field")
     spelled = Index(spark, [folder]).read("terms").filter("df > 0").groupBy("bucket", "term").agg(F.first("field").alias("field"))

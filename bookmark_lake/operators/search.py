@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_folder
-from .index import BUCKETS, DELETIONS, Index, bucket_of, entry, posting_part, spellings
+from .index import BUCKETS, CHUNK_BITS, DELETIONS, Index, bucket_of, entry, posting_part, spellings
 
 # Results per query; fuzzy distance by word length.
 RESULTS = 30
@@ -296,19 +296,21 @@ class Query:
         bases = [{f: r[2] for (own, f), r in self.index.field_rows.items() if own == name} for name in names]
         return [{f: max(1.0, now[f][1] / b) for f, b in base.items() if b and f in now} for base in bases]
 
-    def blocks(self, listed=None) -> DataFrame:
-        """Blocks of the matched terms, of all documents or of the ``listed`` blocks."""
+    def blocks(self, columns, listed=None) -> DataFrame:
+        """Blocks of the matched terms with ``columns``, of all documents or of the ``listed`` blocks."""
+        wanted = [_among("term", self.matched.terms)] if self.matched.terms is not None else []
+        wanted += [_among("chunk", sorted({b >> CHUNK_BITS for b in listed}))] if listed is not None else []
         frames = []
         for folder, scale in zip(self.index.folders, self.scaled, strict=True):
-            blocks = self.index.read("blocks", self.matched.buckets, [folder])
-            if scale:
+            blocks = self.index.blocks(columns, self.matched.buckets, [folder], " AND ".join(wanted) or "true")
+            if scale and "part" in columns:
                 grown = F.create_map(*[F.lit(x) for pair in scale.items() for x in pair])
                 blocks = blocks.withColumn("part", F.col("part") * F.coalesce(F.try_element_at(grown, F.col("field")), F.lit(1.0)))
             frames.append(blocks)
         blocks = reduce(DataFrame.unionByName, frames)
-        wanted = [_among("term", self.matched.terms)] if self.matched.terms is not None else []
-        wanted += [_among("block", listed)] if listed is not None else []
-        return blocks.filter(" AND ".join(wanted) or "true").join(self.matched.known, ["term", "field"])
+        if listed is not None:
+            blocks = blocks.filter(_among("block", listed))
+        return blocks.join(self.matched.known, ["term", "field"])
 
     def _weight(self):
         """The weight with which a word adds to a score: none if it only excludes."""
@@ -346,12 +348,12 @@ class Query:
 
     def hits(self, listed=None) -> DataFrame:
         """(block, hits) of all blocks with hits; no score is computed."""
-        rows = self.blocks(listed).selectExpr("block", *self._by_word())
+        rows = self.blocks(["bits"], listed).selectExpr("block", *self._by_word())
         return self._hits(rows.groupBy("block").agg(*[F.expr(f"bit_or(b{w.word}) AS b{w.word}") for w in self.words]))
 
     def heads(self) -> DataFrame:
         """(block, hits, most): ``most`` is what no document of the block can exceed."""
-        rows = self.blocks().selectExpr("block", "grp", "field", "word", f"{self._weight()} * part AS most", *self._by_word())
+        rows = self.blocks(["bits", "part"]).selectExpr("block", "grp", "field", "word", f"{self._weight()} * part AS most", *self._by_word())
         folded = self._folded(rows.repartition("block"), ["block"], "most", *[f"b{w.word}" for w in self.words])
         return self._hits(folded, F.col("value").alias("most"))
 
@@ -362,7 +364,7 @@ class Query:
 
     def scores(self, hits, listed=None) -> DataFrame:
         """(doc, score) of the documents whose bits are in ``hits``."""
-        rows = self.blocks(listed).selectExpr("block", "grp", "field", "word", f"{self._weight()} AS weight", "avg_len", "entries")
+        rows = self.blocks(["entries"], listed).selectExpr("block", "grp", "field", "word", f"{self._weight()} AS weight", "avg_len", "entries")
         rows = rows.join(hits, "block").repartition("block") if listed is not None else rows.repartition("block").join(hits, "block")
         found = f"explode(filter(entries, e -> (shiftright(hits, int({entry('place')})) & 1) = 1)) AS e"
         rows = rows.selectExpr("block", "grp", "field", "word", "weight", "avg_len", found)
