@@ -1,15 +1,25 @@
 """Streaming runs over files written from the given tables; the results equal the batch ones."""
 
+import math
+
 from ..operators.merge import read_items
 from ..plans.ingest import read_frontier
-from ..schema import FRAGMENT
 from ..session import work_folder
 from ..streaming.ingest import stream_fragments, stream_frontier, stream_ingest
 from .registry import check, joined
 from .sources import POST_URL_A, POST_URL_B, tweet_responses
 from .tables import EVENT_SOURCE, EVENT_URL, SQL_MERGED_EVENTS, event_fragments, event_requests, flat_items
 
+# Files that arrive, more of them where each would hold more than FILE_ROWS rows.
 FILES = 6
+FILE_ROWS = 100_000
+
+
+def _arriving(df, key, folder, at_once):
+    """``df`` as a stream of files; a micro-batch takes ``at_once`` of every FILES."""
+    times = max(1, math.ceil(df.count() / (FILES * FILE_ROWS)))
+    df.repartition(FILES * times, key).write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", at_once * times).parquet(folder)
 
 
 def _run(writer):
@@ -21,8 +31,7 @@ def _run(writer):
 def stream_merge(spark, sf_dir):
     """Events in several files, one micro-batch per two files, merged into the stored table."""
     folder = work_folder(spark, "stream_merge")
-    event_fragments(spark, sf_dir).repartition(FILES, "seq").write.parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(FRAGMENT).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    arriving = _arriving(event_fragments(spark, sf_dir), "seq", f"{folder}/in", 2)
     _run(stream_fragments(arriving, f"{folder}/items", f"{folder}/checkpoint"))
     return flat_items(read_items(spark, f"{folder}/items"))
 
@@ -36,9 +45,7 @@ def stream_merge(spark, sf_dir):
 def stream_ingest_tweets(spark, sf_dir):
     """Liked posts as arriving responses: parse, enrich, merge."""
     folder = work_folder(spark, "stream_ingest")
-    responses = tweet_responses(spark, sf_dir)
-    responses.repartition(FILES, "seq").write.parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(responses.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+    arriving = _arriving(tweet_responses(spark, sf_dir), "seq", f"{folder}/in", 3)
     _run(stream_ingest(arriving, f"{folder}/items", f"{folder}/checkpoint"))
     items = read_items(spark, f"{folder}/items")
     return items.select("url", "content", "last_update", joined("twitter_tags").alias("twitter_tags"))
@@ -48,8 +55,6 @@ def stream_ingest_tweets(spark, sf_dir):
 def stream_frontier_events(spark, sf_dir):
     """Requests in several files and no order of time: every first request counts, however late."""
     folder = work_folder(spark, "stream_frontier")
-    asked = event_requests(spark, sf_dir)
-    asked.repartition(FILES, "parent_seq").write.parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    arriving = _arriving(event_requests(spark, sf_dir), "parent_seq", f"{folder}/in", 2)
     _run(stream_frontier(arriving, f"{folder}/crawl", f"{folder}/checkpoint"))
     return read_frontier(spark, f"{folder}/crawl").select("source", "url")
