@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown, metadata, text, urls
 from ..operators.enrich import enrich
 from ..sources.responses import fragments
-from .registry import check, joined, sql_strip, table
+from .registry import check, joined, spread, sql_strip, table
 
 # Text nodes of the given pages; they hold no scripts in the body, no quoted ">" and
 # four kinds of character references.
@@ -126,8 +126,8 @@ MARKDOWN = (
     "UNION ALL SELECT -p_partkey, '[' || repeat(CAST(p_partkey AS VARCHAR), 1000000) FROM part WHERE p_partkey = 1",
 )
 def md_text(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.expr(MARKDOWN).alias("raw"))
-    long = parts.filter("p_partkey = 1").select((-F.col("p_partkey")).alias("p_partkey"), F.concat(F.lit("["), F.repeat("p_partkey", 1_000_000)).alias("raw"))
+    parts = spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(MARKDOWN).alias("raw"))
+    long = table(spark, sf_dir, "part").filter("p_partkey = 1").select((-F.col("p_partkey")).alias("p_partkey"), F.concat(F.lit("["), F.repeat("p_partkey", 1_000_000)).alias("raw"))
     return parts.unionByName(long).select("p_partkey", markdown.md_text("raw").alias("content"))
 
 
@@ -137,7 +137,7 @@ def md_text(spark, sf_dir):
 )
 def md_links(spark, sf_dir):
     links = markdown.md_links(F.expr(MARKDOWN), F.lit("https://base.example.com/x/y"))
-    return table(spark, sf_dir, "part").select("p_partkey", joined(links).alias("links"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", joined(links).alias("links"))
 
 
 # Pages with structured metadata, built from orders. The JSON-LD of some belongs to

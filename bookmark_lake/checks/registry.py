@@ -1,5 +1,7 @@
 """Registry of queries and their SQL, and helpers to write both."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..schema import ITEM_ARRAYS, ITEM_VALUES
@@ -24,6 +26,15 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Short rows that one task takes where each of them is much work.
+TASK_ROWS = 5_000
+
+
+def spread(df):
+    """``df`` dealt to tasks by its number of rows: a table of short rows may be one small file, read by one task."""
+    return df.repartition(max(1, math.ceil(df.count() / TASK_ROWS)))
+
+
 def joined(c):
     """Arrays as text, so that every engine compares them alike."""
     return F.array_join(c, "|")
