@@ -526,6 +526,62 @@ def test_threshold_keeps_recall():
     assert network.recall[2] >= secrets.RECALL and network.threshold[2] < 0.9 and network.precision[2] < 0.6
 
 
+def test_all_rows_are_trained_on(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "POSITIVES", 5)
+    monkeypatch.setattr(secrets, "NEGATIVES", 10)
+    monkeypatch.setattr(secrets, "SHARD_BYTES", 20_000)
+    counted, started = [], []
+    calibrate, mean = secrets.Network.calibrate, secrets._mean
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda self, *c: (counted.append(c), calibrate(self, *c))[1])
+    monkeypatch.setattr(secrets, "_mean", lambda *a: (started.append(a[1]), mean(*a))[1])
+    rows = secret_rows()
+    docs = frame(spark, [*rows, *rows[:80]])  # copies
+    network = secrets.train(docs)
+    label, _, _, count = counted[0]
+    aside = [r["text"] for r in docs.filter("pmod(xxhash64(text), 4) = 0").collect()]
+    found = sum(len(secrets.base_spans(t)) for t in aside)
+    assert count[label == 1].sum() == 2 * found > 2 * 5  # with and without what stands around them
+    data, offsets = secrets.text_bytes(secrets.pa.array(aside))
+    taken = secrets._base(secrets.pa.array(aside), data, offsets)[1]
+    start, end, _ = secrets._runs(data, offsets)
+    assert count[label == 0].sum() == secrets._free(start, end, taken, len(data)).sum() > 10
+    assert any((a != b).any() for a, b in zip(network.w, started[0].w, strict=True))
+    again = secrets.train(docs.repartition(7))
+    assert all((a == b).all() for a, b in zip(network.w, again.w, strict=True))
+    # further texts move the weights, though the first network takes but a few
+    more = secrets.train(frame(spark, [*rows, *((900 + i, f"quietly password: zzzz.yyyy-{i}{i}{i} running") for i in range(8))]))
+    assert any((a != b).any() for a, b in zip(network.w, more.w, strict=True))
+
+
+def test_slope_is_that_of_the_loss():
+    rng = secrets.np.random.default_rng(5)
+    windows = rng.integers(2, 97, (40, secrets.WIDTH)).astype(secrets.np.uint8)
+    size = rng.integers(6, 49, 40)
+    at = secrets.np.arange(secrets.WIDTH) - secrets.BEFORE
+    windows[(at >= 0) & (at < size[:, None])] |= 128
+    bare = secrets.np.where(windows & 128, windows, 0).astype(secrets.np.uint8)
+    label = secrets.np.arange(40) % 2
+    network = secrets.Network(windows, label, secrets.np.full(40, 2), secrets.np.arange(40))
+    weight = rng.random(40)
+    for places, same in ((secrets._flat(windows), windows), (secrets._packed(bare), bare)):
+        codes, first, start, end, stop = (*places, None)[:5]
+        slope = network._slope(secrets._pairs(codes), first, start, end, stop, label, weight)
+        patches = network._patches(same) @ network.w[1]
+        logit = secrets.np.maximum(patches.max(axis=1) + network.w[2], 0) @ network.w[3] + network.w[4]
+        assert secrets.np.allclose(network._logit_of(same), logit, atol=1e-4)
+        for i in range(5):
+            way = rng.normal(size=network.w[i].shape)
+            loss = []
+            kept = network.w[i]
+            for sign in (1, -1):
+                network.w[i] = kept + sign * 1e-6 * way
+                x = secrets.np.maximum((network._patches(same) @ network.w[1]).max(axis=1) + network.w[2], 0) @ network.w[3] + network.w[4]
+                loss.append((weight * (secrets.np.logaddexp(0, x) - label * x)).sum())
+            network.w[i] = kept
+            want = (loss[0] - loss[1]) / 2e-6
+            assert abs((slope[i] * way).sum() - want) <= 0.02 * abs(want) + 0.02
+
+
 # op6
 
 
