@@ -582,6 +582,36 @@ def test_slope_is_that_of_the_loss():
             assert abs((slope[i] * way).sum() - want) <= 0.02 * abs(want) + 0.02
 
 
+def test_windows_ruled_out_are_not_filtered(monkeypatch):
+    rng = secrets.np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcDEF019+/_.= \n:é"), size=n)) for n in (0, 5, 300, 7, 40_000)]
+    data, offsets = secrets.text_bytes(secrets.pa.array([*texts, None, "quietly through meadows " * 400]))
+    start, end, row = secrets._runs(data, offsets)
+    codes, shift = secrets._coded(data, offsets)
+    start, end = start + shift[row], end + shift[row]
+    windows = rng.integers(2, 97, (60, secrets.WIDTH)).astype(secrets.np.uint8)
+    windows[:, secrets.BEFORE : secrets.BEFORE + 9] |= 128
+    network = secrets.Network(windows, secrets.np.arange(60) % 2, secrets.np.full(60, 2), secrets.np.arange(60))
+    filtered = []
+    logit = secrets.Network.logit
+    monkeypatch.setattr(secrets.Network, "logit", lambda self, c, first, *a: (filtered.append(len(first)), logit(self, c, first, *a))[1])
+    first, who = secrets._windows(start, end)
+    bound = network._most(secrets._pairs(codes))[first // secrets.BLOCK]
+    each = network.logit(codes, first, start[who], end[who])
+    assert (bound >= each).all()
+    share = network._share(network.best(codes, start, end))
+    for limit in (0.0, *secrets.np.quantile(share, [0.5, 0.9, 0.999])):
+        network.threshold = secrets.np.array([limit, max(limit, 0.6), 1.0])
+        shape = rng.integers(0, 3, len(start))
+        del filtered[:]
+        got = network.secret(codes, start, end, lambda i: shape[i])  # noqa: B023
+        assert got.tolist() == secrets.np.flatnonzero(share >= network.threshold[shape]).tolist()
+    network.threshold[:] = network._share(secrets.np.sort(bound)[-3])
+    del filtered[:]
+    network.secret(codes, start, end, lambda i: shape[i])
+    assert sum(filtered) < len(first) / 8  # before, all windows
+
+
 # op6
 
 
