@@ -64,12 +64,16 @@ ENTRY_COST = 8
 LARGEST_BOUNDARY = 16
 #: A list's entry is first named with so many after it; that is all of a short list.
 NEAR = 3
-#: About so many pairs are compared at a time.
-PAIRS_AT_ONCE = 20_000
+#: About so many pairs are compared at a time, and fewer where all tasks together have fewer.
+PAIRS_AT_ONCE, FEWEST_AT_ONCE = 20_000, 2_000
 #: Pairs from which on a label's number of pairs decides where they meet.
 SHARED = 64
-#: Parts into which the pairs of one label are dealt when they meet a count.
-SALTS = 32
+#: Of such labels, so many with the most pairs are sent to the tasks; the others' pairs only meet elsewhere.
+SHARED_MOST = 50_000
+#: Edges of a graph in a shard, on average; fewer make one shard.
+EDGES_AT_ONCE = 50_000
+#: Entries of the lists that are not of one group in a shard, on average, and the fewest shards.
+ENTRIES_AT_ONCE, LIST_SHARDS = 50_000, 8
 PORTION = 500_000
 #: Partners a set is compared with in a round, and rounds before all pairs still apart are named.
 PARTNERS, ROUNDS = 3, 2
@@ -372,44 +376,38 @@ def _named(table):
 
 
 def _verified(pairs, docs, classes, rule, size):
-    """The pairs (x, y) whose whole sets link; x_label and y_label tell their present groups.
+    """Links (x, y) that connect the labels of all pairs (x, y) whose whole sets link, or None without pairs.
 
-    Pairs are compared in blocks, to which each text goes once. Those of a group with many pairs
-    share blocks, cut by the other group.
+    x_label and y_label tell the present groups of a pair. Pairs are compared in blocks, to which each
+    text goes once. Those of a group with many pairs share blocks, cut by the other group.
     """
     with only(docs.sparkSession) as keep:
-        return keep(_compared(pairs, docs, classes, rule, size))
+        pairs = stored(pairs, "jaccard_pairs")
+        n_pairs = pairs.count()
+        return keep(_compared(pairs, n_pairs, docs, classes, rule, size)) if n_pairs else None
 
 
-def _counted_by(pairs, counts, names):
-    """``pairs`` with the counts by the columns ``names``, 0 if there is none.
-
-    Counts are few, as only large ones are asked for; each is there for every salt, so that the pairs
-    of one label meet it in many tasks.
-    """
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    spread = counts.withColumn("salt", F.explode(salts))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
-    value = counts.columns[-1]
-    return salted.join(spread, [*names, "salt"], "left").withColumn(value, F.coalesce(value, F.lit(0))).drop("salt")
+def _both(x, y):
+    """One row for each of two columns."""
+    return F.explode(F.array(x, y))
 
 
-def _compared(pairs, docs, classes, rule, size):
+def _compared(pairs, n_pairs, docs, classes, rule, size):
     texts = _texts_of(pairs, docs, classes, size)
-    # each end is counted and folded by itself, before the two meet
-    ends_of = [pairs.groupBy(F.col(f"{end}_label").alias("label")).count() for end in ("x", "y")]
-    count = ends_of[0].unionByName(ends_of[1]).groupBy("label").agg(F.sum("count").alias("count")).filter(F.col("count") >= SHARED)
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_once = min(max(n_pairs // shuffled, FEWEST_AT_ONCE), PAIRS_AT_ONCE)
+    n_blocks = math.ceil(n_pairs / at_once)
+    count = pairs.select(_both("x_label", "y_label").alias("label")).groupBy("label").count().filter(F.col("count") >= SHARED)
+    count = F.broadcast(count.orderBy(F.desc("count"), "label").limit(SHARED_MOST))
     for end in ("x", "y"):
         own = count.select(F.col("label").alias(f"{end}_label"), F.col("count").alias(f"{end}_count"))
-        pairs = _counted_by(pairs, own, [f"{end}_label"])
+        pairs = pairs.join(own, f"{end}_label", "left").withColumn(f"{end}_count", F.coalesce(f"{end}_count", F.lit(0)))
     large = F.col("x_count") >= F.col("y_count")
     home, guest = F.when(large, F.col("x_label")).otherwise(F.col("y_label")), F.when(large, F.col("y_label")).otherwise(F.col("x_label"))
-    part = F.pmod(F.xxhash64(guest), F.greatest(F.lit(1), F.ceil(F.greatest("x_count", "y_count") / PAIRS_AT_ONCE)))
-    pairs = stored(pairs.select("x", "y", F.xxhash64(home, part).alias("block")), "jaccard_pairs")
-    n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_AT_ONCE)
-    pairs = pairs.withColumn("block", F.pmod("block", F.lit(n_blocks)))
-    ends_of = [pairs.select(F.col("block").alias("of_block"), F.col(end).alias("id")).distinct() for end in ("x", "y")]
-    ends = ends_of[0].unionByName(ends_of[1]).distinct().join(texts, "id")
+    part = F.pmod(F.xxhash64(guest), F.greatest(F.lit(1), F.ceil(F.greatest("x_count", "y_count") / at_once)))
+    block = F.pmod(F.xxhash64(home, part), F.lit(n_blocks)).alias("block")
+    pairs = pairs.select("x", "y", "x_label", "y_label", block)
+    ends = pairs.select(F.col("block").alias("of_block"), _both("x", "y").alias("id")).distinct().join(texts, "id")
 
     def compare(pairs, texts):
         ids, n, codes = [], [], []
@@ -418,7 +416,7 @@ def _compared(pairs, docs, classes, rule, size):
             ids.append(np.asarray(part.column("id")))
             n.append(counts_of(row, part.num_rows))
             codes.append(code)
-        x, y = (np.asarray(pairs.column(c)) for c in ("x", "y"))
+        x, y, x_label, y_label = (np.asarray(pairs.column(c)) for c in ("x", "y", "x_label", "y_label"))
         if not ids:
             return pa.Table.from_arrays([pa.array(x[:0]), pa.array(y[:0])], names=["x", "y"])
         ids, n, codes = map(np.concatenate, (ids, n, codes))
@@ -436,7 +434,7 @@ def _compared(pairs, docs, classes, rule, size):
                 ends = np.cumsum(n[y_at[few]])
                 shared[few] = hit[ends] - hit[ends - n[y_at[few]]]
         link = (rule.up + rule.down) * shared >= rule.up * (n[x_at] + n[y_at])
-        return pa.Table.from_arrays([pa.array(x[link]), pa.array(y[link])], names=["x", "y"])
+        return pa.Table.from_arrays([pa.array(c) for c in forest(x_label[link], y_label[link])], names=["x", "y"])
 
     linked = pairs.groupBy("block").cogroup(ends.groupBy("of_block")).applyInArrow(compare, "x long, y long")
     return stored(linked, "jaccard_links")
@@ -458,7 +456,8 @@ def _in_round(turn, boundary, rule):
 
 def _best(pairs):
     """Each set with the partners most lists name."""
-    ends = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "votes"))
+    turned = F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "votes")
+    ends = pairs.select(F.inline(F.array(F.struct("x", "y", "votes"), turned)))
     order = Window.partitionBy("x").orderBy(F.desc("votes"), "y")
     best = ends.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PARTNERS)
     return stored(best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard_best")
@@ -477,49 +476,96 @@ def _apart(pairs, labels):
 
 
 def _merged(labels, links):
-    """Labels after further links: the labels themselves are grouped by the links between them.
+    """Labels after further links between the labels themselves.
 
     What it is given is deleted.
     """
+    if links is None:
+        return labels
     with only(labels.sparkSession) as keep:
-        ends = links.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        known = ends.unionByName(labels.select("id")).distinct().join(labels, "id", "left")
-        known = stored(known.select("id", F.coalesce("label", "id").alias("label")), "labels")
-        between = links
-        for end in ("x", "y"):
-            between = _labelled(between, known, end)
-        groups = components(between.select(F.col("x_label").alias("x"), F.col("y_label").alias("y")))
-        groups = groups.select(F.col("id").alias("label"), F.col("label").alias("group"))
-        merged = known.join(groups, "label", "left").select("id", F.coalesce("group", "label").alias("label"))
-        merged = keep(stored(merged, "labels"))
+        groups = components(links)
+        own = groups.select(F.col("id").alias("label"), F.col("label").alias("group"))
+        merged = labels.join(own, "label", "left").select("id", F.coalesce("group", "label").alias("label"))
+        # sets without a label so far are their own one
+        merged = keep(stored(merged.unionByName(groups).distinct(), "labels"))
     drop_stored(labels, links)
     return merged
 
 
+def forest(x, y):
+    """(node, root) of all nodes of the edges (x, y) but the roots: the smallest of each connected group."""
+    ids, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+    a, b = place[: len(x)], place[len(x) :]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[below], ids[root[below]]
+
+
+def _folded(edges):
+    """The edges (u, v), those of each task replaced by its forest."""
+
+    def run(batches):
+        kept, held, n_held = (np.zeros(0, np.int64),) * 2, [], 0
+        for batch in batches:
+            held.append(tuple(np.asarray(c) for c in batch.columns))
+            n_held += batch.num_rows
+            if n_held >= max(PORTION, len(kept[0])):
+                kept, held, n_held = forest(*(np.concatenate(c) for c in zip(kept, *held, strict=True))), [], 0
+        kept = forest(*(np.concatenate(c) for c in zip(kept, *held, strict=True)))
+        for start in range(0, len(kept[0]), PORTION):
+            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + PORTION]) for c in kept], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def _forests(edges, shards):
+    """The edges (u, v), those of each shard of lower nodes replaced by its forest."""
+
+    def run(table):
+        u, v = forest(*(np.asarray(table.column(c)) for c in ("u", "v")))
+        return pa.Table.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.groupBy(F.pmod(F.xxhash64("u"), F.lit(shards)).alias("shard")).applyInArrow(run, "u long, v long")
+
+
+def _settled(edges):
+    """Whether each node of the edges (u, v) is either a root or below one root only."""
+    below = F.struct(F.col("u").alias("id"), F.col("v").alias("root"))
+    above = F.struct(F.col("v").alias("id"), F.lit(None).cast("long").alias("root"))
+    nodes = edges.select(F.inline(F.array(below, above))).groupBy("id")
+    nodes = nodes.agg(F.min("root").alias("least"), F.max("root").alias("most"), F.bool_or(F.col("root").isNull()).alias("is_root"))
+    return nodes.filter("least is not null and (least != most or is_root)").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of all ends of the links (x, y): the smallest id of each connected group.
 
-    Large and small stars in turn: each round hangs neighbours below the smallest one they know.
+    Tasks fold the edges into forests, first as they come, then dealt by the lower node: of it no task
+    has left more than one edge, so a group's root is no hot key. In further rounds each node hangs
+    below the parent of its parent.
     """
-    edges = links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u != v").distinct()
-    edges, before = stored(edges, "edges"), None
+    edges, last = _folded(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), None
+    shards = math.ceil(links.count() / EDGES_AT_ONCE) or 1
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        larger = larger.filter("u != v").distinct()
-        least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        hung = larger.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = hung.unionByName(least.select("u", F.col("m").alias("v")))
-        hung = hung.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-        last, edges = edges, stored(hung, "edges")
-        drop_stored(last)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        edges = stored(_forests(edges, shards), "edges")
+        if last is not None:
+            drop_stored(last)
+        if _settled(edges):
             break
-        before = now
-    label = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-    return label.unionByName(label.select(F.col("label").alias("id"), "label").distinct())
+        parents = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("parent"))
+        last, edges = edges, edges.join(parents, "v", "left").select("u", F.coalesce("parent", "v").alias("v"))
+    own = F.struct(F.col("u").alias("id"), F.col("v").alias("label"))
+    root = F.struct(F.col("v").alias("id"), F.col("v").alias("label"))
+    return edges.select(F.inline(F.array(own, root))).distinct()
 
 
 def _texts_of(pairs, docs, classes, size):
@@ -527,17 +573,18 @@ def _texts_of(pairs, docs, classes, size):
 
     A sieve over the wanted doc_ids keeps most other texts out of the shuffle; the join is exact.
     """
-    ids = pairs.select(F.col("x").alias("id")).distinct().unionByName(pairs.select(F.col("y").alias("id")).distinct()).distinct()
+    ids = pairs.select(_both("x", "y").alias("id")).distinct()
     wanted = stored(ids.join(classes, "id").select("id", F.col("least_doc").alias("wanted_doc")), "jaccard_wanted")
     rows = sieve(wanted.select("wanted_doc"))(docs.select("doc_id", "text")).filter("likely")
-    rows = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
 
     def own(part):  # of rows with the same doc_id, only those with the wanted set
-        row, code = shingle_sets(part.column(part.num_columns - 1), size)
-        return [pa.array(set_ids(row, code, part.num_rows) == np.asarray(part.column(0)))]
+        row, code = shingle_sets(part.column("text"), size)
+        return [pa.array(set_ids(row, code, part.num_rows))]
 
-    kept = map_texts(rows.select("id", "text"), own, "same boolean", ["id", "text"])
-    return stored(kept.filter("same").dropDuplicates(["id"]).select("id", "text"), "jaccard_texts")
+    rows = map_texts(rows, own, "own_id long", ["doc_id", "text"])
+    wanted = wanted.hint("shuffle_hash")
+    kept = rows.join(wanted, (F.col("own_id") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
+    return kept.dropDuplicates(["id"]).select("id", "text")
 
 
 def jaccard_components(docs: DataFrame, size=5, up=75, down=100) -> DataFrame:
@@ -553,6 +600,7 @@ def _components_of(docs, size, rule):
     sizes = stored(_sizes(docs, size), "shingle_sizes")
     rows = sizes.filter("kind = 0")
     classes = rows.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.first("n").alias("n"))
+    classes = stored(classes, "jaccard_classes")
     small = classes.filter(F.col("n") <= LARGEST_BOUNDARY).groupBy("n").count().collect()  # a row for each size
     boundary = choose_boundary({r["n"]: r["count"] for r in small}, rule)
     n_rows = rows.count()
@@ -570,7 +618,7 @@ def _components_of(docs, size, rule):
         for batch in batches:
             yield from _dealt(*(np.asarray(c) for c in batch.columns), shards)
 
-    def labelled(lists, labels):
+    def labelled(lists, labels, shards):
         own = _labelled(lists, labels, "id").withColumnRenamed("id_label", "label")
         return own.withColumn("shard", F.pmod("token", F.lit(shards))).groupBy("shard")
 
@@ -586,25 +634,26 @@ def _components_of(docs, size, rule):
     near = found.filter(F.col("kind").isin(_PAIR, _NEAR)).selectExpr("x", "y", "a AS votes", "b AS need")
     tested = best(near.filter("need = 1 or votes > 1"))
     links = verified(tested.selectExpr("x", "y", "x AS x_label", "y AS y_label"))
-    links = links.unionByName(found.filter(F.col("kind") == _LINK).select("x", "y"))
+    by_subset = found.filter(F.col("kind") == _LINK).select("x", "y")
+    links = by_subset if links is None else links.unionByName(by_subset)
     with only(spark) as keep:
         labels = keep(stored(components(links), "labels"))
     # most lists are of one group by now and have nothing more to tell
     kinds = "token long, id long, n int, pos int"
-    lists = stored(labelled(lists, labels).applyInArrow(_mixed, kinds), "jaccard_lists")
+    lists = stored(labelled(lists, labels, shards).applyInArrow(_mixed, kinds), "jaccard_lists")
+    list_shards = min(shards, max(LIST_SHARDS, lists.count() // ENTRIES_AT_ONCE))
     for turn in range(1, ROUNDS + 1):
-        named = labelled(lists, labels).applyInArrow(_in_round(turn, boundary, rule), "x long, y long, votes long, need long")
+        named = labelled(lists, labels, list_shards).applyInArrow(_in_round(turn, boundary, rule), "x long, y long, votes long, need long")
         further = best(named, tested)
         tested = tested.unionByName(further)
         labels = _merged(labels, verified(_apart(further, labels)))
 
     # then every pair of the lists that no link connects yet and that shares enough of the prefixes
-    across = labelled(lists, labels).applyInArrow(lambda table: _across(table, boundary, rule, shards), BLOCKS)
+    across = labelled(lists, labels, list_shards).applyInArrow(lambda table: _across(table, boundary, rule, shards), BLOCKS)
     short = _apart(found.filter(F.col("kind") == _PAIR).select("x", "y", "a", "b"), labels)
     short = short.select("x", "y", "a", "b").mapInArrow(of_short, BLOCKS)
     named = across.unionByName(short).groupBy("shard").applyInArrow(_named, "x long, y long")
-    rest = stored(_apart(named.join(tested, ["x", "y"], "left_anti"), labels), "jaccard_rest")
-    labels = _merged(labels, verified(rest))
+    labels = _merged(labels, verified(_apart(named.join(tested, ["x", "y"], "left_anti"), labels)))
 
     own = labels.join(classes.select("id", "least_doc"), "id")
     least = own.groupBy("label").agg(F.min("least_doc").alias("component"))
