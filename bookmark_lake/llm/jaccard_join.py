@@ -54,10 +54,10 @@ from .arrays import (
     words,
 )
 
-#: A shingle is frequent if so large a share of the sets has it; it only moves back in the order.
-FREQUENT_SHARE = 1 / 2000
+#: A shingle is frequent if portions in which it recurs have it so often together; it only moves back in the order.
+FREQUENT_LEAST = 8
 #: At most so many frequent shingles are sent to the tasks.
-FREQUENT_MOST = 200_000
+FREQUENT_MOST = 500_000
 #: The cost of a list entry, in subsets.
 ENTRY_COST = 8
 #: No boundary beyond this is tried: the numbers of subsets explode.
@@ -154,7 +154,7 @@ def _sizes(docs, size):
             keep = np.zeros(len(ids), bool)
             keep[first] = True
             code, count = np.unique(code[np.repeat(keep, count)], return_counts=True)
-            often = count >= 3 + len(first) * FREQUENT_SHARE
+            often = count > 1
             return rows(1, pa.nulls(int(often.sum()), pa.int64()), count[often], code[often].view(np.int64))
 
         held, n_held = [], 0
@@ -335,26 +335,52 @@ def _neighbours(table, boundary, rule, turn):
     return pa.Table.from_arrays(arrays, names=["x", "y", "votes", "need"])
 
 
+def _apart_in_lists(token, size, label, rule):
+    """Places (i, j) of all entries of one list with different labels and fitting sizes, in portions.
+
+    Entries are ordered by token and size. Those of a list's most common label meet no entry of
+    their own, so a list costs its other entries times its length.
+    """
+    start, count = runs(token)
+    of_list = np.repeat(np.arange(len(start)), count)
+    order = np.lexsort((label, of_list))
+    new = np.ones(len(order), bool)
+    new[1:] = (of_list[order][1:] != of_list[order][:-1]) | (label[order][1:] != label[order][:-1])
+    first = np.flatnonzero(new)
+    n_alike = np.diff(np.concatenate((first, [len(order)])))
+    most = np.lexsort((n_alike, of_list[order[first]]))
+    most = most[np.searchsorted(of_list[order[first]][most], np.arange(len(start)), "right") - 1]
+    common = label[order[first[most]]][of_list] == label
+    other = np.flatnonzero(~common)
+    width = int(size.max(initial=0)) + 1
+    key = of_list * width + size
+    low = np.searchsorted(key, of_list[other] * width + -(-rule.up * size[other] // rule.down), "left")
+    high = np.searchsorted(key, of_list[other] * width + np.minimum(size[other] * rule.down // rule.up, width - 1), "right")
+    ends = np.cumsum(high - low)
+    at = 0
+    while at < len(other):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        i = np.repeat(other[at:stop], (high - low)[at:stop])
+        j = expand(low[at:stop], (high - low)[at:stop])
+        apart = (label[i] != label[j]) & (common[j] | (j > i))
+        yield i[apart], j[apart]
+        at = stop
+
+
 def _across(table, boundary, rule, shards):
     """Blocks of candidate pairs of lists whose sets no link connects yet, dealt by pair."""
     columns = [np.asarray(table.column(c)) for c in ("token", "id", "n", "pos", "label")]
     order = np.lexsort((columns[1], np.abs(columns[2]), columns[0]))
     token, ids, n, pos, label = (c[order].astype(np.int64) for c in columns)
     size = np.abs(n)
-    parts, held = [], 0
-    for start, count in zip(*runs(token), strict=True):
-        own = slice(start, start + count)
-        if (label[own] == label[start]).all():
-            continue
-        for i in range(start, start + count - 1):
-            j = np.arange(i + 1, start + np.searchsorted(size[own], size[i] * rule.down // rule.up, "right"))
-            j = j[label[j] != label[i]]
-            if len(j):
-                parts.append(_pairs(ids, n, pos, np.full(len(j), i), j, boundary, rule))
-                held += len(j)
-        if held > 4_000_000:
+    parts, held, merged = [], 0, 0
+    for i, j in _apart_in_lists(token, size, label, rule):
+        larger = size[i] > size[j]
+        parts.append(_pairs(ids, n, pos, np.where(larger, j, i), np.where(larger, i, j), boundary, rule))
+        held += len(parts[-1][0])
+        if held > max(1_000_000, 2 * merged):
             parts = [_joined(parts)]
-            held = len(parts[0][0])
+            held = merged = len(parts[0][0])
     return pa.Table.from_batches(_dealt(*_joined(parts), shards), _BLOCK_SCHEMA)
 
 
@@ -603,9 +629,8 @@ def _components_of(docs, size, rule):
     classes = stored(classes, "jaccard_classes")
     small = classes.filter(F.col("n") <= LARGEST_BOUNDARY).groupBy("n").count().collect()  # a row for each size
     boundary = choose_boundary({r["n"]: r["count"] for r in small}, rule)
-    n_rows = rows.count()
     often = sizes.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-    often = often.filter(F.col("n") >= max(8, n_rows * FREQUENT_SHARE)).orderBy(F.desc("n"), "id").limit(FREQUENT_MOST)
+    often = often.filter(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "id").limit(FREQUENT_MOST)
     often = np.asarray(often.select("id").toArrow().column("id"), np.int64).view(U64)
     frequent = spark.sparkContext.broadcast(Lookup(np.sort(often)))
 
